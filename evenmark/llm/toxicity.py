@@ -14,10 +14,12 @@ from .common import IS_ALNUM, LOWER, held_out, packed, runs_of, slices, span_has
 IS_END = np.zeros(256, bool)
 IS_END[[10, 33, 46, 63]] = True
 BUCKETS = 1 << 20
+#: Besides whole words, their beginnings of so many bytes count, so that inflected forms share what is learnt.
+STEMS = (5, 6, 8)
 
 
 def _tokens(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Bucket, row, sentence (numbered over all rows) of each word; row and begin of each sentence that has words."""
+    """Bucket, row, sentence (numbered over all rows) of each word and stem; row and begin of each sentence that has words."""
     starts, ends, row = runs_of(IS_ALNUM[buf], at)
     if not len(starts):
         return (np.empty(0, np.int64),) * 5
@@ -26,7 +28,14 @@ def _tokens(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     new = np.ones(len(starts), bool)
     new[1:] = (stops[1:] != stops[:-1]) | (row[1:] != row[:-1])
     sentence = np.cumsum(new) - 1
-    return bucket, row, sentence, row[new], starts[new]
+    low, parts = LOWER[buf], [(bucket, row, sentence)]
+    for size in STEMS:
+        longer = np.flatnonzero(ends - starts > size)
+        h = span_hashes(low, starts[longer], starts[longer] + size) * np.uint64(2 * size + 1)
+        parts.append(((h >> np.uint64(20)).astype(np.int64) % BUCKETS, row[longer], sentence[longer]))
+    bucket, of, sentence = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(sentence, kind="stable")
+    return bucket[order], of[order], sentence[order], row[new], starts[new]
 
 
 def sentence_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
