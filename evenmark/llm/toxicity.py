@@ -74,20 +74,22 @@ def fit_noisy_or(buckets: list[np.ndarray], sentences: list[np.ndarray], y: np.n
     n, pos = len(y), float(y.sum())
     if not n or pos in (0.0, float(n)):
         return Words(np.zeros(BUCKETS, np.float32), 3.0 if pos else -9.0)
-    doc = np.repeat(np.arange(n), [len(b) for b in buckets])
-    word, local = np.concatenate(buckets).astype(np.int64), np.concatenate(sentences).astype(np.int64)
-    pair = np.unique(doc * BUCKETS + word)
-    df = np.bincount(pair % BUCKETS, minlength=BUCKETS)
-    hits = np.bincount(pair % BUCKETS, weights=y[pair // BUCKETS], minlength=BUCKETS)
     prior = pos / n
+    df, hits = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    for b, label in zip(buckets, y, strict=True):
+        own = np.unique(b)
+        df[own] += 1
+        hits[own] += label
     odds = np.log((hits + 8 * prior) / (df - hits + 8 * (1 - prior))) - np.log(prior / (1 - prior))
-    keep = np.flatnonzero(df >= least)
-    code = np.full(BUCKETS, -1, np.int64)
+    keep = np.flatnonzero((df >= least) & (np.abs(odds) > 0.5))
+    code = np.full(BUCKETS, -1, np.int32)
     code[keep] = np.arange(len(keep))
-    sent = np.cumsum(np.concatenate([[0], (np.diff(doc) != 0) | (np.diff(local) != 0)])) if len(doc) else doc
-    sent_doc = doc[np.concatenate([[True], np.diff(sent) != 0])] if len(doc) else doc
-    used = code[word] >= 0
-    w_of, s_of = code[word][used], sent[used]
+    used = [code[b] >= 0 for b in buckets]
+    w_of = np.concatenate([code[b[u]] for b, u in zip(buckets, used, strict=True)])
+    count = np.array([int(s[-1]) + 1 if len(s) else 0 for s in sentences])
+    base = np.concatenate([[0], np.cumsum(count)])
+    s_of = np.concatenate([s[u] + k for s, u, k in zip(sentences, used, base, strict=False)])
+    sent_doc = np.repeat(np.arange(n), count)
     theta = np.append(np.where(np.abs(odds[keep]) > 1, odds[keep], 0), np.log(prior / 20))
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for t in range(1, steps + 1):
@@ -105,6 +107,12 @@ def fit_noisy_or(buckets: list[np.ndarray], sentences: list[np.ndarray], y: np.n
     return Words(weight, float(theta[-1]))
 
 
+def _each(lists: pa.ListArray) -> list[np.ndarray]:
+    """The values of each list, without a copy."""
+    flat, at = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+    return [flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = 8_000) -> Words:
     """The model of labelled documents: all, or the `most` whose ids hash lowest. `most` bounds what the driver holds.
 
@@ -113,8 +121,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     known = labels.where(F.col(label_col).isNotNull()).select(F.col(id_col), F.col(label_col).cast("double").alias("y")).orderBy(F.xxhash64(id_col), id_col, "y").limit(most)
     few = docs.select(F.col(id_col), F.col(text_col).alias("text")).join(F.broadcast(known), id_col)
     words = sentence_words(few.select(F.struct(id_col, "y").alias("key"), "text"), "key", "text")
-    rows = words.select("key.y", "bucket", "sentence").toPandas()
-    return fit_noisy_or(list(rows["bucket"]), list(rows["sentence"]), rows["y"].to_numpy(float))
+    rows = words.select("key.y", "bucket", "sentence").toArrow()
+    cut = {c: [x for chunk in rows.column(c).chunks for x in _each(chunk)] for c in ("bucket", "sentence")}
+    return fit_noisy_or(cut["bucket"], cut["sentence"], rows.column("y").to_numpy())
 
 
 def score_toxicity(docs: DataFrame, model: Words, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
