@@ -5,9 +5,10 @@ from __future__ import annotations
 from .embeddings import op3
 from .language import op7
 from .minhash import op2
+from .pieces import op4
 from .quality import op8
 from .suffixes import op1
 from .toxicity import op9
 
-QUERIES = {"op1_suffix_dedup": op1, "op2_minhash_near_dedup": op2, "op3_embedding_near_dedup": op3, "op7_language_id": op7, "op8_quality": op8, "op9_toxicity": op9}
+QUERIES = {"op1_suffix_dedup": op1, "op2_minhash_near_dedup": op2, "op3_embedding_near_dedup": op3, "op4_sentencepiece": op4, "op7_language_id": op7, "op8_quality": op8, "op9_toxicity": op9}
 SQL: dict[str, str] = {}
