@@ -106,12 +106,61 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return two.where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75, bands: int = 24, rows: int = 3) -> DataFrame:
+def _block_links(rest: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
+    """Links between rows of one band that are in different parts, enough of them to join what they join; at most one for each row and pair of blocks."""
+
+    def compare(key, table):
+        i, j = key[1].as_py(), key[2].as_py()
+        blk, ids, part = (table.column(c).to_numpy() for c in ("blk", "head", "part"))
+        lists = table.column("shingles").combine_chunks()
+        size = lists.value_lengths().to_numpy().astype(np.int64)
+        row = np.repeat(np.arange(len(ids)), size)
+        _, code = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+        order = np.argsort(code, kind="stable")
+        code, row = code[order], row[order]
+        x, y = np.flatnonzero(blk == i), np.flatnonzero(blk == j)
+        place = np.empty(len(ids), np.int64)
+        both = np.zeros((len(x), len(y)), np.float32)
+        columns = int(code[-1]) + 1
+        for lo in range(0, columns, 16_384):
+            begin, end = np.searchsorted(code, [lo, lo + 16_384])
+            c, r = code[begin:end] - lo, row[begin:end]
+            sides = []
+            for side, of in ((x, i), (y, j)):
+                place[side] = np.arange(len(side))
+                hit = blk[r] == of
+                m = np.zeros((len(side), min(16_384, columns - lo)), np.float32)
+                m[place[r[hit]], c[hit]] = 1
+                sides.append(m)
+            both += sides[0] @ sides[1].T
+        a, b = np.nonzero((100 * both >= percent * (size[x][:, None] + size[y][None, :] - both)) & (part[x][:, None] != part[y][None, :]))
+        a, b = x[a], y[b]
+        root = np.arange(len(ids))
+        while True:  # the smallest place that each row reaches
+            low = root.copy()
+            np.minimum.at(low, a, root[b])
+            np.minimum.at(low, b, root[a])
+            low = low[low]
+            if (low == root).all():
+                break
+            root = low
+        some = np.flatnonzero(root != np.arange(len(ids)))
+        return pa.table({"a": pa.array(ids[root[some]]), "b": pa.array(ids[some])})
+
+    keys = rest.withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).withColumn("blk", F.pmod(F.xxhash64("head"), "blocks").cast("int"))
+    keys = keys.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    keys = keys.select("band", "head", "part", "blk", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"))
+    full = keys.join(sets.select(F.col("id").alias("head"), "shingles"), "head")
+    return full.groupBy("band", "i", "j").applyInArrow(compare, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75, bands: int = 24, rows: int = 3, few_rows: int = 24, block: int = 384) -> DataFrame:
     """(id, n_shingles, component_id, kept) for each row of docs: groups linked by shingle sets alike to `percent` or more.
 
     Rows with the same set are one class, stood for by its smallest id. Classes that share a band are candidates; a band
     compares its members with its smallest first, and then only members that are not yet in one component, so that a group
     of copies costs as many comparisons as it has members, and no link that joins two components is left out.
+    What is left of a band of more than `few_rows` rows is compared in blocks of `block` rows, two by two.
     Every link is confirmed on full sets. At the limit of similarity, 24 bands of 3 values miss a link with a chance of
     2 in a million, the next ones with less. Empty and null texts have no shingle and link with nothing; a null id is
     a row of its own. Repeated ids count as one document with each of their texts. Extra columns are left out.
@@ -132,10 +181,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     known = members.join(part.withColumnRenamed("node", "head"), "head", "left").withColumn("part", F.coalesce("component", "head")).select("band", "head", "part")
     open_bands = known.groupBy("band").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("band")
     rest = checkpointed(known.join(open_bands, "band").distinct())
-    left = rest.select("band", F.col("head").alias("a"), F.col("part").alias("pa"))
-    right = rest.select("band", F.col("head").alias("b"), F.col("part").alias("pb"))
+    sized = rest.join(rest.groupBy("band").agg(F.count("*").alias("n")), "band")
+    few = sized.where(F.col("n") <= few_rows)
+    left = few.select("band", F.col("head").alias("a"), F.col("part").alias("pa"))
+    right = few.select("band", F.col("head").alias("b"), F.col("part").alias("pb"))
     more = left.join(right, "band").where("pa < pb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    links = links.union(checkpointed(_links(more, sets, percent)))
+    links = links.union(checkpointed(_links(more, sets, percent))).union(checkpointed(_block_links(sized.where(F.col("n") > few_rows), sets, percent, block)))
     same = live.join(heads.where("members > 1").select(*key, "head"), key).where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b"))
     final = connected(links.union(same))
     out = signed.select("id", "n_shingles").join(final.withColumnRenamed("node", "id"), "id", "left")
