@@ -2,13 +2,27 @@
 
 from __future__ import annotations
 
+from .chat import op10
+from .decontaminate import op5
 from .embeddings import op3
 from .language import op7
+from .licenses import op6
 from .minhash import op2
 from .pieces import op4
 from .quality import op8
 from .suffixes import op1
 from .toxicity import op9
 
-QUERIES = {"op1_suffix_dedup": op1, "op2_minhash_near_dedup": op2, "op3_embedding_near_dedup": op3, "op4_sentencepiece": op4, "op7_language_id": op7, "op8_quality": op8, "op9_toxicity": op9}
+QUERIES = {
+    "op1_suffix_dedup": op1,
+    "op2_minhash_near_dedup": op2,
+    "op3_embedding_near_dedup": op3,
+    "op4_sentencepiece": op4,
+    "op5_decontamination": op5,
+    "op6_license_scan": op6,
+    "op7_language_id": op7,
+    "op8_quality": op8,
+    "op9_toxicity": op9,
+    "op10_chat_format": op10,
+}
 SQL: dict[str, str] = {}
