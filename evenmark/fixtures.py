@@ -38,6 +38,19 @@ VIEWS = {
         CASE WHEN o_orderstatus = 'F' THEN CAST(floor(o_totalprice) AS BIGINT) % 50 END AS home_score FROM orders""",
     "roster": """SELECT c_custkey AS player, c_name AS full_name, c_nationkey AS team, 1992 + c_custkey % 8 AS season, 1 + c_custkey % 18 AS week,
         CASE c_mktsegment WHEN 'BUILDING' THEN 'QB' WHEN 'MACHINERY' THEN '' ELSE 'RB' END AS position, c_custkey % 300 AS source_id FROM customer""",
+    "feed_stats": """SELECT CASE WHEN l_partkey % 37 = 0 THEN 'bad' ELSE '00-' || lpad(CAST(l_partkey AS STRING), 7, '0') END AS player_id,
+        CASE l_returnflag WHEN 'A' THEN 'QB' WHEN 'R' THEN 'QB' ELSE 'RB' END AS position, CAST(year(l_shipdate) AS STRING) AS season, lpad(CAST(l_linenumber AS STRING), 2, '0') AS week,
+        CASE WHEN l_linestatus = 'O' THEN 'REG' ELSE 'POST' END AS season_type,
+        CAST(year(l_shipdate) AS STRING) || '_' || lpad(CAST(l_linenumber AS STRING), 2, '0') || '_T' || chr(65 + CAST(l_suppkey AS INT) % 20) || '_T' || chr(66 + CAST(l_suppkey AS INT) % 20) AS game_id,
+        'T' || chr(65 + CAST(l_suppkey AS INT) % 22) AS team, CASE WHEN l_quantity = 1 THEN '' ELSE CAST(CAST(l_quantity AS BIGINT) AS STRING) END AS attempts,
+        CASE WHEN l_tax = 0 THEN 'x' ELSE CAST(CAST(floor(l_extendedprice / 100) AS BIGINT) AS STRING) END AS passing_yards, l_orderkey FROM lineitem""",
+    "feed_roster": """SELECT CASE WHEN c_custkey % 29 = 0 THEN '' ELSE '00-' || lpad(CAST(c_custkey % 900 AS STRING), 7, '0') END AS gsis_id, 1992 + c_custkey % 3 AS season, 1 + c_custkey % 2 AS week,
+        CASE WHEN c_nationkey = 3 THEN '1x' ELSE 'T' || chr(65 + c_nationkey) END AS team, CASE WHEN c_custkey % 7 = 0 THEN 'POST' ELSE 'REG' END AS game_type,
+        CASE WHEN c_mktsegment = 'BUILDING' THEN 'RB' ELSE 'QB' END AS position, c_name AS full_name FROM customer""",
+    "feed_schedule": """SELECT CAST(year(o_orderdate) AS STRING) AS season, lpad(CAST(month(o_orderdate) AS STRING), 2, '0') AS week, CASE WHEN o_orderstatus = 'P' THEN 'POST' ELSE 'REG' END AS game_type,
+        'T' || chr(65 + CAST(o_custkey AS INT) % 25) AS home, 'T' || chr(65 + (CAST(o_custkey AS INT) + 7) % 25) AS away,
+        CAST(year(o_orderdate) AS STRING) || '_' || lpad(CAST(month(o_orderdate) AS STRING), 2, '0') || '_T' || chr(65 + (CAST(o_custkey AS INT) + 7) % CASE WHEN o_orderkey % 11 = 0 THEN 24 ELSE 25 END) || '_T' || chr(65 + CAST(o_custkey AS INT) % 25) AS game_id, o_orderkey FROM orders""",
+    "plays": """SELECT l_orderkey % 500 AS game_id, l_linenumber + 10 * (l_orderkey % 900) AS play_id, CASE WHEN l_discount = 0 THEN '00-junk' ELSE '00-' || lpad(CAST(l_suppkey AS STRING), 7, '0') || '; ' || '00-' || lpad(CAST(l_suppkey % 7 AS STRING), 7, '0') END AS players FROM lineitem""",
     "ticks": """SELECT event_id, user_id AS prop, @us(ts) AS ts, 1 + value / 100 AS price, event_type = 'error' AS is_error, event_type, value FROM events""",
     "requests": """SELECT event_id, user_id AS subject, @us(ts) AS ts, event_type AS kind, CAST(@json(props, k) AS BIGINT) AS k, value FROM events""",
     "videos": """SELECT doc_id AS video, 'ch' || CAST(doc_id % 20 AS STRING) AS creator, substr(text, 1, 80) AS title, text AS body, 19967 + doc_id % 900 AS published,

@@ -1,6 +1,6 @@
 """All queries; importing this registers them."""
 
-from . import odds, temporal  # noqa: F401
+from . import feeds, forecast, odds, temporal  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
