@@ -35,7 +35,7 @@ class Vocabulary:
             if model.is_byte(k):
                 self.byte_id[int(piece[3:5], 16)] = k
             texts.append(bytes([int(piece[3:5], 16)]) if model.is_byte(k) else b"" if model.is_control(k) or model.is_unknown(k) else piece.replace("▁", " ").encode())
-            weights.append(-np.log(10 + max(0.0, -model.get_score(k))))
+            weights.append(BYTE_WEIGHT if model.is_byte(k) else -np.log(10 + max(0.0, -model.get_score(k))))
         if (self.byte_id < 0).any():
             raise ValueError("the vocabulary has no byte pieces")
         self.weights = np.array(weights)
@@ -91,6 +91,11 @@ def cut_words(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return begins, np.append(begins[1:], n) if len(begins) else begins, np.searchsorted(at, begins, "right") - 1
 
 
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """Small numbers as 16 bits, which sort by radix."""
+    return x.astype(np.uint16) if len(x) and x.max() < 65_536 else x
+
+
 class Lattice:
     """All segmentations of distinct words. Nodes are places between bytes; edges are sorted by the node where they end."""
 
@@ -103,7 +108,7 @@ class Lattice:
         place, node = begins[word] + local, first[word] + local
         room = size[word] - local
         active, h = np.arange(len(word)), np.zeros(len(word), np.uint64)
-        source, target, piece, reach = [], [], [], np.zeros(len(word), np.int64)
+        source, target, piece, step, reach = [], [], [], [], np.zeros(len(word), np.int64)
         char = (buf[place] & 0xC0) != 0x80
         char[local == 0] = True
         span = np.diff(np.append(np.flatnonzero(char), len(word)))
@@ -120,6 +125,7 @@ class Lattice:
                 source.append(node[a])
                 target.append(node[a] + length)
                 piece.append(k[hit])
+                step.append(local[a])
                 reach[a[width[a] == length]] = 1
             go = (k > -2) & (room[active] > length)
             active, h = active[go], h[go]
@@ -129,11 +135,11 @@ class Lattice:
         source.append(node[lone])
         target.append(node[lone] + 1)
         piece.append(vocabulary.byte_id[buf[place[lone]]])
-        source, target, piece = (np.concatenate(x) for x in (source, target, piece))
+        step.append(local[lone])
+        # longer pieces first: they are likelier, so walks find them first
+        source, target, piece, step = (np.concatenate(x[::-1]) for x in (source, target, piece, step))
         weight = vocabulary.weights[piece]
-        weight = np.where(np.isin(piece, vocabulary.byte_id), BYTE_WEIGHT, weight)
-        step = source - self.head[np.searchsorted(self.head, source, "right") - 1]
-        order = np.argsort(step, kind="stable")
+        order = np.argsort(_narrow(step), kind="stable")
         bounds = np.searchsorted(step[order], np.arange(int(step.max()) + 2 if len(step) else 1))
         total = np.full(first[-1], -np.inf)
         total[self.head] = 0
@@ -145,7 +151,7 @@ class Lattice:
             better = best[s] + w > best[t]
             best[t[better]] = (best[s] + w)[better]
             via[t[better]] = e[better]
-        by_end = np.argsort(target, kind="stable")
+        by_end = np.argsort(_narrow(target), kind="stable")
         place_of = np.empty(len(by_end), np.int64)
         place_of[by_end] = np.arange(len(by_end))
         self.source, self.piece, end = source[by_end], piece[by_end], target[by_end]
@@ -160,12 +166,21 @@ class Lattice:
         count = stop - new + 1
         share = (run - np.repeat(base, count)) / np.maximum(np.repeat(run[stop] - base, count), 1e-300)
         share[stop] = 1
-        self.steps = end + np.minimum(share, 1)
+        self.share = np.minimum(share, 1)
         self.first_in = np.full(first[-1] + 1, -1, np.int64)
         self.first_in[end[new]] = new
         self.count_in = np.zeros(first[-1] + 1, np.int64)
         self.count_in[end[new]] = count
 
+    def pick(self, nodes: np.ndarray, u: np.ndarray) -> np.ndarray:
+        """An edge into each node, by its share of the paths there; u is uniform on (0, 1)."""
+        e = self.first_in[nodes]
+        todo = np.flatnonzero(self.share[e] < u)
+        while len(todo):
+            e[todo] += 1
+            todo = todo[self.share[e[todo]] < u[todo]]
+        return e
+
     def walk(self, words: np.ndarray, choose) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """From the ends of the words back to their begins: the edges chosen, the item and the step (from the end) of each."""
         at, live = self.tail[words], np.arange(len(words))
@@ -211,11 +226,28 @@ class Lattice:
         return path
 
 
-def _uniform(*keys) -> np.ndarray:
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _seeds(*keys) -> np.ndarray:
+    """One hash for each element of the keys, which broadcast."""
     x = np.array([0x1234567], np.uint64)
     for k in keys:
-        x = mix(x + np.atleast_1d(k).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
-    return ((x >> np.uint64(12)).astype(np.float64) + 0.5) / 2.0**52
+        x = mix(x + np.atleast_1d(k).astype(np.uint64) * _STEP + np.uint64(1))
+    return x
+
+
+def _uniform(seeds: np.ndarray, n) -> np.ndarray:
+    """The n-th uniform numbers on (0, 1) of the seeds."""
+    return ((mix(seeds + np.asarray(n).astype(np.uint64) * _STEP) >> np.uint64(12)).astype(np.float64) + 0.5) / 2.0**52
+
+
+def _uniform_of(seed: int, n: int) -> float:
+    """The same for one seed, without arrays."""
+    x = (seed + n * int(_STEP)) % 2**64
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = ((x ^ (x >> shift)) * factor) % 2**64
+    return (((x ^ (x >> 31)) >> 12) + 0.5) / 2.0**52
 
 
 class _Path:
@@ -257,7 +289,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 500_000):
+            for part in slices(batch, "text", 300_000):
                 buf, at = packed(part.column(1))
                 n = len(at) - 1
                 begins, ends, row = cut_words(buf, at)
@@ -305,8 +337,11 @@ def _search(lattice, word, row, first, owner, index, key, n, k, seed) -> list:
     """For each of k rounds: ids, offsets of rows, perturbed value, log-probability and inclusion of each row."""
     blank = np.diff(first) == 0
 
+    seeds = _seeds(owner, index, seed)
+
     def draw(items: np.ndarray, turn: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return lattice.walk(word[items], lambda node, live, step: np.searchsorted(lattice.steps, node + _uniform(owner[items[live]], index[items[live]], step, turn, seed)))
+        own = seeds[items]
+        return lattice.walk(word[items], lambda node, live, step: lattice.pick(node, _uniform(own[live], (turn << 32) + step)))
 
     def top(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         best, where = np.full(n, -np.inf), np.zeros(n, np.int64)
@@ -324,9 +359,9 @@ def _search(lattice, word, row, first, owner, index, key, n, k, seed) -> list:
             rest = np.log(np.maximum(-np.expm1(np.minimum(path.log, 0)), 0))
         rest[path.log > -1e-13] = -np.inf
         phi = np.where(np.arange(len(row)) >= begin[row], before + rest, -np.inf)
-        return _below(phi, limit[row], _uniform(owner, index, 1 << 20, turn, seed))
+        return _below(phi, limit[row], _uniform(seeds, (turn << 32) + (1 << 28)))
 
-    g0 = -np.log(-np.log(_uniform(key, 1 << 21, seed)))
+    g0 = -np.log(-np.log(_uniform(_seeds(key, seed), 1 << 29)))
     every = np.arange(len(word))
     paths = [_Path(lattice, word, *draw(every, 0))]
     values = [g0]
@@ -354,7 +389,7 @@ def _search(lattice, word, row, first, owner, index, key, n, k, seed) -> list:
             done = taken.setdefault((p, t), [])
             if not done:
                 done.append(tuple(paths[p].edges[paths[p].offset[t] : paths[p].offset[t + 1]]))
-            got = lattice.without(int(word[t]), done, lambda step, t=t: float(_uniform(owner[t], index[t], step, (turn << 8) + 1, seed)[0]))
+            got = lattice.without(int(word[t]), done, lambda step, t=t: _uniform_of(int(seeds[t]), (turn << 32) + (1 << 30) + step))
             if got is None:  # rounding: nothing is left there
                 state[first[r] : first[r + 1]] = -1
                 front[p][t] = -np.inf
@@ -364,7 +399,7 @@ def _search(lattice, word, row, first, owner, index, key, n, k, seed) -> list:
             other[t] = got
             mass = 1 - sum(float(np.exp(lattice.log[list(x)].sum())) for x in done)
             prefix = paths[p].log[first[r] : t].sum()
-            front[p][t] = float(_below(np.array([prefix + np.log(mass) if mass > 1e-13 else -np.inf]), value[r : r + 1], _uniform(owner[t : t + 1], index[t : t + 1], 1 << 22, turn, seed))[0])
+            front[p][t] = float(_below(np.array([prefix + np.log(mass) if mass > 1e-13 else -np.inf]), value[r : r + 1], _uniform(seeds[t : t + 1], (turn << 32) + (1 << 31)))[0])
         fresh = np.flatnonzero(state == 2)
         edges, items, steps = draw(fresh, turn)
         parts = [(edges, fresh[items], steps)]
@@ -397,16 +432,24 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", i
     kind = dict(encoded.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(1)
-            ids = lists.flatten().to_numpy(zero_copy_only=False)
-            cut = np.concatenate([[0], np.cumsum(np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64))])
-            size = vocabulary.lengths[ids]
-            stop = np.concatenate([[0], np.cumsum(size)])
-            text = vocabulary.bytes[np.repeat(vocabulary.begins[ids] - stop[:-1], size) + np.arange(stop[-1])]
-            rows = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cut) - 1, [None, pa.py_buffer(stop[cut].astype(np.int64).tobytes()), pa.py_buffer(text.tobytes())])
-            rows = pa.compute.if_else(lists.is_null(), pa.scalar(None, pa.large_binary()), rows).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), rows], ["id", "bytes"])
+        for whole in batches:
+            size = np.nan_to_num(whole.column(1).value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+            ends, begin = np.cumsum(size), 0
+            while begin < len(ends):
+                end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + 250_000, "right")))
+                yield _texts(whole.slice(begin, end - begin), size[begin:end])
+                begin = end
+
+    def _texts(batch: pa.RecordBatch, size: np.ndarray) -> pa.RecordBatch:
+        lists = batch.column(1)
+        ids = lists.flatten().to_numpy(zero_copy_only=False)
+        cut = np.concatenate([[0], np.cumsum(size)])
+        width = vocabulary.lengths[ids]
+        stop = np.concatenate([[0], np.cumsum(width)])
+        text = vocabulary.bytes[np.repeat(vocabulary.begins[ids] - stop[:-1], width) + np.arange(stop[-1])]
+        rows = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(stop[cut].astype(np.int64).tobytes()), pa.py_buffer(text.tobytes())])
+        rows = pa.compute.if_else(lists.is_null(), pa.scalar(None, pa.large_binary()), rows).cast(pa.binary())
+        return pa.RecordBatch.from_arrays([batch.column(0), rows], ["id", "bytes"])
 
     return encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids")).mapInArrow(run, f"id {kind}, bytes binary").select(F.col("id").alias(id_col), F.col("bytes").cast("string").alias("text"))
 
