@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..fixtures import view
+from ..sources import files as R
 from ..sources import sinks as S
 from ..streaming import live as X
 from .registry import query
@@ -108,3 +109,77 @@ def _folder(spark, name: str) -> str:
 
     base = spark.conf.get("spark.checkpoint.dir", None)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}" if base else f"{tempfile.mkdtemp(prefix='spark-')}/{name}"
+
+
+@query("s1_csv_feed", "SELECT position, season, count(*) AS rows, count(DISTINCT player_id) AS players FROM feed_stats GROUP BY ALL")
+def s1(spark, sf):
+    feed = view(spark, sf, "feed_stats").drop("l_orderkey")
+    path = _folder(spark, "feed")
+    feed.write.option("header", True).option("emptyValue", "").option("compression", "gzip").csv(path)
+    return R.read_csv_feed(spark, path, feed.schema).groupBy("position", "season").agg(F.count("*").alias("rows"), F.countDistinct("player_id").alias("players"))
+
+
+@query("s2_nested_odds", "SELECT event, book, market, side, count(*) AS n, round(sum(price), 4) AS prices FROM outcomes GROUP BY ALL")
+def s2(spark, sf):
+    o = view(spark, sf, "outcomes")
+    one = F.struct(F.col("side").alias("name"), F.col("player").cast("string").alias("description"), "price", "point")
+    m = o.groupBy("event", "book", "market").agg(F.collect_list(one).alias("outcomes"))
+    b = m.groupBy("event", "book").agg(F.collect_list(F.struct(F.col("market").alias("key"), F.lit(None).cast("string").alias("last_update"), "outcomes")).alias("markets"))
+    e = b.groupBy("event").agg(F.collect_list(F.struct(F.col("book").cast("string").alias("key"), "markets")).alias("bookmakers"))
+    path = _folder(spark, "odds")
+    e.select(F.col("event").cast("string").alias("id"), F.lit("sport").alias("sport_key"), F.lit("2024-01-01T00:00:00Z").alias("commence_time"), "bookmakers").write.json(path)
+    out = R.read_odds(spark, path).groupBy(F.col("id").cast("long").alias("event"), F.col("book").cast("long").alias("book"), "market", "side")
+    return out.agg(F.count("*").alias("n"), F.round(F.sum("price"), 4).alias("prices"))
+
+
+@query("s3_capture_log", "SELECT key, count(*) AS events, CAST(sum(length(text)) AS BIGINT) AS characters FROM decisions GROUP BY key")
+def s3(spark, sf):
+    log = view(spark, sf, "decisions").withColumn("sha256", F.sha2("text", 256))
+    path = _folder(spark, "log")
+    log.write.json(path)
+    return R.read_log(spark, path, log.schema).groupBy("key").agg(F.count("*").alias("events"), F.sum(F.char_length("text")).cast("long").alias("characters"))
+
+
+def _run(spark, stream, mode: str = "append"):
+    """All of a stream over files into a table in the shared folder, then that table."""
+    out, mark = _folder(spark, "stream"), _folder(spark, "stream-checkpoint")
+    stream.writeStream.format("parquet").outputMode(mode).option("path", out).option("checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
+
+
+def _source(spark, sf, name: str):
+    """A view's rows as a stream over files."""
+    rows = view(spark, sf, name).withColumn("time", F.timestamp_micros("ts"))
+    path = _folder(spark, "source")
+    rows.write.parquet(path)
+    return spark.readStream.schema(rows.schema).parquet(path)
+
+
+@query("x1_stream_scoring", "SELECT count(*) AS ticks, count(*) FILTER (WHERE is_error) AS errors FROM ticks")
+def x1_stream(spark, sf):
+    t = _source(spark, sf, "ticks").selectExpr("*", "price AS over_price", "1 + (event_id % 7) / 5D AS under_price", "100 + event_id % 300 AS line")
+    out = _run(spark, X.score_ticks(t, view(spark, sf, "history")))
+    return out.agg(F.count("*").alias("ticks"), F.count_if(F.col("error") == "feed-error").alias("errors"))
+
+
+@query("x3_stream_staleness", "SELECT prop, max(ts) AS last FROM ticks GROUP BY prop")
+def x3_stream(spark, sf):
+    t = _source(spark, sf, "ticks").withWatermark("time", "1 hour")
+    return _run(spark, X.stream_staleness(t, 270_000)).groupBy("prop").agg(F.max(F.when(F.col("state") != "timed-out", F.col("ts"))).alias("last"))
+
+
+@query("x6_stream_buckets")
+def x6_stream(spark, sf):
+    out = _run(spark, X.minute_buckets(_source(spark, sf, "requests"), "time", "1 hour"))
+    return out.groupBy("subject").agg(F.count("*").alias("buckets"), F.sum("total").alias("requests"))
+
+
+@query("x7_stream_limits", GCRA)
+def x7_stream(spark, sf):
+    return _run(spark, X.stream_limits(_source(spark, sf, "requests").withWatermark("time", "1 hour"), 8 * 3_600_000_000, 3))
+
+
+@query("x2_stream_reuse")
+def x2_stream(spark, sf):
+    out = _run(spark, X.stream_reuse(_source(spark, sf, "ticks"), "time", "prop", "6 hours"))
+    return out.groupBy("prop").agg(F.count("*").alias("refreshes"))
