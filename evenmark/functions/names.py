@@ -7,6 +7,7 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 #: Endings that are no part of a surname.
 SUFFIXES = ("jr", "sr", "ii", "iii", "iv", "v")
@@ -21,7 +22,7 @@ def tokens(name: str | None) -> list[str]:
     return words
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def normal_name(names: pd.Series) -> pd.Series:
     """The words of a name, joined by blanks."""
     return names.map(lambda x: None if x is None else " ".join(tokens(x)))
@@ -65,7 +66,7 @@ def alias_score(name: str, alias: str) -> float:
     return similarity("".join(x), "".join(y))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def score_names(names: pd.Series, aliases: pd.Series) -> pd.Series:
     """alias_score of two columns; pairs that repeat in a batch are scored once."""
     seen: dict[tuple, float] = {}
