@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-ODDS = T.StructType.fromDDL("id STRING, sport_key STRING, commence_time STRING, home_team STRING, away_team STRING, bookmakers ARRAY<STRUCT<key: STRING, markets: ARRAY<STRUCT<key: STRING, last_update: STRING, outcomes: ARRAY<STRUCT<name: STRING, description: STRING, price: DOUBLE, point: DOUBLE>>>>>>")
+ODDS = "id STRING, sport_key STRING, commence_time STRING, home_team STRING, away_team STRING, bookmakers ARRAY<STRUCT<key: STRING, markets: ARRAY<STRUCT<key: STRING, last_update: STRING, outcomes: ARRAY<STRUCT<name: STRING, description: STRING, price: DOUBLE, point: DOUBLE>>>>>>"
 
 
 def read_csv_feed(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
