@@ -30,7 +30,7 @@ def lagged_features(history: DataFrame, lead: int = 0, most: int = 16, least: in
     used = F.slice(F.reverse(F.filter("_all", lambda x: x["kickoff"] < F.col("kickoff") - lead)), 1, most)
     out = ranked.withColumn("_used", used).withColumn("sample_size", F.size("_used"))
     tied = F.size(F.array_distinct(F.transform("_used", lambda x: x["kickoff"]))) < F.size("_used")
-    edge = F.exists("_all", lambda x: (x["kickoff"] == F.element_at("_used", -1)["kickoff"]) & (F.size("_used") == most) & ~F.array_contains(F.transform("_used", lambda y: y["low"]), x["low"]))
+    edge = F.exists("_all", lambda x: (x["kickoff"] == F.try_element_at("_used", F.lit(-1))["kickoff"]) & (F.size("_used") == most) & ~F.array_contains(F.transform("_used", lambda y: y["low"]), x["low"]))
     why = F.array_compact(F.array(F.when(F.col("sample_size") < least, "insufficient-history"), F.when(tied | F.coalesce(edge, F.lit(False)), "history-order-ambiguous")))
     return out.select("player", "game", "season", (F.col("kickoff") - lead).alias("cutoff"), "sample_size", F.transform("_used", lambda x: F.struct((-x["low"]).alias("game"), x["kickoff"].alias("kickoff"), x["value"].alias("value"))).alias("history"), why.alias("reasons"))
 

@@ -10,7 +10,6 @@ from .registry import query
 
 CUT, CHECK = 10500, 10800
 STRICT_SQL = f"SELECT *, dense_rank() OVER (PARTITION BY natural_key ORDER BY available_at DESC, ingested_at DESC) AS r FROM versions WHERE available_at <= {CUT} AND ingested_at <= {CUT}"
-ORDER = [F.desc("available_at"), F.desc("ingested_at"), F.desc("row_id")]
 OV = "ORDER BY available_at DESC, ingested_at DESC, row_id DESC"
 
 
@@ -24,6 +23,10 @@ def w1r(spark, sf):
     return T.normalized_as_of(view(spark, sf, "versions"), CUT, CHECK, T.RETROSPECTIVE).groupBy("state").agg(F.count("*").alias("keys"), F.sum("rivals").alias("versions"))
 
 
+def newest():
+    return [F.desc("available_at"), F.desc("ingested_at"), F.desc("row_id")]
+
+
 def _j4(mode: str) -> str:
     ok = "v.available_at <= least(cutoff, checkpoint) AND v.ingested_at <= least(cutoff, checkpoint)" if mode == T.STRICT else "v.ingested_at <= checkpoint"
     return f"""WITH q AS (SELECT o_orderkey AS request, o_orderkey AS natural_key, @day(o_orderdate) + 60 AS cutoff, @day(o_orderdate) + 90 AS checkpoint FROM orders),
@@ -45,7 +48,7 @@ query("j4_as_of_retrospective", _j4(T.RETROSPECTIVE))(lambda spark, sf: _asof(sp
 
 @query("w3_heads", f"SELECT natural_key, row_id, state, head, valid_head FROM (SELECT *, row_number() OVER (PARTITION BY natural_key {OV}) AS head, row_number() OVER (PARTITION BY natural_key, state {OV}) AS valid_head FROM versions) WHERE head = 1 OR valid_head = 1")
 def w3(spark, sf):
-    return T.heads(view(spark, sf, "versions"), ["natural_key"], ORDER).where("head = 1 OR valid_head = 1").select("natural_key", "row_id", "state", "head", "valid_head")
+    return T.heads(view(spark, sf, "versions"), ["natural_key"], newest()).where("head = 1 OR valid_head = 1").select("natural_key", "row_id", "state", "head", "valid_head")
 
 
 @query("w4_newest_with_rivals", "SELECT natural_key, row_id, rivals FROM (SELECT *, count(*) OVER (PARTITION BY natural_key, available_at, ingested_at) AS rivals, row_number() OVER (PARTITION BY natural_key ORDER BY available_at DESC, ingested_at DESC, row_id) AS n FROM versions) WHERE n = 1")
@@ -66,7 +69,7 @@ def w5(spark, sf):
 @query("w7_retention_candidates", f"SELECT natural_key, row_id FROM (SELECT *, row_number() OVER (PARTITION BY natural_key {OV}) AS head, row_number() OVER (PARTITION BY natural_key, state {OV}) AS vh FROM versions) WHERE head > 1 AND NOT (state = 'usable' AND vh = 1) AND job NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 5000)")
 def w7(spark, sf):
     pins = spark.read.parquet(f"{sf}/supplier.parquet").where("s_acctbal > 5000").select(F.col("s_suppkey").alias("job"))
-    return T.retention_candidates(view(spark, sf, "versions"), ["natural_key"], ORDER, pins, "job").select("natural_key", "row_id")
+    return T.retention_candidates(view(spark, sf, "versions"), ["natural_key"], newest(), pins, "job").select("natural_key", "row_id")
 
 
 @query("w11_supersession", "SELECT id, predecessor FROM (SELECT o_orderkey AS id, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS predecessor FROM orders)")
