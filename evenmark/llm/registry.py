@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import oracles
 from .chat import op10
 from .decontaminate import op5
 from .embeddings import op3
@@ -25,4 +26,4 @@ QUERIES = {
     "op9_toxicity": op9,
     "op10_chat_format": op10,
 }
-SQL: dict[str, str] = {}
+SQL = {"op1_suffix_dedup": oracles.OP1, "op2_minhash_near_dedup": oracles.OP2, "op3_embedding_near_dedup": oracles.OP3}

@@ -390,3 +390,12 @@ def test_pipeline(spark):
         left = b"".join(bytes(v.bytes[v.begins[i] : v.begins[i] + v.lengths[i]]) for i in final[k]).decode()
         it = iter(texts[k])
         assert all(c in it for c in left)
+
+
+@pytest.mark.parametrize("name", sorted(registry.SQL))
+def test_query_equals_sql(spark, name):
+    from compare import duck, rows_of
+
+    df = registry.QUERIES[name](spark, SMALL)
+    r = duck(SMALL).execute(registry.SQL[name])
+    assert rows_of(df.columns, df.collect()) == rows_of([d[0] for d in r.description], r.fetchall())
