@@ -22,7 +22,12 @@ def x1(spark, sf):
     return X.score_ticks(_ticks(spark, sf), view(spark, sf, "history")).withColumn("edge", F.round("edge", 6))
 
 
-@query("x2_shared_reuse")
+REUSE = """WITH RECURSIVE s AS (SELECT prop, ts, row_number() OVER (PARTITION BY prop ORDER BY ts, event_id) AS n FROM ticks), g(prop, n, refresh, last) AS (SELECT prop, n, true, ts FROM s WHERE n = 1
+    UNION ALL SELECT s.prop, s.n, s.ts - g.last >= 21600000000, CASE WHEN s.ts - g.last >= 21600000000 THEN s.ts ELSE g.last END FROM g JOIN s ON s.prop = g.prop AND s.n = g.n + 1)
+    SELECT prop, count(*) AS ticks, count(*) FILTER (WHERE refresh) AS refreshes FROM g GROUP BY prop"""
+
+
+@query("x2_shared_reuse", REUSE)
 def x2(spark, sf):
     return X.reuse_within(view(spark, sf, "ticks"), 6 * 3_600_000_000).groupBy("prop").agg(F.count("*").alias("ticks"), F.count_if("refresh").alias("refreshes"))
 
@@ -80,7 +85,7 @@ def s6(spark, sf):
     return S.new_quote_sets(sets.where("captured_at >= 9500"), sets.where("captured_at < 9500"), ["event", "market"], "captured_at").select("event", "market", "captured_at", "content_hash", "quotes")
 
 
-@query("s4_append_evidence")
+@query("s4_append_evidence", "SELECT 'versions' AS feed, CAST(job % 4 AS INT) AS snapshot_id, count(*) AS rows FROM versions GROUP BY ALL")
 def s4(spark, sf):
     v = view(spark, sf, "versions").select(F.lit("versions").alias("feed"), (F.col("job") % 4).alias("snapshot_id"), "natural_key", "data", "state")
     path = _folder(spark, "evidence")
@@ -88,14 +93,17 @@ def s4(spark, sf):
     return spark.read.parquet(path).groupBy("feed", "snapshot_id").agg(F.count("*").alias("rows"))
 
 
-@query("s7_publish_dataset")
+DIGEST = " || '-' || ".join(f"CAST(sum(CAST('0x' || substr(h, {1 + 8 * k}, 8) AS HUGEINT)) AS VARCHAR)" for k in range(4))
+
+
+@query("s7_publish_dataset", f"SELECT count(*) AS rows, {DIGEST} AS digest FROM (SELECT sha256(CAST(player AS VARCHAR) || '|' || CAST(game AS VARCHAR) || '|' || CAST(value AS VARCHAR)) AS h FROM history)")
 def s7(spark, sf):
     h = view(spark, sf, "history")
     m = S.publish_dataset(h, _folder(spark, "datasets"), ["player", "game", "value"])
     return m.select("digest", "rows")
 
 
-@query("s8_read_dataset")
+@query("s8_read_dataset", "SELECT season, count(*) AS rows, CAST(sum(value) AS BIGINT) AS total FROM history GROUP BY season")
 def s8(spark, sf):
     h = view(spark, sf, "history")
     m = S.publish_dataset(h, _folder(spark, "datasets"), ["player", "game", "value"])
