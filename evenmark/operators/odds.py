@@ -100,13 +100,17 @@ def best_book(rows: DataFrame, direction: str) -> DataFrame:
     A prop whose rows have no two-way price takes the highest Yes price. Ties go to the lower point, then the smaller book.
     """
     keys = ["event", "market", "player"]
-    counted = rows.where("point IS NOT NULL").groupBy(*keys, "point").agg(F.count("*").alias("n"))
-    modal = counted.groupBy(*keys).agg(F.max(F.struct("n", (-F.col("point")).alias("low"))).alias("m")).select(*keys, (-F.col("m.low")).alias("point"))
+    prop = Window.partitionBy(*keys)
+    # the counts of points, the modal point and the best row all need the rows of a prop together: one shuffle
+    n = rows.withColumn("_n", F.when(F.col("point").isNotNull(), F.count("*").over(Window.partitionBy(*keys, "point"))))
+    n = n.withColumn("_m", F.max(F.when(F.col("_n").isNotNull(), F.struct("_n", (-F.col("point")).alias("low")))).over(prop))
     price = F.col(f"{direction}_price")
-    full = rows.where("over_price IS NOT NULL AND under_price IS NOT NULL").join(modal, [*keys, "point"])
-    two = full.groupBy(*keys).agg(F.max(F.struct(price.alias("price"), (-F.col("book")).alias("low"), "point")).alias("b"), F.lit("line").alias("kind"))
-    only = rows.groupBy(*keys).agg(F.count("point").alias("points"), F.max(F.struct(F.col("yes_price").alias("price"), (-F.col("book")).alias("low"), F.lit(None).cast("double").alias("point"))).alias("b"), F.lit("yes").alias("kind")).where("points = 0 AND b.price IS NOT NULL").drop("points")
-    return two.unionByName(only).select(*keys, (-F.col("b.low")).alias("book"), F.col("b.point").alias("point"), F.col("b.price").alias("price"), "kind")
+    full = F.col("over_price").isNotNull() & F.col("under_price").isNotNull() & (F.col("point") == -F.col("_m.low"))
+    low = (-F.col("book")).alias("low")
+    out = n.groupBy(*keys).agg(F.count("point").alias("points"), F.max(F.when(full, F.struct(price.alias("price"), low, "point"))).alias("two"), F.max(F.when(F.col("yes_price").isNotNull(), F.struct(F.col("yes_price").alias("price"), low, F.lit(None).cast("double").alias("point")))).alias("yes"))
+    b = F.when(F.col("points") > 0, F.col("two")).otherwise(F.col("yes"))
+    out = out.withColumn("b", b).where("b IS NOT NULL")
+    return out.select(*keys, (-F.col("b.low")).alias("book"), F.col("b.point").alias("point"), F.col("b.price").alias("price"), F.when(F.col("points") > 0, "line").otherwise("yes").alias("kind"))
 
 
 def market_status(outcomes: DataFrame, markets: DataFrame) -> DataFrame:
@@ -130,10 +134,8 @@ def as_of_observations(requests: DataFrame, observations: DataFrame, keys: list[
     One shuffle by the keys serves the range join and the choice of the newest: the aggregate keeps one row a request.
     """
     right = observations.select(*keys, F.col(clock).alias("_at"), F.struct(F.col(clock).alias("at"), F.col(tie).alias("tie")).alias("_o"))
-    hit = requests.join(right, keys, "left").where(F.col("_at").isNull() | (F.col("_at") <= F.col(cutoff)))
-    best = hit.groupBy(*requests.columns).agg(F.max("_o").alias("o"))
-    missing = requests.join(best.select(*requests.columns), requests.columns, "left_anti").withColumn("at", F.lit(None).cast("long")).withColumn("tie", F.lit(None).cast("long"))
-    return best.select(*requests.columns, F.col("o.at").alias("at"), F.col("o.tie").alias("tie")).unionByName(missing, allowMissingColumns=True)
+    best = requests.join(right, keys, "left").groupBy(*requests.columns).agg(F.max(F.when(F.col("_at") <= F.col(cutoff), F.col("_o"))).alias("o"))
+    return best.select(*requests.columns, F.col("o.at").alias("at"), F.col("o.tie").alias("tie"))
 
 
 def historical_consensus(requests: DataFrame, quotes: DataFrame) -> DataFrame:
