@@ -82,12 +82,29 @@ def _context_keys(buf: np.ndarray, a: np.ndarray, first: np.ndarray, last: np.nd
     return mix(span_hashes(buf, first, last + least) + (a - first).astype(np.uint64) * np.uint64(0x9E37))
 
 
-def _grams_by_group(h: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct hashes ordered by group, then value, and the offsets of the groups."""
-    u = np.unique(h)
-    g = (u % np.uint64(groups)).astype(np.int64)
-    order = np.argsort(g, kind="stable")
-    return u[order], np.searchsorted(g[order], np.arange(groups + 1))
+def _short(h: np.ndarray) -> np.ndarray:
+    """48 bits of a gram's hash: what tells grams apart between parts. Grams that collide are only compared in vain."""
+    return h >> np.uint64(16)
+
+
+def _grams_by_group(g: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct grams ordered by group, then value, how often each stands, and the offsets of the groups."""
+    u, n = np.unique(g, return_counts=True)
+    group = (u % np.uint64(groups)).astype(np.int64)
+    order = np.argsort(group, kind="stable")
+    return u[order], n[order], np.searchsorted(group[order], np.arange(groups + 1))
+
+
+def _windows(buf: np.ndarray, first: np.ndarray, last: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Begin, two hashes and anchor of each string that the anchors stand for."""
+    n = last - first + 1
+    anchor = np.repeat(np.arange(len(n)), n)
+    p = first[anchor] + np.arange(len(anchor)) - np.repeat(np.cumsum(n) - n, n)
+    return p, span_hashes(buf, p, p + least), span_hashes(buf, p, p + least // 2), anchor
+
+
+def _packed(columns: list[np.ndarray]) -> bytes:
+    return pa.compress(np.stack([c.astype(np.int64) if c.dtype != np.uint64 else c.view(np.int64) for c in columns]).tobytes(), codec="zstd", asbytes=True)
 
 
 def _part(table: pa.Table):
@@ -197,14 +214,16 @@ def _around(buf: np.ndarray, a: np.ndarray, first: np.ndarray, last: np.ndarray,
     return right, left
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 50, part_bytes: int = 4_000_000, group_bytes: int = 16_000_000, batch: int = 65_536) -> DataFrame:
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 50, part_bytes: int = 4_000_000, group_bytes: int = 16_000_000, batch: int = 65_536, hot: int = 65_536) -> DataFrame:
     """(id, text binary, kept binary, n_bytes, n_spans) for each row: `kept` lacks every byte that a string of `least`
     bytes covers which also begins in a document with a smaller id.
 
     Null texts count as empty, null ids as larger than all others; rows with one id are one document and do not remove
     each other's strings. Texts shorter than `least` stay whole. Extra columns are left out.
     `part_bytes` of text make a part, within which equal strings are told apart by document only, so a group of copies
-    sends one suffix from each part; `group_bytes` of text stand for one group of grams.
+    sends one suffix from each part; `group_bytes` of text stand for one group of grams. A gram that stands `hot` times
+    or more is not indexed by its suffixes, which would all meet in one group: the strings around it are dealt out by
+    their own hashes instead, each part sending its distinct ones, and their smallest documents come back.
     """
     small = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("id"), F.col(id_col).cast("long").alias("own"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     total = text_bytes(docs, text_col)
@@ -214,46 +233,75 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def grams(key, table):
         buf, at, _ = _part(table)
         _, h, _, _ = anchors(buf, at, least)
-        u, cut = _grams_by_group(h, groups)
+        u, n, cut = _grams_by_group(_short(h), groups)
+        u = (u << np.uint64(16)) | np.minimum(n, 65_535).astype(np.uint64)
         some = np.flatnonzero(np.diff(cut))
         return pa.table({"grp": pa.array(some.astype(np.int32)), "part": pa.array([key[0].as_py()] * len(some), pa.int32()), "data": pa.array([u[cut[g] : cut[g + 1]].tobytes() for g in some], pa.binary())})
 
     def shared(key, table):
         each = [np.frombuffer(x, np.uint64) for x in table.column("data").to_pylist()]
-        every = np.sort(np.concatenate(each))
-        twice = np.unique(every[1:][every[1:] == every[:-1]])
-        flags = [np.packbits(np.isin(x, twice, assume_unique=True)).tobytes() for x in each]
+        every = np.concatenate(each)
+        u, of, parts_with = np.unique(every >> np.uint64(16), return_inverse=True, return_counts=True)
+        times = np.bincount(of, weights=(every & np.uint64(65_535)).astype(float), minlength=len(u))
+        twice, often = (parts_with > 1)[of], (times >= hot)[of]
+        ends = np.cumsum([len(x) for x in each])
+        flags = [np.packbits(twice[e - len(x) : e]).tobytes() + np.packbits(often[e - len(x) : e]).tobytes() for x, e in zip(each, ends, strict=True)]
         return pa.table({"part": table.column("part"), "grp": table.column("grp"), "data": pa.array(flags, pa.binary())})
 
     def suffixes(key, texts, flags):
         buf, at, ids = _part(texts)
         a, h, first, last = anchors(buf, at, least)
-        u, cut = _grams_by_group(h, groups)
-        mark = np.zeros(len(u), bool)
+        short = _short(h)
+        u, _, cut = _grams_by_group(short, groups)
+        mark, often = np.zeros(len(u), bool), np.zeros(len(u), bool)
         for g, data in zip(flags.column("grp").to_pylist(), flags.column("data").to_pylist(), strict=True):
-            mark[cut[g] : cut[g + 1]] = np.unpackbits(np.frombuffer(data, np.uint8))[: cut[g + 1] - cut[g]]
+            n, raw = cut[g + 1] - cut[g], np.frombuffer(data, np.uint8)
+            mark[cut[g] : cut[g + 1]] = np.unpackbits(raw[: len(raw) // 2])[:n]
+            often[cut[g] : cut[g + 1]] = np.unpackbits(raw[len(raw) // 2 :])[:n]
         doc = ids[_row_of(at, a)]
-        take = np.flatnonzero(np.isin(h, np.union1d(u[mark], _seen_in_two(h, doc))))
+        is_hot = np.isin(short, u[often])
+        take = np.flatnonzero(np.isin(short, np.union1d(u[mark], _seen_in_two(short, doc))) & ~is_hot)
         keys = _context_keys(buf, a[take], first[take], last[take], least)
         order = np.lexsort((doc[take], keys))
         lead = np.concatenate([[True], keys[order][1:] != keys[order][:-1]]) if len(order) else np.empty(0, bool)
         take, keys = take[order][lead], keys[order][lead]
-        grp = (h[take] % np.uint64(groups)).astype(np.int64)
+        grp = (short[take] % np.uint64(groups)).astype(np.int64)
         order = np.argsort(grp, kind="stable")
         take, keys, grp = take[order], keys[order], grp[order]
         begin = np.searchsorted(grp, np.arange(groups + 1))
-        rows: list[tuple[int, bytes]] = []
+        rows: list[tuple[int, int, bytes, int]] = []
         for g in np.flatnonzero(np.diff(begin)):
             t = take[begin[g] : begin[g + 1]]
             right, left = _around(buf, a[t], first[t], last[t], least)
             bounds = np.stack([a[t] - last[t], a[t] - first[t]], 1).astype(np.uint8)
             packed_rows = np.concatenate([keys[begin[g] : begin[g + 1]].view(np.uint8).reshape(-1, 8), doc[t].astype(np.int64).view(np.uint8).reshape(-1, 8), bounds, right, left], 1)
-            rows.append((int(g), pa.compress(np.ascontiguousarray(packed_rows.T).tobytes(), codec="zstd", asbytes=True), len(t)))
-        return pa.table({"grp": pa.array([r[0] for r in rows], pa.int32()), "part": pa.array([key[0].as_py()] * len(rows), pa.int32()), "n": pa.array([r[2] for r in rows], pa.int64()), "data": pa.array([r[1] for r in rows], pa.binary())})
+            rows.append((int(g), 0, pa.compress(np.ascontiguousarray(packed_rows.T).tobytes(), codec="zstd", asbytes=True), len(t)))
+        if is_hot.any():
+            t = np.flatnonzero(is_hot)
+            _, h1, h2, of = _windows(buf, first[t], last[t], least)
+            d, gram = doc[t][of], short[t][of]
+            order = np.lexsort((d, h2, h1))
+            h1, h2, d, gram = h1[order], h2[order], d[order], gram[order]
+            lead = np.concatenate([[True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])
+            start = np.flatnonzero(lead)
+            most = np.maximum.reduceat(d, start)
+            h1, h2, d, gram = h1[start], h2[start], d[start], gram[start]
+            grp = (h1 % np.uint64(groups)).astype(np.int64)
+            order = np.argsort(grp, kind="stable")
+            begin = np.searchsorted(grp[order], np.arange(groups + 1))
+            for g in np.flatnonzero(np.diff(begin)):
+                w = order[begin[g] : begin[g + 1]]
+                rows.append((int(g), 1, _packed([h1[w], h2[w], d[w], most[w], gram[w]]), len(w)))
+        return pa.table({"grp": pa.array([r[0] for r in rows], pa.int32()), "kind": pa.array([r[1] for r in rows], pa.int32()), "part": pa.array([key[0].as_py()] * len(rows), pa.int32()), "n": pa.array([r[3] for r in rows], pa.int64()), "data": pa.array([r[2] for r in rows], pa.binary())})
 
     width = 8 + 8 + 2 + least + least - GRAM
 
     def matched(key, table):
+        kind = table.column("kind").to_numpy()
+        out = [f(table.filter(pa.array(kind == k))) for k, f in ((0, by_suffix), (1, by_string)) if (kind == k).any()]
+        return pa.concat_tables(out)
+
+    def by_suffix(table):
         raws, sizes = [], table.column("n").to_pylist()
         for x, n in zip(table.column("data").to_pylist(), sizes, strict=True):
             raws.append(np.frombuffer(pa.decompress(x, n * width, codec="zstd"), np.uint8).reshape(width, n).T)
@@ -269,17 +317,31 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             bits = raw[rows, 16].astype(np.int64), raw[rows, 17].astype(np.int64)
             inner = np.lexsort(right.T[::-1])
             found[rows[inner]] = family.add(Level(right, left, *bits, doc[rows]))
-        ids, names = [], table.column("part").to_pylist()
+        out = []
         for p in range(len(sizes)):
             own = np.flatnonzero(part == p)
             own = own[found[own] > 0]
-            ids.append(np.stack([keys[own], found[own]]).tobytes())
-        return pa.table({"part": pa.array(names, pa.int32()), "data": pa.array(ids, pa.binary())})
+            out.append(np.stack([keys[own], found[own]]).tobytes())
+        return pa.table({"part": table.column("part"), "kind": table.column("kind"), "data": pa.array(out, pa.binary())})
+
+    def by_string(table):
+        sizes = table.column("n").to_pylist()
+        h1, h2, low, high, gram = np.concatenate([np.frombuffer(pa.decompress(x, 40 * n, codec="zstd"), np.int64).reshape(5, n) for x, n in zip(table.column("data").to_pylist(), sizes, strict=True)], 1)
+        order = np.lexsort((h2, h1))
+        start = np.flatnonzero(np.concatenate([[True], (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1])]))
+        least_doc = np.empty(len(h1), np.int64)
+        least_doc[order] = np.repeat(np.minimum.reduceat(low[order], start), np.diff(np.append(start, len(order))))
+        part = np.repeat(np.arange(len(sizes)), sizes)
+        out = []
+        for p in range(len(sizes)):
+            own = np.flatnonzero((part == p) & (least_doc < high))
+            out.append(np.stack([h1[own], h2[own], least_doc[own], gram[own]]).tobytes())
+        return pa.table({"part": table.column("part"), "kind": table.column("kind"), "data": pa.array(out, pa.binary())})
 
     def removed(key, texts, marks):
         texts = texts.sort_by([("id", "ascending")])
         buf, at, ids = _part(texts)
-        a, _, first, last = anchors(buf, at, least)
+        a, h, first, last = anchors(buf, at, least)
         doc = ids[_row_of(at, a)]
         keys = _context_keys(buf, a, first, last, least)
         cover = np.zeros(len(buf) + 1, np.int32)
@@ -291,7 +353,21 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         later = doc > lead
         np.add.at(cover, first[later], 1)
         np.add.at(cover, last[later] + least, -1)
-        each = [np.frombuffer(x, np.uint64).reshape(2, -1) for x in marks.column("data").to_pylist()] if marks.num_rows else []
+        sent = list(zip(marks.column("kind").to_pylist(), marks.column("data").to_pylist(), strict=True)) if marks.num_rows else []
+        strings = [np.frombuffer(x, np.int64).reshape(4, -1) for k, x in sent if k == 1]
+        if strings:
+            h1, h2, low, gram = np.concatenate(strings, 1)
+            t = np.flatnonzero(np.isin(_short(h), np.unique(gram.view(np.uint64))))
+            p, w1, w2, of = _windows(buf, first[t], last[t], least)
+            by = np.lexsort((h2, h1))
+            h1, h2, low = h1[by], h2[by], low[by]
+            where = np.searchsorted(h1, w1.view(np.int64))
+            x = np.flatnonzero(where < len(h1))
+            x = x[(h1[where[x]] == w1.view(np.int64)[x]) & (h2[where[x]] == w2.view(np.int64)[x])]
+            x = x[low[where[x]] < doc[t][of[x]]]
+            np.add.at(cover, p[x], 1)
+            np.add.at(cover, p[x] + least, -1)
+        each = [np.frombuffer(x, np.uint64).reshape(2, -1) for k, x in sent if k == 0]
         if each:
             known, bits = np.concatenate(each, 1)
             by = np.argsort(known)
@@ -314,8 +390,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     by_part = dealt.groupBy("part")
     flags = by_part.applyInArrow(grams, "grp int, part int, data binary").groupBy("grp").applyInArrow(shared, "part int, grp int, data binary")
-    sent = by_part.cogroup(flags.groupBy("part")).applyInArrow(suffixes, "grp int, part int, n long, data binary")
-    marks = sent.groupBy("grp").applyInArrow(matched, "part int, data binary")
+    sent = by_part.cogroup(flags.groupBy("part")).applyInArrow(suffixes, "grp int, kind int, part int, n long, data binary")
+    marks = sent.groupBy("grp").applyInArrow(matched, "part int, kind int, data binary")
     out = by_part.cogroup(marks.groupBy("part")).applyInArrow(removed, "own long, n_bytes long, n_spans long, kept binary")
     return out.withColumnRenamed("own", id_col)
 

@@ -58,7 +58,7 @@ def spans_brute(rows, least=50):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("sizes", [{}, {"part_bytes": 3_000, "group_bytes": 20_000, "batch": 64}])
+@pytest.mark.parametrize("sizes", [{}, {"part_bytes": 3_000, "group_bytes": 20_000, "batch": 64}, {"part_bytes": 3_000, "group_bytes": 20_000, "batch": 64, "hot": 3}])
 def test_suffix_dedup(docs, sizes):
     few = docs.where("doc_id IS NULL OR doc_id NOT IN (9, 13)")
     out = suffixes.repeated_spans(few, **sizes)
@@ -67,12 +67,13 @@ def test_suffix_dedup(docs, sizes):
     assert got == sorted(((None if r[0] == math.inf else r[0], *r[1:]) for r in want), key=str)
 
 
-def test_suffix_dedup_finds_spans_at_every_offset(spark):
+@pytest.mark.parametrize("hot", [1, 20, 65_536])
+def test_suffix_dedup_finds_spans_at_every_offset(spark, hot):
     rng = np.random.default_rng(3)
     text = lambda n: "".join(chr(97 + c) for c in rng.integers(0, 4, n))
     shared = text(55)
     rows = [(k, text(int(rng.integers(0, 80))) + shared[: 48 + k % 8] + text(int(rng.integers(0, 80)))) for k in range(60)]
-    out = suffixes.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string"), part_bytes=1_500, group_bytes=4_000, batch=128)
+    out = suffixes.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string"), part_bytes=1_500, group_bytes=4_000, batch=128, hot=hot)
     got = sorted(((r.doc_id, r.n_bytes, r.n_bytes - len(r.kept), r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in out.collect()), key=str)
     assert got == spans_brute(rows)
 
