@@ -144,13 +144,14 @@ class Lattice:
         total = np.full(first[-1], -np.inf)
         total[self.head] = 0
         best, via = total.copy(), np.full(first[-1], -1, np.int64)
+        froms, tos, weights = source[order], target[order], weight[order]
         for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):  # edges from one place have different ends
-            e = order[lo:hi]
-            s, t, w = source[e], target[e], weight[e]
+            s, t, w = froms[lo:hi], tos[lo:hi], weights[lo:hi]
             total[t] = np.logaddexp(total[t], total[s] + w)
-            better = best[s] + w > best[t]
-            best[t[better]] = (best[s] + w)[better]
-            via[t[better]] = e[better]
+            score = best[s] + w
+            better = np.flatnonzero(score > best[t])
+            best[t[better]] = score[better]
+            via[t[better]] = order[lo + better]
         by_end = np.argsort(_narrow(target), kind="stable")
         place_of = np.empty(len(by_end), np.int64)
         place_of[by_end] = np.arange(len(by_end))
@@ -164,7 +165,8 @@ class Lattice:
         stop = np.append(new[1:], len(end)) - 1
         base = np.where(new > 0, run[new - 1], 0)
         count = stop - new + 1
-        share = (run - np.repeat(base, count)) / np.maximum(np.repeat(run[stop] - base, count), 1e-300)
+        whole = 1 / np.maximum(run[stop] - base, 1e-300)
+        share = run * np.repeat(whole, count) - np.repeat(base * whole, count)
         share[stop] = 1
         self.share = np.minimum(share, 1)
         self.first_in = np.full(first[-1] + 1, -1, np.int64)
