@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import checkpointed
+
 #: Short forms of the notices that name each licence.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0",
@@ -32,7 +34,10 @@ def _terms(text: Column) -> Column:
 def statements(text: Column) -> Column:
     """The sentences and lines of a text, tags taken as line ends, that hold a licence word."""
     plain = F.regexp_replace(text, r"<[^>]*>", "\n")
-    return F.filter(F.split(plain, r"\s*\n\s*|(?<=[.!?])\s+"), lambda x: x.rlike(ANCHORS))
+    found = F.filter(F.split(plain, r"\s*\n\s*|(?<=[.!?])\s+"), lambda x: x.rlike(ANCHORS))
+    low = F.lower(text)  # plain searches spare most texts the patterns
+    some = low.contains("licen") | low.contains("copyright") | low.contains("rights") | low.contains("public domain") | low.contains("spdx")
+    return F.when(some, found)
 
 
 def _dot(terms: Column, part: Column) -> Column:
@@ -88,7 +93,8 @@ def scan_licenses(files: DataFrame, id_col: str = "page_id", path_col: str = "ur
     parts = F.split("directory", "/")
     upwards = wanted.select("directory", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.struct(k.alias("depth"), F.array_join(F.slice(parts, 1, k), "/").alias("above")))).alias("x")).select("directory", "x.depth", "x.above")
     nearest = upwards.join(placed, "above").groupBy("directory").agg(F.max(F.struct("depth", "above", "held")).alias("near"))
-    out = scored.join(nearest.select("directory", "near.above", "near.held"), "directory", "left")
+    nearest = checkpointed(nearest.select("directory", "near.above", "near.held"))  # a table of its own, so that the join may split a large directory
+    out = scored.join(nearest, "directory", "left")
     return out.select(F.col("id").alias(id_col), "directory", F.coalesce("own.license", F.when(F.col("own").isNull(), F.col("held.license"))).alias("license"), F.coalesce("own.score", "held.score").alias("score"), F.when(F.col("own").isNull(), F.col("above")).alias("inherited_from"))
 
 
@@ -99,5 +105,5 @@ def _python_terms(text: str) -> list[str]:
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
-    """Every page with its own or inherited licence."""
-    return scan_licenses(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    """Every page with its own or inherited licence; scores to six places."""
+    return scan_licenses(spark.read.parquet(f"{sf_dir}/pages.parquet")).withColumn("score", F.round("score", 6))
