@@ -59,5 +59,7 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
-    """Every message without its quotes, linked to what it answers."""
-    return link_quotes(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    """Every message without its quotes, with how many passages it links, what it answers and its path as text."""
+    out = link_quotes(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    path = F.array_join(F.transform("path", lambda x: x.cast("string")), "/")
+    return out.select("conv_id", "turn", "role", "clean_text", "n_quoted", F.size("links").alias("n_links"), "reply_to", path.alias("path"), "formatted")

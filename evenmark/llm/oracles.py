@@ -29,3 +29,37 @@ l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM g a JOIN g b ON a.vec_id < b.vec_
 e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 r(vec_id, c) AS (SELECT vec_id, vec_id FROM v UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.vec_id WHERE r.c < e.b)
 SELECT v.vec_id, coalesce(n, 0) AS n_links, m.c AS component_id, v.vec_id = m.c AS kept FROM v LEFT JOIN (SELECT a AS vec_id, count(*) AS n FROM e GROUP BY a) k ON k.vec_id = v.vec_id JOIN (SELECT vec_id, min(c) AS c FROM r GROUP BY vec_id) m ON m.vec_id = v.vec_id"""
+
+
+def op6() -> str:
+    """TF-IDF cosine and inheritance, from the templates of the operator."""
+    from .licenses import TEMPLATES, _python_terms
+
+    rows = ", ".join(f"('{k}', '{w}')" for k, v in TEMPLATES.items() for w in _python_terms(v))
+    return f"""WITH t AS (SELECT license, term, count(*) AS c FROM (VALUES {rows}) x(license, term) GROUP BY ALL), vocabulary AS (SELECT DISTINCT term FROM t),
+p AS (SELECT page_id, regexp_extract(regexp_replace(regexp_replace(url, '^[a-zA-Z][a-zA-Z0-9+.\\-]*://', ''), '[?#].*$', ''), '^(.*)/[^/]*$', 1) AS directory,
+  regexp_split_to_array(regexp_replace(regexp_replace(coalesce(html, ''), '<[^>]*>', chr(10), 'g'), '([.!?])\\s+', '\\1' || chr(10), 'g'), '\\s*\\n\\s*') AS units FROM pages),
+u AS (SELECT page_id, row_number() OVER () AS u, unit FROM (SELECT page_id, unnest(units) AS unit FROM p) WHERE regexp_matches(unit, '(?i)licen[sc]|copyright|\\brights\\b|public domain|\\bspdx\\b')),
+w AS (SELECT u, term, count(*) AS c FROM (SELECT u, unnest(string_split(regexp_replace(regexp_replace(lower(unit), '[^a-z0-9.\\-]+', ' ', 'g'), '[.\\-]+( |$)', ' ', 'g'), ' ')) AS term FROM u) WHERE term <> '' GROUP BY ALL),
+n AS (SELECT count(*) AS n FROM u), df AS (SELECT v.term, ln((n + 1) / (count(w.u) + 1)) + 1 AS idf FROM vocabulary v CROSS JOIN n LEFT JOIN w ON w.term = v.term GROUP BY v.term, n),
+un AS (SELECT u, sqrt(sum((c * coalesce(idf, ln(n + 1) + 1)) ** 2)) AS norm FROM w CROSS JOIN n LEFT JOIN df ON df.term = w.term GROUP BY u),
+tn AS (SELECT license, sqrt(sum((c * idf) ** 2)) AS norm FROM t JOIN df USING (term) GROUP BY license),
+s AS (SELECT w.u, t.license, sum(w.c * t.c * idf * idf) / any_value(un.norm) / any_value(tn.norm) AS score FROM w JOIN t ON t.term = w.term JOIN df ON df.term = w.term JOIN un ON un.u = w.u JOIN tn ON tn.license = t.license GROUP BY ALL),
+o AS (SELECT page_id, max((round(score, 12), license)) AS own FROM s JOIN u ON u.u = s.u GROUP BY page_id),
+k AS (SELECT p.page_id, directory, CASE WHEN struct_extract(own, 1) >= 0.6 THEN own END AS own FROM p LEFT JOIN o ON o.page_id = p.page_id),
+h AS (SELECT directory AS above, max(own) AS held FROM k WHERE own IS NOT NULL AND directory IS NOT NULL GROUP BY directory),
+a AS (SELECT page_id, arg_max(above, length(above)) AS above, arg_max(held, length(above)) AS held FROM k JOIN h ON k.directory = above OR starts_with(k.directory, above || '/') WHERE own IS NULL GROUP BY page_id)
+SELECT k.page_id, directory, coalesce(struct_extract(own, 2), struct_extract(held, 2)) AS license, round(coalesce(struct_extract(own, 1), struct_extract(held, 1)), 6) AS score, CASE WHEN own IS NULL THEN above END AS inherited_from FROM k LEFT JOIN a ON a.page_id = k.page_id"""
+
+
+_LEVEL = "length(regexp_replace(regexp_extract(x, '^((?:[ \\t]*>)*)', 1), '[ \\t]', '', 'g'))"
+_WORDS = "trim(regexp_replace(lower(regexp_replace(x, '^((?:[ \\t]*>)*)', '')), '\\s+', ' ', 'g'))"
+OP10 = f"""WITH RECURSIVE m AS (SELECT conv_id, turn, role, regexp_split_to_array(coalesce(text, ''), '\\r?\\n') AS lines FROM conversations),
+s AS (SELECT *, list_filter(lines, lambda x: {_LEVEL} = 0) AS own, list_filter(lines, lambda x: {_LEVEL} > 0) AS quoted FROM m),
+q AS (SELECT conv_id, turn, {_LEVEL} AS level, {_WORDS} AS words, count(*) AS n FROM (SELECT conv_id, turn, unnest(quoted) AS x FROM s) WHERE length({_WORDS}) >= 12 GROUP BY ALL),
+f AS (SELECT conv_id, {_WORDS} AS words, min(turn) AS source FROM (SELECT conv_id, turn, unnest(own) AS x FROM s) GROUP BY ALL),
+l AS (SELECT q.conv_id, q.turn, level, source, sum(n) AS lines FROM q JOIN f ON f.conv_id = q.conv_id AND f.words = q.words WHERE source < q.turn GROUP BY ALL),
+b AS (SELECT conv_id, turn, count(*) AS n_links, arg_max(source, (-level, lines, source)) AS reply_to FROM l GROUP BY ALL),
+p(conv_id, turn, path) AS (SELECT DISTINCT conv_id, turn, CAST(turn AS VARCHAR) FROM m WHERE (conv_id, turn) NOT IN (SELECT (conv_id, turn) FROM b) UNION ALL SELECT b.conv_id, b.turn, p.path || '/' || CAST(b.turn AS VARCHAR) FROM b JOIN p ON p.conv_id = b.conv_id AND p.turn = b.reply_to)
+SELECT s.conv_id, s.turn, role, trim(array_to_string(own, chr(10))) AS clean_text, CAST(len(quoted) AS INT) AS n_quoted, CAST(coalesce(n_links, 0) AS INT) AS n_links, reply_to, path, '<|' || coalesce(role, 'unknown') || '|>' || chr(10) || trim(array_to_string(own, chr(10))) || chr(10) || '<|end|>' || chr(10) AS formatted
+FROM s LEFT JOIN b ON b.conv_id = s.conv_id AND b.turn = s.turn LEFT JOIN p ON p.conv_id = s.conv_id AND p.turn = s.turn"""

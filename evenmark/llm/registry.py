@@ -26,4 +26,10 @@ QUERIES = {
     "op9_toxicity": op9,
     "op10_chat_format": op10,
 }
-SQL = {"op1_suffix_dedup": oracles.OP1, "op2_minhash_near_dedup": oracles.OP2, "op3_embedding_near_dedup": oracles.OP3}
+SQL = {
+    "op1_suffix_dedup": oracles.OP1,
+    "op2_minhash_near_dedup": oracles.OP2,
+    "op3_embedding_near_dedup": oracles.OP3,
+    "op6_license_scan": oracles.op6(),
+    "op10_chat_format": oracles.OP10,
+}
