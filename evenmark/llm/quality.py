@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IS_ALNUM, IS_SPACE, LOWER, checkpointed, held_out, packed, runs_of, slices, span_hashes
+from .common import IS_ALNUM, IS_SPACE, LOWER, checkpointed, held_out, lowest_hashes, packed, runs_of, slices, span_hashes
 
 CLASSES = {
     "upper": range(65, 91), "lower": range(97, 123), "digit": range(48, 58), "space": [32, *range(9, 14)], "line": [10],
@@ -128,9 +128,11 @@ def fit_trees(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 4, bin
 def fit_quality(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", most: int = 20_000) -> Trees:
     """Trees fitted on labelled rows: all of them, or the `most` whose ids hash lowest. `most` bounds what the driver holds."""
     known = labels.where(F.col(label_col).isNotNull()).select(F.col(id_col), F.col(label_col).cast("double").alias("y"))
-    rows = stats.join(known, id_col).orderBy(F.xxhash64(id_col), id_col, "y").limit(most).select("x", "y").toPandas()
-    x = np.array(rows["x"].tolist(), np.float64).reshape(len(rows), len(STATISTICS))
-    return fit_trees(x, rows["y"].to_numpy())
+    rows = stats.join(lowest_hashes(known, id_col, most), id_col).select("x", "y").toArrow()
+    x = rows.column("x").combine_chunks()
+    x = (x.flatten().to_numpy() if rows.num_rows else np.empty(0)).astype(np.float64).reshape(rows.num_rows, len(STATISTICS))
+    order = np.lexsort(x.T)  # the rows' order is not fixed; trees fitted to them should be
+    return fit_trees(x[order], rows.column("y").to_numpy()[order])
 
 
 def score_quality(stats: DataFrame, model: Trees, id_col: str = "doc_id") -> DataFrame:
