@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IS_ALNUM, LOWER, held_out, packed, runs_of, slices, span_hashes
+from .common import IS_ALNUM, LOWER, held_out, lowest_hashes, packed, runs_of, slices, span_hashes
 
 IS_END = np.zeros(256, bool)
 IS_END[[10, 33, 46, 63]] = True
@@ -118,7 +118,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
 
     The sample is chosen on ids before any text moves, so only its texts are shuffled to it.
     """
-    known = labels.where(F.col(label_col).isNotNull()).select(F.col(id_col), F.col(label_col).cast("double").alias("y")).orderBy(F.xxhash64(id_col), id_col, "y").limit(most)
+    known = labels.where(F.col(label_col).isNotNull()).select(F.col(id_col), F.col(label_col).cast("double").alias("y"))
+    known = lowest_hashes(known, id_col, most)
     few = docs.select(F.col(id_col), F.col(text_col).alias("text")).join(F.broadcast(known), id_col)
     words = sentence_words(few.select(F.struct(id_col, "y").alias("key"), "text"), "key", "text")
     rows = words.select("key.y", "bucket", "sentence").toArrow()
