@@ -214,18 +214,20 @@ def _around(buf: np.ndarray, a: np.ndarray, first: np.ndarray, last: np.ndarray,
     return right, left
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 50, part_bytes: int = 4_000_000, group_bytes: int = 16_000_000, batch: int = 65_536, hot: int = 65_536) -> DataFrame:
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 50, part_bytes: int = 4_000_000, group_bytes: int = 16_000_000, batch: int = 65_536, hot: int = 65_536, carry: tuple[str, ...] = ()) -> DataFrame:
     """(id, text binary, kept binary, n_bytes, n_spans) for each row: `kept` lacks every byte that a string of `least`
     bytes covers which also begins in a document with a smaller id.
 
     Null texts count as empty, null ids as larger than all others; rows with one id are one document and do not remove
-    each other's strings. Texts shorter than `least` stay whole. Extra columns are left out.
+    each other's strings. Texts shorter than `least` stay whole. The columns named in `carry` come back beside their row;
+    other extra columns are left out.
     `part_bytes` of text make a part, within which equal strings are told apart by document only, so a group of copies
     sends one suffix from each part; `group_bytes` of text stand for one group of grams. A gram that stands `hot` times
     or more is not indexed by its suffixes, which would all meet in one group: the strings around it are dealt out by
     their own hashes instead, each part sending its distinct ones, and their smallest documents come back.
     """
-    small = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("id"), F.col(id_col).cast("long").alias("own"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
+    row = F.struct(*[F.col(c) for c in carry]) if carry else F.lit(True)
+    small = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("id"), F.col(id_col).cast("long").alias("own"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"), row.alias("row"))
     total = text_bytes(docs, text_col)
     parts, groups = parts_for(docs.sparkSession, total, part_bytes), parts_for(docs.sparkSession, total, group_bytes)
     dealt = small.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
@@ -386,14 +388,14 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             g = gone[lo:hi]
             kept.append(buf[lo:hi][~g].tobytes())
             spans.append(int(g[:1].sum()) + int((g[1:] & ~g[:-1]).sum()))
-        return pa.table({"own": texts.column("own"), "n_bytes": pa.array(np.diff(at)), "n_spans": pa.array(spans, pa.int64()), "kept": pa.array(kept, pa.binary())})
+        return pa.table({"own": texts.column("own"), "row": texts.column("row"), "n_bytes": pa.array(np.diff(at)), "n_spans": pa.array(spans, pa.int64()), "kept": pa.array(kept, pa.binary())})
 
     by_part = dealt.groupBy("part")
     flags = by_part.applyInArrow(grams, "grp int, part int, data binary").groupBy("grp").applyInArrow(shared, "part int, grp int, data binary")
     sent = by_part.cogroup(flags.groupBy("part")).applyInArrow(suffixes, "grp int, kind int, part int, n long, data binary")
     marks = sent.groupBy("grp").applyInArrow(matched, "part int, kind int, data binary")
-    out = by_part.cogroup(marks.groupBy("part")).applyInArrow(removed, "own long, n_bytes long, n_spans long, kept binary")
-    return out.withColumnRenamed("own", id_col)
+    out = by_part.cogroup(marks.groupBy("part")).applyInArrow(removed, f"own long, row {dict(dealt.dtypes)['row']}, n_bytes long, n_spans long, kept binary")
+    return out.select(F.col("own").alias(id_col), *[F.col(f"row.{c}").alias(c) for c in carry], "n_bytes", "n_spans", "kept")
 
 
 def op1(spark, sf_dir: str) -> DataFrame:

@@ -400,3 +400,15 @@ def test_query_equals_sql(spark, name):
     df = registry.QUERIES[name](spark, SMALL)
     r = duck(SMALL).execute(registry.SQL[name])
     assert rows_of(df.columns, df.collect()) == rows_of([d[0] for d in r.description], r.fetchall())
+
+
+def test_pipeline_keeps_rows_apart(spark, docs):
+    """Repeated and missing ids neither multiply nor lose rows."""
+    import corpus_pipeline as P
+
+    few = docs.select(*P.COLUMNS).where("doc_id IS NULL OR doc_id IN (3, 4, 6, 7)")
+    for name, stage in P.STAGES[1:4]:
+        out = stage(spark, few, SMALL)
+        assert out.columns == P.COLUMNS and out.count() == few.count(), name
+    texts = {r.doc_id: r.text for r in P.repeats(spark, docs.select(*P.COLUMNS), SMALL).collect()}
+    assert texts[1] == "" and texts[14] == "é" * 60 and texts[None] == ""
