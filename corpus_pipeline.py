@@ -25,21 +25,21 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
-    return docs.select(*COLUMNS).join(near_duplicates(docs).where("kept").select("doc_id"), "doc_id", "left_semi")
+    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.select(*COLUMNS).join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the strings of 50 bytes that earlier documents hold; what is not whole characters any more goes too."""
     text = F.make_valid_utf8(F.col("kept").cast("string"))
-    kept = repeated_spans(docs).select("doc_id", F.when(F.col("n_spans") > 0, F.regexp_replace(text, "\ufffd", "")).otherwise(text).alias("text"))
-    rest = docs.select("doc_id", "lang", "source")
-    return rest.join(kept, "doc_id").select("doc_id", "text", "lang", "source", F.char_length("text").cast("long").alias("n_chars"))
+    left = repeated_spans(docs, carry=("lang", "source")).withColumn("text", F.when(F.col("n_spans") > 0, F.regexp_replace(text, "\ufffd", "")).otherwise(text))
+    return left.select("doc_id", "text", "lang", "source", F.char_length("text").cast("long").alias("n_chars"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    found = leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.select(*COLUMNS).join(found.select("doc_id").distinct(), "doc_id", "left_anti")
+    found = leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias("leaked")).distinct()
+    return docs.select(*COLUMNS).join(found, F.col("doc_id").eqNullSafe(F.col("leaked")), "left_anti")
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
