@@ -379,7 +379,6 @@ def _search(lattice, word, row, first, owner, index, key, n, k, seed) -> list:
         spot = np.stack([t[1] for t in tops])[which, np.arange(n)]
         live = np.flatnonzero(np.isfinite(value))
         # prefix of the parent, another segmentation of the word at the spot, fresh draws after it
-        count = np.zeros(len(word), np.int64)
         parent = np.zeros(len(word), np.int64)
         state = np.full(len(word), -1)  # 0 before the spot, 1 at it, 2 after it
         alive = np.isfinite(value)[row]
@@ -413,7 +412,6 @@ def _search(lattice, word, row, first, owner, index, key, n, k, seed) -> list:
         if other:
             at = [t for t in other if state[t] == 1]
             parts.append((np.array([e for t in at for e in other[t]], np.int64), np.repeat(np.array(at, np.int64), [len(other[t]) for t in at]), np.array([s for t in at for s in range(len(other[t]))], np.int64)))
-        del count
         path = _Path(lattice, word, *(np.concatenate(x).astype(np.int64) for x in zip(*parts, strict=True)))
         paths.append(path)
         front.append(siblings(path, np.where(np.isfinite(value), spot + 1, len(word)), np.where(np.isfinite(value), value, 0), turn))

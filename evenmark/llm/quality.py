@@ -33,7 +33,7 @@ def _statistics(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
     k = len(CLASSES)
     out[:, k], out[:, k + 1] = np.log1p(size), np.log1p(words)
     out[:, k + 2] = np.bincount(row, weights=ends - starts, minlength=n) / np.maximum(words, 1)
-    for place, (s, e, r, most) in enumerate([(starts, ends, row, True), (*runs_of(buf != 10, at), False)]):
+    for s, e, r, most in ((starts, ends, row, True), (*runs_of(buf != 10, at), False)):
         if not len(s):
             continue
         h = span_hashes(LOWER[buf], s, e)
@@ -48,7 +48,6 @@ def _statistics(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
             top = np.zeros(n)
             np.maximum.at(top, r[order][first], runs)
             out[:, k + 4] = top / total
-        del place
     if len(starts):
         out[:, k + 6] = np.bincount(row, weights=IS_ALNUM[buf[ends - 1]], minlength=n) / np.maximum(words, 1)
     return out
