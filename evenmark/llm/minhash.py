@@ -169,9 +169,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed = checkpointed(signatures(small, "id", "text", k, bands, rows))
     live = signed.where("n_shingles > 0 and id is not null")
     key = ["n_shingles", "k1", "k2"]
-    heads = live.groupBy(*key).agg(F.min("id").alias("head"), F.min_by("bands", "id").alias("bands"), F.count("*").alias("members"))
+    heads = checkpointed(live.groupBy(*key).agg(F.min("id").alias("head"), F.min_by("bands", "id").alias("bands"), F.count("*").alias("members")))
     placed = heads.select("head", F.explode("bands").alias("band"))
-    shared = placed.groupBy("band").agg(F.min("head").alias("low"), F.count("*").alias("n")).where("n > 1").select("band", "low")
+    # what is summed up by band is a table of its own, so that joins with it may split a large band
+    shared = checkpointed(placed.groupBy("band").agg(F.min("head").alias("low"), F.count("*").alias("n")).where("n > 1").select("band", "low"))
     members = checkpointed(placed.join(shared, "band"))
     star = members.where("head <> low").select(F.col("low").alias("a"), F.col("head").alias("b")).distinct()
     wanted = members.select(F.col("head").alias("id")).distinct()
@@ -180,17 +181,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     part = connected(links)
     known = members.join(part.withColumnRenamed("node", "head"), "head", "left").withColumn("part", F.coalesce("component", "head")).select("band", "head", "part")
     open_bands = known.groupBy("band").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("band")
-    rest = checkpointed(known.join(open_bands, "band").distinct())
-    sized = rest.join(rest.groupBy("band").agg(F.count("*").alias("n")), "band")
+    rest = checkpointed(known.join(checkpointed(open_bands), "band"))
+    sized = rest.join(checkpointed(rest.groupBy("band").agg(F.count("*").alias("n"))), "band")
     few = sized.where(F.col("n") <= few_rows)
     left = few.select("band", F.col("head").alias("a"), F.col("part").alias("pa"))
     right = few.select("band", F.col("head").alias("b"), F.col("part").alias("pb"))
     more = left.join(right, "band").where("pa < pb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
     links = links.union(checkpointed(_links(more, sets, percent))).union(checkpointed(_block_links(sized.where(F.col("n") > few_rows), sets, percent, block)))
-    same = live.join(heads.where("members > 1").select(*key, "head"), key).where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b"))
+    # copies get their component through their class; ids that stand in several classes join those
+    classes = heads.where("members > 1").select(*key, "head")
+    rows_ = signed.select("id", *key).join(classes, key, "left").select("id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("head", "id")).alias("head"))
+    own = rows_.where("id is not null and head is not null").select("id", "head").distinct()
+    several = own.groupBy("id").agg(F.min("head").alias("low"), F.count("*").alias("n")).where("n > 1").select("id", "low")
+    same = own.join(several, "id").where("head <> low").select(F.col("low").alias("a"), F.col("head").alias("b"))
     final = connected(links.union(same))
-    out = signed.select("id", "n_shingles").join(final.withColumnRenamed("node", "id"), "id", "left")
-    component = F.coalesce("component", "id")
+    out = rows_.join(final.withColumnRenamed("node", "head"), "head", "left")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "head", "id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
