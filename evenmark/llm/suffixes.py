@@ -83,8 +83,22 @@ def _context_keys(buf: np.ndarray, a: np.ndarray, first: np.ndarray, last: np.nd
 
 
 def _short(h: np.ndarray) -> np.ndarray:
-    """48 bits of a gram's hash: what tells grams apart between parts. Grams that collide are only compared in vain."""
-    return h >> np.uint64(16)
+    """40 bits of a gram's hash: what tells grams apart between parts. Grams that collide are only compared in vain."""
+    return h >> np.uint64(24)
+
+
+def _pack_grams(u: np.ndarray, n: np.ndarray) -> bytes:
+    """Six bytes for each gram: its 40 bits, and how often it stands as an eighth of a power of two."""
+    code = np.minimum(255, np.rint(8 * np.log2(n))).astype(np.uint64)
+    return ((u << np.uint64(8)) | code).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _unpack_grams(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    wide = np.zeros((len(raw), 8), np.uint8)
+    wide[:, :6] = raw
+    value = wide.view(np.uint64).ravel()
+    return value >> np.uint64(8), 2.0 ** ((value & np.uint64(255)).astype(float) / 8)
 
 
 def _grams_by_group(g: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -236,15 +250,14 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         buf, at, _ = _part(table)
         _, h, _, _ = anchors(buf, at, least)
         u, n, cut = _grams_by_group(_short(h), groups)
-        u = (u << np.uint64(16)) | np.minimum(n, 65_535).astype(np.uint64)
         some = np.flatnonzero(np.diff(cut))
-        return pa.table({"grp": pa.array(some.astype(np.int32)), "part": pa.array([key[0].as_py()] * len(some), pa.int32()), "data": pa.array([u[cut[g] : cut[g + 1]].tobytes() for g in some], pa.binary())})
+        return pa.table({"grp": pa.array(some.astype(np.int32)), "part": pa.array([key[0].as_py()] * len(some), pa.int32()), "data": pa.array([_pack_grams(u[cut[g] : cut[g + 1]], n[cut[g] : cut[g + 1]]) for g in some], pa.binary())})
 
     def shared(key, table):
-        each = [np.frombuffer(x, np.uint64) for x in table.column("data").to_pylist()]
-        every = np.concatenate(each)
-        u, of, parts_with = np.unique(every >> np.uint64(16), return_inverse=True, return_counts=True)
-        times = np.bincount(of, weights=(every & np.uint64(65_535)).astype(float), minlength=len(u))
+        pairs = [_unpack_grams(x) for x in table.column("data").to_pylist()]
+        each = [x for x, _ in pairs]
+        u, of, parts_with = np.unique(np.concatenate(each), return_inverse=True, return_counts=True)
+        times = np.bincount(of, weights=np.concatenate([n for _, n in pairs]), minlength=len(u))
         twice, often = (parts_with > 1)[of], (times >= hot)[of]
         ends = np.cumsum([len(x) for x in each])
         flags = [np.packbits(twice[e - len(x) : e]).tobytes() + np.packbits(often[e - len(x) : e]).tobytes() for x, e in zip(each, ends, strict=True)]
