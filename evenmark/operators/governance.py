@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import temporal as T
@@ -39,10 +39,13 @@ def replay_parity(left: DataFrame, right: DataFrame, keys: list[str], values: li
 def validated_absences(rows: DataFrame, captures: DataFrame, present: DataFrame) -> DataFrame:
     """Rows that the first later full capture of their scope lacks.
 
-    rows: id, scope, captured_at; captures: capture, scope, captured_at, full; present: capture, id.
+    rows: id, scope, captured_at; captures: capture, scope, captured_at, full; present: capture, id. Both stand in one
+    order of their scope from the newest on, where each row takes the last capture before it: none is paired with all.
     """
-    later = rows.join(captures.where("full").select("capture", "scope", F.col("captured_at").alias("at")), "scope").where("at > captured_at")
-    first = later.groupBy("id", "scope", "captured_at").agg(F.min(F.struct("at", "capture")).alias("c")).select("id", "scope", F.col("c.capture").alias("capture"))
+    full = captures.where("full AND scope IS NOT NULL AND captured_at IS NOT NULL").select("scope", "captured_at", F.struct("capture").alias("c"))
+    both = rows.dropna(subset=["scope", "captured_at"]).select("id", "scope", "captured_at").distinct().withColumn("row", F.lit(True)).unionByName(full, allowMissingColumns=True)
+    order = Window.partitionBy("scope").orderBy(F.desc("captured_at"), F.desc_nulls_last("row"), F.desc("c.capture")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    first = both.withColumn("c", F.last("c", ignorenulls=True).over(order)).where("row AND c IS NOT NULL").select("id", "scope", F.col("c.capture").alias("capture"))
     return first.join(present, ["capture", "id"], "left_anti")
 
 

@@ -131,10 +131,13 @@ def market_status(outcomes: DataFrame, markets: DataFrame) -> DataFrame:
 def as_of_observations(requests: DataFrame, observations: DataFrame, keys: list[str], cutoff: str = "cutoff", clock: str = "captured_at", tie: str = "batch") -> DataFrame:
     """Each request with the newest observation of its keys at or before its cutoff; requests without one keep nulls.
 
-    One shuffle by the keys serves the range join and the choice of the newest: the aggregate keeps one row a request.
+    Both stand in one order of their keys' clocks, where each request takes the last observation before it: no request
+    is paired with all observations. Equal requests are one.
     """
-    right = observations.select(*keys, F.col(clock).alias("_at"), F.struct(F.col(clock).alias("at"), F.col(tie).alias("tie")).alias("_o"))
-    best = requests.join(right, keys, "left").groupBy(*requests.columns).agg(F.max(F.when(F.col("_at") <= F.col(cutoff), F.col("_o"))).alias("o"))
+    right = observations.dropna(subset=[*keys, clock]).select(*keys, F.col(clock).alias("_at"), F.struct(F.col(clock).alias("at"), F.col(tie).alias("tie")).alias("_o"))
+    both = right.unionByName(requests.distinct().withColumn("_at", F.col(cutoff)).withColumn("_asked", F.lit(True)), allowMissingColumns=True)
+    order = Window.partitionBy(*keys).orderBy("_at", F.asc_nulls_first("_asked"), "_o.tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    best = both.withColumn("o", F.last("_o", ignorenulls=True).over(order)).where("_asked")
     return best.select(*requests.columns, F.col("o.at").alias("at"), F.col("o.tie").alias("tie"))
 
 

@@ -143,6 +143,8 @@ def p10(spark, sf):
     return out.withColumn("n", F.row_number().over(w)).where("n = 1").select("event", "book", "market", "side", "price", "point")
 
 
+#: The requests that the SQL of J5 and A4 covers; their queries ending in _all take every quote as one.
+SOME = "batch % 50 = 0 AND seq = 1"
 REQUESTS = "SELECT DISTINCT event, market, player, point, captured_at + 20 AS cutoff FROM quotes WHERE batch % 50 = 0 AND seq = 1"
 
 
@@ -150,13 +152,18 @@ REQUESTS = "SELECT DISTINCT event, market, player, point, captured_at + 20 AS cu
     "j5_as_of_observation",
     f"WITH r AS ({REQUESTS}) SELECT r.event, r.market, r.player, r.point, r.cutoff, max(o.captured_at) AS at FROM r LEFT JOIN (SELECT DISTINCT event, market, captured_at FROM quotes) o ON r.event = o.event AND r.market = o.market AND o.captured_at <= r.cutoff GROUP BY ALL",
 )
-def j5(spark, sf):
+def j5(spark, sf, asked: str = SOME):
     q = view(spark, sf, "quotes")
-    return O.as_of_observations(_requests(q), q.select("event", "market", "captured_at", F.lit(0).cast("long").alias("batch")).distinct(), ["event", "market"]).drop("tie")
+    return O.as_of_observations(_requests(q, asked), q.select("event", "market", "captured_at", F.lit(0).cast("long").alias("batch")).distinct(), ["event", "market"]).drop("tie")
 
 
-def _requests(q):
-    return q.where("batch % 50 = 0 AND seq = 1").select("event", "market", "player", "point", (F.col("captured_at") + 20).alias("cutoff")).distinct()
+@query("j5_as_of_observation_all")
+def j5_all(spark, sf):
+    return j5(spark, sf, "true")
+
+
+def _requests(q, asked: str):
+    return q.where(asked).select("event", "market", "player", "point", (F.col("captured_at") + 20).alias("cutoff")).distinct()
 
 
 @query(
@@ -168,9 +175,14 @@ def _requests(q):
     SELECT event, market, player, point, cutoff, captured_at, CASE WHEN captured_at IS NULL THEN 'no-observation' WHEN a = 0 THEN 'player-not-found-in-observation' WHEN b = 0 THEN 'exact-line-not-found' WHEN books = 0 THEN 'no-valid-two-way-quotes' END AS reason,
       CASE WHEN captured_at IS NOT NULL THEN CASE WHEN cutoff - captured_at <= 30 THEN 'closing-candidate' ELSE 'latest-pregame' END END AS label, books, round(p_over, 6) AS p_over FROM g""",
 )
-def a4(spark, sf):
+def a4(spark, sf, asked: str = SOME):
     q = view(spark, sf, "quotes")
-    return O.historical_consensus(_requests(q), q).withColumn("p_over", F.round("p_over", 6))
+    return O.historical_consensus(_requests(q, asked), q).withColumn("p_over", F.round("p_over", 6))
+
+
+@query("a4_historical_consensus_all")
+def a4_all(spark, sf):
+    return a4(spark, sf, "true")
 
 
 @query("j9_crosswalk", "SELECT market, count(*) AS n, count(*) FILTER (WHERE c.c_custkey IS NULL) AS unresolved, count(DISTINCT coalesce(c.c_name, 'raw-' || CAST(player AS VARCHAR))) AS identities FROM quotes LEFT JOIN customer c ON quotes.player = c.c_custkey GROUP BY market")

@@ -1,0 +1,24 @@
+"""Queries on whole tables, whose registered SQL covers a subset: that SQL without its subset on the smallest tables."""
+
+import pytest
+from compare import duck, rows_of
+from conftest import SMALL
+from evenmark.plans import all as plans
+
+CUTS = {
+    "j5_as_of_observation": "WHERE batch % 50 = 0 AND seq = 1",
+    "a4_historical_consensus": "WHERE batch % 50 = 0 AND seq = 1",
+    "j3_history_requests": "WHERE t.game % 10 = 0",
+    "j19_interval_join": "AND r.decision % 20 = 0",
+    "j25_validated_absences": "WHERE batch % 200 = 0",
+    "g5_normalization_plan": "AND r.decision % 20 = 0",
+}
+
+
+@pytest.mark.parametrize("name", sorted(CUTS))
+def test_whole(spark, name):
+    sql = plans.SQL[name]
+    assert sql.count(CUTS[name]) == 1
+    df = plans.QUERIES[f"{name}_all"](spark, SMALL)
+    r = duck(SMALL).execute(sql.replace(CUTS[name], ""))
+    assert rows_of(df.columns, df.collect()) == rows_of([d[0] for d in r.description], r.fetchall())
