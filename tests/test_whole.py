@@ -12,6 +12,10 @@ CUTS = {
     "j19_interval_join": "AND r.decision % 20 = 0",
     "j25_validated_absences": "WHERE batch % 200 = 0",
     "g5_normalization_plan": "AND r.decision % 20 = 0",
+    "f14_baseline_checkpoints": "WHERE game % 5 = 0",
+    "w8_checkpoint_windows": "WHERE game % 5 = 0",
+    "t3_baseline_events": "WHERE game % 5 = 0",
+    "f15_priority_schedule": "WHERE game % 25 = 0",
 }
 
 
