@@ -15,19 +15,27 @@ def stratum(n: Column) -> Column:
     return F.when(n >= 9, "9-16").when(n >= 5, "5-8").when(n >= 2, "2-4").otherwise("unassigned")
 
 
-def lagged_features(history: DataFrame, lead: int = 0, most: int = 16, least: int = 2, slack: int = 64) -> DataFrame:
+def lagged_features(history: DataFrame, lead: int = 0, most: int = 16, least: int = 2) -> DataFrame:
     """(player, game, season, cutoff, sample_size, history, reasons): for each game the newest prior games before its cutoff.
 
     history: player, game, kickoff, season, value. The cutoff is the kickoff less `lead`; a prior game starts strictly
     before it. `history` is newest first, at most `most` long. Fewer than `least` prior games and equal kickoffs among
-    those used are reasons. Each player's games are ordered once; a window of the last `most` + `slack` rows
-    serves every target, so no self-join grows with the square of a player's games. `slack` bounds how many games may
-    lie between the cutoff and the kickoff, or share the oldest kickoff used.
+    those used are reasons. The games of a player and kickoff are a group that keeps the first `most` + 1 of them, so that
+    one left out shows; the last `most` groups before a cutoff hold all that it uses, however many games share a kickoff
+    or lie between the cutoff and the kickoff. No self-join grows with the square of a player's games.
     """
     one = F.struct(F.col("kickoff").alias("kickoff"), (-F.col("game")).alias("low"), F.col("value").alias("value"))
-    order = Window.partitionBy("player").orderBy("kickoff", F.desc("game"))
-    ranked = history.withColumn("_all", F.collect_list(one).over(order.rowsBetween(-most - slack, -1)))
-    used = F.slice(F.reverse(F.filter("_all", lambda x: x["kickoff"] < F.col("kickoff") - lead)), 1, most)
+    place = F.row_number().over(Window.partitionBy("player", "kickoff").orderBy("game", "value"))
+    kept = history.where("kickoff IS NOT NULL").select("player", "kickoff", one.alias("_one"), place.alias("_place")).where(F.col("_place") <= most + 1)
+    groups = kept.groupBy("player", F.col("kickoff").alias("_at")).agg(F.collect_list("_one").alias("_group"))
+    newest = F.collect_list("_group").over(Window.partitionBy("player").orderBy("_at").rowsBetween(-most + 1, 0))
+    groups = groups.select("player", "_at", newest.alias("_newest"))
+    cutoffs = history.select("player", (F.col("kickoff") - lead).alias("_at")).distinct().withColumn("_asked", F.lit(True))
+    order = Window.partitionBy("player").orderBy("_at", F.desc_nulls_last("_asked")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = groups.unionByName(cutoffs, allowMissingColumns=True).withColumn("_newest", F.last("_newest", ignorenulls=True).over(order)).where("_asked")
+    found = before.select(F.col("player").alias("_player"), "_at", F.array_sort(F.flatten("_newest")).alias("_all"))
+    ranked = history.join(found, F.col("player").eqNullSafe(F.col("_player")) & (F.col("kickoff") - lead).eqNullSafe(F.col("_at")), "left").withColumn("_all", F.coalesce("_all", F.array().cast(found.schema["_all"].dataType)))
+    used = F.slice(F.reverse("_all"), 1, most)
     out = ranked.withColumn("_used", used).withColumn("sample_size", F.size("_used"))
     tied = F.size(F.array_distinct(F.transform("_used", lambda x: x["kickoff"]))) < F.size("_used")
     edge = F.exists("_all", lambda x: (x["kickoff"] == F.try_element_at("_used", F.lit(-1))["kickoff"]) & (F.size("_used") == most) & ~F.array_contains(F.transform("_used", lambda y: y["low"]), x["low"]))

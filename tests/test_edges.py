@@ -73,6 +73,20 @@ def test_lagged_features_look_strictly_back(spark):
     assert "history-order-ambiguous" in {r.game: r for r in M.lagged_features(h).collect()}[5].reasons
 
 
+@pytest.mark.parametrize("lead", [0, 5])
+def test_lagged_features_see_past_any_number_of_ties(spark, lead):
+    rows = [(g, 1 + g // 3) for g in range(30)] + [(100 + g, 50) for g in range(90)] + [(200 + g, 61 + g % 5) for g in range(120)] + [(400, None)]
+    h = spark.createDataFrame([(1, g, k, 2020, g) for g, k in rows], "player int, game int, kickoff int, season int, value int")
+    got = {r.game: r for r in M.lagged_features(h, lead=lead).collect()}
+    assert sorted(got) == sorted(g for g, _ in rows)
+    for g, k in rows:
+        prior = sorted(((-at, x) for x, at in rows if k is not None and at is not None and at < k - lead))
+        used, edge = prior[:16], len(prior) > 16 and prior[15][0] == prior[16][0]
+        tied = len({at for at, _ in used}) < len(used) or edge
+        assert [x.game for x in got[g].history] == [x for _, x in used], g
+        assert got[g].reasons == ["insufficient-history"] * (len(used) < 2) + ["history-order-ambiguous"] * tied, g
+
+
 def test_rps_by_two_formulas(spark):
     values, seen = [3, 7, 7, 12], 9
     got = one(spark, M.rps(F.array(*[F.lit(float(v)) for v in values]), F.lit(seen)))
