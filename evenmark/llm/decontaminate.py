@@ -62,14 +62,17 @@ def template_words(buf: np.ndarray, at: np.ndarray, units: np.ndarray) -> tuple[
     return row, kind, word
 
 
-def template_windows(docs: DataFrame, id_col: str, text_col: str, n: int = 8, literals: int = 4, only: np.ndarray | None = None) -> DataFrame:
-    """(id, pos, window, slots array<long>) for each window of n words with at least `literals` literal words.
+def template_windows(docs: DataFrame, id_col: str, text_col: str, n: int = 8, literals: int = 4, only: np.ndarray | None = None, forms: list[tuple[int, bool]] | None = None) -> DataFrame:
+    """(id, pos, window, slots array<long>, size, exact) for each window of n words with at least `literals` literal words.
 
     `window` hashes the words with slots replaced by their types; `slots` has what stood there, 0 for literal words.
-    Texts of fewer than n words give one window of what they have, if half of it is literal. `only` keeps the windows whose hashes it holds.
+    Texts of fewer than n words give one window of what they have, if half of it is literal. Those texts, and texts
+    without a window so far, also give exact windows: of the words as they stand, without slots. With `forms`, texts
+    give the windows of these (size, exact) instead, wherever they stand. `only` keeps the windows whose hashes it holds.
     """
     kind_of = dict(docs.dtypes)[id_col]
     units = _hashes_of(UNITS)
+    exactly = mix(np.array([0x0E8AC7], np.uint64))[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         factors = mix(np.arange(11, n + 11, dtype=np.uint64)) | np.uint64(1)
@@ -79,27 +82,41 @@ def template_windows(docs: DataFrame, id_col: str, text_col: str, n: int = 8, li
                 m = len(word)
                 symbol = np.where(kind == 0, word, mix(kind.astype(np.uint64) + np.uint64(77)))
                 first = np.searchsorted(row, np.arange(part.num_rows + 1))
-                size = np.minimum(n, first[row + 1] - first[row])
-                begin = np.flatnonzero((np.arange(m) + size <= first[row + 1]) & ((size == n) | (np.arange(m) == first[row])))
-                value = size[begin].astype(np.uint64)
+                have = first[row + 1] - first[row]
                 plain = np.concatenate([[0], np.cumsum(kind == 0)])
-                for j in range(n):
-                    more = j < size[begin]
-                    value += np.where(more, symbol[np.minimum(begin + j, m - 1)] * factors[j], np.uint64(0))
-                value = mix(value).view(np.int64)
-                ok = plain[begin + size[begin]] - plain[begin] >= np.minimum(literals, (size[begin] + 1) // 2)
-                if only is not None:
-                    ok &= np.isin(value, only)
-                begin, value = begin[ok], value[ok]
-                at = begin[:, None] + np.arange(n)
-                inside = at < (begin + size[begin])[:, None]
-                at = np.minimum(at, max(0, m - 1))
-                slots = np.where(inside & (kind[at] > 0), word[at], np.uint64(0)) if len(begin) else np.empty((0, n), np.uint64)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(begin) + 1, dtype=np.int32) * n), pa.array(slots.view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row[begin])), pa.array((begin - first[row[begin]]).astype(np.int32)), pa.array(value), lists], ["id", "pos", "window", "slots"])
+                place = np.arange(m)
+                found = np.zeros(part.num_rows, bool)
+
+                def windows(size: np.ndarray, exact: bool, some: np.ndarray) -> pa.RecordBatch:
+                    begin = np.flatnonzero(some & (place + size <= first[row + 1]))
+                    value = size[begin].astype(np.uint64)
+                    for j in range(int(size[begin].max(initial=0))):
+                        more = j < size[begin]
+                        value += np.where(more, (word if exact else symbol)[np.minimum(begin + j, m - 1)] * factors[j], np.uint64(0))
+                    value = mix(value ^ exactly if exact else value).view(np.int64)
+                    ok = np.ones(len(begin), bool) if exact else plain[begin + size[begin]] - plain[begin] >= np.minimum(literals, (size[begin] + 1) // 2)
+                    if only is not None:
+                        ok &= np.isin(value, only)
+                    begin, value = begin[ok], value[ok]
+                    found[row[begin]] = True
+                    at = begin[:, None] + np.arange(n)
+                    inside = at < (begin + size[begin])[:, None]
+                    at = np.minimum(at, max(0, m - 1))
+                    slots = np.where(inside & (kind[at] > 0) & (not exact), word[at], np.uint64(0)) if len(begin) else np.empty((0, n), np.uint64)
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(begin) + 1, dtype=np.int32) * n), pa.array(slots.view(np.int64).ravel()))
+                    shape = [pa.array(size[begin].astype(np.int32)), pa.array(np.full(len(begin), exact))]
+                    return pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row[begin])), pa.array((begin - first[row[begin]]).astype(np.int32)), pa.array(value), lists, *shape], ["id", "pos", "window", "slots", "size", "exact"])
+
+                if forms is not None:
+                    for k, exact in forms:
+                        yield windows(np.full(m, k), exact, np.ones(m, bool))
+                else:
+                    size = np.minimum(n, have)
+                    yield windows(size, False, np.ones(m, bool))
+                    yield windows(size, True, (have < n) | ~found[row])
 
     few = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return few.mapInArrow(run, f"id {kind_of}, pos int, window long, slots array<long>")
+    return few.mapInArrow(run, f"id {kind_of}, pos int, window long, slots array<long>, size int, exact boolean")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = 8, literals: int = 4, share: float = 0.3, bound: int = 2_000_000) -> DataFrame:
@@ -107,14 +124,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
     Windows of both sides join on their template; those of one document, item and distance are one occurrence. In an
     occurrence a slot value of the item must always stand for the same value in the document, else it does not count. A
-    leak covers `share` of the item's windows or more; it is re-parameterised when some slot has another value.
+    leak covers `share` of the item's windows or more; it is re-parameterised when some slot has another value. Items of
+    fewer than n words, or with no window of enough literal words, are found by their exact words too, in texts of any length.
     Up to `bound` distinct benchmark windows go to the tasks, which then send on matching windows only; beyond it
     all windows are shuffled to the join. Nulls and texts without words match nothing. Extra columns are left out.
     """
     item = template_windows(benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("t")), "item_id", "t", n, literals)
+    forms = sorted((r["size"], r["exact"]) for r in item.select("size", "exact").distinct().collect())  # at most 2 n
     item = item.select(F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), "window", F.col("slots").alias("item_slots"))
     known = item.select("window").distinct().limit(bound + 1).toArrow().column("window").to_numpy()
-    own = template_windows(docs, id_col, text_col, n, literals, None if len(known) > bound else np.sort(known))
+    own = template_windows(docs, id_col, text_col, n, literals, None if len(known) > bound else np.sort(known), forms)
     totals = item.groupBy("item_id").agg(F.countDistinct("item_pos").alias("total"))
     hits = own.join(item, "window").withColumn("shift", F.col("pos") - F.col("item_pos"))
     pairs = F.array_distinct(F.filter(F.arrays_zip("item_slots", "slots"), lambda x: x["item_slots"] != 0))

@@ -226,6 +226,21 @@ def test_leaks(spark):
     assert decontaminate.leaks(d.limit(0), b).count() == 0 and decontaminate.leaks(d, b.limit(0)).count() == 0
 
 
+def test_short_and_wordless_items_are_found_anywhere(spark):
+    items = [(1, "Who wrote the old song of rivers?"), (2, "12 kg 5 m 7 km 30 lb 9 oz 4 ft 8 yd"), (3, "The 12 apples weigh 5 kg")]
+    docs = [
+        (20, "Some noise stands here, and then they asked: Who wrote the old song of rivers? Nobody answered them at all."),
+        (21, "A table that has numbers in it says 12 kg 5 m 7 km 30 lb 9 oz 4 ft 8 yd and ends with words."),
+        (22, "A table that has numbers in it says 13 kg 6 m 8 km 31 lb 10 oz 5 ft 9 yd and ends with words."),
+        (23, "It was said early in the day that the 40 apples weigh 9 kg when they are ripe enough."),
+        (24, "Who wrote the new song of rivers, they asked again and again in the long old night?"),
+    ]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for bound in (2_000_000, 1):
+        got = {(r.doc_id, r.item_id): (r.reparameterised, r.coverage) for r in decontaminate.leaks(d, b, bound=bound).collect()}
+        assert got == {(20, 1): (False, 1.0), (21, 2): (False, 1.0), (23, 3): (True, 1.0)}
+
+
 def test_slots_must_agree(spark):
     item = "the price of 3 and 3 more was 3 again when they met near the old bridge and waited"
     docs = [(1, item.replace("3", "7")), (2, item.replace("3", "7", 1))]
