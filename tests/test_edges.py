@@ -12,6 +12,7 @@ from evenmark.operators import governance as G
 from evenmark.operators import odds as O
 from evenmark.operators import planning as L
 from evenmark.operators import temporal as T
+from evenmark.plans import streams
 from evenmark.sources import files, sinks
 from pyspark.sql import functions as F
 
@@ -138,6 +139,16 @@ def test_csv_header_is_pinned(spark, tmp_path):
         files.read_csv_feed(spark, str(tmp_path / "a.csv"), spark.createDataFrame([], "a string, b string").schema).collect()
 
 
+def test_odds_responses_are_as_large_as_a_capture(spark, tmp_path):
+    rows = [(1, "A", 1, 7, side, 0.5, 2.0, day, batch, 1) for day in range(50) for batch in (1, 2) for side in ("Over", "Under")]
+    o = spark.createDataFrame(rows, "event long, market string, book long, player long, side string, point double, price double, captured_at int, batch long, seq int")
+    path = str(tmp_path / "odds")
+    streams._responses(o).write.json(path)
+    lines = spark.read.text(path)
+    assert lines.count() == 100 and lines.select(F.max(F.length("value"))).first()[0] < 400
+    assert files.read_odds(spark, path).count() == len(rows)
+
+
 def test_log_refuses_damage(spark, tmp_path):
     schema = spark.createDataFrame([], "text string, sha256 string").schema
     (tmp_path / "a.json").write_text('{"text":"x","sha256":"no"}\n')
