@@ -23,6 +23,29 @@ TEMPLATES = {
     "Proprietary": "All rights reserved",
     "Unlicense": "This is free and unencumbered software released into the public domain",
 }
+_AS_IS = "This software is provided by the copyright holders and contributors \"as is\" and any express or implied warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed."
+_BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
+_GNU = "it under the terms of the GNU {0}General Public License as published by the Free Software Foundation, either version {1} of the License, or (at your option) any later version."
+#: Texts that licence files and headers themselves hold, from words on that no short form has: (licence, opening words, text).
+BODIES = [
+    ("Apache-2.0", "you may not use this file except in compliance with the license", "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."),
+    ("Apache-2.0", "apache license version 2.0 january 2004", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION"),
+    ("BSD-2-Clause", "redistribution and use in source and binary forms with or without modification", f"{_BSD} {_AS_IS}"),
+    ("BSD-3-Clause", "redistribution and use in source and binary forms with or without modification", f"{_BSD} 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. {_AS_IS}"),
+    ("GPL-2.0", "it under the terms of the gnu general public license as published", _GNU.format("", 2)),
+    ("GPL-3.0", "it under the terms of the gnu general public license as published", _GNU.format("", 3)),
+    ("GPL-3.0", "gnu general public license version 3 29 june 2007", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL-3.0", "it under the terms of the gnu lesser general public license as published", _GNU.format("Lesser ", 3)),
+    ("LGPL-3.0", "gnu lesser general public license version 3 29 june 2007", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("MIT", "permission is hereby granted free of charge to any person obtaining a copy", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."""),
+    ("MPL-2.0", "if a copy of the mpl was not distributed with this file", "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("Unlicense", "anyone is free to copy modify publish use compile sell or distribute this software", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+]
+#: One of these stands in each opening; only texts that hold one are read for bodies.
+OPENERS = ("compliance", "apache", "redistribution", "gnu", "hereby", "mpl", "compile")
 #: A statement holds one of these words, as each template does.
 ANCHORS = r"(?i)licen[sc]|copyright|\brights\b|public domain|\bspdx\b"
 
@@ -66,11 +89,31 @@ def _best(unit: Column, idf: dict[str, float], unknown: float, templates: dict[s
     return F.array_max(F.array(*scores))
 
 
-def scan_licenses(files: DataFrame, id_col: str = "page_id", path_col: str = "url", text_col: str = "html", least: float = 0.6, templates: dict[str, str] | None = None) -> DataFrame:
+def _body(text: Column, least: float) -> Column:
+    """The best (score, license) of the licence texts that a text holds: the cosine of the words in as many letters from their opening on."""
+    found = []
+    for name, opening, body in BODIES:
+        words = list(dict.fromkeys(_python_terms(body)))
+        at = F.locate(f" {opening} ", text)
+        block = F.array_distinct(F.split(F.trim(F.substring(text, at + 1, F.lit(len(" ".join(_python_terms(body)))))), " "))
+        score = lambda x: F.size(F.array_intersect(x, F.array(*map(F.lit, words)))) / F.sqrt(F.size(x) * F.lit(float(len(words))))  # noqa: E731, B023
+        found.append(F.transform(F.filter(F.array(F.when(at > 0, block)), lambda x: x.isNotNull()), lambda x: F.struct(score(x).alias("score"), F.lit(name).alias("license"))))  # noqa: B023
+    return F.array_max(F.filter(F.concat(*found), lambda x: x["score"] >= least))
+
+
+def _flat(text: Column) -> Column:
+    """The terms of a text with an opener on one line, so that line ends, marks and tags in a licence text do not count."""
+    some = F.lit(False)
+    for word in OPENERS:
+        some = some | F.lower(text).contains(word)
+    return F.when(some, F.concat(F.lit(" "), F.array_join(_terms(F.regexp_replace(text, r"<[^>]*>", "\n")), " "), F.lit(" ")))
+
+
+def scan_licenses(files: DataFrame, id_col: str = "page_id", path_col: str = "url", text_col: str = "html", least: float = 0.6, body_least: float = 0.85, templates: dict[str, str] | None = None) -> DataFrame:
     """(id, directory, license, score, inherited_from) for each file.
 
     The best statement of the whole text with a cosine of `least` or more is a file's own licence (ties by name, the
-    last wins). Else it has that of the nearest directory upwards in which some file has its own, the best by score, then
+    last wins); the text of a licence (BODIES) with a cosine of `body_least` or more outweighs statements. Else it has that of the nearest directory upwards in which some file has its own, the best by score, then
     name. Term weights come from the document frequency of the templates' terms among all statements; a term of no
     template weighs as one that no statement has. A path is a URL or a file path; queries and fragments do not count.
     Null texts have no own licence; a null path is in no directory and inherits nothing. Files with equal paths or ids
@@ -79,7 +122,7 @@ def scan_licenses(files: DataFrame, id_col: str = "page_id", path_col: str = "ur
     words = {k: _python_terms(v) for k, v in (templates or TEMPLATES).items()}
     vocabulary = sorted({w for x in words.values() for w in x})
     path = F.regexp_replace(F.regexp_replace(F.col(path_col), r"^[a-zA-Z][a-zA-Z0-9+.\-]*://", ""), r"[?#].*$", "")
-    small = files.select(F.col(id_col).alias("id"), F.regexp_extract(path, r"^(.*)/[^/]*$", 1).alias("directory"), F.coalesce(statements(F.col(text_col)), F.array().cast("array<string>")).alias("units"))
+    small = files.select(F.col(id_col).alias("id"), F.regexp_extract(path, r"^(.*)/[^/]*$", 1).alias("directory"), F.coalesce(statements(F.col(text_col)), F.array().cast("array<string>")).alias("units"), F.transform(F.array(_flat(F.col(text_col))), lambda t: _body(t, body_least))[0].alias("body"))
     units = small.where(F.size("units") > 0).select(F.explode("units").alias("unit"))
     known = F.array(*map(F.lit, vocabulary))
     counts = units.select(F.explode(F.concat(F.array_intersect(_terms(F.col("unit")), known), F.array(F.lit("")))).alias("term")).groupBy("term").count()
@@ -87,7 +130,7 @@ def scan_licenses(files: DataFrame, id_col: str = "page_id", path_col: str = "ur
     n = df.get("", 0)
     idf = {w: math.log((n + 1) / (df.get(w, 0) + 1)) + 1 for w in vocabulary}
     own = F.array_max(F.transform("units", lambda u: _best(u, idf, math.log(n + 1) + 1, words)))
-    scored = small.withColumn("own", own).withColumn("own", F.when(F.col("own.score") >= least, F.col("own"))).drop("units")
+    scored = small.withColumn("own", own).withColumn("own", F.coalesce("body", F.when(F.col("own.score") >= least, F.col("own")))).drop("units", "body")
     placed = scored.where("own is not null and directory is not null").groupBy("directory").agg(F.max("own").alias("held")).withColumnRenamed("directory", "above")
     wanted = scored.where("own is null and directory is not null").select("directory").distinct()
     parts = F.split("directory", "/")

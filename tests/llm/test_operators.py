@@ -270,6 +270,19 @@ def test_licenses(spark):
     assert licenses.scan_licenses(df.limit(0)).count() == 0
 
 
+def test_licence_texts_outweigh_rights_lines(spark):
+    head = "Copyright (c) 2020 Some One\nAll rights reserved.\n\n"
+    bodies = {}
+    for name, _, text in licenses.BODIES:
+        bodies.setdefault(name, text)
+    names = sorted(bodies)
+    lines = {n: "\n".join(" * " + " ".join(bodies[n].split()[k : k + 9]) for k in range(0, 999, 9)) for n in names}
+    rows = [(k, f"https://a.org/{n}/LICENSE", head + lines[n]) for k, n in enumerate(names)] + [(100 + k, f"https://a.org/{n}/src/x.c", "int x;") for k, n in enumerate(names)]
+    rows.append((200, "https://b.org/x", head + "Permission is hereby granted, free of charge, to any person obtaining a copy of the menu in our restaurant near the river."))
+    got = {r.page_id: r.license for r in licenses.scan_licenses(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {200: "Proprietary"} | {k: n for k, n in enumerate(names)} | {100 + k: n for k, n in enumerate(names)}
+
+
 def test_cosine_is_cosine(spark):
     units = ["Licensed under CC BY-NC 4.0.", "copyright of the license, license"]
     words = {k: licenses._python_terms(v) for k, v in licenses.TEMPLATES.items()}
