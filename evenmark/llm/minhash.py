@@ -6,12 +6,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import IS_SPACE, LOWER, checkpointed, mix, packed, runs_of, slices, span_hashes
 from .components import connected
 
+#: Tasks over which the rows of one key are dealt, one for each bit of a long.
+SPREAD = 64
+#: Slots of the table that tells frequent shingles from rare ones.
+SLOT_BITS = 18
+SLOTS = 1 << SLOT_BITS
+
 
 def shingle_sets(buf: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Row and 64-bit hash of the distinct k-word shingles of each row, sorted by row, then hash; fewer words are one shingle."""
@@ -98,104 +104,148 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(build, f"id {dict(docs.dtypes)['id']}, shingles array<long>")
 
 
+def _salt(column: str) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(SPREAD)).cast("int")
+
+
+def _seen() -> Column:
+    """A bit for each salt that a key's rows have."""
+    return F.bit_or(F.expr("shiftleft(1L, salt)")).alias("mask")
+
+
+def _each_salt() -> Column:
+    return F.explode(F.filter(F.sequence(F.lit(0), F.lit(SPREAD - 1)), lambda k: F.getbit("mask", k) == 1)).alias("salt")
+
+
+def _spread_join(rows: DataFrame, table: DataFrame, on: list[str], by: str, how: str = "inner") -> DataFrame:
+    """rows joined with a table that has one row for each `on`. Rows are salted by `by`, and a row of the table goes to
+    each salt that its key has, so that a key with very many rows is dealt over SPREAD tasks."""
+    salted = rows.withColumn("salt", _salt(by))
+    wanted = salted.groupBy(*on).agg(_seen()).join(table, on).withColumn("salt", _each_salt()).drop("mask")
+    return salted.join(wanted, [*on, "salt"], how).drop("salt")
+
+
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
-    one = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
-    two = one.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
+    one = _spread_join(pairs, sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), ["b"], "a")
+    two = _spread_join_once(one, pairs, sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")))
     both = F.size(F.array_intersect("sa", "sb"))
     return two.where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
 
-def _block_links(rest: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
-    """Links between rows of one band that are in different parts, enough of them to join what they join; at most one for each row and pair of blocks."""
-
-    def compare(key, table):
-        i, j = key[1].as_py(), key[2].as_py()
-        blk, ids, part = (table.column(c).to_numpy() for c in ("blk", "head", "part"))
-        lists = table.column("shingles").combine_chunks()
-        size = lists.value_lengths().to_numpy().astype(np.int64)
-        row = np.repeat(np.arange(len(ids)), size)
-        _, code = np.unique(lists.flatten().to_numpy(), return_inverse=True)
-        order = np.argsort(code, kind="stable")
-        code, row = code[order], row[order]
-        x, y = np.flatnonzero(blk == i), np.flatnonzero(blk == j)
-        place = np.empty(len(ids), np.int64)
-        both = np.zeros((len(x), len(y)), np.float32)
-        columns = int(code[-1]) + 1
-        for lo in range(0, columns, 16_384):
-            begin, end = np.searchsorted(code, [lo, lo + 16_384])
-            c, r = code[begin:end] - lo, row[begin:end]
-            sides = []
-            for side, of in ((x, i), (y, j)):
-                place[side] = np.arange(len(side))
-                hit = blk[r] == of
-                m = np.zeros((len(side), min(16_384, columns - lo)), np.float32)
-                m[place[r[hit]], c[hit]] = 1
-                sides.append(m)
-            both += sides[0] @ sides[1].T
-        a, b = np.nonzero((100 * both >= percent * (size[x][:, None] + size[y][None, :] - both)) & (part[x][:, None] != part[y][None, :]))
-        a, b = x[a], y[b]
-        root = np.arange(len(ids))
-        while True:  # the smallest place that each row reaches
-            low = root.copy()
-            np.minimum.at(low, a, root[b])
-            np.minimum.at(low, b, root[a])
-            low = low[low]
-            if (low == root).all():
-                break
-            root = low
-        some = np.flatnonzero(root != np.arange(len(ids)))
-        return pa.table({"a": pa.array(ids[root[some]]), "b": pa.array(ids[some])})
-
-    keys = rest.withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).withColumn("blk", F.pmod(F.xxhash64("head"), "blocks").cast("int"))
-    keys = keys.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    keys = keys.select("band", "head", "part", "blk", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"))
-    full = keys.join(sets.select(F.col("id").alias("head"), "shingles"), "head")
-    return full.groupBy("band", "i", "j").applyInArrow(compare, "a long, b long")
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75, bands: int = 24, rows: int = 3, few_rows: int = 24, block: int = 384) -> DataFrame:
+def _spread_join_once(rows: DataFrame, pairs: DataFrame, table: DataFrame) -> DataFrame:
+    """rows (a, b, ...) joined with the table's row of a; the salts that a has come from the pairs alone, so that what
+    the rows carry moves once."""
+    salts = pairs.withColumn("salt", _salt("b")).groupBy("a").agg(_seen())
+    wanted = salts.join(table, "a").withColumn("salt", _each_salt()).drop("mask")
+    return rows.withColumn("salt", _salt("b")).join(wanted, ["a", "salt"]).drop("salt")
+
+
+def _frequent(sets: DataFrame) -> np.ndarray:
+    """About how often the shingles of each of SLOTS hash slots stand, as an eighth of a power of two; 0 if not often.
+
+    Tasks send only slots that stand eight times as often as their mean, at most an eighth of them; the table has the
+    same size whatever the rows. It only orders shingles, so it need not be exact.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            n += np.bincount(batch.column(0).flatten().to_numpy().view(np.uint64) >> np.uint64(64 - SLOT_BITS), minlength=SLOTS)
+        some = np.flatnonzero(n > 8 * n.sum() / SLOTS + 8)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(n[some])], ["slot", "n"])
+
+    rows = sets.select("shingles").mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    table = np.zeros(SLOTS, np.uint8)
+    if rows.num_rows:
+        table[rows.column("slot").to_numpy()] = np.minimum(255, 8 * np.log2(rows.column("n").to_numpy()))
+    return table
+
+
+def _prefixes(members: DataFrame, often: np.ndarray, percent: int) -> DataFrame:
+    """(shingle, head, part, size) for the first shingles of each row's set in one order of all shingles, rare ones first.
+
+    Two sets alike to `percent` share one of their first size - ceil(size * percent / 100) + 1 shingles in any order.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(2)
+            size = lists.value_lengths().to_numpy().astype(np.int64)
+            h = lists.flatten().to_numpy().view(np.uint64)
+            row = np.repeat(np.arange(len(size)), size)
+            order = np.lexsort((h, often[h >> np.uint64(64 - SLOT_BITS)], row))
+            place = np.arange(len(h)) - np.repeat(np.cumsum(size) - size, size)
+            first = np.flatnonzero(place < (size - -(-size * percent // 100) + 1)[row])
+            row = row[first]
+            yield pa.RecordBatch.from_arrays([pa.array(h[order[first]].view(np.int64)), batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(size[row])], ["shingle", "head", "part", "size"])
+
+    return members.select("head", "part", "shingles").mapInArrow(cut, "shingle long, head long, part long, size long")
+
+
+def _prefix_pairs(rest: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
+    """Pairs (a, b) of rows in different parts that may be alike to `percent`: they share one of the first shingles in
+    an order of rarity, and the smaller set has `percent` of the larger one's size. None that is alike is left out.
+
+    Shingles that only one part has give no pair. Rows that share a frequent first shingle are compared block by block.
+    """
+    members = rest.join(sets.select(F.col("id").alias("head"), "shingles"), "head")
+    first = checkpointed(_prefixes(members, _frequent(sets), percent).withColumn("salt", _salt("head")))
+    open_ = first.groupBy("shingle").agg(F.min("part").alias("x"), F.max("part").alias("y"), F.count("*").alias("n"), _seen()).where("x <> y")
+    held = first.join(open_.select("shingle", F.ceil(F.col("n") / block).cast("int").alias("blocks"), _each_salt()), ["shingle", "salt"])
+    held = held.withColumn("blk", F.pmod(F.xxhash64("head"), "blocks").cast("int")).drop("salt")
+    left = held.select("shingle", "blk", F.col("head").alias("a"), F.col("part").alias("pa"), F.col("size").alias("na"))
+    right = held.select("shingle", F.col("head").alias("b"), F.col("part").alias("pb"), F.col("size").alias("nb"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("blk"))
+    alike = (F.col("pa") < F.col("pb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    return left.join(right, ["shingle", "blk"]).where(alike).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75, bands: int = 24, rows: int = 3, few_rows: int = 24, block: int = 1024) -> DataFrame:
     """(id, n_shingles, component_id, kept) for each row of docs: groups linked by shingle sets alike to `percent` or more.
 
     Rows with the same set are one class, stood for by its smallest id. Classes that share a band are candidates; a band
     compares its members with its smallest first, and then only members that are not yet in one component, so that a group
     of copies costs as many comparisons as it has members, and no link that joins two components is left out.
-    What is left of a band of more than `few_rows` rows is compared in blocks of `block` rows, two by two.
+    What is left of a band of up to `few_rows` rows is compared pair by pair; rows left in larger bands are compared where
+    they share one of their rare shingles and are in different components (see `_prefix_pairs`), `block` rows at a time.
     Every link is confirmed on full sets. At the limit of similarity, 24 bands of 3 values miss a link with a chance of
     2 in a million, the next ones with less. Empty and null texts have no shingle and link with nothing; a null id is
     a row of its own. Repeated ids count as one document with each of their texts. Extra columns are left out.
+    Bands, classes and components of very many rows are dealt over SPREAD tasks wherever rows are joined with them.
     """
     small = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = checkpointed(signatures(small, "id", "text", k, bands, rows))
     live = signed.where("n_shingles > 0 and id is not null")
     key = ["n_shingles", "k1", "k2"]
     heads = checkpointed(live.groupBy(*key).agg(F.min("id").alias("head"), F.min_by("bands", "id").alias("bands"), F.count("*").alias("members")))
-    placed = heads.select("head", F.explode("bands").alias("band"))
-    # what is summed up by band is a table of its own, so that joins with it may split a large band
-    shared = checkpointed(placed.groupBy("band").agg(F.min("head").alias("low"), F.count("*").alias("n")).where("n > 1").select("band", "low"))
-    members = checkpointed(placed.join(shared, "band"))
+    placed = heads.select("head", F.explode("bands").alias("band"), _salt("head").alias("salt"))
+    shared = placed.groupBy("band").agg(F.min("head").alias("low"), F.count("*").alias("n"), _seen()).where("n > 1").select("band", "low", "n", _each_salt())
+    members = checkpointed(placed.join(shared, ["band", "salt"]))
     star = members.where("head <> low").select(F.col("low").alias("a"), F.col("head").alias("b")).distinct()
     wanted = members.select(F.col("head").alias("id")).distinct()
     sets = checkpointed(_sets(small.join(wanted, "id", "left_semi"), k))
     links = checkpointed(_links(star, sets, percent))
     part = connected(links)
-    known = members.join(part.withColumnRenamed("node", "head"), "head", "left").withColumn("part", F.coalesce("component", "head")).select("band", "head", "part")
-    open_bands = known.groupBy("band").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("band")
-    rest = checkpointed(known.join(checkpointed(open_bands), "band"))
-    sized = rest.join(checkpointed(rest.groupBy("band").agg(F.count("*").alias("n"))), "band")
-    few = sized.where(F.col("n") <= few_rows)
+    known = members.join(part.withColumnRenamed("node", "head"), "head", "left").withColumn("part", F.coalesce("component", "head")).select("band", "salt", "n", "head", "part")
+    open_bands = known.groupBy("band").agg(F.min("part").alias("x"), F.max("part").alias("y"), _seen()).where("x <> y").select("band", _each_salt())
+    rest = checkpointed(known.join(open_bands, ["band", "salt"]))
+    few = rest.where(F.col("n") <= few_rows)
     left = few.select("band", F.col("head").alias("a"), F.col("part").alias("pa"))
     right = few.select("band", F.col("head").alias("b"), F.col("part").alias("pb"))
-    more = left.join(right, "band").where("pa < pb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    links = links.union(checkpointed(_links(more, sets, percent))).union(checkpointed(_block_links(sized.where(F.col("n") > few_rows), sets, percent, block)))
+    more = left.join(right, "band").where("pa < pb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    many = rest.where(F.col("n") > few_rows).select("head", "part").distinct()
+    if not many.isEmpty():
+        more = more.union(_prefix_pairs(many, sets, percent, block))
+    more = checkpointed(more.distinct().join(star, ["a", "b"], "left_anti"))
+    links = links.union(checkpointed(_links(more, sets, percent)))
     # copies get their component through their class; ids that stand in several classes join those
     classes = heads.where("members > 1").select(*key, "head")
-    rows_ = signed.select("id", *key).join(classes, key, "left").select("id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("head", "id")).alias("head"))
+    rows_ = _spread_join(signed.select("id", *key), classes, key, "id", "left").select("id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("head", "id")).alias("head"))
     own = rows_.where("id is not null and head is not null").select("id", "head").distinct()
     several = own.groupBy("id").agg(F.min("head").alias("low"), F.count("*").alias("n")).where("n > 1").select("id", "low")
     same = own.join(several, "id").where("head <> low").select(F.col("low").alias("a"), F.col("head").alias("b"))
     final = connected(links.union(same))
-    out = rows_.join(final.withColumnRenamed("node", "head"), "head", "left")
+    out = _spread_join(rows_, final.withColumnRenamed("node", "head"), ["head"], "id", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "head", "id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 

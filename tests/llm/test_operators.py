@@ -101,7 +101,7 @@ def near_brute(rows):
     return sets, union_find(pairs, {i for i, _ in sets if i is not None})
 
 
-@pytest.mark.parametrize("limits", [{}, {"few_rows": 2, "block": 3}])
+@pytest.mark.parametrize("limits", [{}, {"few_rows": 2, "block": 3}, {"few_rows": 0}])
 def test_near_duplicates(spark, docs, limits):
     rng = np.random.default_rng(5)
     base = [f"w{k}" for k in range(60)]
