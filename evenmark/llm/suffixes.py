@@ -3,14 +3,14 @@
 A string of `least` bytes is found by the anchor inside it: of its `GRAM`-byte grams, the leftmost with the least hash.
 Equal strings have equal anchors, so only suffixes that begin at anchors are indexed (a sparse suffix array, about one
 suffix in twenty bytes), and only those whose gram occurs in two documents or more. They are dealt out by gram; each
-group takes its suffixes in batches of ascending documents. A batch is sorted into a suffix array, merge-scanned against
-the levels of the family, and becomes a level itself; two levels of equal size merge into one, so a group holds a
-number of levels that grows with the logarithm of its batches.
+group takes its suffixes in batches of ascending documents. A batch is sorted into a suffix array and scanned against
+the levels of the family: its grams are searched in each level's order, and only the suffixes found there are compared.
+Then it becomes a level itself; two levels of equal size merge into one, by one pass over both orders, so a group holds
+a number of levels that grows with the logarithm of its batches, and a suffix is merged as many times.
 """
 
 from __future__ import annotations
 
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -109,16 +109,11 @@ def _grams_by_group(g: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray,
     return u[order], n[order], np.searchsorted(group[order], np.arange(groups + 1))
 
 
-def _windows(buf: np.ndarray, first: np.ndarray, last: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Begin, two hashes and anchor of each string that the anchors stand for."""
-    n = last - first + 1
-    anchor = np.repeat(np.arange(len(n)), n)
-    p = first[anchor] + np.arange(len(anchor)) - np.repeat(np.cumsum(n) - n, n)
-    return p, span_hashes(buf, p, p + least), span_hashes(buf, p, p + least // 2), anchor
-
-
-def _packed(columns: list[np.ndarray]) -> bytes:
-    return pa.compress(np.stack([c.astype(np.int64) if c.dtype != np.uint64 else c.view(np.int64) for c in columns]).tobytes(), codec="zstd", asbytes=True)
+def _hashes_at(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """span_hashes of places in any order."""
+    order, out = np.argsort(starts), np.empty(len(starts), np.uint64)
+    out[order] = span_hashes(buf, starts[order], ends[order])
+    return out
 
 
 def _part(table: pa.Table):
@@ -140,18 +135,50 @@ def _seen_in_two(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
 
 
 class Level:
-    """A suffix array over anchors: what stands right of each anchor (sorted) and left of it, strings covered, document."""
+    """A suffix array over anchors, in the order of what stands right of them; with it what stands left, strings covered, document."""
+
+    FIELDS = ("key", "gram", "left", "lo", "hi", "doc")
 
     def __init__(self, right, left, lo, hi, doc):
-        order = np.lexsort(right.T[::-1])
-        self.right, self.left, self.lo, self.hi, self.doc = right[order], left[order], lo[order], hi[order], doc[order]
+        key = right.astype(">u8").view(f"S{8 * right.shape[1]}").ravel()
+        self.order = np.argsort(key, kind="stable")
+        self.key, self.left, self.lo, self.hi, self.doc = (x[self.order] for x in (key, left, lo, hi, doc))
+        self.gram = np.ascontiguousarray(self.key.view(np.uint8).reshape(len(key), key.itemsize)[:, :GRAM]).view(f"S{GRAM}").ravel()
 
     def __len__(self):
         return len(self.doc)
 
-    @staticmethod
-    def merged(a: Level, b: Level) -> Level:
-        return Level(*(np.concatenate([getattr(a, k), getattr(b, k)]) for k in ("right", "left", "lo", "hi", "doc")))
+    @classmethod
+    def of(cls, fields) -> Level:
+        level = cls.__new__(cls)
+        for name, value in zip(cls.FIELDS, fields, strict=True):
+            setattr(level, name, value)
+        return level
+
+    @property
+    def right(self) -> np.ndarray:
+        return self.key.view(">u8").reshape(len(self), self.key.itemsize // 8).astype(np.uint64)
+
+    @classmethod
+    def merged(cls, a: Level, b: Level) -> Level:
+        """Both levels in one order: each suffix of b is searched in a, nothing is sorted again."""
+        place = np.searchsorted(a.key, b.key, "right") + np.arange(len(b))
+        first = np.ones(len(a) + len(b), bool)
+        first[place] = False
+
+        def both(x, y):
+            out = np.empty((len(first), *x.shape[1:]), x.dtype)
+            out[place], out[first] = y, x
+            return out
+
+        return cls.of(both(getattr(a, k), getattr(b, k)) for k in cls.FIELDS)
+
+    def near(self, grams: np.ndarray) -> Level:
+        """The suffixes that begin with one of the grams, which are sorted and distinct."""
+        lo, hi = np.searchsorted(self.gram, grams, "left"), np.searchsorted(self.gram, grams, "right")
+        n = hi - lo
+        some = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return Level.of(getattr(self, k)[some] for k in self.FIELDS)
 
 
 def _common_prefix(x: np.ndarray) -> np.ndarray:
@@ -197,13 +224,14 @@ def scan(parts: list[Level], doc: np.ndarray, least: int) -> np.ndarray:
 
 
 class Family:
-    """Levels of suffix arrays; adding a batch scans it against all levels, then merges levels of equal size."""
+    """Levels of suffix arrays; adding a batch scans it against what all levels have of its grams, then merges levels of equal size."""
 
     def __init__(self, least: int):
         self.least, self.levels = least, []
 
     def add(self, batch: Level) -> np.ndarray:
-        found = scan([batch, *(level for _, level in self.levels)], batch.doc, self.least)
+        grams = np.unique(batch.gram)
+        found = scan([batch, *(level.near(grams) for _, level in self.levels)], batch.doc, self.least)
         size = 1
         while self.levels and self.levels[-1][0] == size:
             _, level = self.levels.pop()
@@ -236,20 +264,23 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     each other's strings. Texts shorter than `least` stay whole. The columns named in `carry` come back beside their row;
     other extra columns are left out.
     `part_bytes` of text make a part, within which equal strings are told apart by document only, so a group of copies
-    sends one suffix from each part; `group_bytes` of text stand for one group of grams. A gram that stands `hot` times
-    or more is not indexed by its suffixes, which would all meet in one group: the strings around it are dealt out by
-    their own hashes instead, each part sending its distinct ones, and their smallest documents come back.
+    sends one suffix from each part; `group_bytes` of text stand for one group of suffixes, four times as much for one
+    group of grams. A part sends one row to each group that it has a gram of: at most one for each gram.
+    The suffixes of a gram that stands `hot` times or more would all meet in one group. They go twice: the strings with
+    the longer half right of the anchor are dealt out by the bytes of that half, those with the longer half left by that
+    one; both are matched in suffix arrays like all others.
     """
     row = F.struct(*[F.col(c) for c in carry]) if carry else F.lit(True)
     small = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("id"), F.col(id_col).cast("long").alias("own"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"), row.alias("row"))
     total = text_bytes(docs, text_col)
-    parts, groups = parts_for(docs.sparkSession, total, part_bytes), parts_for(docs.sparkSession, total, group_bytes)
+    parts, groups, shares = (parts_for(docs.sparkSession, total, each) for each in (part_bytes, group_bytes, 4 * group_bytes))
+    half = (least - GRAM) // 2  # strings that begin up to so many bytes before the anchor have their longer half right of it
     dealt = small.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
 
     def grams(key, table):
         buf, at, _ = _part(table)
         _, h, _, _ = anchors(buf, at, least)
-        u, n, cut = _grams_by_group(_short(h), groups)
+        u, n, cut = _grams_by_group(_short(h), shares)
         some = np.flatnonzero(np.diff(cut))
         return pa.table({"grp": pa.array(some.astype(np.int32)), "part": pa.array([key[0].as_py()] * len(some), pa.int32()), "data": pa.array([_pack_grams(u[cut[g] : cut[g + 1]], n[cut[g] : cut[g + 1]]) for g in some], pa.binary())})
 
@@ -267,91 +298,66 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         buf, at, ids = _part(texts)
         a, h, first, last = anchors(buf, at, least)
         short = _short(h)
-        u, _, cut = _grams_by_group(short, groups)
+        u, _, cut = _grams_by_group(short, shares)
         mark, often = np.zeros(len(u), bool), np.zeros(len(u), bool)
         for g, data in zip(flags.column("grp").to_pylist(), flags.column("data").to_pylist(), strict=True):
             n, raw = cut[g + 1] - cut[g], np.frombuffer(data, np.uint8)
             mark[cut[g] : cut[g + 1]] = np.unpackbits(raw[: len(raw) // 2])[:n]
             often[cut[g] : cut[g + 1]] = np.unpackbits(raw[len(raw) // 2 :])[:n]
         doc = ids[_row_of(at, a)]
-        is_hot = np.isin(short, u[often])
-        take = np.flatnonzero(np.isin(short, np.union1d(u[mark], _seen_in_two(short, doc))) & ~is_hot)
+        take = np.flatnonzero(np.isin(short, np.union1d(u[mark], _seen_in_two(short, doc))))
         keys = _context_keys(buf, a[take], first[take], last[take], least)
         order = np.lexsort((doc[take], keys))
         lead = np.concatenate([[True], keys[order][1:] != keys[order][:-1]]) if len(order) else np.empty(0, bool)
         take, keys = take[order][lead], keys[order][lead]
-        grp = (short[take] % np.uint64(groups)).astype(np.int64)
+        low, high, deal = a[take] - last[take], a[take] - first[take], short[take]
+        is_hot = np.isin(deal, u[often])
+        right_of, left_of = np.flatnonzero(is_hot & (low <= half)), np.flatnonzero(is_hot & (high > half))
+        both = np.concatenate([np.flatnonzero(~is_hot), right_of, left_of])
+        if len(right_of) + len(left_of):
+            r, l_ = a[take[right_of]], a[take[left_of]]
+            deal = np.concatenate([deal[~is_hot], _hashes_at(buf, r, r + least - half), _hashes_at(buf, l_ - half - 1, l_ + GRAM)])
+            low, high = low[both], high[both]
+            n_plain = len(both) - len(right_of) - len(left_of)
+            high[n_plain : n_plain + len(right_of)] = np.minimum(high[n_plain : n_plain + len(right_of)], half)
+            low[n_plain + len(right_of) :] = np.maximum(low[n_plain + len(right_of) :], half + 1)
+        take, keys = take[both], keys[both]
+        grp = (deal % np.uint64(groups)).astype(np.int64)
         order = np.argsort(grp, kind="stable")
-        take, keys, grp = take[order], keys[order], grp[order]
+        take, keys, grp, low, high = take[order], keys[order], grp[order], low[order], high[order]
         begin = np.searchsorted(grp, np.arange(groups + 1))
-        rows: list[tuple[int, int, bytes, int]] = []
+        rows: list[tuple[int, bytes, int]] = []
         for g in np.flatnonzero(np.diff(begin)):
-            t = take[begin[g] : begin[g + 1]]
+            own = slice(begin[g], begin[g + 1])
+            t = take[own]
             right, left = _around(buf, a[t], first[t], last[t], least)
-            bounds = np.stack([a[t] - last[t], a[t] - first[t]], 1).astype(np.uint8)
-            packed_rows = np.concatenate([keys[begin[g] : begin[g + 1]].view(np.uint8).reshape(-1, 8), doc[t].astype(np.int64).view(np.uint8).reshape(-1, 8), bounds, right, left], 1)
-            rows.append((int(g), 0, pa.compress(np.ascontiguousarray(packed_rows.T).tobytes(), codec="zstd", asbytes=True), len(t)))
-        if is_hot.any():
-            t = np.flatnonzero(is_hot)
-            _, h1, h2, of = _windows(buf, first[t], last[t], least)
-            d, gram = doc[t][of], short[t][of]
-            order = np.lexsort((d, h2, h1))
-            h1, h2, d, gram = h1[order], h2[order], d[order], gram[order]
-            lead = np.concatenate([[True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])
-            start = np.flatnonzero(lead)
-            most = np.maximum.reduceat(d, start)
-            h1, h2, d, gram = h1[start], h2[start], d[start], gram[start]
-            grp = (h1 % np.uint64(groups)).astype(np.int64)
-            order = np.argsort(grp, kind="stable")
-            begin = np.searchsorted(grp[order], np.arange(groups + 1))
-            for g in np.flatnonzero(np.diff(begin)):
-                w = order[begin[g] : begin[g + 1]]
-                rows.append((int(g), 1, _packed([h1[w], h2[w], d[w], most[w], gram[w]]), len(w)))
-        return pa.table({"grp": pa.array([r[0] for r in rows], pa.int32()), "kind": pa.array([r[1] for r in rows], pa.int32()), "part": pa.array([key[0].as_py()] * len(rows), pa.int32()), "n": pa.array([r[3] for r in rows], pa.int64()), "data": pa.array([r[2] for r in rows], pa.binary())})
+            bounds = np.stack([low[own], high[own]], 1).astype(np.uint8)
+            packed_rows = np.concatenate([keys[own].view(np.uint8).reshape(-1, 8), doc[t].astype(np.int64).view(np.uint8).reshape(-1, 8), bounds, right, left], 1)
+            rows.append((int(g), pa.compress(np.ascontiguousarray(packed_rows.T).tobytes(), codec="zstd", asbytes=True), len(t)))
+        return pa.table({"grp": pa.array([r[0] for r in rows], pa.int32()), "part": pa.array([key[0].as_py()] * len(rows), pa.int32()), "n": pa.array([r[2] for r in rows], pa.int64()), "data": pa.array([r[1] for r in rows], pa.binary())})
 
     width = 8 + 8 + 2 + least + least - GRAM
 
     def matched(key, table):
-        kind = table.column("kind").to_numpy()
-        out = [f(table.filter(pa.array(kind == k))) for k, f in ((0, by_suffix), (1, by_string)) if (kind == k).any()]
-        return pa.concat_tables(out)
-
-    def by_suffix(table):
         raws, sizes = [], table.column("n").to_pylist()
         for x, n in zip(table.column("data").to_pylist(), sizes, strict=True):
             raws.append(np.frombuffer(pa.decompress(x, n * width, codec="zstd"), np.uint8).reshape(width, n).T)
         raw = np.concatenate(raws)
         keys = np.ascontiguousarray(raw[:, :8]).view(np.uint64).ravel()
         doc = np.ascontiguousarray(raw[:, 8:16]).view(np.int64).ravel()
-        part = np.repeat(np.arange(len(sizes)), sizes)
         order = np.argsort(doc, kind="stable")
         found, family = np.zeros(len(doc), np.uint64), Family(least)
         for lo in range(0, len(order), batch):
             rows = order[lo : lo + batch]
             right, left = _words(raw[rows, 18 : 18 + least]), _words(raw[rows, 18 + least :])
-            bits = raw[rows, 16].astype(np.int64), raw[rows, 17].astype(np.int64)
-            inner = np.lexsort(right.T[::-1])
-            found[rows[inner]] = family.add(Level(right, left, *bits, doc[rows]))
-        out = []
-        for p in range(len(sizes)):
-            own = np.flatnonzero(part == p)
-            own = own[found[own] > 0]
+            new = Level(right, left, raw[rows, 16].astype(np.int64), raw[rows, 17].astype(np.int64), doc[rows])
+            found[rows[new.order]] = family.add(new)
+        out, begin = [], 0
+        for n in sizes:  # rows stand part by part
+            own = begin + np.flatnonzero(found[begin : begin + n])
             out.append(np.stack([keys[own], found[own]]).tobytes())
-        return pa.table({"part": table.column("part"), "kind": table.column("kind"), "data": pa.array(out, pa.binary())})
-
-    def by_string(table):
-        sizes = table.column("n").to_pylist()
-        h1, h2, low, high, gram = np.concatenate([np.frombuffer(pa.decompress(x, 40 * n, codec="zstd"), np.int64).reshape(5, n) for x, n in zip(table.column("data").to_pylist(), sizes, strict=True)], 1)
-        order = np.lexsort((h2, h1))
-        start = np.flatnonzero(np.concatenate([[True], (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1])]))
-        least_doc = np.empty(len(h1), np.int64)
-        least_doc[order] = np.repeat(np.minimum.reduceat(low[order], start), np.diff(np.append(start, len(order))))
-        part = np.repeat(np.arange(len(sizes)), sizes)
-        out = []
-        for p in range(len(sizes)):
-            own = np.flatnonzero((part == p) & (least_doc < high))
-            out.append(np.stack([h1[own], h2[own], least_doc[own], gram[own]]).tobytes())
-        return pa.table({"part": table.column("part"), "kind": table.column("kind"), "data": pa.array(out, pa.binary())})
+            begin += n
+        return pa.table({"part": table.column("part"), "data": pa.array(out, pa.binary())})
 
     def removed(key, texts, marks):
         texts = texts.sort_by([("id", "ascending")])
@@ -368,25 +374,13 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         later = doc > lead
         np.add.at(cover, first[later], 1)
         np.add.at(cover, last[later] + least, -1)
-        sent = list(zip(marks.column("kind").to_pylist(), marks.column("data").to_pylist(), strict=True)) if marks.num_rows else []
-        strings = [np.frombuffer(x, np.int64).reshape(4, -1) for k, x in sent if k == 1]
-        if strings:
-            h1, h2, low, gram = np.concatenate(strings, 1)
-            t = np.flatnonzero(np.isin(_short(h), np.unique(gram.view(np.uint64))))
-            p, w1, w2, of = _windows(buf, first[t], last[t], least)
-            by = np.lexsort((h2, h1))
-            h1, h2, low = h1[by], h2[by], low[by]
-            where = np.searchsorted(h1, w1.view(np.int64))
-            x = np.flatnonzero(where < len(h1))
-            x = x[(h1[where[x]] == w1.view(np.int64)[x]) & (h2[where[x]] == w2.view(np.int64)[x])]
-            x = x[low[where[x]] < doc[t][of[x]]]
-            np.add.at(cover, p[x], 1)
-            np.add.at(cover, p[x] + least, -1)
-        each = [np.frombuffer(x, np.uint64).reshape(2, -1) for k, x in sent if k == 0]
+        each = [np.frombuffer(x, np.uint64).reshape(2, -1) for x in marks.column("data").to_pylist()]
         if each:
             known, bits = np.concatenate(each, 1)
-            by = np.argsort(known)
+            by = np.argsort(known, kind="stable")
             known, bits = known[by], bits[by]
+            start = np.flatnonzero(np.concatenate([[True], known[1:] != known[:-1]]))[: len(known)]
+            known, bits = known[start], np.bitwise_or.reduceat(bits, start) if len(start) else bits
             where = np.searchsorted(known, keys)
             hit = np.flatnonzero(~later & (where < len(known)))
             hit = hit[known[where[hit]] == keys[hit]]
@@ -405,8 +399,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     by_part = dealt.groupBy("part")
     flags = by_part.applyInArrow(grams, "grp int, part int, data binary").groupBy("grp").applyInArrow(shared, "part int, grp int, data binary")
-    sent = by_part.cogroup(flags.groupBy("part")).applyInArrow(suffixes, "grp int, kind int, part int, n long, data binary")
-    marks = sent.groupBy("grp").applyInArrow(matched, "part int, kind int, data binary")
+    sent = by_part.cogroup(flags.groupBy("part")).applyInArrow(suffixes, "grp int, part int, n long, data binary")
+    marks = sent.groupBy("grp").applyInArrow(matched, "part int, data binary")
     out = by_part.cogroup(marks.groupBy("part")).applyInArrow(removed, f"own long, row {dict(dealt.dtypes)['row']}, n_bytes long, n_spans long, kept binary")
     return out.select(F.col("own").alias(id_col), *[F.col(f"row.{c}").alias(c) for c in carry], "n_bytes", "n_spans", "kept")
 

@@ -60,7 +60,7 @@ def spans_brute(rows, least=50):
 
 @pytest.mark.parametrize("sizes", [{}, {"part_bytes": 3_000, "group_bytes": 20_000, "batch": 64}, {"part_bytes": 3_000, "group_bytes": 20_000, "batch": 64, "hot": 3}])
 def test_suffix_dedup(docs, sizes):
-    few = docs.where("doc_id IS NULL OR doc_id NOT IN (9, 13)")
+    few = docs
     out = suffixes.repeated_spans(few, **sizes)
     got = sorted(((r.doc_id, r.n_bytes, r.n_bytes - len(r.kept), r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in out.collect()), key=str)
     want = spans_brute([(r.doc_id, r.text) for r in few.collect()])
@@ -85,6 +85,29 @@ def test_family_merges_geometrically():
         n = 4
         f.add(suffixes.Level(rng.integers(0, 99, (n, 7), dtype=np.uint64), rng.integers(0, 99, (n, 5), dtype=np.uint64), np.zeros(n, int), np.zeros(n, int), np.full(n, k)))
     assert [s for s, _ in f.levels] == [8, 2, 1] and sum(len(x) for _, x in f.levels) == 44
+    assert all((level.key[1:] >= level.key[:-1]).all() for _, level in f.levels)
+
+
+def test_later_batches_cost_no_more():
+    """The suffixes that a batch is compared with do not grow with the levels, if grams do not repeat."""
+    f, n, seen = suffixes.Family(50), 500, []
+    rng = np.random.default_rng(4)
+    whole = suffixes.scan
+
+    def counted(parts, doc, least):
+        seen.append(sum(map(len, parts)))
+        return whole(parts, doc, least)
+
+    suffixes.scan = counted
+    try:
+        for k in range(16):
+            right = rng.integers(0, 2**63, (n, 7), dtype=np.uint64)
+            right[:50] = right[0] if k == 0 else copied
+            copied = right[:50].copy()
+            f.add(suffixes.Level(right, np.zeros((n, 5), np.uint64), np.zeros(n, int), np.zeros(n, int), np.full(n, k)))
+    finally:
+        suffixes.scan = whole
+    assert seen[0] == n and seen[-1] <= n + 16 * 50
 
 
 # --- min-max hashing
