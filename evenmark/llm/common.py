@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import math
+import re
 import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -23,6 +24,8 @@ LOWER[65:91] += 32
 #: Letters, digits and every byte beyond ASCII.
 IS_ALNUM = np.zeros(256, bool)
 IS_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+#: Tasks over which the rows of one key are dealt, one for each bit of a long.
+SPREAD = 64
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -112,13 +115,43 @@ def held_out(id_col, modulus: int, rest: int):
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """The rows cut off from what made them, in the folder of spark.checkpoint.dir, which all executors share."""
-    spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. A session on one machine that names none gets a temporary one; a cluster does not."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="spark-")
+
+
+def salt(column: str) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(SPREAD)).cast("int")
+
+
+def salts_seen() -> Column:
+    """A bit for each salt that a key's rows have."""
+    return F.bit_or(F.expr("shiftleft(1L, salt)")).alias("mask")
+
+
+def each_salt() -> Column:
+    return F.explode(F.filter(F.sequence(F.lit(0), F.lit(SPREAD - 1)), lambda k: F.getbit("mask", k) == 1)).alias("salt")
+
+
+def spread_join(rows: DataFrame, table: DataFrame, on: list[str], by: str, how: str = "inner") -> DataFrame:
+    """rows joined with a table that has one row for each `on`. Rows are salted by `by`, and a row of the table goes to
+    each salt that its key has, so that a key with very many rows is dealt over SPREAD tasks."""
+    salted = rows.withColumn("salt", salt(by))
+    wanted = salted.groupBy(*on).agg(salts_seen()).join(table, on).withColumn("salt", each_salt()).drop("mask")
+    return salted.join(wanted, [*on, "salt"], how).drop("salt")
+
+
 def text_bytes(docs: DataFrame, column: str) -> int:
     """Bytes of text in all rows."""
     return int(docs.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0))).first()[0])

@@ -6,14 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IS_SPACE, LOWER, checkpointed, mix, packed, runs_of, slices, span_hashes
+from .common import IS_SPACE, LOWER, checkpointed, each_salt, mix, packed, runs_of, salt, salts_seen, slices, span_hashes, spread_join
 from .components import connected
 
-#: Tasks over which the rows of one key are dealt, one for each bit of a long.
-SPREAD = 64
 #: Slots of the table that tells frequent shingles from rare ones.
 SLOT_BITS = 18
 SLOTS = 1 << SLOT_BITS
@@ -104,30 +102,9 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(build, f"id {dict(docs.dtypes)['id']}, shingles array<long>")
 
 
-def _salt(column: str) -> Column:
-    return F.pmod(F.xxhash64(column), F.lit(SPREAD)).cast("int")
-
-
-def _seen() -> Column:
-    """A bit for each salt that a key's rows have."""
-    return F.bit_or(F.expr("shiftleft(1L, salt)")).alias("mask")
-
-
-def _each_salt() -> Column:
-    return F.explode(F.filter(F.sequence(F.lit(0), F.lit(SPREAD - 1)), lambda k: F.getbit("mask", k) == 1)).alias("salt")
-
-
-def _spread_join(rows: DataFrame, table: DataFrame, on: list[str], by: str, how: str = "inner") -> DataFrame:
-    """rows joined with a table that has one row for each `on`. Rows are salted by `by`, and a row of the table goes to
-    each salt that its key has, so that a key with very many rows is dealt over SPREAD tasks."""
-    salted = rows.withColumn("salt", _salt(by))
-    wanted = salted.groupBy(*on).agg(_seen()).join(table, on).withColumn("salt", _each_salt()).drop("mask")
-    return salted.join(wanted, [*on, "salt"], how).drop("salt")
-
-
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
-    one = _spread_join(pairs, sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), ["b"], "a")
+    one = spread_join(pairs, sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), ["b"], "a")
     two = _spread_join_once(one, pairs, sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")))
     both = F.size(F.array_intersect("sa", "sb"))
     return two.where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
@@ -136,9 +113,9 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _spread_join_once(rows: DataFrame, pairs: DataFrame, table: DataFrame) -> DataFrame:
     """rows (a, b, ...) joined with the table's row of a; the salts that a has come from the pairs alone, so that what
     the rows carry moves once."""
-    salts = pairs.withColumn("salt", _salt("b")).groupBy("a").agg(_seen())
-    wanted = salts.join(table, "a").withColumn("salt", _each_salt()).drop("mask")
-    return rows.withColumn("salt", _salt("b")).join(wanted, ["a", "salt"]).drop("salt")
+    salts = pairs.withColumn("salt", salt("b")).groupBy("a").agg(salts_seen())
+    wanted = salts.join(table, "a").withColumn("salt", each_salt()).drop("mask")
+    return rows.withColumn("salt", salt("b")).join(wanted, ["a", "salt"]).drop("salt")
 
 
 def _frequent(sets: DataFrame) -> np.ndarray:
@@ -190,9 +167,9 @@ def _prefix_pairs(rest: DataFrame, sets: DataFrame, percent: int, block: int) ->
     Shingles that only one part has give no pair. Rows that share a frequent first shingle are compared block by block.
     """
     members = rest.join(sets.select(F.col("id").alias("head"), "shingles"), "head")
-    first = checkpointed(_prefixes(members, _frequent(sets), percent).withColumn("salt", _salt("head")))
-    open_ = first.groupBy("shingle").agg(F.min("part").alias("x"), F.max("part").alias("y"), F.count("*").alias("n"), _seen()).where("x <> y")
-    held = first.join(open_.select("shingle", F.ceil(F.col("n") / block).cast("int").alias("blocks"), _each_salt()), ["shingle", "salt"])
+    first = checkpointed(_prefixes(members, _frequent(sets), percent).withColumn("salt", salt("head")))
+    open_ = first.groupBy("shingle").agg(F.min("part").alias("x"), F.max("part").alias("y"), F.count("*").alias("n"), salts_seen()).where("x <> y")
+    held = first.join(open_.select("shingle", F.ceil(F.col("n") / block).cast("int").alias("blocks"), each_salt()), ["shingle", "salt"])
     held = held.withColumn("blk", F.pmod(F.xxhash64("head"), "blocks").cast("int")).drop("salt")
     left = held.select("shingle", "blk", F.col("head").alias("a"), F.col("part").alias("pa"), F.col("size").alias("na"))
     right = held.select("shingle", F.col("head").alias("b"), F.col("part").alias("pb"), F.col("size").alias("nb"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("blk"))
@@ -218,8 +195,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     live = signed.where("n_shingles > 0 and id is not null")
     key = ["n_shingles", "k1", "k2"]
     heads = checkpointed(live.groupBy(*key).agg(F.min("id").alias("head"), F.min_by("bands", "id").alias("bands"), F.count("*").alias("members")))
-    placed = heads.select("head", F.explode("bands").alias("band"), _salt("head").alias("salt"))
-    shared = placed.groupBy("band").agg(F.min("head").alias("low"), F.count("*").alias("n"), _seen()).where("n > 1").select("band", "low", "n", _each_salt())
+    placed = heads.select("head", F.explode("bands").alias("band"), salt("head").alias("salt"))
+    shared = placed.groupBy("band").agg(F.min("head").alias("low"), F.count("*").alias("n"), salts_seen()).where("n > 1").select("band", "low", "n", each_salt())
     members = checkpointed(placed.join(shared, ["band", "salt"]))
     star = members.where("head <> low").select(F.col("low").alias("a"), F.col("head").alias("b")).distinct()
     wanted = members.select(F.col("head").alias("id")).distinct()
@@ -227,7 +204,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = checkpointed(_links(star, sets, percent))
     part = connected(links)
     known = members.join(part.withColumnRenamed("node", "head"), "head", "left").withColumn("part", F.coalesce("component", "head")).select("band", "salt", "n", "head", "part")
-    open_bands = known.groupBy("band").agg(F.min("part").alias("x"), F.max("part").alias("y"), _seen()).where("x <> y").select("band", _each_salt())
+    open_bands = known.groupBy("band").agg(F.min("part").alias("x"), F.max("part").alias("y"), salts_seen()).where("x <> y").select("band", each_salt())
     rest = checkpointed(known.join(open_bands, ["band", "salt"]))
     few = rest.where(F.col("n") <= few_rows)
     left = few.select("band", F.col("head").alias("a"), F.col("part").alias("pa"))
@@ -240,12 +217,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = links.union(checkpointed(_links(more, sets, percent)))
     # copies get their component through their class; ids that stand in several classes join those
     classes = heads.where("members > 1").select(*key, "head")
-    rows_ = _spread_join(signed.select("id", *key), classes, key, "id", "left").select("id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("head", "id")).alias("head"))
+    rows_ = spread_join(signed.select("id", *key), classes, key, "id", "left").select("id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("head", "id")).alias("head"))
     own = rows_.where("id is not null and head is not null").select("id", "head").distinct()
     several = own.groupBy("id").agg(F.min("head").alias("low"), F.count("*").alias("n")).where("n > 1").select("id", "low")
     same = own.join(several, "id").where("head <> low").select(F.col("low").alias("a"), F.col("head").alias("b"))
     final = connected(links.union(same))
-    out = _spread_join(rows_, final.withColumnRenamed("node", "head"), ["head"], "id", "left")
+    out = spread_join(rows_, final.withColumnRenamed("node", "head"), ["head"], "id", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "head", "id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 

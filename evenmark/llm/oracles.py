@@ -54,12 +54,33 @@ SELECT k.page_id, directory, coalesce(struct_extract(own, 2), struct_extract(hel
 
 _LEVEL = "length(regexp_replace(regexp_extract(x, '^((?:[ \\t]*>)*)', 1), '[ \\t]', '', 'g'))"
 _WORDS = "trim(regexp_replace(lower(regexp_replace(x, '^((?:[ \\t]*>)*)', '')), '\\s+', ' ', 'g'))"
-OP10 = f"""WITH RECURSIVE m AS (SELECT conv_id, turn, role, regexp_split_to_array(coalesce(text, ''), '\\r?\\n') AS lines FROM conversations),
-s AS (SELECT *, list_filter(lines, lambda x: {_LEVEL} = 0) AS own, list_filter(lines, lambda x: {_LEVEL} > 0) AS quoted FROM m),
-q AS (SELECT conv_id, turn, {_LEVEL} AS level, {_WORDS} AS words, count(*) AS n FROM (SELECT conv_id, turn, unnest(quoted) AS x FROM s) WHERE length({_WORDS}) >= 12 GROUP BY ALL),
-f AS (SELECT conv_id, {_WORDS} AS words, min(turn) AS source FROM (SELECT conv_id, turn, unnest(own) AS x FROM s) GROUP BY ALL),
-l AS (SELECT q.conv_id, q.turn, level, source, sum(n) AS lines FROM q JOIN f ON f.conv_id = q.conv_id AND f.words = q.words WHERE source < q.turn GROUP BY ALL),
-b AS (SELECT conv_id, turn, count(*) AS n_links, arg_max(source, (-level, lines, source)) AS reply_to FROM l GROUP BY ALL),
-p(conv_id, turn, path) AS (SELECT DISTINCT conv_id, turn, CAST(turn AS VARCHAR) FROM m WHERE (conv_id, turn) NOT IN (SELECT (conv_id, turn) FROM b) UNION ALL SELECT b.conv_id, b.turn, p.path || '/' || CAST(b.turn AS VARCHAR) FROM b JOIN p ON p.conv_id = b.conv_id AND p.turn = b.reply_to)
-SELECT s.conv_id, s.turn, role, trim(array_to_string(own, chr(10))) AS clean_text, CAST(len(quoted) AS INT) AS n_quoted, CAST(coalesce(n_links, 0) AS INT) AS n_links, reply_to, path, '<|' || coalesce(role, 'unknown') || '|>' || chr(10) || trim(array_to_string(own, chr(10))) || chr(10) || '<|end|>' || chr(10) AS formatted
-FROM s LEFT JOIN b ON b.conv_id = s.conv_id AND b.turn = s.turn LEFT JOIN p ON p.conv_id = s.conv_id AND p.turn = s.turn"""
+_SENTENCES = "string_split(regexp_replace(words, '([.!?]) ', '\\1' || chr(10), 'g'), chr(10))"
+
+
+def _quote(column: str, mark: str) -> str:
+    return f"coalesce('{mark}' || replace({column}, chr(10), chr(10) || '{mark}') || chr(10), '')"
+
+
+def _passages(lines: str) -> str:
+    """Runs of neighbouring lines of one level, up to a blank one, as one text."""
+    return f"""SELECT conv_id, turn, role, text, level, string_agg(words, ' ' ORDER BY k) AS words FROM (SELECT *, sum(new) OVER (PARTITION BY conv_id, turn, role, text ORDER BY k) AS run FROM
+  (SELECT *, CASE WHEN words = '' OR level IS DISTINCT FROM lag(level) OVER o OR lag(words) OVER o = '' THEN 1 ELSE 0 END AS new FROM {lines} WINDOW o AS (PARTITION BY conv_id, turn, role, text ORDER BY k))) WHERE words <> '' GROUP BY conv_id, turn, role, text, level, run"""
+
+
+OP10 = f"""WITH RECURSIVE p AS (SELECT conv_id, turn, regexp_replace(min(text), '(.{{40,60}}) ', '\\1' || chr(10), 'g') AS text FROM conversations GROUP BY conv_id, turn),
+c AS (SELECT DISTINCT c.conv_id, c.turn, c.role, {_quote('b.text', '> > ')} || {_quote('a.text', '> ')} || coalesce(c.text, '') AS text FROM conversations c
+  LEFT JOIN p a ON a.conv_id = c.conv_id AND a.turn = c.turn - 1 LEFT JOIN p b ON b.conv_id = c.conv_id AND b.turn = c.turn - 2),
+l AS (SELECT conv_id, turn, role, text, k, lines[k] AS x, {_LEVEL.replace('x,', 'lines[k],')} AS level, {_WORDS.replace('x,', 'lines[k],')} AS words FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS k FROM (SELECT *, regexp_split_to_array(text, '\\r?\\n') AS lines FROM c))),
+own AS (SELECT * FROM l WHERE level = 0), t AS (SELECT c.*, trim(coalesce(o.clean, '')) AS clean FROM c LEFT JOIN (SELECT conv_id, turn, role, text, string_agg(x, chr(10) ORDER BY k) AS clean FROM own GROUP BY ALL) o USING (conv_id, turn, role, text)),
+qp AS (SELECT DISTINCT conv_id, turn, level, words FROM ({_passages('l')}) WHERE level > 0),
+q AS (SELECT conv_id, turn, level, words, count(*) AS n FROM (SELECT DISTINCT conv_id, turn, level, words AS passage, unnest([words] || {_SENTENCES}) AS words FROM qp) GROUP BY ALL),
+op AS ({_passages('own')}),
+s AS (SELECT DISTINCT conv_id, turn, words FROM (SELECT conv_id, turn, unnest([words] || {_SENTENCES}) AS words FROM op UNION ALL SELECT conv_id, turn, words FROM own UNION ALL
+  SELECT conv_id, turn, string_agg(words, ' ' ORDER BY k) FROM own WHERE words <> '' GROUP BY conv_id, turn, role, text)),
+f AS (SELECT conv_id, words, min(turn) AS source FROM s WHERE words <> '' GROUP BY conv_id, words HAVING length(words) >= 12 OR min(turn) = max(turn)),
+k AS (SELECT q.conv_id, q.turn, level, source, sum(n * length(words)) AS chars FROM q JOIN f USING (conv_id, words) WHERE source < q.turn GROUP BY ALL),
+b AS (SELECT conv_id, turn, count(*) AS n_links, arg_max(source, (-level, chars, source)) AS reply_to FROM k GROUP BY ALL),
+r(conv_id, turn, thread) AS (SELECT DISTINCT conv_id, turn, turn FROM c WHERE (conv_id, turn) NOT IN (SELECT (conv_id, turn) FROM b) UNION ALL SELECT b.conv_id, b.turn, r.thread FROM b JOIN r ON r.conv_id = b.conv_id AND r.turn = b.reply_to),
+m AS (SELECT t.conv_id, t.turn, t.role, clean, reply_to, coalesce(n_links, 0) AS n_links, thread, (t.turn - thread) // 64 AS part FROM t LEFT JOIN b USING (conv_id, turn) JOIN r USING (conv_id, turn))
+SELECT conv_id, thread, part, 0 AS slice, CAST(count(*) AS INT) AS n_messages, CAST(sum(n_links) AS INT) AS n_links, coalesce(string_agg(turn || '<' || reply_to, ' ' ORDER BY turn, role, clean) FILTER (WHERE reply_to IS NOT NULL), '') AS replies,
+  string_agg('<|' || coalesce(role, 'unknown') || '|>' || chr(10) || clean || chr(10) || '<|end|>' || chr(10), '' ORDER BY turn, role, clean) AS formatted FROM m GROUP BY conv_id, thread, part"""

@@ -401,14 +401,42 @@ def test_chat_quotes(spark):
         (3, None, "user", "x"),
         (1, 2, "user", "a second row of the same turn"),
     ]
-    df = spark.createDataFrame([(*r, 1, "z") for r in rows], "conv_id long, turn long, role string, text string, conv int, links string")
+    df = spark.createDataFrame([(*r, 1, "z", 5) for r in rows], "conv_id long, turn long, role string, text string, conv int, links string, thread int")
     got = chat.link_quotes(df).collect()
     assert len(got) == len(rows)
     by = {(r.conv_id, r.turn): r for r in got if r.clean_text != "a second row of the same turn"}
-    assert by[1, 2].path == [0, 1, 2] and by[1, 2].reply_to == 1 and by[1, 2].clean_text == "that is good to hear"
+    assert by[1, 2].thread == 0 and by[1, 2].depth == 2 and by[1, 2].reply_to == 1 and by[1, 2].clean_text == "that is good to hear" and by[1, 2].variants == 2
     assert [(x.level, x.turn) for x in by[1, 2].links] == [(1, 1), (2, 0)]
-    assert by[1, 3].path == [3] and by[1, 4].path == [0, 1, 2, 4] and by[2, 0].path == [0] and by[2, 1].clean_text == ""
-    assert chat.link_quotes(df.limit(0)).count() == 0
+    assert (by[1, 3].thread, by[1, 3].depth) == (3, 0) and (by[1, 4].thread, by[1, 4].depth) == (0, 3) and by[2, 0].thread == 0 and by[2, 1].clean_text == ""
+    assert chat.link_quotes(df.limit(0)).count() == 0 and chat.build_conversations(chat.link_quotes(df.limit(0))).count() == 0
+    built = {(r.conv_id, r.thread): r for r in chat.build_conversations(chat.link_quotes(df)).collect()}
+    assert built[1, 0].n_messages == 5 and built[1, 0].replies == "1<0 2<1 2<1 4<2" and built[1, 3].n_messages == 1
+    assert built[1, 0].formatted.startswith("<|user|>\nHello there my friend\nhow is it going today?\n<|end|>\n<|assistant|>\nquite fine") and ">" not in built[1, 0].formatted.replace("|>", "")
+    assert {(None, None), (2, 0), (2, 1)} <= {(r, th if r else None) for r, th in built}
+
+
+def test_quotes_link_however_their_lines_break(spark):
+    said = "One thing that I said was long enough to be broken. Another was not. And a third one ended it."
+    rows = [
+        (1, 0, "user", said),
+        (1, 1, "a", "> One thing that I said was long\n> enough to be broken. Another was\n> not. And a third one ended it.\nyes"),
+        (1, 2, "a", "> long enough to be no sentence\n> And a third one\n> ended it.\nok then"),
+        (1, 3, "b", "> yes\nshort and said once"),
+        (1, 4, "b", "> Another was not.\nok then"),
+        (1, 5, "b", "> ok then\nshort and said twice"),
+        (1, 6, "b", "> it was never said\nx"),
+    ]
+    got = {r.turn: [(x.level, x.turn) for x in r.links] for r in chat.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got == {0: [], 1: [(1, 0)], 2: [], 3: [(1, 1)], 4: [(1, 0)], 5: [], 6: []}
+
+
+def test_long_threads_go_on_in_parts(spark):
+    rows = [(1, 0, "u", "message number 0 of a long thread")] + [(1, k, "u", f"> message number {k - 1} of a long thread\nmessage number {k} of a long thread") for k in range(1, 150)]
+    rows += [(1, 149, "u", f"> message number 148 of a long thread\nvariant {k} of the last one") for k in range(40)] + [(2, 0, "u", "twice")] * 2
+    built = chat.build_conversations(chat.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()
+    one = [r for r in built if r.conv_id == 1]
+    assert {r.thread for r in one} == {0} and {r.part for r in one} == {0, 1, 2} and sum(r.n_messages for r in one) == 190 and max(r.n_messages for r in one) <= 64
+    assert [r.n_messages for r in built if r.conv_id == 2] == [1]
 
 
 @pytest.mark.parametrize("name", ["op6_license_scan", "op10_chat_format"])
