@@ -160,31 +160,87 @@ def _prefixes(members: DataFrame, often: np.ndarray, percent: int) -> DataFrame:
     return members.select("head", "part", "shingles").mapInArrow(cut, "shingle long, head long, part long, size long")
 
 
-def _prefix_pairs(rest: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
-    """Pairs (a, b) of rows in different parts that may be alike to `percent`: they share one of the first shingles in
-    an order of rarity, and the smaller set has `percent` of the larger one's size. None that is alike is left out.
-
-    Shingles that only one part has give no pair. Rows that share a frequent first shingle are compared block by block.
-    """
-    members = rest.join(sets.select(F.col("id").alias("head"), "shingles"), "head")
+def _open_rows(many: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The heads of (head, part) that share one of their first shingles, rare ones first, with a row of another part; the others are alike to none."""
+    members = many.join(sets.select(F.col("id").alias("head"), "shingles"), "head")
     first = checkpointed(_prefixes(members, _frequent(sets), percent).withColumn("salt", salt("head")))
-    open_ = first.groupBy("shingle").agg(F.min("part").alias("x"), F.max("part").alias("y"), F.count("*").alias("n"), salts_seen()).where("x <> y")
-    held = first.join(open_.select("shingle", F.ceil(F.col("n") / block).cast("int").alias("blocks"), each_salt()), ["shingle", "salt"])
-    held = held.withColumn("blk", F.pmod(F.xxhash64("head"), "blocks").cast("int")).drop("salt")
-    left = held.select("shingle", "blk", F.col("head").alias("a"), F.col("part").alias("pa"), F.col("size").alias("na"))
-    right = held.select("shingle", F.col("head").alias("b"), F.col("part").alias("pb"), F.col("size").alias("nb"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("blk"))
-    alike = (F.col("pa") < F.col("pb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    return left.join(right, ["shingle", "blk"]).where(alike).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    shared = first.groupBy("shingle").agg(F.min("part").alias("x"), F.max("part").alias("y"), salts_seen()).where("x <> y").select("shingle", each_salt())
+    return first.join(shared, ["shingle", "salt"]).select("head").distinct()
+
 
+def _block_pairs(rest: DataFrame, block: int) -> DataFrame:
+    """(band, head, part, i, j, blk) for each row and each pair of blocks that it takes part in.
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75, bands: int = 24, rows: int = 3, few_rows: int = 24, block: int = 1024) -> DataFrame:
+    A component with a block's rows or more has blocks of its own, which are not paired with each other; the rows of
+    smaller ones share blocks. So rows of one component are compared with what is not in it only.
+    """
+    sizes = rest.groupBy("band", "part").agg(F.count("*").alias("n"), salts_seen())
+    own = rest.join(sizes.select("band", "part", F.when(F.col("n") >= block, F.col("part")).otherwise(-1).alias("whose"), each_salt()), ["band", "part", "salt"])
+    cells = own.groupBy("band", "whose").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), salts_seen())
+    dealt = own.join(cells.select("band", "whose", "blocks", each_salt()), ["band", "whose", "salt"]).withColumn("blk", F.struct("whose", F.pmod(F.xxhash64("head"), "blocks").cast("int").alias("k"))).select("band", "head", "part", "blk")
+    blocks = cells.select("band", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct("whose", k.alias("k")))).alias("i"))
+    two = blocks.join(blocks.withColumnRenamed("i", "j"), "band").where("i <= j AND (i.whose <> j.whose OR i.whose = -1)")
+    sides = two.select("band", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("blk"))
+    return dealt.join(sides, ["band", "blk"])
+
+
+def _block_links(keys: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between rows of different parts in the pairs of blocks, enough of them to join what they join; at most one for each row and pair of blocks."""
+
+    def compare(key, table):
+        first, second, ids, part = (table.column(c).to_numpy(zero_copy_only=False) for c in ("first", "second", "head", "part"))
+        lists = table.column("shingles").combine_chunks()
+        size = lists.value_lengths().to_numpy().astype(np.int64)
+        row = np.repeat(np.arange(len(ids)), size)
+        _, code, times = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
+        often = times[code] > 1  # what only one row has is in no intersection
+        place = np.cumsum(times > 1) - 1
+        code, row = place[code[often]], row[often]
+        order = np.argsort(code, kind="stable")
+        code, row = code[order], row[order]
+        x, y = np.flatnonzero(first), np.flatnonzero(second)
+        at = np.empty(len(ids), np.int64)
+        both = np.zeros((len(x), len(y)), np.float32)
+        columns = int(code[-1]) + 1 if len(code) else 0
+        for lo in range(0, columns, 16_384):
+            begin, end = np.searchsorted(code, [lo, lo + 16_384])
+            c, r = code[begin:end] - lo, row[begin:end]
+            sides = []
+            for side, of in ((x, first), (y, second)):
+                at[side] = np.arange(len(side))
+                hit = of[r]
+                m = np.zeros((len(side), min(16_384, columns - lo)), np.float32)
+                m[at[r[hit]], c[hit]] = 1
+                sides.append(m)
+            both += sides[0] @ sides[1].T
+        a, b = np.nonzero((100 * both >= percent * (size[x][:, None] + size[y][None, :] - both)) & (part[x][:, None] != part[y][None, :]))
+        a, b = x[a], y[b]
+        root = np.arange(len(ids))
+        while True:  # the smallest place that each row reaches
+            low = root.copy()
+            np.minimum.at(low, a, root[b])
+            np.minimum.at(low, b, root[a])
+            low = low[low]
+            if (low == root).all():
+                break
+            root = low
+        some = np.flatnonzero(root != np.arange(len(ids)))
+        return pa.table({"a": pa.array(ids[root[some]]), "b": pa.array(ids[some])})
+
+    full = keys.withColumn("first", F.col("blk") == F.col("i")).withColumn("second", F.col("blk") == F.col("j")).drop("blk")
+    full = full.join(sets.select(F.col("id").alias("head"), "shingles"), "head")
+    return full.groupBy("band", "i", "j").applyInArrow(compare, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75, bands: int = 24, rows: int = 3, few_rows: int = 24, block: int = 384) -> DataFrame:
     """(id, n_shingles, component_id, kept) for each row of docs: groups linked by shingle sets alike to `percent` or more.
 
     Rows with the same set are one class, stood for by its smallest id. Classes that share a band are candidates; a band
     compares its members with its smallest first, and then only members that are not yet in one component, so that a group
     of copies costs as many comparisons as it has members, and no link that joins two components is left out.
-    What is left of a band of up to `few_rows` rows is compared pair by pair; rows left in larger bands are compared where
-    they share one of their rare shingles and are in different components (see `_prefix_pairs`), `block` rows at a time.
+    What is left of a band of up to `few_rows` rows is compared pair by pair. Of what is left of larger bands, rows that
+    share none of their rare shingles with another component are done (`_open_rows`); the others are compared in blocks of
+    `block` rows, two by two, inside a task, but those of one component not with each other (`_block_pairs`).
     Every link is confirmed on full sets. At the limit of similarity, 24 bands of 3 values miss a link with a chance of
     2 in a million, the next ones with less. Empty and null texts have no shingle and link with nothing; a null id is
     a row of its own. Repeated ids count as one document with each of their texts. Extra columns are left out.
@@ -209,12 +265,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     few = rest.where(F.col("n") <= few_rows)
     left = few.select("band", F.col("head").alias("a"), F.col("part").alias("pa"))
     right = few.select("band", F.col("head").alias("b"), F.col("part").alias("pb"))
-    more = left.join(right, "band").where("pa < pb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    many = rest.where(F.col("n") > few_rows).select("head", "part").distinct()
-    if not many.isEmpty():
-        more = more.union(_prefix_pairs(many, sets, percent, block))
-    more = checkpointed(more.distinct().join(star, ["a", "b"], "left_anti"))
+    more = left.join(right, "band").where("pa < pb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
     links = links.union(checkpointed(_links(more, sets, percent)))
+    many = rest.where(F.col("n") > few_rows)
+    if not many.isEmpty():
+        heads_ = _open_rows(many.select("head", "part").distinct(), sets, percent)
+        keys = _block_pairs(many.join(heads_, "head", "left_semi"), block)
+        links = links.union(checkpointed(_block_links(keys, sets, percent)))
     # copies get their component through their class; ids that stand in several classes join those
     classes = heads.where("members > 1").select(*key, "head")
     rows_ = spread_join(signed.select("id", *key), classes, key, "id", "left").select("id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("head", "id")).alias("head"))
