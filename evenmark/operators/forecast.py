@@ -173,11 +173,17 @@ def walk_forward(folds: DataFrame) -> DataFrame:
     return counted.join(F.broadcast(prior.agg(F.countDistinct("player", "fold").alias("folds_with_prior"), F.count("*").alias("prior_references"))))
 
 
+def field_text(fields: list[Column]) -> Column:
+    """The fields as one text that no other fields have: each behind its number of characters, null as a dash."""
+    texts = [c.cast("string") for c in fields]
+    return F.concat(*[F.coalesce(F.concat(F.char_length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in texts])
+
+
 def content_digest(rows: DataFrame, fields: list[Column]) -> DataFrame:
     """(rows, digest): a digest of a set of rows that does not depend on their order or partitions.
 
     Each row's text is hashed with SHA-256; the rows' digests are added as integers in four parts, so nothing is gathered.
     """
-    line = F.sha2(F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("~")) for c in fields]), 256)
+    line = F.sha2(field_text(fields), 256)
     parts = [F.sum(F.conv(F.substring(line, 1 + 8 * k, 8), 16, 10).cast("decimal(38,0)")) for k in range(4)]
     return rows.agg(F.count("*").alias("rows"), F.concat_ws("-", *[F.coalesce(p, F.lit(0)).cast("string") for p in parts]).alias("digest"))

@@ -101,15 +101,24 @@ def violations(rows: DataFrame, rules: list[tuple[str, Column]]) -> DataFrame:
 
 
 def model_context(requests: DataFrame, versions: DataFrame, key: str, request_id: str) -> DataFrame:
-    """Each request (cutoff, checkpoint): the newest usable version at the cutoff, the heads there and now, and its display state."""
-    j = requests.join(versions, key, "left")
+    """Each request (cutoff, checkpoint): the newest usable version at the cutoff, the heads there and now, and its display state.
+
+    Versions and requests stand in two orders of one key, by what is known at the cutoff and by what is known now; a
+    request takes the running maxima at its rows.
+    """
     clock = F.struct("available_at", "ingested_at", "row_id")
-    then = (F.col("available_at") <= F.col("cutoff")) & (F.col("ingested_at") <= F.col("cutoff"))
-    now = F.col("ingested_at") <= F.col("checkpoint")
     usable = F.col("state") == "usable"
-    out = j.groupBy(request_id, key).agg(F.max(F.when(then & usable, clock)).alias("sel"), F.max(F.when(then, clock)).alias("vis"), F.max(F.when(now, clock)).alias("cur"), F.max_by("state", F.when(now, clock)).alias("cs"), F.max_by("data", F.when(then & usable, clock)).alias("data"), F.sort_array(F.collect_set(F.when(then, F.col("job")))).alias("inputs"))
-    state = first_of(("unavailable", F.col("sel").isNull()), ("stale", (F.col("cur") > F.col("sel")) & (F.col("cs") != "usable")), ("superseded", F.col("cur") > F.col("sel")))
-    return out.select(request_id, key, F.col("sel.row_id").alias("selected"), F.col("vis.row_id").alias("visible_head"), F.col("cur.row_id").alias("current_head"), F.coalesce(state, F.lit("current")).alias("display"), "data", "inputs")
+    right = versions.select(key, F.when(F.col("available_at").isNotNull() & F.col("ingested_at").isNotNull(), F.greatest("available_at", "ingested_at")).alias("_then"), F.col("ingested_at").alias("_now"), clock.alias("c"), "state", "data", "job", usable.alias("u"))
+    asked = requests.select(request_id, key, F.col("cutoff").alias("_then"), F.col("checkpoint").alias("_now"), F.lit(True).alias("_asked"))
+    both, (then, now) = T.in_time(right, asked, [key], ["_then", "_now"])
+    known, stored = F.col("_then").isNotNull(), F.col("_now").isNotNull()
+    out = both.select(
+        request_id, key, "_asked",
+        F.max(F.when(known & F.col("u"), F.struct("c", "data"))).over(then).alias("s"), F.max(F.when(known, F.col("c"))).over(then).alias("vis"), F.sort_array(F.collect_set(F.when(known, F.col("job"))).over(then)).alias("inputs"),
+        F.max(F.when(stored, F.struct("c", "state"))).over(now).alias("r"),
+    ).where("_asked").withColumn("sel", F.col("s.c")).withColumn("cur", F.col("r.c"))
+    state = first_of(("unavailable", F.col("sel").isNull()), ("stale", (F.col("cur") > F.col("sel")) & (F.col("r.state") != "usable")), ("superseded", F.col("cur") > F.col("sel")))
+    return out.select(request_id, key, F.col("sel.row_id").alias("selected"), F.col("vis.row_id").alias("visible_head"), F.col("cur.row_id").alias("current_head"), F.coalesce(state, F.lit("current")).alias("display"), F.col("s.data").alias("data"), "inputs")
 
 
 def batch_forecast(requests: DataFrame, context: DataFrame, folds: DataFrame, rights: DataFrame, request_id: str) -> DataFrame:

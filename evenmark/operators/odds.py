@@ -72,11 +72,10 @@ def first_outcomes(outcomes: DataFrame, order: list[str]) -> DataFrame:
 
 def player_lines(outcomes: DataFrame, order: list[str]) -> DataFrame:
     """Over and Under of one book as a row, where the first of each stand at the same point."""
-    one = first_outcomes(outcomes.where(F.col("side").isin("Over", "Under")), order)
-    keys = ["event", "market", "book", "player", "point"]
-    over = one.where("side = 'Over' AND point IS NOT NULL").select(*keys, F.col("price").alias("over_price"))
-    under = one.where("side = 'Under'").select(*keys, F.col("price").alias("under_price"))
-    return over.join(under, keys)
+    place = F.struct(*order)
+    first = lambda side: F.min_by(F.struct("point", "price"), F.when(F.col("side") == side, place))
+    both = outcomes.groupBy("event", "market", "book", "player").agg(first("Over").alias("o"), first("Under").alias("u"))
+    return both.where("o.point = u.point").select("event", "market", "book", "player", "o.point", F.col("o.price").alias("over_price"), F.col("u.price").alias("under_price"))
 
 
 def regroup_by_player(outcomes: DataFrame) -> DataFrame:

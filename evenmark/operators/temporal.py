@@ -5,20 +5,20 @@ Versions carry two clocks: available_at (when the source had it) and ingested_at
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.folders import shared_folder
+
 STRICT, RETROSPECTIVE = "strict-point-in-time-v1", "retrospective-reconstruction-v1"
 UNVERIFIED = "historical-availability-unverified"
 
 
 def cut(df: DataFrame) -> DataFrame:
     """The rows without their lineage, in the shared checkpoint folder of the session."""
-    spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
@@ -41,15 +41,31 @@ def normalized_as_of(versions: DataFrame, cutoff, checkpoint, mode: str, keys: t
     return out.select(*keys, "rivals", "row_ids", F.when(many, "ambiguous").otherwise(F.col("s")).alias("state"), F.when(~many, F.col("d")).alias("data"), flags.alias("flags"))
 
 
+def in_time(right: DataFrame, requests: DataFrame, keys: list[str], axes: list[str]) -> tuple[DataFrame, list]:
+    """Both sides as rows of one table, and for each axis the window up to a row in its keys' order: right rows first at equal times.
+
+    right and requests: keys and axes, times of one type; requests also have `_asked`. What a request may see is then the
+    running aggregate at its row: each key is sorted once for an axis, and no request is paired with the rows of its key.
+    """
+    both = right.dropna(subset=keys).unionByName(requests, allowMissingColumns=True)
+    order = [Window.partitionBy(*keys).orderBy(F.col(a).asc_nulls_first(), F.asc_nulls_first("_asked")).rowsBetween(Window.unboundedPreceding, Window.currentRow) for a in axes]
+    return both, order
+
+
 def as_of_join(requests: DataFrame, versions: DataFrame, keys: list[str], mode: str, request_id: str) -> DataFrame:
-    """Each request (keys, request_id, cutoff, checkpoint) with its newest visible version and the rivals at its clocks; none gives nulls."""
-    j = requests.join(versions, keys, "left").withColumn("_ok", F.coalesce(visible(("available_at", "ingested_at"), F.col("cutoff"), F.col("checkpoint"), mode), F.lit(False)))
-    clock = F.when(F.col("_ok"), F.struct("available_at", "ingested_at"))
-    w = Window.partitionBy(request_id)
-    j = j.withColumn("_top", F.max(clock).over(w))
-    best = j.withColumn("_hit", F.col("_ok") & clock.eqNullSafe(F.col("_top")))
-    picked = F.when(F.col("_hit"), F.struct("row_id", "data", "state", "available_at", "ingested_at"))
-    return best.groupBy(request_id, *keys).agg(F.count_if("_hit").alias("rivals"), F.min(picked).alias("v")).select(request_id, *keys, "rivals", "v.row_id", "v.available_at", "v.ingested_at", F.when(F.col("rivals") == 1, F.col("v.data")).alias("data"))
+    """Each request (keys, request_id, cutoff, checkpoint) with its newest visible version and the rivals at its clocks; none gives nulls.
+
+    A version is visible from the later of its clocks on (in strict mode), so the newest visible one is a running maximum.
+    """
+    strict = mode == STRICT
+    clocks = ["available_at", "ingested_at"]
+    one = versions.dropna(subset=clocks if strict else clocks[1:]).groupBy(*keys, *clocks).agg(F.count("*").alias("rivals"), F.min(F.struct("row_id", "data")).alias("v"))
+    right = one.select(*keys, (F.greatest(*clocks) if strict else F.col("ingested_at")).alias("_at"), F.struct(*clocks, "rivals", "v").alias("_v"))
+    limit = F.least("cutoff", "checkpoint") if strict else F.col("checkpoint")
+    asked = requests.select(request_id, *keys, (F.when(F.col("cutoff").isNotNull() & F.col("checkpoint").isNotNull(), limit) if strict else limit).alias("_at"), F.lit(True).alias("_asked"))
+    both, (up_to,) = in_time(right, asked, keys, ["_at"])
+    best = both.withColumn("v", F.max("_v").over(up_to)).where("_asked")
+    return best.select(request_id, *keys, F.coalesce("v.rivals", F.lit(0)).alias("rivals"), "v.v.row_id", "v.available_at", "v.ingested_at", F.when(F.col("v.rivals") == 1, F.col("v.v.data")).alias("data"))
 
 
 def heads(versions: DataFrame, keys: list[str], order: list[Column], state: str = "state") -> DataFrame:
@@ -104,11 +120,15 @@ def closure(edges: DataFrame, roots: DataFrame, most: int = 10_000) -> DataFrame
 
 
 def effective_rights(requests: DataFrame, decisions: DataFrame, request_id: str) -> DataFrame:
-    """Each request (request_id, profile, valid_at, known_at) with the newest known and started decision; an expired one allows nothing."""
-    known = (F.col("recorded_at") <= F.col("known_at")) & (F.col("valid_from") <= F.col("valid_at"))
-    j = requests.join(decisions, "profile", "left")
-    top = F.max(F.when(known, F.struct("recorded_at", "decision", "valid_until", "uses"))).alias("d")
-    out = j.groupBy(request_id, "profile", "valid_at", "known_at").agg(top)
+    """Each request (request_id, profile, valid_at, known_at) with the newest known and started decision; an expired one allows nothing.
+
+    A profile's decisions travel as one array, newest first, so a request stays one row; the array is as long as the
+    profile's legal history.
+    """
+    newest = F.sort_array(F.collect_list(F.struct("recorded_at", "decision", "valid_from", "valid_until", "uses")), asc=False)
+    held = decisions.where("profile is not null").groupBy("profile").agg(newest.alias("_all"))
+    known = F.filter("_all", lambda d: (d["recorded_at"] <= F.col("known_at")) & (d["valid_from"] <= F.col("valid_at")))
+    out = requests.select(request_id, "profile", "valid_at", "known_at").distinct().join(held, "profile", "left").withColumn("d", F.get(known, F.lit(0))).drop("_all")
     live = F.col("d.valid_until").isNull() | (F.col("d.valid_until") > F.col("valid_at"))
     return out.select(request_id, "profile", F.col("d.decision").alias("decision"), F.when(F.col("d").isNotNull(), F.when(live, F.col("d.uses")).otherwise(F.lit(""))).alias("uses"))
 
@@ -120,11 +140,28 @@ def rights_gate(inputs: DataFrame, rights: DataFrame, key: str, use: str) -> Dat
 
 
 def interval_value(requests: DataFrame, intervals: DataFrame, keys: list[str], request_id: str) -> DataFrame:
-    """(request_id, status, value): values whose interval [valid_from, valid_until) holds the request's `at`: missing, one or conflict."""
-    inside = (F.col("valid_from") <= F.col("at")) & (F.col("valid_until").isNull() | (F.col("at") < F.col("valid_until")))
-    j = requests.join(intervals, keys, "left").withColumn("_v", F.when(inside, F.col("value")))
-    out = j.groupBy(request_id).agg(F.countDistinct("_v").alias("n"), F.min("_v").alias("v"))
-    return out.select(request_id, F.when(F.col("n") == 0, "missing").when(F.col("n") == 1, "one").otherwise("conflict").alias("status"), F.when(F.col("n") == 1, F.col("v")).alias("value"))
+    """(request_id, status, value): values whose interval [valid_from, valid_until) holds the request's `at`: missing, one or conflict.
+
+    Intervals of one value that meet or overlap are one first. Then begins and ends stand with the requests in the order
+    of time, and a request counts the values begun and not ended: a running sum, not a pair of request and interval.
+    `request_id` names a row; requests of one id are taken together.
+    """
+    whole = intervals.dropna(subset=[*keys, "value", "valid_from"]).where("valid_until IS NULL OR valid_until > valid_from")
+    end = F.struct(F.col("valid_until").isNull().alias("open"), F.col("valid_until").alias("at"))
+    in_order = Window.partitionBy(*keys, "value").orderBy("valid_from")
+    before = F.max(end).over(in_order.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = whole.withColumn("_b", before).withColumn("_new", F.coalesce((~F.col("_b.open") & (F.col("_b.at") < F.col("valid_from"))).cast("int"), F.lit(1)))
+    islands = fresh.withColumn("_n", F.sum("_new").over(in_order.rowsBetween(Window.unboundedPreceding, 0))).groupBy(*keys, "value", "_n").agg(F.min("valid_from").alias("b"), F.max(end).alias("e"))
+    coded = islands.withColumn("code", F.dense_rank().over(Window.partitionBy(*keys).orderBy("value")).cast("long"))
+    event = lambda at, step: F.struct(at.alias("at"), F.lit(step).alias("step"))
+    marks = coded.withColumn("x", F.explode(F.array(event(F.col("b"), 1), event(F.when(~F.col("e.open"), F.col("e.at")), -1)))).where("x.at is not null").select(*keys, F.col("x.at").alias("_at"), F.col("x.step").alias("n"), (F.col("x.step") * F.col("code")).alias("code"))
+    marks = marks.groupBy(*keys, "_at").agg(F.sum("n").alias("n"), F.sum("code").alias("code"))
+    both, (up_to,) = in_time(marks, requests.select(request_id, *keys, F.col("at").alias("_at"), F.lit(True).alias("_asked")), keys, ["_at"])
+    seen = both.select(request_id, *keys, "_asked", F.sum("n").over(up_to).alias("n"), F.sum("code").over(up_to).alias("code")).where("_asked").withColumn("code", F.when(F.col("n") == 1, F.col("code")))
+    held = seen.join(coded.select(*keys, "code", "value").distinct(), [*keys, "code"], "left")
+    out = held.groupBy(request_id).agg(F.max(F.coalesce("n", F.lit(0))).alias("most"), F.min("value").alias("lo"), F.max("value").alias("hi"))
+    many = (F.col("most") > 1) | (F.col("lo") != F.col("hi"))
+    return out.select(request_id, F.when(many, "conflict").when(F.col("most") == 0, "missing").otherwise("one").alias("status"), F.when(~many, F.col("lo")).alias("value"))
 
 
 def completed_by(rows: DataFrame, jobs: DataFrame, at, job: str = "job") -> DataFrame:

@@ -175,6 +175,6 @@ def s9(spark, sf):
     return m.select("stratum", "threshold", F.when(F.isnan("log_loss"), F.raise_error(F.lit("invalid-nonfinite-report-value"))).when(F.col("log_loss") == float("inf"), "positive-infinity").otherwise("finite").alias("log_loss"))
 
 
-@query("f19_content_digest", "SELECT count(*) AS rows, " + " || '-' || ".join(f"CAST(sum(CAST('0x' || substr(h, {1 + 8 * k}, 8) AS HUGEINT)) AS VARCHAR)" for k in range(4)) + " AS digest FROM (SELECT sha256(CAST(player AS VARCHAR) || '|' || CAST(game AS VARCHAR) || '|' || CAST(value AS VARCHAR)) AS h FROM history)")
+@query("f19_content_digest", "SELECT count(*) AS rows, " + " || '-' || ".join(f"CAST(sum(CAST('0x' || substr(h, {1 + 8 * k}, 8) AS HUGEINT)) AS VARCHAR)" for k in range(4)) + " AS digest FROM (SELECT sha256(length(CAST(player AS VARCHAR)) || ':' || CAST(player AS VARCHAR) || length(CAST(game AS VARCHAR)) || ':' || CAST(game AS VARCHAR) || length(CAST(value AS VARCHAR)) || ':' || CAST(value AS VARCHAR)) AS h FROM history)")
 def f19(spark, sf):
     return M.content_digest(view(spark, sf, "history"), [F.col("player"), F.col("game"), F.col("value")])

@@ -72,7 +72,7 @@ def a16(spark, sf):
     return O.joint_probability(q, "batch", "p").withColumn("probability", F.round("probability", 6))
 
 
-@query("p11_player_lines", f"WITH f AS ({FIRST}) SELECT o.event, o.market, o.book, o.player, o.point, o.price AS over_price, u.price AS under_price FROM f o JOIN f u USING (event, market, book, player, point) WHERE o.side = 'Over' AND u.side = 'Under'")
+@query("p11_player_lines", f"WITH g AS (SELECT event, market, book, player, max(point) FILTER (WHERE side = 'Over') AS point, max(point) FILTER (WHERE side = 'Under') AS other, max(price) FILTER (WHERE side = 'Over') AS over_price, max(price) FILTER (WHERE side = 'Under') AS under_price FROM ({FIRST}) GROUP BY ALL) SELECT event, market, book, player, point, over_price, under_price FROM g WHERE point = other")
 def p11(spark, sf):
     return O.player_lines(view(spark, sf, "outcomes"), ["captured_at", "batch", "seq", "point", "price"]).select("event", "market", "book", "player", "point", "over_price", "under_price")
 

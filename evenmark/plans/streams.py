@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..fixtures import view
 from ..sources import files as R
 from ..sources import sinks as S
+from ..sources.folders import shared_folder
 from ..streaming import live as X
 from .registry import query
 
@@ -77,7 +80,7 @@ def x9(spark, sf):
     return X.purge(b, 1_706_600_000).groupBy("subject").agg(F.count("*").alias("buckets"))
 
 
-@query("s6_content_addressed_append", """WITH q AS (SELECT event, market, captured_at, sha256(string_agg(CAST(book AS VARCHAR) || '|' || CAST(player AS VARCHAR) || '|' || CAST(CAST(point * 2 AS BIGINT) AS VARCHAR), chr(10) ORDER BY CAST(book AS VARCHAR) || '|' || CAST(player AS VARCHAR) || '|' || CAST(CAST(point * 2 AS BIGINT) AS VARCHAR))) AS content_hash, count(*) AS quotes FROM quotes GROUP BY ALL)
+@query("s6_content_addressed_append", """WITH q AS (SELECT event, market, captured_at, sha256(string_agg(length(CAST(book AS VARCHAR)) || ':' || CAST(book AS VARCHAR) || length(CAST(player AS VARCHAR)) || ':' || CAST(player AS VARCHAR) || length(CAST(CAST(point * 2 AS BIGINT) AS VARCHAR)) || ':' || CAST(CAST(point * 2 AS BIGINT) AS VARCHAR), chr(10) ORDER BY length(CAST(book AS VARCHAR)) || ':' || CAST(book AS VARCHAR) || length(CAST(player AS VARCHAR)) || ':' || CAST(player AS VARCHAR) || length(CAST(CAST(point * 2 AS BIGINT) AS VARCHAR)) || ':' || CAST(CAST(point * 2 AS BIGINT) AS VARCHAR))) AS content_hash, count(*) AS quotes FROM quotes GROUP BY ALL)
     SELECT event, market, captured_at, content_hash, quotes FROM (SELECT *, row_number() OVER (PARTITION BY event, market, content_hash ORDER BY captured_at) AS n FROM q WHERE captured_at >= 9500) WHERE n = 1 AND (event, market, content_hash) NOT IN (SELECT (event, market, content_hash) FROM q WHERE captured_at < 9500)""")
 def s6(spark, sf):
     q = view(spark, sf, "quotes").withColumn("point2", (F.col("point") * 2).cast("long"))
@@ -96,7 +99,7 @@ def s4(spark, sf):
 DIGEST = " || '-' || ".join(f"CAST(sum(CAST('0x' || substr(h, {1 + 8 * k}, 8) AS HUGEINT)) AS VARCHAR)" for k in range(4))
 
 
-@query("s7_publish_dataset", f"SELECT count(*) AS rows, {DIGEST} AS digest FROM (SELECT sha256(CAST(player AS VARCHAR) || '|' || CAST(game AS VARCHAR) || '|' || CAST(value AS VARCHAR)) AS h FROM history)")
+@query("s7_publish_dataset", f"SELECT count(*) AS rows, {DIGEST} AS digest FROM (SELECT sha256(length(CAST(player AS VARCHAR)) || ':' || CAST(player AS VARCHAR) || length(CAST(game AS VARCHAR)) || ':' || CAST(game AS VARCHAR) || length(CAST(value AS VARCHAR)) || ':' || CAST(value AS VARCHAR)) AS h FROM history)")
 def s7(spark, sf):
     h = view(spark, sf, "history")
     m = S.publish_dataset(h, _folder(spark, "datasets"), ["player", "game", "value"])
@@ -111,12 +114,8 @@ def s8(spark, sf):
 
 
 def _folder(spark, name: str) -> str:
-    """A new folder in the space that executors share; in a local session, which names none, a temporary one."""
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}" if base else f"{tempfile.mkdtemp(prefix='spark-')}/{name}"
+    """A new folder in the space that executors share."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 @query("s1_csv_feed", "SELECT position, season, count(*) AS rows, count(DISTINCT player_id) AS players FROM feed_stats GROUP BY ALL")

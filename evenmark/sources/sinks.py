@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.forecast import content_digest
+from ..operators.forecast import content_digest, field_text
 
 
 def append_evidence(rows: DataFrame, path: str) -> None:
@@ -15,7 +15,7 @@ def append_evidence(rows: DataFrame, path: str) -> None:
 
 def quote_sets(quotes: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
     """(keys, content_hash, quotes): one row for each observation's set of quotes, hashed in sorted order."""
-    line = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in fields])
+    line = field_text([F.col(c) for c in fields])
     return quotes.groupBy(*keys).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("content_hash"), F.count("*").alias("quotes"))
 
 

@@ -1,8 +1,7 @@
 """Every registered query against its SQL."""
 
 import pytest
-from compare import duck, rows_of
-from conftest import SMALL
+from compare import SMALL, duck, rows_of
 from evenmark.plans import all as plans
 
 
