@@ -18,9 +18,12 @@ def _ticks(spark, sf):
     return view(spark, sf, "ticks").selectExpr("*", "price AS over_price", "1 + (event_id % 7) / 5D AS under_price", "100 + event_id % 300 AS line", "event_id div 50 AS session")
 
 
-@query("x1_live_scoring", """WITH r AS (SELECT player, list(value) AS vals FROM (SELECT *, row_number() OVER (PARTITION BY player ORDER BY kickoff DESC, game DESC) AS n FROM history) WHERE n <= 5 GROUP BY player),
+SCORING = """WITH r AS (SELECT player, list(value) AS vals FROM (SELECT *, row_number() OVER (PARTITION BY player ORDER BY kickoff DESC, game DESC) AS n FROM history) WHERE n <= 5 GROUP BY player),
     t AS (SELECT *, 1 + (event_id % 7) / 5 AS u, 100 + event_id % 300 AS line FROM ticks), j AS (SELECT event_id, prop, ts, CASE WHEN is_error THEN 'feed-error' WHEN vals IS NULL THEN 'no-history' WHEN price <= 1 OR u <= 1 THEN 'no-consensus' END AS error, len(list_filter(vals, lambda v: v > line)) / len(vals) - (1 / price) / (1 / price + 1 / u) AS edge FROM t LEFT JOIN r ON player = prop)
-    SELECT event_id, prop, ts, error, CASE WHEN error IS NULL THEN round(edge, 6) END AS edge FROM j""")
+    SELECT event_id, prop, ts, error, CASE WHEN error IS NULL THEN round(edge, 6) END AS edge FROM j"""
+
+
+@query("x1_live_scoring", SCORING)
 def x1(spark, sf):
     return X.score_ticks(_ticks(spark, sf), view(spark, sf, "history")).withColumn("edge", F.round("edge", 6))
 
@@ -40,18 +43,27 @@ def x3(spark, sf):
     return X.staleness(view(spark, sf, "ticks"), 6 * 3_600_000_000)
 
 
-@query("x4_tick_cap", "SELECT prop, event_id, attempt FROM (SELECT *, row_number() OVER (PARTITION BY prop ORDER BY ts, event_id) AS attempt FROM ticks) WHERE attempt <= 20")
+CAP = "SELECT prop, event_id, attempt FROM (SELECT *, row_number() OVER (PARTITION BY prop ORDER BY ts, event_id) AS attempt FROM ticks) WHERE attempt <= 20"
+
+
+@query("x4_tick_cap", CAP)
 def x4(spark, sf):
     return X.capped(view(spark, sf, "ticks"), 20).select("prop", "event_id", "attempt")
 
 
-@query("x5_ev_history", """WITH g AS (SELECT *, event_id // 50 AS s, coalesce(CAST(lag(event_id // 50) OVER (PARTITION BY prop ORDER BY ts, event_id) <> event_id // 50 AS INT), 1) AS n FROM ticks WHERE NOT is_error), r AS (SELECT *, sum(n) OVER (PARTITION BY prop ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM g)
-    SELECT prop, event_id, CAST(run AS BIGINT) AS run, row_number() OVER (PARTITION BY prop, run ORDER BY ts, event_id) AS place FROM r""")
+HISTORY = """WITH g AS (SELECT *, event_id // 50 AS s, coalesce(CAST(lag(event_id // 50) OVER (PARTITION BY prop ORDER BY ts, event_id) <> event_id // 50 AS INT), 1) AS n FROM ticks WHERE NOT is_error), r AS (SELECT *, sum(n) OVER (PARTITION BY prop ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM g)
+    SELECT prop, event_id, CAST(run AS BIGINT) AS run, row_number() OVER (PARTITION BY prop, run ORDER BY ts, event_id) AS place FROM r"""
+
+
+@query("x5_ev_history", HISTORY)
 def x5(spark, sf):
     return X.ev_history(_ticks(spark, sf)).select("prop", "event_id", "run", "place")
 
 
-@query("x6_minute_buckets", "SELECT subject, ts // 60000000 * 60 AS minute, count(*) AS total, count(*) FILTER (WHERE kind = 'view') AS view, count(*) FILTER (WHERE kind = 'click') AS click, count(*) FILTER (WHERE kind = 'purchase') AS purchase, count(*) FILTER (WHERE kind = 'error') AS error, count(*) FILTER (WHERE kind = 'signup') AS signup FROM requests GROUP BY ALL")
+BUCKETS = "SELECT subject, ts // 60000000 * 60 AS minute, count(*) AS total, count(*) FILTER (WHERE kind = 'view') AS view, count(*) FILTER (WHERE kind = 'click') AS click, count(*) FILTER (WHERE kind = 'purchase') AS purchase, count(*) FILTER (WHERE kind = 'error') AS error, count(*) FILTER (WHERE kind = 'signup') AS signup FROM requests GROUP BY ALL"
+
+
+@query("x6_minute_buckets", BUCKETS)
 def x6(spark, sf):
     return X.minute_buckets(view(spark, sf, "requests").withColumn("time", F.timestamp_micros("ts")), "time")
 
@@ -167,23 +179,40 @@ def _source(spark, sf, name: str):
     return spark.readStream.schema(rows.schema).parquet(path)
 
 
-@query("x1_stream_scoring", "SELECT count(*) AS ticks, count(*) FILTER (WHERE is_error) AS errors FROM ticks")
+WITH_LINES = ["*", "price AS over_price", "1 + (event_id % 7) / 5D AS under_price", "100 + event_id % 300 AS line", "event_id div 50 AS session"]
+#: Where the watermark of an hour stands when all events are read, in milliseconds.
+MARK = "(SELECT max(ts) // 1000 - 3600000 FROM {})"
+
+
+@query("x1_stream_scoring", SCORING)
 def x1_stream(spark, sf):
-    t = _source(spark, sf, "ticks").selectExpr("*", "price AS over_price", "1 + (event_id % 7) / 5D AS under_price", "100 + event_id % 300 AS line")
-    out = _run(spark, X.score_ticks(t, view(spark, sf, "history")))
-    return out.agg(F.count("*").alias("ticks"), F.count_if(F.col("error") == "feed-error").alias("errors"))
+    return _run(spark, X.score_ticks(_source(spark, sf, "ticks").selectExpr(*WITH_LINES), view(spark, sf, "history"))).withColumn("edge", F.round("edge", 6))
 
 
-@query("x3_stream_staleness", "SELECT prop, max(ts) AS last FROM ticks GROUP BY prop")
+@query("x2_stream_reuse", REUSE)
+def x2_stream(spark, sf):
+    return _run(spark, X.stream_reuse(_source(spark, sf, "ticks"), 6 * 3_600_000_000)).groupBy("prop").agg(F.count("*").alias("ticks"), F.count_if("refresh").alias("refreshes"))
+
+
+@query("x3_stream_staleness", f"""WITH r AS (SELECT *, lead(ts) OVER (PARTITION BY prop ORDER BY ts, event_id) AS nx FROM ticks) SELECT prop, event_id, ts, CASE WHEN is_error THEN 'stale' ELSE 'live' END AS state FROM r
+    UNION ALL SELECT prop, event_id, ts + 270000000, 'timed-out' FROM r WHERE NOT is_error AND coalesce(nx - ts > 270000000, true) AND (ts + 270000000) // 1000 < {MARK.format('ticks')}""")
 def x3_stream(spark, sf):
-    t = _source(spark, sf, "ticks").withWatermark("time", "1 hour")
-    return _run(spark, X.stream_staleness(t, 270_000)).groupBy("prop").agg(F.max(F.when(F.col("state") != "timed-out", F.col("ts"))).alias("last"))
+    return _run(spark, X.stream_staleness(_source(spark, sf, "ticks").withWatermark("time", "1 hour"), 270_000_000))
+
+
+@query("x4_stream_cap", CAP)
+def x4_stream(spark, sf):
+    return _run(spark, X.stream_capped(_source(spark, sf, "ticks"), 20)).select("prop", "event_id", "attempt")
 
 
-@query("x6_stream_buckets")
+@query("x5_stream_history", HISTORY)
+def x5_stream(spark, sf):
+    return _run(spark, X.stream_history(_source(spark, sf, "ticks").selectExpr(*WITH_LINES))).select("prop", "event_id", "run", "place")
+
+
+@query("x6_stream_buckets", f"SELECT * FROM ({BUCKETS}) WHERE minute * 1000 + 60000 <= {MARK.format('requests')}")
 def x6_stream(spark, sf):
-    out = _run(spark, X.minute_buckets(_source(spark, sf, "requests"), "time", "1 hour"))
-    return out.groupBy("subject").agg(F.count("*").alias("buckets"), F.sum("total").alias("requests"))
+    return _run(spark, X.minute_buckets(_source(spark, sf, "requests"), "time", "1 hour"))
 
 
 @query("x7_stream_limits", GCRA)
@@ -191,7 +220,13 @@ def x7_stream(spark, sf):
     return _run(spark, X.stream_limits(_source(spark, sf, "requests").withWatermark("time", "1 hour"), 8 * 3_600_000_000, 3))
 
 
-@query("x2_stream_reuse")
-def x2_stream(spark, sf):
-    out = _run(spark, X.stream_reuse(_source(spark, sf, "ticks"), "time", "prop", "6 hours"))
-    return out.groupBy("prop").agg(F.count("*").alias("refreshes"))
+@query("x8_stream_late", "SELECT prop, event_id, coalesce(ts >= 1704067200000000 + (prop % 30) * 86400000000, false) AS late FROM ticks")
+def x8_stream(spark, sf):
+    starts = view(spark, sf, "ticks").select("prop").distinct().withColumn("start", 1_704_067_200_000_000 + (F.col("prop") % 30) * 86_400_000_000)
+    return _run(spark, X.late_rows(_source(spark, sf, "ticks"), starts, "prop").select("prop", "event_id", "late"))
+
+
+@query("x9_stream_purge", f"SELECT subject, count(*) AS buckets FROM ({BUCKETS}) WHERE minute * 1000 + 60000 <= {MARK.format('requests')} AND minute > 1706600000 - 604800 GROUP BY subject")
+def x9_stream(spark, sf):
+    kept = X.purge(X.minute_buckets(_source(spark, sf, "requests"), "time", "1 hour"), 1_706_600_000)
+    return _run(spark, kept).groupBy("subject").agg(F.count("*").alias("buckets"))

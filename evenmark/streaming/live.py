@@ -5,6 +5,7 @@ A stateful rule is one function over a group's rows in event order; batches and
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import pandas as pd
@@ -77,27 +78,57 @@ def stream_limits(requests: DataFrame, interval: int, burst: int, idle: str = "2
     return requests.groupBy("subject").applyInPandasWithState(run, "subject long, event_id long, allowed boolean, retry long", "tat double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def _reuse(rows: Iterator[int], last: int | None, ttl_us: int) -> tuple[list[bool], int | None]:
+    """Whether each time begins a refresh, and the last refresh."""
+    fresh = []
+    for at in rows:
+        begin = last is None or at - last >= ttl_us
+        last = at if begin else last
+        fresh.append(begin)
+    return fresh, last
+
+
 def reuse_within(ticks: DataFrame, ttl_us: int, key: str = "prop") -> DataFrame:
     """Batch: each row, and whether it begins a refresh: the first of its key, or a TTL or more after the last refresh."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, last = None, None
         for pdf in batches:
-            fresh = []
-            for k, at in zip(pdf[key], pdf["ts"], strict=True):
-                begin = k != held or at - last >= ttl_us
-                if begin:
-                    held, last = k, at
-                fresh.append(begin)
+            fresh: list[bool] = []
+            for k, rows in pdf.groupby(key, sort=False):
+                found, last = _reuse(rows["ts"], last if k == held else None, ttl_us)
+                held = k
+                fresh += found
             yield pdf.assign(refresh=fresh)
 
     ordered = ticks.select(key, "ts", "event_id").repartition(key).sortWithinPartitions(key, "ts", "event_id")
     return ordered.mapInPandas(run, f"{key} long, ts long, event_id long, refresh boolean")
 
 
-def stream_reuse(ticks: DataFrame, time: str, key: str, ttl: str) -> DataFrame:
-    """Stream: rows that repeat a key within the watermark's delay are dropped."""
-    return ticks.withWatermark(time, ttl).dropDuplicatesWithinWatermark([key])
+def _keyed(rows: DataFrame, key: str, step, out: str, state: str) -> DataFrame:
+    """A stream's rows by key through step(key, rows in event order, old state or None) -> (output rows, new state).
+
+    A micro-batch's rows of a key are put into event order; a row that comes behind later ones of an earlier micro-batch
+    is taken when it comes. State stays as long as the stream: one value for each key.
+    """
+    names = [x.split()[0] for x in out.split(", ")]
+
+    def run(k, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        found, new = step(k[0], pd.concat(list(frames)).sort_values(["ts", "event_id"]), held.get if held.exists else None)
+        held.update(new)
+        yield pd.DataFrame(found, columns=names)
+
+    return rows.groupBy(key).applyInPandasWithState(run, out, state, "append", GroupStateTimeout.NoTimeout)
+
+
+def stream_reuse(ticks: DataFrame, ttl_us: int, key: str = "prop") -> DataFrame:
+    """Stream: each row, and whether it begins a refresh; the last refresh of a key is its state."""
+
+    def step(k, rows, held):
+        fresh, last = _reuse(rows["ts"], held[0] if held else None, ttl_us)
+        return list(zip([k] * len(rows), rows["ts"], rows["event_id"], fresh, strict=True)), (int(last),)
+
+    return _keyed(ticks, key, step, f"{key} long, ts long, event_id long, refresh boolean", "last long")
 
 
 def staleness(ticks: DataFrame, limit_us: int, key: str = "prop") -> DataFrame:
@@ -109,22 +140,38 @@ def staleness(ticks: DataFrame, limit_us: int, key: str = "prop") -> DataFrame:
     return now.unionByName(gap)
 
 
-def stream_staleness(ticks: DataFrame, limit_ms: int, key: str = "prop") -> DataFrame:
-    """Stream with a watermark on `time`: the state of each key after each batch, and a time-out event when ticks stay away."""
+def stream_staleness(ticks: DataFrame, limit_us: int, key: str = "prop") -> DataFrame:
+    """Stream with a watermark on `time`: the same events. A tick's state comes with it; its time-out once no tick can follow in time any more.
+
+    That is when the watermark has passed its limit, so ticks may come in any order within the watermark's delay. A key's
+    state is what may still time out, and the ticks that later ones may precede; it goes when both are empty.
+    """
+    out = f"{key} long, event_id long, ts long, state string"
 
     def run(k, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            at = state.get[0]
+        open_, seen = ([tuple(x) for x in state.get[i]] for i in (0, 1)) if state.exists else ([], [])
+        found, mark = [], state.getCurrentWatermarkMs() * 1000
+        if not state.hasTimedOut:
+            rows = pd.concat(list(frames))
+            fresh = [(int(t), int(e), bool(b)) for t, e, b in zip(rows["ts"], rows["event_id"], rows["is_error"], strict=True)]
+            found = [(k[0], e, t, "stale" if b else "live") for t, e, b in sorted(fresh)]
+            seen = sorted(seen + [(t, e) for t, e, _ in fresh])
+            open_ = sorted(open_ + [(t, e) for t, e, b in fresh if not b])
+            ahead = [bisect.bisect_right(seen, x) for x in open_]
+            open_ = [x for x, i in zip(open_, ahead, strict=True) if i == len(seen) or seen[i][0] - x[0] > limit_us]
+        found += [(k[0], e, t + limit_us, "timed-out") for t, e in open_ if (t + limit_us) // 1000 * 1000 < mark]
+        open_ = [x for x in open_ if (x[0] + limit_us) // 1000 * 1000 >= mark]
+        seen = [x for x in seen if x[0] // 1000 * 1000 >= mark]
+        if open_ or seen:
+            state.update((open_, seen))
+            wake = min((open_[0][0] + limit_us) // 1000 if open_ else seen[-1][0] // 1000, seen[-1][0] // 1000 + limit_us // 1000 if seen else 1 << 60)
+            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, wake))
+        else:
             state.remove()
-            yield pd.DataFrame([(k[0], at + limit_ms * 1000, "timed-out")], columns=[key, "ts", "state"])
-            return
-        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        last = rows.iloc[-1]
-        state.update((int(last["ts"]),))
-        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, int(last["ts"]) // 1000 + limit_ms))
-        yield pd.DataFrame([(k[0], int(last["ts"]), "stale" if last["is_error"] else "live")], columns=[key, "ts", "state"])
+        yield pd.DataFrame(found, columns=[key, "event_id", "ts", "state"])
 
-    return ticks.groupBy(key).applyInPandasWithState(run, f"{key} long, ts long, state string", "at long", "append", GroupStateTimeout.EventTimeTimeout)
+    place = "array<struct<ts: bigint, event_id: bigint>>"
+    return ticks.groupBy(key).applyInPandasWithState(run, out, f"open {place}, seen {place}", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def capped(ticks: DataFrame, most: int, key: str = "prop") -> DataFrame:
@@ -133,6 +180,17 @@ def capped(ticks: DataFrame, most: int, key: str = "prop") -> DataFrame:
     return ticks.withColumn("attempt", F.row_number().over(w)).where(F.col("attempt") <= most)
 
 
+def stream_capped(ticks: DataFrame, most: int, key: str = "prop") -> DataFrame:
+    """Stream: the first `most` ticks of each connection; how many there were is its state."""
+
+    def step(k, rows, held):
+        before = held[0] if held else 0
+        keep = rows.head(max(0, most - before))
+        return [(k, t, e, before + n) for n, (t, e) in enumerate(zip(keep["ts"], keep["event_id"], strict=True), 1)], (min(most, before + len(rows)),)
+
+    return _keyed(ticks, key, step, f"{key} long, ts long, event_id long, attempt long", "n long")
+
+
 def ev_history(ticks: DataFrame, key: str = "prop", session: str = "session") -> DataFrame:
     """Batch: valid ticks numbered within runs of one session of each key; a change of session begins a new history."""
     w = Window.partitionBy(key).orderBy("ts", "event_id")
@@ -141,6 +199,20 @@ def ev_history(ticks: DataFrame, key: str = "prop", session: str = "session") ->
     return runs.withColumn("place", F.row_number().over(Window.partitionBy(key, "run").orderBy("ts", "event_id")))
 
 
+def stream_history(ticks: DataFrame, key: str = "prop", session: str = "session") -> DataFrame:
+    """Stream: the same numbers; a key's state is its session, run and place."""
+
+    def step(k, rows, held):
+        now, run, place = held or (None, 0, 0)
+        found = []
+        for t, e, s in zip(rows["ts"], rows["event_id"], rows[session], strict=True):
+            now, run, place = (now, run, place + 1) if run and s == now else (int(s), run + 1, 1)
+            found.append((k, t, e, run, place))
+        return found, (now, run, place)
+
+    return _keyed(ticks.where(~F.col("is_error")), key, step, f"{key} long, ts long, event_id long, run long, place long", "session long, run long, place long")
+
+
 def minute_buckets(requests: DataFrame, time: str, watermark: str | None = None) -> DataFrame:
     """Six counters for each subject and minute; with a watermark also on a stream."""
     rows = requests.withWatermark(time, watermark) if watermark else requests
