@@ -42,28 +42,23 @@ def j24(spark, sf):
     return G.replay_parity(h.where("game % 9 > 0"), replay, ["game"], ["kickoff", "value"])
 
 
-@query("j25_validated_absences", """WITH c AS (SELECT DISTINCT captured_at * 100 + event AS capture, event AS scope, captured_at, captured_at % 3 > 0 AS full_scope FROM quotes), r AS (SELECT DISTINCT player AS id, event AS scope, captured_at FROM quotes WHERE batch % 200 = 0),
-    f AS (SELECT r.id, r.scope, r.captured_at, min(c.captured_at) AS later FROM r JOIN c ON r.scope = c.scope AND full_scope AND c.captured_at > r.captured_at GROUP BY ALL)
-    SELECT id, scope, later * 100 + scope AS capture FROM f WHERE NOT EXISTS (SELECT 1 FROM quotes q WHERE q.player = f.id AND q.event = f.scope AND q.captured_at = later)""")
-def j25(spark, sf, checked: str = "batch % 200 = 0"):
+@query("j25_validated_absences", """WITH c AS (SELECT DISTINCT captured_at * 100 + event AS capture, event AS scope, captured_at, captured_at % 3 > 0 AS full_scope FROM quotes), r AS (SELECT DISTINCT player AS id, event AS scope, captured_at FROM quotes),
+    f AS (SELECT r.id, r.scope, r.captured_at, c.captured_at AS later FROM r ASOF JOIN (SELECT * FROM c WHERE full_scope) c ON r.scope = c.scope AND r.captured_at < c.captured_at)
+    SELECT id, scope, later * 100 + scope AS capture FROM f ANTI JOIN quotes q ON q.player = f.id AND q.event = f.scope AND q.captured_at = later""")
+def j25(spark, sf):
     q = view(spark, sf, "quotes")
     capture = (F.col("captured_at") * 100 + F.col("event")).alias("capture")
     caps = q.select(capture, F.col("event").alias("scope"), "captured_at", (F.col("captured_at") % 3 > 0).alias("full")).distinct()
-    rows = q.where(checked).select(F.col("player").alias("id"), F.col("event").alias("scope"), "captured_at").distinct()
+    rows = q.select(F.col("player").alias("id"), F.col("event").alias("scope"), "captured_at").distinct()
     return G.validated_absences(rows, caps, q.select(capture, F.col("player").alias("id")).distinct()).select("id", "scope", "capture")
 
 
-@query("j25_validated_absences_all")
-def j25_all(spark, sf):
-    return j25(spark, sf, "true")
-
-
-CLAIMS = "SELECT l_orderkey AS id, l_suppkey % 4 AS source, CASE WHEN l_discount > 0.02 THEN CAST(l_quantity AS BIGINT) // 25 END AS value FROM lineitem WHERE l_linenumber < 4"
+CLAIMS = "SELECT l_orderkey AS id, l_suppkey % 4 AS source, CASE WHEN l_discount > 0.02 THEN CAST(l_quantity AS BIGINT) // 25 END AS value FROM lineitem"
 RECONCILED = f"SELECT id, CASE WHEN count(value) = 0 THEN 'none' WHEN count(value) = 1 THEN 'single' WHEN count(DISTINCT value) = 1 THEN 'agree' ELSE 'conflict' END AS result, CASE WHEN count(DISTINCT value) = 1 THEN min(value) END AS value FROM ({CLAIMS}) GROUP BY id"
 
 
 def _reconciled(spark, sf):
-    c = spark.read.parquet(f"{sf}/lineitem.parquet").where("l_linenumber < 4").select(F.col("l_orderkey").alias("id"), (F.col("l_suppkey") % 4).alias("source"), F.expr("CASE WHEN l_discount > 0.02 THEN CAST(l_quantity AS BIGINT) div 25 END").alias("value"))
+    c = spark.read.parquet(f"{sf}/lineitem.parquet").select(F.col("l_orderkey").alias("id"), (F.col("l_suppkey") % 4).alias("source"), F.expr("CASE WHEN l_discount > 0.02 THEN CAST(l_quantity AS BIGINT) div 25 END").alias("value"))
     return G.reconcile_sources(c, "id", "source", "value")
 
 
@@ -161,16 +156,16 @@ def g3(spark, sf):
 
 
 HEADS = "h AS (SELECT natural_key, count(*) AS rivals, min(state) AS state, min(data) AS data, min(available_at) AS moment FROM (SELECT *, dense_rank() OVER (PARTITION BY natural_key ORDER BY available_at DESC, ingested_at DESC) AS r FROM versions) WHERE r = 1 GROUP BY natural_key)"
-PLAN = f"""{HEADS}, b AS (SELECT h.natural_key AS id, h.rivals, h.state, o.o_orderkey AS game, count(DISTINCT r.decision % 3) AS d, min(r.decision % 3) AS v FROM h LEFT JOIN (SELECT * FROM orders WHERE o_orderkey % 6 > 0) o ON o.o_orderkey = h.natural_key LEFT JOIN rights r ON r.profile = 'Brand#' || CAST(h.natural_key % 26 + 1 AS VARCHAR) AND r.decision % 20 = 0 AND r.valid_from <= h.moment AND (r.valid_until IS NULL OR h.moment < r.valid_until) GROUP BY ALL),
+PLAN = f"""{HEADS}, b AS (SELECT h.natural_key AS id, h.rivals, h.state, o.o_orderkey AS game, count(DISTINCT r.decision % 3) AS d, min(r.decision % 3) AS v FROM h LEFT JOIN (SELECT * FROM orders WHERE o_orderkey % 6 > 0) o ON o.o_orderkey = h.natural_key LEFT JOIN rights r ON r.profile = 'Brand#' || CAST(h.natural_key % 26 + 1 AS VARCHAR) AND r.valid_from <= h.moment AND (r.valid_until IS NULL OR h.moment < r.valid_until) GROUP BY ALL),
     p AS (SELECT id, CASE WHEN rivals > 1 THEN 'capture-ambiguous' WHEN state <> 'usable' THEN 'capture-refused' WHEN game IS NULL THEN 'schedule-missing' WHEN d = 0 THEN 'identity-missing' WHEN d > 1 THEN 'identity-conflict' END AS reason, v FROM b)"""
 
 
-def _plan(spark, sf, held: str = "decision % 20 = 0"):
+def _plan(spark, sf):
     v = view(spark, sf, "versions")
     heads = T.normalized_as_of(v, 99999, 99999, T.STRICT)
     clock = v.groupBy("natural_key").agg(F.max("available_at").alias("at"))
     caps = heads.join(clock, "natural_key").select(F.col("natural_key").alias("id"), "rivals", "state", "at", F.col("natural_key").alias("game"), F.concat(F.lit("Brand#"), (F.col("natural_key") % 26 + 1).cast("string")).alias("profile"))
-    bridges = view(spark, sf, "rights").where(held).withColumn("value", F.col("decision") % 3)
+    bridges = view(spark, sf, "rights").withColumn("value", F.col("decision") % 3)
     games = spark.read.parquet(f"{sf}/orders.parquet").where("o_orderkey % 6 > 0").select(F.col("o_orderkey").alias("game"), F.lit(1).alias("kickoff"))
     return G.normalization_plan(caps, bridges, games, "id")
 
@@ -180,11 +175,6 @@ def g5(spark, sf):
     return _plan(spark, sf)
 
 
-@query("g5_normalization_plan_all")
-def g5_all(spark, sf):
-    return _plan(spark, sf, "true")
-
-
 CURRENT = "k AS (SELECT * FROM chain WHERE known_at <= 10600 AND state = 'usable'), hd AS (SELECT id, entity FROM k WHERE id NOT IN (SELECT predecessor FROM k WHERE predecessor IS NOT NULL))"
 
 

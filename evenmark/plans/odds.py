@@ -143,46 +143,35 @@ def p10(spark, sf):
     return out.withColumn("n", F.row_number().over(w)).where("n = 1").select("event", "book", "market", "side", "price", "point")
 
 
-#: The requests that the SQL of J5 and A4 covers; their queries ending in _all take every quote as one.
-SOME = "batch % 50 = 0 AND seq = 1"
-REQUESTS = "SELECT DISTINCT event, market, player, point, captured_at + 20 AS cutoff FROM quotes WHERE batch % 50 = 0 AND seq = 1"
+#: Every quote asks for what its event and market showed at most 20 days after it.
+REQUESTS = "SELECT DISTINCT event, market, player, point, captured_at + 20 AS cutoff FROM quotes"
 
 
 @query(
     "j5_as_of_observation",
-    f"WITH r AS ({REQUESTS}) SELECT r.event, r.market, r.player, r.point, r.cutoff, max(o.captured_at) AS at FROM r LEFT JOIN (SELECT DISTINCT event, market, captured_at FROM quotes) o ON r.event = o.event AND r.market = o.market AND o.captured_at <= r.cutoff GROUP BY ALL",
+    f"WITH r AS ({REQUESTS}) SELECT r.event, r.market, r.player, r.point, r.cutoff, o.captured_at AS at FROM r ASOF LEFT JOIN (SELECT DISTINCT event, market, captured_at FROM quotes) o ON r.event = o.event AND r.market = o.market AND r.cutoff >= o.captured_at",
 )
-def j5(spark, sf, asked: str = SOME):
+def j5(spark, sf):
     q = view(spark, sf, "quotes")
-    return O.as_of_observations(_requests(q, asked), q.select("event", "market", "captured_at", F.lit(0).cast("long").alias("batch")).distinct(), ["event", "market"]).drop("tie")
+    return O.as_of_observations(_requests(q), q.select("event", "market", "captured_at", F.lit(0).cast("long").alias("batch")).distinct(), ["event", "market"]).drop("tie")
 
 
-@query("j5_as_of_observation_all")
-def j5_all(spark, sf):
-    return j5(spark, sf, "true")
-
-
-def _requests(q, asked: str):
-    return q.where(asked).select("event", "market", "player", "point", (F.col("captured_at") + 20).alias("cutoff")).distinct()
+def _requests(q):
+    return q.select("event", "market", "player", "point", (F.col("captured_at") + 20).alias("cutoff")).distinct()
 
 
 @query(
     "a4_historical_consensus",
-    f"""WITH r AS ({REQUESTS}), h AS (SELECT r.event, r.market, r.player, r.point, r.cutoff, max(o.captured_at) AS captured_at FROM r LEFT JOIN quotes o ON r.event = o.event AND r.market = o.market AND o.captured_at <= r.cutoff GROUP BY ALL),
+    f"""WITH r AS ({REQUESTS}), h AS (SELECT r.event, r.market, r.player, r.point, r.cutoff, o.captured_at FROM r ASOF LEFT JOIN (SELECT DISTINCT event, market, captured_at FROM quotes) o ON r.event = o.event AND r.market = o.market AND r.cutoff >= o.captured_at),
     g AS (SELECT h.*, count(*) FILTER (WHERE q.player = h.player) AS a, count(*) FILTER (WHERE q.player = h.player AND q.point = h.point) AS b,
       count(*) FILTER (WHERE q.player = h.player AND q.point = h.point AND over_price > 1 AND under_price > 1) AS books, median({DEVIG}) FILTER (WHERE q.player = h.player AND q.point = h.point AND over_price > 1 AND under_price > 1) AS p_over
       FROM h LEFT JOIN quotes q ON h.event = q.event AND h.market = q.market AND h.captured_at = q.captured_at GROUP BY ALL)
     SELECT event, market, player, point, cutoff, captured_at, CASE WHEN captured_at IS NULL THEN 'no-observation' WHEN a = 0 THEN 'player-not-found-in-observation' WHEN b = 0 THEN 'exact-line-not-found' WHEN books = 0 THEN 'no-valid-two-way-quotes' END AS reason,
       CASE WHEN captured_at IS NOT NULL THEN CASE WHEN cutoff - captured_at <= 30 THEN 'closing-candidate' ELSE 'latest-pregame' END END AS label, books, round(p_over, 6) AS p_over FROM g""",
 )
-def a4(spark, sf, asked: str = SOME):
+def a4(spark, sf):
     q = view(spark, sf, "quotes")
-    return O.historical_consensus(_requests(q, asked), q).withColumn("p_over", F.round("p_over", 6))
-
-
-@query("a4_historical_consensus_all")
-def a4_all(spark, sf):
-    return a4(spark, sf, "true")
+    return O.historical_consensus(_requests(q), q).withColumn("p_over", F.round("p_over", 6))
 
 
 @query("j9_crosswalk", "SELECT market, count(*) AS n, count(*) FILTER (WHERE c.c_custkey IS NULL) AS unresolved, count(DISTINCT coalesce(c.c_name, 'raw-' || CAST(player AS VARCHAR))) AS identities FROM quotes LEFT JOIN customer c ON quotes.player = c.c_custkey GROUP BY market")
@@ -195,9 +184,9 @@ def j9(spark, sf):
 @query(
     "w10_observed_movement",
     """WITH o AS (SELECT prop, ts, arg_min(price, event_id) AS v, arg_min(event_type, event_id) AS x FROM ticks GROUP BY prop, ts),
-    g AS (SELECT prop, count(*) AS n, arg_min(v, ts) AS first, arg_max(v, ts) AS last, 1 AS c FROM o GROUP BY prop)
-    SELECT prop, n, round(first, 6) AS first, round(last, 6) AS last, CASE WHEN n < 2 THEN 'single' WHEN c > 3 THEN 'not-comparable' WHEN abs(last - first) < 0.0005 THEN 'unchanged' WHEN last > first THEN 'up' ELSE 'down' END AS movement FROM g""",
+    g AS (SELECT prop, count(*) AS n, arg_min(v, ts) AS first, arg_max(v, ts) AS last, count(DISTINCT CASE WHEN prop % 3 = 0 THEN x ELSE 'one' END) AS c FROM o GROUP BY prop)
+    SELECT prop, n, round(first, 6) AS first, round(last, 6) AS last, CASE WHEN n < 2 THEN 'single' WHEN c > 1 THEN 'not-comparable' WHEN abs(last - first) < 0.0005 THEN 'unchanged' WHEN last > first THEN 'up' ELSE 'down' END AS movement FROM g""",
 )
 def w10(spark, sf):
-    t = view(spark, sf, "ticks").withColumn("context", F.lit("one"))
+    t = view(spark, sf, "ticks").withColumn("context", F.when(F.col("prop") % 3 == 0, F.col("event_type")).otherwise("one"))
     return O.movement(t, "prop", "ts", "price", "context", "event_id").withColumn("first", F.round("first", 6)).withColumn("last", F.round("last", 6))

@@ -8,15 +8,11 @@ from ..fixtures import view
 from ..operators import planning as L
 from .registry import query
 
-EVENTS = "SELECT game AS event, local_day * 86400 + local_minute * 60 AS kickoff, season AS slate FROM schedule WHERE game % 5 = 0"
+EVENTS = "SELECT game AS event, local_day * 86400 + local_minute * 60 AS kickoff, season AS slate FROM schedule"
 
 
-#: The games that the SQL of F14, W8 and T3 covers; their queries ending in _all plan every game, as F15's does.
-SOME = "game % 5 = 0"
-
-
-def _events(spark, sf, games: str = SOME):
-    return view(spark, sf, "schedule").where(games).selectExpr("game AS event", "local_day * 86400 + local_minute * 60 AS kickoff", "season AS slate")
+def _events(spark, sf):
+    return view(spark, sf, "schedule").selectExpr("game AS event", "local_day * 86400 + local_minute * 60 AS kickoff", "season AS slate")
 
 
 NY = "epoch(to_timestamp({x}) AT TIME ZONE 'America/New_York')"
@@ -28,38 +24,23 @@ PLAN = f"""e AS ({EVENTS}), d AS (SELECT *, CAST(floor({NY.format(x='kickoff')}
 
 
 @query("f14_baseline_checkpoints", f"WITH {PLAN} SELECT event, checkpoint, due, due_end FROM p")
-def f14(spark, sf, games: str = SOME):
-    return L.baseline_plan(_events(spark, sf, games))
-
-
-@query("f14_baseline_checkpoints_all")
-def f14_all(spark, sf):
-    return f14(spark, sf, "true")
+def f14(spark, sf):
+    return L.baseline_plan(_events(spark, sf))
 
 
 @query("w8_checkpoint_windows", f"WITH {PLAN} SELECT checkpoint, count(*) AS n, CAST(sum(due_end - due) AS BIGINT) AS seconds FROM p GROUP BY checkpoint")
-def w8(spark, sf, games: str = SOME):
-    return L.baseline_plan(_events(spark, sf, games)).groupBy("checkpoint").agg(F.count("*").alias("n"), F.sum(F.col("due_end") - F.col("due")).alias("seconds"))
-
+def w8(spark, sf):
+    return L.baseline_plan(_events(spark, sf)).groupBy("checkpoint").agg(F.count("*").alias("n"), F.sum(F.col("due_end") - F.col("due")).alias("seconds"))
 
-@query("w8_checkpoint_windows_all")
-def w8_all(spark, sf):
-    return w8(spark, sf, "true")
 
-
-@query("f15_priority_schedule", """WITH t AS (SELECT game AS target, local_day * 86400 + local_minute * 60 AS kickoff, local_day * 86400 + local_minute * 60 - 3600 * (1 + game % 20) - 17 AS activated FROM schedule WHERE game % 25 = 0),
+@query("f15_priority_schedule", """WITH t AS (SELECT game AS target, local_day * 86400 + local_minute * 60 AS kickoff, local_day * 86400 + local_minute * 60 - 3600 * (1 + game % 20) - 17 AS activated FROM schedule),
     u AS (SELECT target, kickoff, unnest(list_concat(CASE WHEN activated < kickoff - 21600 THEN range(activated, kickoff - 21600, 3600) ELSE [] END, range(greatest(activated, kickoff - 21600), kickoff, 300))) AS due FROM t)
     SELECT target, row_number() OVER (PARTITION BY target ORDER BY due) - 1 AS step, due, coalesce(lead(due) OVER (PARTITION BY target ORDER BY due), kickoff) AS due_end FROM u""")
-def f15(spark, sf, games: str = "game % 25 = 0"):
-    t = view(spark, sf, "schedule").where(games).selectExpr("game AS target", "local_day * 86400 + local_minute * 60 AS kickoff", "local_day * 86400 + local_minute * 60 - 3600 * (1 + game % 20) - 17 AS activated")
+def f15(spark, sf):
+    t = view(spark, sf, "schedule").selectExpr("game AS target", "local_day * 86400 + local_minute * 60 AS kickoff", "local_day * 86400 + local_minute * 60 - 3600 * (1 + game % 20) - 17 AS activated")
     return L.priority_plan(t)
 
 
-@query("f15_priority_schedule_all")
-def f15_all(spark, sf):
-    return f15(spark, sf, "true")
-
-
 DUE = "SELECT event_id AS id, CASE WHEN event_type = 'error' THEN 'failed' ELSE 'pending' END AS status, CAST(prop % 5 AS BIGINT) * 10 AS rank, CAST(floor(value) AS BIGINT) % 12 AS cost, ts // 1000000 AS due, ts // 1000000 + 86400 * (1 + event_id % 9) AS due_end, event_id % 4 AS attempts FROM ticks"
 NOW = 1705300000
 
@@ -79,13 +60,8 @@ def t2b(spark, sf):
 
 
 @query("t3_baseline_events", f"SELECT slate, event, kickoff FROM (SELECT *, row_number() OVER (PARTITION BY slate ORDER BY kickoff DESC, event DESC) AS n FROM ({EVENTS}) WHERE CAST(floor({NY.format(x='kickoff')} / 86400) AS BIGINT) % 7 = 3) WHERE n = 1")
-def t3(spark, sf, games: str = SOME):
-    return L.baseline_events(_events(spark, sf, games), "free-pilot").select("slate", "event", "kickoff")
-
-
-@query("t3_baseline_events_all")
-def t3_all(spark, sf):
-    return t3(spark, sf, "true")
+def t3(spark, sf):
+    return L.baseline_events(_events(spark, sf), "free-pilot").select("slate", "event", "kickoff")
 
 
 @query("p18_freshness", f"SELECT event_id, CASE WHEN event_type <> 'error' AND {NOW} - ts // 1000000 < 300000 THEN 'fresh' WHEN event_id % 3 = 0 AND {NOW} - ts // 1000000 < 600000 THEN 'pending' WHEN event_type <> 'error' THEN 'stale' ELSE 'unavailable' END AS freshness FROM ticks")

@@ -119,13 +119,8 @@ def j7(spark, sf):
     return T.rights_gate(li, T.effective_rights(asked, view(spark, sf, "rights"), "request"), "dataset", "display")
 
 
-@query("j19_interval_join", f"""WITH q AS ({RIGHTS}), j AS (SELECT q.request, CASE WHEN valid_from <= valid_at AND (valid_until IS NULL OR valid_at < valid_until) THEN decision % 3 END AS v FROM q LEFT JOIN rights r ON q.profile = r.profile AND r.decision % 20 = 0)
+@query("j19_interval_join", f"""WITH q AS ({RIGHTS}), j AS (SELECT q.request, CASE WHEN valid_from <= valid_at AND (valid_until IS NULL OR valid_at < valid_until) THEN decision % 3 END AS v FROM q LEFT JOIN rights r ON q.profile = r.profile)
     SELECT request, CASE count(DISTINCT v) WHEN 0 THEN 'missing' WHEN 1 THEN 'one' ELSE 'conflict' END AS status, CASE WHEN count(DISTINCT v) = 1 THEN min(v) END AS value FROM j GROUP BY request""")
-def j19(spark, sf, held: str = "decision % 20 = 0"):
-    spans = view(spark, sf, "rights").where(held).withColumn("value", F.col("decision") % 3)
+def j19(spark, sf):
+    spans = view(spark, sf, "rights").withColumn("value", F.col("decision") % 3)
     return T.interval_value(_rights(spark, sf).withColumn("at", F.col("valid_at")), spans, ["profile"], "request")
-
-
-@query("j19_interval_join_all")
-def j19_all(spark, sf):
-    return j19(spark, sf, "true")
