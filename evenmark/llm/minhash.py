@@ -236,8 +236,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(id, n_shingles, component_id, kept) for each row of docs: groups linked by shingle sets alike to `percent` or more.
 
     Rows with the same set are one class, stood for by its smallest id. Classes that share a band are candidates; a band
-    compares its members with its smallest first, and then only members that are not yet in one component, so that a group
-    of copies costs as many comparisons as it has members, and no link that joins two components is left out.
+    compares its members with its smallest first, and then only members that are not known to be in one component, so that
+    a group of copies costs as many comparisons as it has members, and no link that joins two components is left out.
     What is left of a band of up to `few_rows` rows is compared pair by pair. Of what is left of larger bands, rows that
     share none of their rare shingles with another component are done (`_open_rows`); the others are compared in blocks of
     `block` rows, two by two, inside a task, but those of one component not with each other (`_block_pairs`).
@@ -258,8 +258,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     wanted = members.select(F.col("head").alias("id")).distinct()
     sets = checkpointed(_sets(small.join(wanted, "id", "left_semi"), k))
     links = checkpointed(_links(star, sets, percent))
-    part = connected(links)
-    known = members.join(part.withColumnRenamed("node", "head"), "head", "left").withColumn("part", F.coalesce("component", "head")).select("band", "salt", "n", "head", "part")
+    # a row's part: the smallest that it is linked to, or what that one is linked to; rows of one part are in one component
+    near = links.groupBy(F.col("b").alias("head")).agg(F.min("a").alias("to"))
+    part = near.join(near.select(F.col("head").alias("to"), F.col("to").alias("far")), "to", "left").select("head", F.coalesce("far", "to").alias("part"))
+    known = members.join(part, "head", "left").select("band", "salt", "n", "head", F.coalesce("part", "head").alias("part"))
     open_bands = known.groupBy("band").agg(F.min("part").alias("x"), F.max("part").alias("y"), salts_seen()).where("x <> y").select("band", each_salt())
     rest = checkpointed(known.join(open_bands, ["band", "salt"]))
     few = rest.where(F.col("n") <= few_rows)
