@@ -72,13 +72,11 @@ c AS (SELECT DISTINCT c.conv_id, c.turn, c.role, {_quote('b.text', '> > ')} || {
   LEFT JOIN p a ON a.conv_id = c.conv_id AND a.turn = c.turn - 1 LEFT JOIN p b ON b.conv_id = c.conv_id AND b.turn = c.turn - 2),
 l AS (SELECT conv_id, turn, role, text, k, lines[k] AS x, {_LEVEL.replace('x,', 'lines[k],')} AS level, {_WORDS.replace('x,', 'lines[k],')} AS words FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS k FROM (SELECT *, regexp_split_to_array(text, '\\r?\\n') AS lines FROM c))),
 own AS (SELECT * FROM l WHERE level = 0), t AS (SELECT c.*, trim(coalesce(o.clean, '')) AS clean FROM c LEFT JOIN (SELECT conv_id, turn, role, text, string_agg(x, chr(10) ORDER BY k) AS clean FROM own GROUP BY ALL) o USING (conv_id, turn, role, text)),
-qp AS (SELECT DISTINCT conv_id, turn, level, words FROM ({_passages('l')}) WHERE level > 0),
-q AS (SELECT conv_id, turn, level, words, count(*) AS n FROM (SELECT DISTINCT conv_id, turn, level, words AS passage, unnest([words] || {_SENTENCES}) AS words FROM qp) GROUP BY ALL),
-op AS ({_passages('own')}),
-s AS (SELECT DISTINCT conv_id, turn, words FROM (SELECT conv_id, turn, unnest([words] || {_SENTENCES}) AS words FROM op UNION ALL SELECT conv_id, turn, words FROM own UNION ALL
-  SELECT conv_id, turn, string_agg(words, ' ' ORDER BY k) FROM own WHERE words <> '' GROUP BY conv_id, turn, role, text)),
+ps AS ({_passages('l')}),
+q AS (SELECT conv_id, turn, level, unnest({_SENTENCES}) AS words FROM ps WHERE level > 0),
+s AS (SELECT conv_id, turn, unnest({_SENTENCES}) AS words FROM ps WHERE level = 0 UNION ALL SELECT conv_id, turn, words FROM own),
 f AS (SELECT conv_id, words, min(turn) AS source FROM s WHERE words <> '' GROUP BY conv_id, words HAVING length(words) >= 12 OR min(turn) = max(turn)),
-k AS (SELECT q.conv_id, q.turn, level, source, sum(n * length(words)) AS chars FROM q JOIN f USING (conv_id, words) WHERE source < q.turn GROUP BY ALL),
+k AS (SELECT q.conv_id, q.turn, level, source, sum(length(words)) AS chars FROM q JOIN f USING (conv_id, words) WHERE source < q.turn GROUP BY ALL),
 b AS (SELECT conv_id, turn, count(*) AS n_links, arg_max(source, (-level, chars, source)) AS reply_to FROM k GROUP BY ALL),
 r(conv_id, turn, thread) AS (SELECT DISTINCT conv_id, turn, turn FROM c WHERE (conv_id, turn) NOT IN (SELECT (conv_id, turn) FROM b) UNION ALL SELECT b.conv_id, b.turn, r.thread FROM b JOIN r ON r.conv_id = b.conv_id AND r.turn = b.reply_to),
 m AS (SELECT t.conv_id, t.turn, t.role, clean, reply_to, coalesce(n_links, 0) AS n_links, thread, (t.turn - thread) // 64 AS part FROM t LEFT JOIN b USING (conv_id, turn) JOIN r USING (conv_id, turn))
