@@ -6,10 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import IS_ALNUM, IS_SPACE, LOWER, mix, packed, runs_of, slices, span_hashes
+from .common import IS_ALNUM, IS_SPACE, LOWER, checkpointed, mix, packed, runs_of, slices, span_hashes
 
 #: Words that count as a unit after a number.
 UNITS = (
@@ -122,26 +122,47 @@ def template_windows(docs: DataFrame, id_col: str, text_col: str, n: int = 8, li
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = 8, literals: int = 4, share: float = 0.3, bound: int = 2_000_000) -> DataFrame:
     """(id, item_id, n_windows, coverage, reparameterised) for each document and benchmark item that it holds.
 
-    Windows of both sides join on their template; those of one document, item and distance are one occurrence. In an
-    occurrence a slot value of the item must always stand for the same value in the document, else it does not count. A
-    leak covers `share` of the item's windows or more; it is re-parameterised when some slot has another value. Items of
+    Windows of both sides join on their template; those of one document, item and distance are an occurrence, in which a
+    slot value of the item must always stand for the same value in the document. The largest occurrence counts, and with
+    it the others, largest first, as long as the slots still agree: so words that were put in or left out do not hide a
+    leak. It covers `share` of the item's windows or more; it is re-parameterised when some slot has another value. Items of
     fewer than n words, or with no window of enough literal words, are found by their exact words too, in texts of any length.
+    A leak holds at least one of the item's windows that fewest items share (all but `share` of them), so only these pair
+    documents with items; windows that many items share are looked up for those pairs alone.
     Up to `bound` distinct benchmark windows go to the tasks, which then send on matching windows only; beyond it
-    all windows are shuffled to the join. Nulls and texts without words match nothing. Extra columns are left out.
+    all windows are shuffled to a semi-join. Rows with one id are one document, null ids too; repeated items are one.
+    Nulls and texts without words match nothing. Ties, empty tables and extra columns make no difference; extra columns are left out.
     """
     item = template_windows(benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("t")), "item_id", "t", n, literals)
+    item = checkpointed(item.select(F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), "window", F.col("slots").alias("item_slots"), "size", "exact").where("item_id is not null").distinct())
     forms = sorted((r["size"], r["exact"]) for r in item.select("size", "exact").distinct().collect())  # at most 2 n
-    item = item.select(F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), "window", F.col("slots").alias("item_slots"))
     known = item.select("window").distinct().limit(bound + 1).toArrow().column("window").to_numpy()
-    own = template_windows(docs, id_col, text_col, n, literals, None if len(known) > bound else np.sort(known), forms)
+    own = template_windows(docs, id_col, text_col, n, literals, None if len(known) > bound else np.sort(known), forms).select("id", "pos", "window", "slots")
+    if len(known) > bound:
+        own = own.join(item.select("window").distinct(), "window", "left_semi")
+    own = checkpointed(own)
     totals = item.groupBy("item_id").agg(F.countDistinct("item_pos").alias("total"))
-    hits = own.join(item, "window").withColumn("shift", F.col("pos") - F.col("item_pos"))
+    spread = item.groupBy("window").agg(F.countDistinct("item_id").alias("items"))
+    rarest = Window.partitionBy("item_id").orderBy("items", "item_pos")
+    places = item.join(spread, "window").groupBy("item_id", "item_pos").agg(F.max("items").alias("items"))  # a place may have a template and exact words
+    places = places.withColumn("rank", F.row_number().over(rarest)).join(totals, "item_id")
+    seeds = item.join(places.where(F.col("rank") <= F.col("total") - F.greatest(F.lit(1), F.floor(F.col("total") * share)) + 1).select("item_id", "item_pos"), ["item_id", "item_pos"]).select("item_id", "window").distinct()
+    pairs_ = own.select("id", "window").distinct().join(seeds, "window").select("id", "item_id").distinct()
+    wanted = pairs_.join(item.select("item_id", "item_pos", "window", "item_slots"), "item_id").withColumnRenamed("id", "_id")
+    hits = own.join(wanted, own["id"].eqNullSafe(F.col("_id")) & (own["window"] == wanted["window"])).withColumn("shift", F.col("pos") - F.col("item_pos"))
     pairs = F.array_distinct(F.filter(F.arrays_zip("item_slots", "slots"), lambda x: x["item_slots"] != 0))
-    runs = hits.groupBy("id", "item_id", "shift").agg(F.countDistinct("item_pos").alias("n_windows"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"))
-    runs = runs.where(F.size("pairs") == F.size(F.array_distinct(F.col("pairs.item_slots"))))
-    runs = runs.withColumn("changed", F.exists("pairs", lambda x: x["item_slots"] != x["slots"]))
-    best = runs.groupBy("id", "item_id").agg(F.max(F.struct("n_windows", (~F.col("changed")).alias("same"))).alias("b"))
-    out = best.join(totals, "item_id").select(F.col("id").alias(id_col), "item_id", F.col("b.n_windows").cast("long").alias("n_windows"), (F.col("b.n_windows") / F.col("total")).alias("coverage"), (~F.col("b.same")).alias("reparameterised"))
+    runs = hits.groupBy("id", "item_id", "shift").agg(F.collect_set("item_pos").alias("places"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"))
+    agree = lambda p: F.size(p) == F.size(F.array_distinct(F.transform(p, lambda x: x["item_slots"])))
+    runs = runs.where(agree(F.col("pairs"))).groupBy("id", "item_id").agg(F.sort_array(F.collect_list(F.struct(F.size("places").alias("n"), F.forall("pairs", lambda x: x["item_slots"] == x["slots"]).alias("same"), (-F.abs("shift")).alias("near"), "places", "pairs")), asc=False).alias("runs"))
+
+    def joined(held, run):
+        both = F.array_union(held["pairs"], run["pairs"])
+        return F.when(agree(both), F.struct(F.array_union(held["places"], run["places"]).alias("places"), both.alias("pairs"))).otherwise(held)
+
+    none = F.struct(F.array().cast("array<int>").alias("places"), F.array().cast("array<struct<item_slots: bigint, slots: bigint>>").alias("pairs"))
+    best = runs.withColumn("b", F.aggregate("runs", none, joined)).withColumn("changed", F.exists("b.pairs", lambda x: x["item_slots"] != x["slots"]))
+    n_windows = F.size("b.places").cast("long")
+    out = best.join(totals, "item_id").select(F.col("id").alias(id_col), "item_id", n_windows.alias("n_windows"), (n_windows / F.col("total")).alias("coverage"), F.col("changed").alias("reparameterised"))
     return out.where(F.col("coverage") >= share)
 
 

@@ -264,6 +264,93 @@ def test_short_and_wordless_items_are_found_anywhere(spark):
         assert got == {(20, 1): (False, 1.0), (21, 2): (False, 1.0), (23, 3): (True, 1.0)}
 
 
+def template_brute(text, units):
+    """(slot type, lower-case word) of each word: 0 literal, 1 number, 2 unit, 3 name."""
+    out, before, begins = [], 0, True
+    for raw in (text or "").split():
+        core = re.sub(r"^[^A-Za-z0-9]+|[^A-Za-z0-9]+$", "", raw)
+        lead = raw[: len(raw) - len(re.sub(r"^[^A-Za-z0-9]+", "", raw))]
+        if not core:
+            begins |= bool(re.search(r"[.!?:]", raw))
+            continue
+        begins |= bool(re.search(r"[.!?:]", lead))
+        kind = 1 if core[0].isdigit() else 2 if before == 1 and core.lower() in units else 3 if core[0].isupper() and not begins else 0
+        out.append((kind, core.lower()))
+        before, begins = kind, bool(re.search(r"[.!?:]", raw[raw.rindex(core) :].replace(core, "", 1)))
+    return out
+
+
+def leaks_brute(docs, items, share=0.3, n=8, literals=4):
+    units, found = set(decontaminate.UNITS), {}
+    view = lambda w: tuple(x if k == 0 else k for k, x in w)
+    for (d, text), (i, question) in itertools.product(docs, items):
+        q, t = template_brute(question, units), template_brute(text, units)
+        places = [(p, n) for p in range(len(q) - n + 1) if sum(k == 0 for k, _ in q[p : p + n]) >= literals]
+        runs = collections.defaultdict(lambda: (set(), set()))
+        for p, size in places:
+            for r in range(len(t) - size + 1):
+                if view(q[p : p + size]) == view(t[r : r + size]):
+                    runs[r - p][0].add(p)
+                    runs[r - p][1].update((a[1], b[1]) for a, b in zip(q[p : p + size], t[r : r + size]) if a[0])
+        one = lambda pairs: len({a for a, _ in pairs}) == len(pairs)
+        held, pairs = set(), set()
+        for shift, (where, slots) in sorted(runs.items(), key=lambda x: (-len(x[1][0]), any(a != b for a, b in x[1][1]), abs(x[0]))):
+            if one(slots) and one(pairs | slots):
+                held, pairs = held | where, pairs | slots
+        if places and len(held) / len(places) >= share:
+            found[d, i] = (len(held), any(a != b for a, b in pairs))
+    return found
+
+
+def test_leaks_equal_brute_force(spark):
+    rng = np.random.default_rng(11)
+    words = [f"{a}{b}" for a in ("ba", "ko", "mi", "tu", "re") for b in ("na", "lo", "s", "ver", "dim", "qua")]
+
+    def text(size):
+        out = []
+        for _ in range(size):
+            out.append(str(rng.choice(words)))
+            x = rng.random()
+            if x < 0.12:
+                out.append(str(rng.integers(1, 99)))
+            elif x < 0.18:
+                out += [str(rng.integers(1, 99)), "kg"]
+            elif x < 0.26:
+                out.append(str(rng.choice(["Anna", "Bob", "Carl"])))
+            elif x < 0.32:
+                out[-1] += "."
+        return " ".join(out)
+
+    shared = text(12)
+    items = [(k, text(int(rng.integers(10, 40))) + (" " + shared if k % 2 else "")) for k in range(12)]
+    docs = [(k, text(60)) for k in range(20)]
+    for k in range(60):
+        w = items[k % 12][1].split()
+        if k % 3 == 0:
+            w.insert(int(rng.integers(0, len(w))), "inserted")
+        if k % 4 == 0:
+            w = [str(int(x) + 1) if x.isdigit() else x for x in w]
+        if k % 5 == 0:
+            w = [{"Anna": "Bob", "Bob": "Dora"}.get(x, x) for x in w]
+        cut = int(rng.integers(0, len(w) // 2)) if k % 2 else 0
+        docs.append((100 + k, text(int(rng.integers(0, 30))) + " and " + " ".join(w[cut:]) + " and " + text(5)))
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.n_windows, r.reparameterised) for r in decontaminate.leaks(d, b).collect()}
+    want = leaks_brute(docs, items)
+    assert got == want and len(want) > 40 and {x[1] for x in want.values()} == {True, False}
+
+
+def test_leaks_on_odd_rows(spark, docs, nothing):
+    odd = docs.withColumnsRenamed({"band": "window", "part": "pos", "id": "item_id"}).select("*", F.lit(1).alias("slots"), F.lit("x").alias("coverage"))
+    items = odd.select(F.monotonically_increasing_id().alias("item_id"), "text", "doc_id", "window")
+    got = decontaminate.leaks(odd, items)
+    assert got.columns == ["doc_id", "item_id", "n_windows", "coverage", "reparameterised"]
+    rows = got.collect()
+    by_text = {r.item_id: r.text for r in items.collect()}
+    assert all(r.coverage >= 0.3 for r in rows) and {by_text[r.item_id] for r in rows if r.doc_id == 9} >= {docs.where("doc_id = 9").first().text}
+    assert decontaminate.leaks(nothing, items).count() == 0 and decontaminate.leaks(odd, items.limit(0)).count() == 0
+
+
 def test_slots_must_agree(spark):
     item = "the price of 3 and 3 more was 3 again when they met near the old bridge and waited"
     docs = [(1, item.replace("3", "7")), (2, item.replace("3", "7", 1))]
