@@ -18,9 +18,10 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a language is found."""
-    found = identify(docs.select(F.struct(*COLUMNS).alias("row"), "text"), learn_profiles(docs), "row", "text")
-    return found.where("lang_pred <> 'und'").select("row.*")
+    """Documents in which a language is found. Those of null or empty text, or without a letter, go; repeated rows stay."""
+    rest = F.struct(*[c for c in COLUMNS if c != "text"])
+    found = identify(docs.select(rest.alias("row"), "text"), learn_profiles(docs), "row", "text", carry_text=True)
+    return found.where("lang_pred <> 'und'").select("row.*", "text").select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -420,17 +420,54 @@ def test_language(spark, docs, nothing):
     assert language.identify(nothing, profiles).count() == 0
 
 
-def test_profiles_count_by_rank(spark):
-    df = spark.createDataFrame([("aab", "x"), (None, "x"), ("a", None)], "text string, lang string")
-    codes = collections.Counter()
-    for n, shift in ((1, 0), (2, 64), (3, 64 + 4096)):
-        for j in range(3 - n + 1):
-            code = 0
-            for c in "aab"[j : j + n]:
-                code = code * 64 + ord(c) - 96
-            codes[code + shift] += 1
-    want = [g for g, _ in sorted(codes.items(), key=lambda kv: (-kv[1], kv[0]))]
-    assert [r.gram for r in language.learn_profiles(df).orderBy("rank").collect()] == want
+def grams_brute(text):
+    s = [c.lower() if len(c.lower()) == 1 else c for c in text]
+    s = ["\0" if not c.isalpha() else c for c in s]
+    found = collections.Counter("".join(s[k : k + n]) for n in (1, 2, 3) for k in range(len(s) - n + 1))
+    return {g: n for g, n in found.items() if g.strip("\0")}
+
+
+def code_of(gram):
+    code = len(gram)
+    for c in ["\0"] * (3 - len(gram)) + list(gram):
+        code = (code << 18) | ord(c)
+    return code
+
+
+def profile_brute(counts, size):
+    return [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], code_of(x[0])))][:size]
+
+
+def test_language_equals_brute_force(spark):
+    """Profiles and predictions by plain counting, in four scripts, with odd rows."""
+    samples = {
+        "en": "The cat sat on the mat, and The Dog did not care at all about what it saw there.",
+        "ru": "Быстрая коричневая лиса прыгает через ленивую собаку, и никто этого не видел ЗДЕСЬ.",
+        "el": "Η γρήγορη καφετιά αλεπού πηδά πάνω από τον τεμπέλη σκύλο και κανείς δεν το είδε.",
+        "zh": "敏捷的棕色狐狸跳过了懒狗,没有人看见它。今天天气很好,我们去公园散步吧。",
+    }
+    rows = [(k, t * 2, lang) for k, (lang, t) in enumerate(samples.items())] + [(9, None, "en"), (10, "x", None), (11, "", "ru"), (12, samples["en"][:30], "en"), (12, samples["en"][:30], "en")]
+    profiles = language.learn_profiles(spark.createDataFrame(rows, "doc_id long, text string, lang string"), size=60)
+    counts = {lang: collections.Counter() for lang in samples}
+    for _, t, lang in rows:
+        if t is not None and lang is not None:
+            counts[lang].update(grams_brute(t))
+    want = {lang: profile_brute(c, 60) for lang, c in counts.items()}
+    got = collections.defaultdict(dict)
+    for r in profiles.collect():
+        got[r.lang][r.rank] = r.gram
+    assert {lang: [g[k] for k in range(len(g))] for lang, g in got.items()} == {lang: [code_of(g) for g in w] for lang, w in want.items()}
+    tests = ["on the mat", "собаку не видел", "του σκύλου η αλεπού", "公园里的狐狸", "THE мат 狐 mixed text", "İstanbul ǅ ﬁ 𐐀𐐨", "12", "", None, "e", "the " * 300]
+    out = {r.doc_id: r for r in language.identify(spark.createDataFrame(list(enumerate(tests)), "doc_id long, text string"), profiles, top=40).collect()}
+    for k, t in enumerate(tests):
+        mine = profile_brute(grams_brute(t or ""), 40)
+        if not mine:
+            assert (out[k].lang_pred, out[k].score) == ("und", 0.0)
+            continue
+        far = {lang: sum(abs(w.index(g) - p) if g in w else 60 for p, g in enumerate(mine)) for lang, w in want.items()}
+        best = min(sorted(far), key=far.get)
+        rest = (sum(far.values()) - far[best]) / 3
+        assert out[k].lang_pred == best and abs(out[k].score - (1 - far[best] / rest if rest else 0)) < 1e-9, t
 
 
 def test_trees_learn():
