@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import math
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,24 +30,57 @@ _BSD = """Redistribution and use in source and binary forms, with or without mod
 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
 _GNU = "it under the terms of the GNU {0}General Public License as published by the Free Software Foundation, either version {1} of the License, or (at your option) any later version."
-#: Texts that licence files and headers themselves hold, from words on that no short form has: (licence, opening words, text).
+_MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so"""
+_ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"
+_CC = "Creative Commons {0} 4.0 International Public License By exercising the Licensed Rights (defined below), You accept and agree to be bound by the terms and conditions of this Creative Commons {0} 4.0 International Public License (\"Public License\")."
+_EPL = "Eclipse Public License - v {0} THE ACCOMPANYING PROGRAM IS PROVIDED UNDER THE TERMS OF THIS ECLIPSE PUBLIC LICENSE (\"AGREEMENT\"). ANY USE, REPRODUCTION OR DISTRIBUTION OF THE PROGRAM CONSTITUTES RECIPIENT'S ACCEPTANCE OF THIS AGREEMENT."
+#: Passages of published licence texts and standard headers, each from its opening words on: (licence, number of opening words, text).
 BODIES = [
-    ("Apache-2.0", "you may not use this file except in compliance with the license", "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."),
-    ("Apache-2.0", "apache license version 2.0 january 2004", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION"),
-    ("BSD-2-Clause", "redistribution and use in source and binary forms with or without modification", f"{_BSD} {_AS_IS}"),
-    ("BSD-3-Clause", "redistribution and use in source and binary forms with or without modification", f"{_BSD} 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. {_AS_IS}"),
-    ("GPL-2.0", "it under the terms of the gnu general public license as published", _GNU.format("", 2)),
-    ("GPL-3.0", "it under the terms of the gnu general public license as published", _GNU.format("", 3)),
-    ("GPL-3.0", "gnu general public license version 3 29 june 2007", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
-    ("LGPL-3.0", "it under the terms of the gnu lesser general public license as published", _GNU.format("Lesser ", 3)),
-    ("LGPL-3.0", "gnu lesser general public license version 3 29 june 2007", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
-    ("MIT", "permission is hereby granted free of charge to any person obtaining a copy", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+    ("0BSD", 8, f'{_ISC}. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE'),
+    ("AGPL-3.0", 12, _GNU.format("Affero ", 3)),
+    ("AGPL-3.0", 5, "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("Apache-2.0", 11, "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."),
+    ("Apache-2.0", 6, "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION"),
+    ("Artistic-2.0", 4, "The Artistic License 2.0 Copyright (c) 2000-2006, The Perl Foundation. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."),
+    ("BSD-2-Clause", 11, f"{_BSD} {_AS_IS}"),
+    ("BSD-3-Clause", 11, f"{_BSD} 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. {_AS_IS}"),
+    ("BSD-4-Clause", 11, f"{_BSD} 3. All advertising materials mentioning features or use of this software must display the following acknowledgement: This product includes software developed by the organization. 4. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("BSL-1.0", 11, 'Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:'),
+    ("CC-BY-4.0", 5, _CC.format("Attribution")),
+    ("CC-BY-NC-4.0", 5, _CC.format("Attribution-NonCommercial")),
+    ("CC-BY-SA-4.0", 5, _CC.format("Attribution-ShareAlike")),
+    ("CC0-1.0", 8, 'The laws of most jurisdictions throughout the world automatically confer exclusive Copyright and Related Rights (defined below) upon the creator and subsequent owner(s) (each and all, an "owner") of an original work of authorship and/or a database (each, a "Work").'),
+    ("EPL-1.0", 6, _EPL.format("1.0")),
+    ("EPL-2.0", 6, _EPL.format("2.0")),
+    ("EPL-2.0", 9, "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("EUPL-1.2", 6, "This European Union Public Licence (the 'EUPL') applies to the Work (as defined below) which is provided under the terms of this Licence. Any use of the Work, other than as authorised under this Licence is prohibited"),
+    ("GPL-2.0", 11, _GNU.format("", 2)),
+    ("GPL-2.0", 8, "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GPL-3.0", 11, _GNU.format("", 3)),
+    ("GPL-3.0", 7, "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("ISC", 8, f"{_ISC}, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("LGPL-2.1", 12, _GNU.format("Lesser ", 2.1)),
+    ("LGPL-2.1", 7, "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("LGPL-3.0", 12, _GNU.format("Lesser ", 3)),
+    ("LGPL-3.0", 7, "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("MIT", 14, f"""{_MIT}, subject to the following conditions:
 The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."""),
-    ("MPL-2.0", "if a copy of the mpl was not distributed with this file", "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
-    ("Unlicense", "anyone is free to copy modify publish use compile sell or distribute this software", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("MIT-0", 14, f'{_MIT}. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED'),
+    ("MPL-2.0", 11, "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("MPL-2.0", 5, 'Mozilla Public License Version 2.0 1. Definitions 1.1. "Contributor" means each individual or legal entity that creates, contributes to the creation of, or owns Covered Software.'),
+    ("MS-PL", 8, "This license governs use of the accompanying software. If you use the software, you accept this license. If you do not accept the license, do not use the software."),
+    ("OFL-1.1", 6, "SIL OPEN FONT LICENSE Version 1.1 - 26 February 2007 PREAMBLE The goals of the Open Font License (OFL) are to stimulate worldwide development of collaborative font projects, to support the font creation efforts of academic and linguistic communities, and to provide a free and open framework in which fonts may be shared and improved in partnership with others."),
+    ("PSF-2.0", 8, 'This LICENSE AGREEMENT is between the Python Software Foundation ("PSF"), and the Individual or Organization ("Licensee") accessing and otherwise using this software ("Python") in source or binary form and its associated documentation.'),
+    ("PostgreSQL", 8, "Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted, provided that the above copyright notice and this paragraph and the following two paragraphs appear in all copies."),
+    ("Unlicense", 11, "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("Zlib", 9, "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"),
 ]
-#: One of these stands in each opening; only texts that hold one are read for bodies.
-OPENERS = ("compliance", "apache", "redistribution", "gnu", "hereby", "mpl", "compile")
+#: One of these stands in each text of BODIES, near its opening; only files that hold one are read for them.
+OPENERS = ("accompanying", "apache", "artistic", "compile", "compliance", "creative", "documentation", "eclipse", "european", "gnu", "granted", "jurisdictions", "mozilla", "mpl", "open font", "python", "redistribution", "warranty")
+#: A file's own word for its licence.
+SPDX = r"(?i)spdx-license-identifier:\s*\(?\s*([a-z0-9.+\-]+)"
+#: What a file without any other licence says.
+RIGHTS = "Proprietary"
 #: A statement holds one of these words, as each template does.
 ANCHORS = r"(?i)licen[sc]|copyright|\brights\b|public domain|\bspdx\b"
 
@@ -89,16 +124,32 @@ def _best(unit: Column, idf: dict[str, float], unknown: float, templates: dict[s
     return F.array_max(F.array(*scores))
 
 
+def _bodies() -> tuple[str, str, float]:
+    """BODIES as JSON, with the inverse document frequencies of their words among them, and the weight of other words."""
+    terms = [list(dict.fromkeys(_python_terms(text))) for _, _, text in BODIES]
+    n = len(terms)
+    df = {w: sum(w in t for t in terms) for t in terms for w in t}
+    idf = {w: math.log((n + 1) / (k + 1)) + 1 for w, k in df.items()}
+    found = [
+        {"license": name, "opening": f" {' '.join(_python_terms(text)[:opening])} ", "size": len(" ".join(_python_terms(text))), "norm": math.sqrt(sum(idf[w] ** 2 for w in t)), "words": {w: idf[w] ** 2 for w in t}}
+        for (name, opening, text), t in zip(BODIES, terms, strict=True)
+    ]
+    return json.dumps(found), json.dumps({w: x**2 for w, x in idf.items()}), (math.log(n + 1) + 1) ** 2
+
+
 def _body(text: Column, least: float) -> Column:
-    """The best (score, license) of the licence texts that a text holds: the cosine of the words in as many letters from their opening on."""
-    found = []
-    for name, opening, body in BODIES:
-        words = list(dict.fromkeys(_python_terms(body)))
-        at = F.locate(f" {opening} ", text)
-        block = F.array_distinct(F.split(F.trim(F.substring(text, at + 1, F.lit(len(" ".join(_python_terms(body)))))), " "))
-        score = lambda x: F.size(F.array_intersect(x, F.array(*map(F.lit, words)))) / F.sqrt(F.size(x) * F.lit(float(len(words))))  # noqa: E731, B023
-        found.append(F.transform(F.filter(F.array(F.when(at > 0, block)), lambda x: x.isNotNull()), lambda x: F.struct(score(x).alias("score"), F.lit(name).alias("license"))))  # noqa: B023
-    return F.array_max(F.filter(F.concat(*found), lambda x: x["score"] >= least))
+    """The best (score, license) of the licence texts that a text holds: the TF-IDF cosine of the words in as many letters from their opening on."""
+    bodies, idf, unknown = _bodies()
+    known = F.from_json(F.lit(bodies), "array<struct<license: string, opening: string, size: int, norm: double, words: map<string, double>>>")
+    weight = F.from_json(F.lit(idf), "map<string, double>")
+
+    def score(body: Column) -> Column:
+        block = F.array_distinct(F.split(F.trim(F.substr(text, F.position(body["opening"], text) + 1, body["size"])), " "))
+        sums = F.aggregate(block, F.struct(F.lit(0.0).alias("dot"), F.lit(0.0).alias("all")), lambda a, x: F.struct((a["dot"] + F.coalesce(body["words"][x], F.lit(0.0))).alias("dot"), (a["all"] + F.coalesce(weight[x], F.lit(unknown))).alias("all")))
+        return F.transform(F.array(sums), lambda x: F.struct((x["dot"] / F.sqrt(x["all"]) / body["norm"]).alias("score"), body["license"].alias("license")))[0]
+
+    held = F.filter(known, lambda body: F.position(body["opening"], text) > 0)
+    return F.array_max(F.filter(F.transform(held, score), lambda x: x["score"] >= least))
 
 
 def _flat(text: Column) -> Column:
@@ -112,9 +163,10 @@ def _flat(text: Column) -> Column:
 def scan_licenses(files: DataFrame, id_col: str = "page_id", path_col: str = "url", text_col: str = "html", least: float = 0.6, body_least: float = 0.85, templates: dict[str, str] | None = None) -> DataFrame:
     """(id, directory, license, score, inherited_from) for each file.
 
-    The best statement of the whole text with a cosine of `least` or more is a file's own licence (ties by name, the
-    last wins); the text of a licence (BODIES) with a cosine of `body_least` or more outweighs statements. Else it has that of the nearest directory upwards in which some file has its own, the best by score, then
-    name. Term weights come from the document frequency of the templates' terms among all statements; a term of no
+    A file's own licence is its SPDX identifier (score 1); else the text or standard header of a licence that it holds
+    (BODIES) with a cosine of `body_least` or more; else the best statement of the whole text with a cosine of `least` or
+    more (ties by name, the last wins), a bare rights line only if no statement names a licence. A file without one has
+    that of the nearest directory upwards in which some file has its own, the best by score, then name. Term weights come from the document frequency of the templates' terms among all statements; a term of no
     template weighs as one that no statement has. A path is a URL or a file path; queries and fragments do not count.
     Null texts have no own licence; a null path is in no directory and inherits nothing. Files with equal paths or ids
     stay rows of their own. Extra columns are left out.
@@ -122,15 +174,18 @@ def scan_licenses(files: DataFrame, id_col: str = "page_id", path_col: str = "ur
     words = {k: _python_terms(v) for k, v in (templates or TEMPLATES).items()}
     vocabulary = sorted({w for x in words.values() for w in x})
     path = F.regexp_replace(F.regexp_replace(F.col(path_col), r"^[a-zA-Z][a-zA-Z0-9+.\-]*://", ""), r"[?#].*$", "")
-    small = files.select(F.col(id_col).alias("id"), F.regexp_extract(path, r"^(.*)/[^/]*$", 1).alias("directory"), F.coalesce(statements(F.col(text_col)), F.array().cast("array<string>")).alias("units"), F.transform(F.array(_flat(F.col(text_col))), lambda t: _body(t, body_least))[0].alias("body"))
+    identifier = F.regexp_extract(text_col, SPDX, 1)
+    spdx = F.when(F.lower(text_col).contains("spdx-license-identifier:") & (identifier != ""), F.struct(F.lit(1.0).alias("score"), identifier.alias("license")))
+    small = files.select(F.col(id_col).alias("id"), F.regexp_extract(path, r"^(.*)/[^/]*$", 1).alias("directory"), F.coalesce(statements(F.col(text_col)), F.array().cast("array<string>")).alias("units"), F.transform(F.array(_flat(F.col(text_col))), lambda t: _body(t, body_least))[0].alias("body"), spdx.alias("spdx"))
     units = small.where(F.size("units") > 0).select(F.explode("units").alias("unit"))
     known = F.array(*map(F.lit, vocabulary))
     counts = units.select(F.explode(F.concat(F.array_intersect(_terms(F.col("unit")), known), F.array(F.lit("")))).alias("term")).groupBy("term").count()
     df = {r["term"]: r["count"] for r in counts.collect()}  # at most one row for each term of the templates
     n = df.get("", 0)
     idf = {w: math.log((n + 1) / (df.get(w, 0) + 1)) + 1 for w in vocabulary}
-    own = F.array_max(F.transform("units", lambda u: _best(u, idf, math.log(n + 1) + 1, words)))
-    scored = small.withColumn("own", own).withColumn("own", F.coalesce("body", F.when(F.col("own.score") >= least, F.col("own")))).drop("units", "body")
+    found = F.filter(F.transform("units", lambda u: _best(u, idf, math.log(n + 1) + 1, words)), lambda x: x["score"] >= least)
+    named = F.array_max(F.filter("found", lambda x: x["license"] != RIGHTS))
+    scored = small.withColumn("found", found).withColumn("own", F.coalesce("spdx", "body", named, F.array_max("found"))).drop("units", "found", "body", "spdx")
     placed = scored.where("own is not null and directory is not null").groupBy("directory").agg(F.max("own").alias("held")).withColumnRenamed("directory", "above")
     wanted = scored.where("own is null and directory is not null").select("directory").distinct()
     parts = F.split("directory", "/")
@@ -142,8 +197,6 @@ def scan_licenses(files: DataFrame, id_col: str = "page_id", path_col: str = "ur
 
 
 def _python_terms(text: str) -> list[str]:
-    import re
-
     return [x for x in re.split(r"[^a-z0-9.\-]+|[.\-]+(?![a-z0-9])", text.lower()) if x]
 
 

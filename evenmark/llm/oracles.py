@@ -45,8 +45,9 @@ n AS (SELECT count(*) AS n FROM u), df AS (SELECT v.term, ln((n + 1) / (count(w.
 un AS (SELECT u, sqrt(sum((c * coalesce(idf, ln(n + 1) + 1)) ** 2)) AS norm FROM w CROSS JOIN n LEFT JOIN df ON df.term = w.term GROUP BY u),
 tn AS (SELECT license, sqrt(sum((c * idf) ** 2)) AS norm FROM t JOIN df USING (term) GROUP BY license),
 s AS (SELECT w.u, t.license, sum(w.c * t.c * idf * idf) / any_value(un.norm) / any_value(tn.norm) AS score FROM w JOIN t ON t.term = w.term JOIN df ON df.term = w.term JOIN un ON un.u = w.u JOIN tn ON tn.license = t.license GROUP BY ALL),
-o AS (SELECT page_id, max((round(score, 12), license)) AS own FROM s JOIN u ON u.u = s.u GROUP BY page_id),
-k AS (SELECT p.page_id, directory, CASE WHEN struct_extract(own, 1) >= 0.6 THEN own END AS own FROM p LEFT JOIN o ON o.page_id = p.page_id),
+b AS (SELECT page_id, s.u, max((round(score, 12), license)) AS own FROM s JOIN u ON u.u = s.u GROUP BY ALL),
+o AS (SELECT page_id, coalesce(max(own) FILTER (WHERE struct_extract(own, 2) <> 'Proprietary'), max(own)) AS own FROM b WHERE struct_extract(own, 1) >= 0.6 GROUP BY page_id),
+k AS (SELECT p.page_id, directory, own FROM p LEFT JOIN o ON o.page_id = p.page_id),
 h AS (SELECT directory AS above, max(own) AS held FROM k WHERE own IS NOT NULL AND directory IS NOT NULL GROUP BY directory),
 a AS (SELECT page_id, arg_max(above, length(above)) AS above, arg_max(held, length(above)) AS held FROM k JOIN h ON k.directory = above OR starts_with(k.directory, above || '/') WHERE own IS NULL GROUP BY page_id)
 SELECT k.page_id, directory, coalesce(struct_extract(own, 2), struct_extract(held, 2)) AS license, round(coalesce(struct_extract(own, 1), struct_extract(held, 1)), 6) AS score, CASE WHEN own IS NULL THEN above END AS inherited_from FROM k LEFT JOIN a ON a.page_id = k.page_id"""

@@ -382,15 +382,29 @@ def test_licenses(spark):
 
 def test_licence_texts_outweigh_rights_lines(spark):
     head = "Copyright (c) 2020 Some One\nAll rights reserved.\n\n"
-    bodies = {}
-    for name, _, text in licenses.BODIES:
-        bodies.setdefault(name, text)
+    bodies = {f"{name}/{k}": text for k, (name, _, text) in enumerate(licenses.BODIES)}
     names = sorted(bodies)
+    assert len({n.split("/")[0] for n in names}) >= 25 and all(any(w in t.lower() for w in licenses.OPENERS) for t in bodies.values())
     lines = {n: "\n".join(" * " + " ".join(bodies[n].split()[k : k + 9]) for k in range(0, 999, 9)) for n in names}
     rows = [(k, f"https://a.org/{n}/LICENSE", head + lines[n]) for k, n in enumerate(names)] + [(100 + k, f"https://a.org/{n}/src/x.c", "int x;") for k, n in enumerate(names)]
     rows.append((200, "https://b.org/x", head + "Permission is hereby granted, free of charge, to any person obtaining a copy of the menu in our restaurant near the river."))
     got = {r.page_id: r.license for r in licenses.scan_licenses(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert got == {200: "Proprietary"} | {k: n for k, n in enumerate(names)} | {100 + k: n for k, n in enumerate(names)}
+    assert got == {200: "Proprietary"} | {k: n.split("/")[0] for k, n in enumerate(names)} | {100 + k: n.split("/")[0] for k, n in enumerate(names)}
+
+
+def test_identifiers_and_named_licences_come_first(spark):
+    gnu = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."
+    rows = [
+        (1, "https://a.org/1/x", "// SPDX-License-Identifier: Apache-2.0\n// All rights reserved."),
+        (2, "https://a.org/2/x", "# SPDX-License-Identifier: (MIT OR Apache-2.0)\n" + gnu),
+        (3, "https://a.org/3/x", "Released under the MIT License.\nAll rights reserved."),
+        (4, "https://a.org/4/x", "All rights reserved.\n" + gnu),
+        (5, "https://a.org/5/x", "All rights reserved."),
+        (5, "https://a.org/5/x", "All rights reserved."),
+        (6, "https://a.org/6/x", "what an spdx-license-identifier: is"),
+    ]
+    got = collections.Counter((r.page_id, r.license) for r in licenses.scan_licenses(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
+    assert got == {(1, "Apache-2.0"): 1, (2, "MIT"): 1, (3, "MIT"): 1, (4, "GPL-2.0"): 1, (5, "Proprietary"): 2, (6, "is"): 1}
 
 
 def test_cosine_is_cosine(spark):
