@@ -149,7 +149,7 @@ def test_near_vectors(spark):
     v = [list(map(float, c + s * rng.standard_normal(32))) for c in centres for s in (0, 0, 0.05, 0.2, 0.28, 0.33)]
     v += [v[0], [0.0] * 32, [float("nan")] * 32, [1.0, None], None, [], [3.0, 4.0], [6.0, 8.0]]
     df = spark.createDataFrame([(k, x, 1) for k, x in enumerate(v)], "vec_id long, embedding array<double>, label int")
-    got = {r.vec_id: r for r in embeddings.near_vectors(df, cell=16, block=24).collect()}
+    got = {r.vec_id: r for r in embeddings.near_vectors(df, cell=16, block=24, tile=10).collect()}
     ok = {k: np.array(x) / np.linalg.norm(x) for k, x in enumerate(v) if x and None not in x and np.isfinite(x).all() and any(x)}
     pairs = [(a, b) for a, b in itertools.combinations(ok, 2) if len(ok[a]) == len(ok[b]) and ok[a] @ ok[b] >= 0.95]
     n, comp = collections.Counter(x for p in pairs for x in p), union_find(pairs, range(len(v)))
@@ -159,6 +159,24 @@ def test_near_vectors(spark):
     assert embeddings.near_vectors(df.limit(0)).count() == 0
 
 
+def test_repeated_ids_are_vectors_of_their_own(spark):
+    rows = [(1, [1.0, 0.0], 5), (1, [0.0, 1.0], 6), (1, [0.0, 2.0], 7), (2, [0.0, 3.0], 8), (3, [1.0, 0.01], 9), (None, [1.0, 0.0], 1), (4, [-1.0, 0.0], 2)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, size int").withColumn("v", F.lit(1)).withColumn("links", F.lit("x"))
+    got = sorted((tuple(r) for r in embeddings.near_vectors(df).collect()), key=str)
+    assert got == sorted([(1, 1, 1, True), (1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 1, 1, False), (None, 0, None, True), (4, 0, 4, True)], key=str)
+
+
+def test_counts_by_windows():
+    rng = np.random.default_rng(0)
+    p, q = rng.standard_normal((50, 9)), rng.standard_normal((70, 9))
+    for half, least in ((0.7, 5), (1.5, 9), (2.0, 8), (0.1, 0)):
+        x, y = embeddings.collisions(p, q, half, least)
+        want = (np.abs(p[:, None] - q[None]) <= half).sum(2) >= least
+        got = np.zeros_like(want)
+        got[x, y] = True
+        assert (got == want).all()
+
+
 def test_count_is_calibrated():
     half, least = embeddings.calibrate(0.95, 24, 1e-4)
     rng = np.random.default_rng(0)
