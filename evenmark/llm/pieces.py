@@ -1,8 +1,10 @@
 """SentencePiece encoding, sampling and decoding over a lattice of a public vocabulary.
 
-A text is cut before each space and around each line end; a word's lattice has an edge for each vocabulary piece that
-stands there, and byte pieces where a character is in no piece. The best segmentation maximises the sum of piece log
-weights. Samples are a Gumbel top-k without replacement: the best perturbed segmentation is drawn from the lattice, the
+A text gets the model's leading blank and is cut before each run of spaces and around each line end; a word's lattice has
+an edge for each vocabulary piece that stands there, and byte pieces where a character is in no piece. The best
+segmentation maximises the sum of the pieces' log-probabilities. A unigram model has these as scores. The scores of a
+BPE model are ranks of frequency; their pieces get the probabilities of Zipf's law with an offset, 1 / (10 + rank), scaled
+to a sum of 1: an estimate that belongs to the lattice, since such a model has none, and not its merges. Samples are a Gumbel top-k without replacement: the best perturbed segmentation is drawn from the lattice, the
 subtrees that branch off from it get maxima that are conditioned to be lower, and the search expands the subtree with
 the highest maximum next (perturbed A-star), until k distinct segmentations stand.
 """
@@ -19,33 +21,39 @@ from pyspark.sql import functions as F
 
 from .common import BASE, BYTE_CODE, mix, packed, slices, span_hashes
 
-BYTE_WEIGHT = -14.0
+#: How much less likely a byte is than the least likely piece, in logarithms.
+BYTE_STEP = 2.0
 
 
 class Vocabulary:
-    """Pieces of a SentencePiece model with weights by rank, in hash tables of their prefixes."""
+    """Pieces of a SentencePiece model with log-probabilities, in hash tables of their prefixes."""
 
     def __init__(self, path: str):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        texts, weights, self.byte_id = [], [], np.full(256, -1, np.int32)
+        texts, self.byte_id = [], np.full(256, -1, np.int32)
         for k in range(model.get_piece_size()):
             piece = model.id_to_piece(k)
             if model.is_byte(k):
                 self.byte_id[int(piece[3:5], 16)] = k
             texts.append(bytes([int(piece[3:5], 16)]) if model.is_byte(k) else b"" if model.is_control(k) or model.is_unknown(k) else piece.replace("▁", " ").encode())
-            weights.append(BYTE_WEIGHT if model.is_byte(k) else -np.log(10 + max(0.0, -model.get_score(k))))
         if (self.byte_id < 0).any():
             raise ValueError("the vocabulary has no byte pieces")
-        self.weights = np.array(weights)
+        score = np.array([model.get_score(k) for k in range(len(texts))])
+        plain = np.array([bool(t) for t in texts])
+        plain[self.byte_id] = False
+        if (score[plain] == np.rint(score[plain])).all():  # ranks
+            score = -np.log(10 - np.minimum(score, 0))
+            score -= np.log(np.exp(score[plain]).sum())
+        self.weights = np.where(plain, score, score[plain].min() - BYTE_STEP)
         self.lengths = np.array([len(t) for t in texts], np.int64)
         self.begins = np.concatenate([[0], np.cumsum(self.lengths)])
         self.bytes = np.frombuffer(b"".join(texts), np.uint8)
         table: dict[int, int] = {}
         is_byte = set(self.byte_id.tolist())
         for k, t in enumerate(texts):
-            if t and k not in is_byte and b" " not in t[1:]:
+            if t and k not in is_byte and (b" " not in t[1:] or not t.strip(b" ")):
                 h = 0
                 for b in t[:-1]:
                     h = (h * int(BASE) + int(BYTE_CODE[b])) % 2**64
@@ -80,10 +88,11 @@ class Vocabulary:
 
 
 def cut_words(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Begins, ends and rows of the words: a word starts at a row's begin, at each space, and at and after each line end."""
+    """Begins, ends and rows of the words: a word starts at a row's begin, at the first of some spaces, and at and after each line end."""
     n = len(buf)
     start = np.zeros(n + 1, bool)
     start[:n] = (buf == 32) | (buf == 10)
+    start[1:n] &= (buf[1:] != 32) | (buf[:-1] != 32)
     start[1:][buf == 10] = True
     start[at] = True
     start[n] = False
@@ -278,13 +287,15 @@ def _below(phi: np.ndarray, limit: np.ndarray, u: np.ndarray) -> np.ndarray:
         return np.where(np.isneginf(phi), -np.inf, limit - np.log1p(np.exp(limit - g)))
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text", k: int = 2, seed: int = 0) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text", k: int = 2, seed: int = 0, prefix: bool = True) -> DataFrame:
     """(id, ids, samples) for each row: the best segmentation and up to k distinct sampled ones, in descending perturbed order.
 
     A sample has ids, logp (its log-probability among all segmentations), perturbed (its Gumbel value) and inclusion
     (1 - exp(-exp(logp - threshold)), where the threshold is the next perturbed value; 1 if there is none).
     Random numbers come from the hash of the id as text and places in the row, so a row's samples do not depend on
-    partitions. Null texts have null ids and no samples, empty texts have no ids and one empty sample.
+    partitions. Null texts have null ids and no samples, empty texts have no ids and one empty sample. Rows that repeat an
+    id and its text repeat its samples; a null id is as good as any. An empty table gives none; extra columns are left out.
+    With `prefix` a text that is not empty gets a blank before it, as models of this kind are fed; `decode` drops it.
     """
     kind = dict(docs.dtypes)[id_col]
     sample_type = pa.struct([("ids", pa.list_(pa.int32())), ("logp", pa.float64()), ("perturbed", pa.float64()), ("inclusion", pa.float64())])
@@ -313,7 +324,8 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text
                 null = part.column(1).is_null().to_numpy(zero_copy_only=False)
                 yield pa.RecordBatch.from_arrays([part.column(0), _list(ids, cut, null), _samples(found, null, sample_type)], ["id", "ids", "samples"])
 
-    few = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col).cast("string") if not kind.startswith("struct") else F.to_json(id_col)).alias("key"))
+    text = F.when(F.octet_length(text_col) > 0, F.concat(F.lit(" "), text_col)).otherwise(F.col(text_col)) if prefix else F.col(text_col)
+    few = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(F.col(id_col).cast("string") if not kind.startswith("struct") else F.to_json(id_col)).alias("key"))
     return few.mapInArrow(run, f"id {kind}, ids array<int>, samples array<struct<ids: array<int>, logp: double, perturbed: double, inclusion: double>>").withColumnRenamed("id", id_col)
 
 
@@ -427,8 +439,8 @@ def _search(lattice, word, row, first, owner, index, key, n, k, seed) -> list:
     return out
 
 
-def decode(encoded: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """(id, text) for each row of ids; null ids give null text."""
+def decode(encoded: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", ids_col: str = "ids", prefix: bool = True) -> DataFrame:
+    """(id, text) for each row of ids; null ids give null text. With `prefix` a text goes without its first blank."""
     kind = dict(encoded.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -451,14 +463,17 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", i
         rows = pa.compute.if_else(lists.is_null(), pa.scalar(None, pa.large_binary()), rows).cast(pa.binary())
         return pa.RecordBatch.from_arrays([batch.column(0), rows], ["id", "bytes"])
 
-    return encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids")).mapInArrow(run, f"id {kind}, bytes binary").select(F.col("id").alias(id_col), F.col("bytes").cast("string").alias("text"))
+    back = encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids")).mapInArrow(run, f"id {kind}, bytes binary")
+    text = F.col("bytes").cast("string")
+    return back.select(F.col("id").alias(id_col), (F.when(text.startswith(" "), F.substr(text, F.lit(2))).otherwise(text) if prefix else text).alias("text"))
 
 
-def default_vocabulary() -> Vocabulary:
-    """The public 32,000-piece model with byte fallback."""
-    import public_tokenizers
+#: The public 32,000-piece BPE model with byte fallback.
+MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
-    return Vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+
+def default_vocabulary(path: str = MODEL) -> Vocabulary:
+    return Vocabulary(path)
 
 
 def op4(spark, sf_dir: str) -> DataFrame:

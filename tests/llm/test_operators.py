@@ -242,11 +242,29 @@ def test_best_segmentation_is_best(spark):
                     score[j] = max(score[j], score[i] + table[word[i:j]])
         return score[-1]
 
-    want = sum(best(w.encode()) for w in re.findall(r" ?[^ ]+", text))
+    want = sum(best(w.encode()) for w in re.findall(r" ?[^ ]+", " " + text))
     ids = pieces.encode(spark.createDataFrame([(1, text)], "doc_id long, text string"), v).first().ids
     assert abs(sum(v.weights[k] for k in ids) - want) < 1e-9
 
 
+def test_ids_feed_the_model(spark):
+    """The library reads the ids back as the text, and its own merges give the same pieces for most words."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    v = pieces.default_vocabulary()
+    plain = np.exp(v.weights)[np.setdiff1d(np.arange(len(v.weights)), v.byte_id)]
+    assert abs(plain[v.lengths[np.setdiff1d(np.arange(len(v.weights)), v.byte_id)] > 0].sum() - 1) < 1e-6 and v.weights[v.byte_id].max() < v.weights[300:].min() + 1e-9 + abs(v.weights[300:].min())
+    texts = ["It was the best of times, it was the worst of times.", "def f(x):\n    return  x\n\n        # far in", " leading blank", "\n", "Le petit chat dort; die Entwicklung moderner Programme braucht Geduld.", "日本語 and ünïcödé", "   ", "a" * 40]
+    out = {r.doc_id: r for r in pieces.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), v).collect()}
+    assert [model.decode(list(out[k].ids)) for k in range(len(texts))] == texts
+    assert all(model.decode(list(s.ids)) == texts[k] for k in out for s in out[k].samples)
+    assert len(out[1].ids) < 24  # runs of blanks are pieces
+    words = sorted({w for k in (0, 4) for w in texts[k].split()})
+    mine = {r.doc_id: list(r.ids) for r in pieces.encode(spark.createDataFrame(list(enumerate(words)), "doc_id long, text string"), v).collect()}
+    assert np.mean([mine[k] == model.encode(w) for k, w in enumerate(words)]) >= 0.8
+
+
 # --- templates
 
 
