@@ -54,7 +54,7 @@ def _statistics(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, x array<float>): the statistics named in STATISTICS of each whole text; null and empty texts have zeros."""
+    """(id, x array<float>): the statistics named in STATISTICS of each whole text; null and empty texts have zeros. Repeated rows and ids stay rows; extra columns are left out."""
     kind = dict(docs.dtypes)[id_col]
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,7 +125,7 @@ def fit_trees(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 4, bin
 
 
 def fit_quality(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", most: int = 20_000) -> Trees:
-    """Trees fitted on labelled rows: all of them, or the `most` whose ids hash lowest. `most` bounds what the driver holds."""
+    """Trees fitted on labelled rows: all of them, or the `most` whose ids hash lowest. `most` bounds what the driver holds. Null labels teach nothing."""
     known = labels.where(F.col(label_col).isNotNull()).select(F.col(id_col), F.col(label_col).cast("double").alias("y"))
     rows = stats.join(lowest_hashes(known, id_col, most), id_col).select("x", "y").toArrow()
     x = rows.column("x").combine_chunks()
@@ -135,7 +135,7 @@ def fit_quality(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", lab
 
 
 def score_quality(stats: DataFrame, model: Trees, id_col: str = "doc_id") -> DataFrame:
-    """(id, score) for each row of statistics."""
+    """(id, score) for each row of statistics, those of null and empty texts as well. Repeated rows and ids stay rows, equal statistics have equal scores, an empty table gives none."""
     kind = dict(stats.dtypes)[id_col]
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

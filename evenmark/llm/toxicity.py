@@ -6,10 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import IS_ALNUM, LOWER, held_out, lowest_hashes, packed, runs_of, slices, span_hashes
+from .common import IS_ALNUM, LOWER, checkpointed, held_out, lowest_hashes, packed, runs_of, slices, span_hashes
 
 IS_END = np.zeros(256, bool)
 IS_END[[10, 33, 46, 63]] = True
@@ -113,13 +113,18 @@ def _each(lists: pa.ListArray) -> list[np.ndarray]:
     return [flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = 8_000) -> Words:
-    """The model of labelled documents: all, or the `most` whose ids hash lowest. `most` bounds what the driver holds.
+def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = 8_000, most_bytes: int = 32_000_000) -> Words:
+    """The model of labelled documents: all, or those whose ids hash lowest, `most` of them and `most_bytes` of text at most (the first always). Both bound what the driver holds.
 
-    The sample is chosen on ids before any text moves, so only its texts are shuffled to it.
+    The sample is chosen on ids and sizes before any text moves, so only its texts are shuffled to it. Null labels and ids,
+    and labels without a document, teach nothing; a repeated id teaches with each of its rows.
     """
     known = labels.where(F.col(label_col).isNotNull()).select(F.col(id_col), F.col(label_col).cast("double").alias("y"))
     known = lowest_hashes(known, id_col, most)
+    sizes = docs.select(F.col(id_col), F.octet_length(text_col).alias("bytes")).join(F.broadcast(known.select(id_col).distinct()), id_col).groupBy(id_col).agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"))
+    order = Window.orderBy(F.pmod(F.xxhash64(id_col), F.lit(1 << 40)), id_col)  # at most `most` rows
+    some = sizes.withColumn("before", F.coalesce(F.sum("bytes").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).where((F.col("before") == 0) | (F.col("before") + F.col("bytes") <= most_bytes)).select(id_col)
+    known = checkpointed(known.join(F.broadcast(some), id_col, "left_semi"))
     few = docs.select(F.col(id_col), F.col(text_col).alias("text")).join(F.broadcast(known), id_col)
     words = sentence_words(few.select(F.struct(id_col, "y").alias("key"), "text"), "key", "text")
     rows = words.select("key.y", "bucket", "sentence").toArrow()
@@ -130,7 +135,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
 def score_toxicity(docs: DataFrame, model: Words, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score, n_sentences, offending) for each row: the noisy-or of its sentences, and where sentences of 0.5 or more begin (in bytes).
 
-    Texts without words have the score 0. Whole texts count, whatever their length.
+    Texts without words, null and empty ones too, have the score 0. Whole texts count, whatever their length. Repeated
+    rows and ids stay rows, an empty table gives none, extra columns are left out.
     """
     kind = dict(docs.dtypes)[id_col]
 

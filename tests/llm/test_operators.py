@@ -530,6 +530,92 @@ def test_trees_learn():
     assert quality.fit_trees(x, np.ones(2000)).score(x[:2]).min() > 0.99
 
 
+def statistics_brute(text):
+    b = (text or "").encode()
+    share = [sum(c in set(chars) for c in b) / max(1, len(b)) for chars in quality.CLASSES.values()]
+    words = re.findall(rb"[^\x20\x09-\x0d]+", b)
+    lines = [x for x in b.split(b"\n") if x]
+    low = lambda x: bytes(c + 32 if 65 <= c <= 90 else c for c in x)
+    alnum = lambda c: 48 <= c < 58 or 65 <= c < 91 or 97 <= c < 123 or c >= 128
+    n, kinds = max(1, len(words)), collections.Counter(map(low, words))
+    return share + [math.log1p(len(b)), math.log1p(len(words)), sum(map(len, words)) / n, len(kinds) / n, max(kinds.values(), default=0) / n, len(set(map(low, lines))) / max(1, len(lines)), sum(alnum(w[-1]) for w in words) / n]
+
+
+def test_statistics_equal_brute_force(docs):
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    rows = quality.document_statistics(docs).collect()
+    assert len(rows) == docs.count()
+    for r in rows:
+        assert np.allclose(r.x, statistics_brute(texts[r.doc_id]), rtol=1e-5, atol=1e-6), r.doc_id
+
+
+def test_traversal_equals_brute_force(spark):
+    rng = np.random.default_rng(3)
+    x = np.round(rng.random((300, len(quality.STATISTICS))), 2)
+    model = quality.fit_trees(x[:200], (x[:200, 2] + x[:200, 7] > 1).astype(float), trees=15, depth=3)
+    got = {r.doc_id: r.score for r in quality.score_quality(spark.createDataFrame([(k, [float(v) for v in row]) for k, row in enumerate(x)], "doc_id long, x array<float>"), model).collect()}
+    x = x.astype(np.float32).astype(float)
+    for k, row in enumerate(x):
+        total = model.base
+        for f, th, leaf in zip(model.feature, model.threshold, model.leaf, strict=True):
+            node = 0
+            for _ in range(3):
+                node = 2 * node + (2 if row[f[node]] > th[node] else 1)
+            total += leaf[node - 7]
+        assert abs(got[k] - 1 / (1 + math.exp(-total))) < 1e-12
+
+
+def toxicity_brute(text, model):
+    """The noisy-or over sentences of summed word weights, and where sentences of 0.5 or more begin."""
+    b, keep, bad = (text or "").encode(), 1.0, []
+    word = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
+    begin, sentences = 0, []
+    for end in [m.end() for m in re.finditer(rb"[\n!.?]", b)] + [len(b)]:
+        sentences.append((begin, b[begin:end]))
+        begin = end
+    low = lambda w: np.frombuffer(bytes(c + 32 if 65 <= c <= 90 else c for c in w), np.uint8)
+    code = lambda w: int(toxicity.span_hashes(low(w), np.array([0]), np.array([len(w)]))[0])
+    n = 0
+    for at, s in sentences:
+        found = list(word.finditer(s))
+        if not found:
+            continue
+        n += 1
+        buckets = {code(m[0]) % toxicity.BUCKETS for m in found}
+        for size in toxicity.STEMS:
+            buckets |= {(code(m[0][:size]) * (2 * size + 1) % 2**64 >> 20) % toxicity.BUCKETS for m in found if len(m[0]) > size}
+        z = sum(float(model.weight[k]) for k in buckets) + model.bias
+        keep *= 1 - 1 / (1 + math.exp(-z))
+        if z >= 0:
+            bad.append(at + found[0].start())
+    return 1 - keep, n, bad
+
+
+def test_toxicity_equals_brute_force(docs):
+    rng = np.random.default_rng(6)
+    model = toxicity.Words((rng.standard_normal(toxicity.BUCKETS) * 0.5).astype(np.float32), -2.0)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    rows = toxicity.score_toxicity(docs, model).collect()
+    assert len(rows) == docs.count()
+    for r in rows:
+        score, n, bad = toxicity_brute(texts[r.doc_id], model)
+        assert abs(r.score - score) < 1e-6 and r.n_sentences == n and r.offending == bad, r.doc_id
+
+
+def test_toxicity_sample_is_bounded(spark):
+    rows = [(k, f"good words {k}. " * 20 + ("zznasty thing." if k % 3 == 0 else "")) for k in range(120)]
+    d, y = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(120)] + [(None, 1), (999, 1), (5, None)], "doc_id long, toxic int")
+    sizes = []
+    whole = toxicity.fit_noisy_or
+    toxicity.fit_noisy_or = lambda b, s, y: sizes.append(len(y)) or whole(b, s, y)
+    try:
+        for most, most_bytes in ((8_000, 32_000_000), (50, 32_000_000), (8_000, 10_000), (8_000, 1)):
+            toxicity.fit_toxicity(d, y, most=most, most_bytes=most_bytes)
+    finally:
+        toxicity.fit_noisy_or = whole
+    assert sizes[0] == 120 and sizes[1] <= 50 and 25 <= sizes[2] <= 35 and sizes[3] == 1
+
+
 def test_quality_and_toxicity_on_odd_rows(spark, docs, nothing):
     labels = spark.createDataFrame([(0, 1, 0), (3, 0, 1), (4, 0, 0), (6, None, None), (99, 1, 1)], "doc_id long, quality int, toxic int")
     stats = quality.document_statistics(docs)
@@ -665,3 +751,56 @@ def test_pipeline_keeps_rows_apart(spark, docs):
         assert out.columns == P.COLUMNS and out.count() == few.count(), name
     texts = {r.doc_id: r.text for r in P.repeats(spark, docs.select(*P.COLUMNS), SMALL).collect()}
     assert texts[1] == "" and texts[14] == "é" * 60 and texts[None] == ""
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    """All five stages by plain Python on a small corpus with copies, near copies, repeated passages, leaks and odd rows."""
+    import corpus_pipeline as P
+    import sentencepiece
+
+    rng = np.random.default_rng(21)
+    lexicon = ["".join(rng.choice(list("abdegiklmnoprstu"), int(rng.integers(2, 8)))) for _ in range(400)]
+    prose = lambda n: " ".join(rng.choice(lexicon, n))
+    items = [(k, prose(25)) for k in range(4)]
+    passage = prose(60)
+    texts = [prose(int(rng.integers(5, 120))) for _ in range(40)]
+    texts += [texts[3], texts[3], texts[5] + " more", texts[7].replace(" ", "  ", 1)] + [prose(20) + " " + passage + " " + prose(20) for _ in range(5)]
+    texts += [prose(30) + " " + items[k % 4][1] + " " + prose(30) for k in range(6)] + [items[1][1].split(" ", 4)[4], "12 34 !!", "", "   ", "é" * 60, "Öl " * 30, "x"]
+    rows = [(k, x, ("en", "fr", None)[k % 3], "s", len(x)) for k, x in enumerate(texts)] + [(900, None, "en", None, None)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r.doc_id: list(r.ids) for r in P.run(spark, str(tmp_path)).collect()}
+    # language: whatever has a letter has a language
+    left = [(k, x) for k, x, *_ in rows if x and any(c.isalpha() for c in x)]
+    _, component = near_brute(left)
+    left = [(k, x) for k, x in left if component[k] == k]
+    first, cut = {}, []
+    for k, x in left:
+        b = x.encode()
+        for p in range(len(b) - 49):
+            first.setdefault(b[p : p + 50], k)
+    for k, x in left:
+        b, gone = x.encode(), bytearray(len(x.encode()))
+        for p in range(len(b) - 49):
+            if first[b[p : p + 50]] < k:
+                gone[p : p + 50] = b"\1" * 50
+        kept = bytes(c for c, g in zip(b, gone, strict=True) if not g)
+        cut.append((k, kept.decode(errors="ignore")))
+    leaked = {d for d, _ in leaks_brute(cut, items)}
+    want = {k: x for k, x in cut if k not in leaked}
+    model = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    assert sorted(got) == sorted(want) and len(leaked) >= 4 and len(left) < len(rows) - 8 and any(x != dict(left)[k] for k, x in want.items())
+    assert {k: model.decode(ids) for k, ids in got.items()} == want
+
+
+def test_stages_on_odd_and_empty_tables(spark, docs, nothing):
+    import corpus_pipeline as P
+
+    few = docs.select(*P.COLUMNS)
+    out = P.language(spark, few, SMALL)
+    assert out.columns == P.COLUMNS and out.count() == sum(bool(r.text) and any(c.isalpha() for c in r.text) for r in few.collect())
+    done = P.tokenize(spark, few, SMALL).collect()
+    assert len(done) == few.count() and sum(r.ids is None for r in done) == 1
+    for name, stage in P.STAGES:
+        assert stage(spark, nothing.select(*P.COLUMNS), SMALL).count() == 0, name
