@@ -6,15 +6,14 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: @us(x): microseconds since 1970 of a timestamp; @day(x): days since 1970; @json(x, k): text of a JSON member.
+#: @us(x): microseconds since 1970 of a timestamp; @day(x): days since 1970; @json(x, k): text of a JSON member; @each(x): a row for each element; @list(...): a list.
 VIEWS = {
     "quotes": """SELECT l_partkey AS player, l_partkey % 40 AS event, l_returnflag AS market, l_suppkey AS book,
         CAST(floor(l_quantity) AS BIGINT) % 3 + CAST(0.5 AS DOUBLE) AS point, round(CAST(0.95 AS DOUBLE) + 10 * l_discount, 4) AS over_price,
         round(CAST(1.0 AS DOUBLE) + 10 * l_tax, 4) AS under_price, @day(l_shipdate) AS captured_at, l_orderkey AS batch, l_linenumber AS seq,
         l_linestatus = 'O' AND l_linenumber = 7 AS yes_only FROM lineitem""",
-    "outcomes": """SELECT event, market, book, player, 'Over' AS side, point, over_price AS price, captured_at, batch, seq FROM quotes WHERE NOT yes_only
-        UNION ALL SELECT event, market, book, player, 'Under' AS side, point, under_price AS price, captured_at, batch, seq FROM quotes WHERE NOT yes_only
-        UNION ALL SELECT event, market, book, player, 'Yes' AS side, CAST(NULL AS DOUBLE) AS point, over_price AS price, captured_at, batch, seq FROM quotes WHERE yes_only""",
+    "outcomes": """SELECT event, market, book, player, side, CASE WHEN side <> 'Yes' THEN point END AS point, CASE WHEN side = 'Under' THEN under_price ELSE over_price END AS price, captured_at, batch, seq
+        FROM (SELECT *, @each(CASE WHEN yes_only THEN @list('Yes') ELSE @list('Over', 'Under') END) AS side FROM quotes) AS sides""",
     "history": """SELECT o_custkey AS player, o_orderkey AS game, @day(o_orderdate) AS kickoff, year(o_orderdate) AS season,
         CAST(floor(o_totalprice / 1000) AS BIGINT) AS value FROM orders""",
     "history_deep": """SELECT o_custkey % 200 AS player, o_orderkey AS game, @day(o_orderdate) AS kickoff, year(o_orderdate) AS season,
@@ -63,8 +62,10 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 SPARK = {
     r"@us\(([^()]*)\)": r"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST(\1 AS TIMESTAMP_NTZ))",
     r"@json\((\w+), (\w+)\)": r"get_json_object(\1, '$.\2')",
+    r"@list\(([^()]*)\)": r"array(\1)",
+    r"@each\(": "explode(",
 }
-DUCK = {r"@us\(([^()]*)\)": r"epoch_us(\1)", r"@json\((\w+), (\w+)\)": r"json_extract_string(\1, '$.\2')"}
+DUCK = {r"@us\(([^()]*)\)": r"epoch_us(\1)", r"@json\((\w+), (\w+)\)": r"json_extract_string(\1, '$.\2')", r"@list\(([^()]*)\)": r"[\1]", r"@each\(": "unnest("}
 
 
 def _days(text: str, before: str, after: str) -> str:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
@@ -58,7 +59,10 @@ def similarity(a: str, b: str) -> float:
 
 def alias_score(name: str, alias: str) -> float:
     """1 for equal names, 0.96 for an initial and the surname, else their similarity."""
-    x, y = tokens(name), tokens(alias)
+    return _score(tokens(name), tokens(alias))
+
+
+def _score(x: list[str], y: list[str]) -> float:
     if "".join(x) == "".join(y):
         return 1.0
     if len(x) == 2 and len(x[0]) == 1 and len(y) >= 2 and x[0] == y[0][0] and x[1] == y[-1]:
@@ -66,13 +70,44 @@ def alias_score(name: str, alias: str) -> float:
     return similarity("".join(x), "".join(y))
 
 
-@F.pandas_udf(DoubleType())
-def score_names(names: pd.Series, aliases: pd.Series) -> pd.Series:
-    """alias_score of two columns; pairs that repeat in a batch are scored once."""
-    seen: dict[tuple, float] = {}
-    out = []
-    for pair in zip(names, aliases, strict=True):
-        if pair not in seen:
-            seen[pair] = alias_score(*pair) if None not in pair else None
-        out.append(seen[pair])
-    return pd.Series(out, dtype="float64")
+def _letters(words: np.ndarray) -> np.ndarray:
+    """How often each of a to z and 0 to 9 stands in each text."""
+    out = np.zeros((len(words), 36), np.int16)
+    for k, w in enumerate(words):
+        raw = np.frombuffer(w.replace(" ", "").encode(), np.uint8)
+        np.add.at(out[k], np.where(raw >= 97, raw - 97, raw - 22), 1)
+    return out
+
+
+def most_similar(left: pd.Series, right: pd.Series) -> np.ndarray:
+    """A bound that no pair's similarity exceeds, from the letters that both texts have: as if all of them matched, in order, and the beginnings were equal."""
+    a_of, a = pd.factorize(left)
+    b_of, b = pd.factorize(right)
+    x, y = _letters(np.asarray(a)), _letters(np.asarray(b))
+    m = np.minimum(x[a_of], y[b_of]).sum(1)
+    size = np.maximum(1, x.sum(1)[a_of]), np.maximum(1, y.sum(1)[b_of])
+    jaro = np.where(m > 0, (m / size[0] + m / size[1] + 1) / 3, 0)
+    return jaro + 0.4 * (1 - jaro)
+
+
+def score_names(least: float):
+    """A column function of two columns of normal names: the alias score, or null where it cannot reach `least`.
+
+    Pairs are first bounded by their letters, a batch at a time; what is left is scored once for each different pair.
+    """
+
+    @F.pandas_udf(DoubleType())
+    def score(names: pd.Series, aliases: pd.Series) -> pd.Series:
+        out = np.full(len(names), np.nan)
+        here = np.flatnonzero(names.notna() & aliases.notna())
+        a, b = names.iloc[here], aliases.iloc[here]
+        initial = a.str.len().gt(1) & a.str[1].eq(" ")
+        some = here[(most_similar(a, b) >= least) | initial.to_numpy()]
+        seen: dict[tuple[str, str], float] = {}
+        for k, pair in zip(some, zip(names.iloc[some], aliases.iloc[some], strict=True), strict=True):
+            if pair not in seen:
+                seen[pair] = _score(pair[0].split(), pair[1].split())
+            out[k] = seen[pair]
+        return pd.Series(np.where(out >= least, out, np.nan))
+
+    return score

@@ -144,9 +144,11 @@ def calibration(cases: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def report_cube(cases: DataFrame, seasons: list[int]) -> DataFrame:
-    """Season (and all) by stratum (and all) by threshold, empty cells kept; one grouping pass over the cases."""
-    cells = cases.cube("season", "stratum", "threshold").agg(F.count("*").alias("n"), F.avg("brier_three").alias("brier_three"), F.avg("log_loss").alias("log_loss"), F.grouping_id().alias("g"))
-    cells = cells.where(F.col("threshold").isNotNull()).select(F.coalesce(F.col("season").cast("string"), F.lit("all")).alias("season"), F.coalesce("stratum", F.lit("all")).alias("stratum"), "threshold", "n", "brier_three", "log_loss")
+    """Season (and all) by stratum (and all) by threshold, empty cells kept; one pass over the cases for the four groupings."""
+    keys = ["season", "stratum", "threshold"]
+    sets = [[F.col(k) for k in s] for s in (keys, ["season", "threshold"], ["stratum", "threshold"], ["threshold"])]
+    cells = cases.groupingSets(sets, *keys).agg(F.count("*").alias("n"), F.avg("brier_three").alias("brier_three"), F.avg("log_loss").alias("log_loss"))
+    cells = cells.select(F.coalesce(F.col("season").cast("string"), F.lit("all")).alias("season"), F.coalesce("stratum", F.lit("all")).alias("stratum"), "threshold", "n", "brier_three", "log_loss")
     arr = lambda xs: F.array(*map(F.lit, xs))
     frame = cases.sparkSession.range(1).select(F.explode(arr(["all", *map(str, seasons)])).alias("season")).withColumn("stratum", F.explode(arr(["all", *STRATA]))).withColumn("threshold", F.explode(arr(THRESHOLDS)))
     return frame.join(cells, ["season", "stratum", "threshold"], "left").withColumn("n", F.coalesce("n", F.lit(0)))

@@ -5,21 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.names import score_names
+from ..functions.names import normal_name, score_names
 
 
-def scored_pairs(names: DataFrame, candidates: DataFrame, block: list[str]) -> DataFrame:
-    """(block, name, identity, score): each distinct name against each identity of its block, by its best alias."""
-    left = names.select(*block, "name").distinct()
-    right = candidates.select(*block, "identity", "alias").distinct()
-    pairs = left.join(right, block)
-    return pairs.withColumn("score", score_names("name", "alias")).groupBy(*block, "name", "identity").agg(F.max("score").alias("score"))
+def scored_pairs(names: DataFrame, candidates: DataFrame, block: list[str], least: float = 0.0) -> DataFrame:
+    """(block, name, identity, score): each distinct name against each identity of its block, by its best alias; scores under `least` are left out.
+
+    Names are normalised once each. A pair whose lengths alone keep it under `least` is not made, unless the name is an
+    initial and a surname.
+    """
+    left = names.select(*block, "name").distinct().withColumn("_a", normal_name("name"))
+    right = candidates.select(*block, "identity", "alias").distinct().withColumn("_b", normal_name("alias"))
+    size = lambda c: F.length(F.replace(c, F.lit(" "), F.lit("")))
+    low, high = F.least(size(F.col("_a")), size(F.col("_b"))), F.greatest(size(F.col("_a")), size(F.col("_b")))
+    # with all of the shorter one's letters matched, similarity is 0.8 + 0.2 * low / high at most
+    near = (0.8 * high + 0.2 * low >= (least - 1e-9) * high) | F.col("_a").rlike("^. ")
+    pairs = left.join(right, block).where(near)
+    scored = pairs.withColumn("score", score_names(least)("_a", "_b")).where("score IS NOT NULL AND NOT isnan(score)")
+    return scored.groupBy(*block, "name", "identity").agg(F.max("score").alias("score"))
 
 
 def match_identities(names: DataFrame, candidates: DataFrame, block: list[str], least: float = 0.94, gap: float = 0.04) -> DataFrame:
-    """(block, name, identity, score, accepted): the best identity of each name, accepted if it is good and clearly ahead."""
+    """(block, name, identity, score, accepted): the best identity of each name, accepted if it is good and clearly ahead.
+
+    Scores under least - gap decide nothing, so names without a better one are left out.
+    """
     w = Window.partitionBy(*block, "name").orderBy(F.desc("score"), "identity")
-    ranked = scored_pairs(names, candidates, block).withColumn("place", F.row_number().over(w)).withColumn("next", F.lead("score").over(w)).where("place = 1")
+    ranked = scored_pairs(names, candidates, block, least - gap).withColumn("place", F.row_number().over(w)).withColumn("next", F.lead("score").over(w)).where("place = 1")
     ok = (F.col("score") >= least) & (F.coalesce(F.col("score") - F.col("next"), F.lit(1.0)) >= gap - 1e-12)
     return ranked.select(*block, "name", "identity", "score", ok.alias("accepted"))
 
@@ -54,7 +66,11 @@ def nearest_in_time(left: DataFrame, right: DataFrame, keys: list[str], at: str,
     return out.select(*names, "n.far", F.col("n.r").alias("nearest"))
 
 
-def calendar_weeks(instants: DataFrame, weeks: DataFrame, at: str) -> DataFrame:
-    """Each instant with the (season, week) whose [start, end) holds it; the weeks are a reference table of a few rows a season."""
-    w = F.broadcast(weeks)
-    return instants.join(w, (F.col(at) >= F.col("start")) & (F.col(at) < F.col("end")), "left").drop("start", "end")
+def calendar_weeks(instants: DataFrame, weeks: DataFrame, at: str, step: int = 7) -> DataFrame:
+    """Each instant with the (season, week) whose [start, end) holds it. Both sides meet in steps of `step`, so there is no pair of every instant and week."""
+    place = lambda x: F.floor(x / step)
+    held = weeks.withColumn("_step", F.explode(F.sequence(place(F.col("start")), place(F.col("end") - 1))))
+    held = held.withColumnRenamed("start", "_start").withColumnRenamed("end", "_end")
+    inside = (F.col(at) >= F.col("_start")) & (F.col(at) < F.col("_end"))
+    keyed = instants.withColumn("_at", place(F.col(at)))
+    return keyed.join(held, (F.col("_at") == F.col("_step")) & inside, "left").drop("_start", "_end", "_step", "_at")

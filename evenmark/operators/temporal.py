@@ -104,14 +104,19 @@ def chain_heads(records: DataFrame, at) -> DataFrame:
 
 
 def closure(edges: DataFrame, roots: DataFrame, most: int = 10_000) -> DataFrame:
-    """(node, depth): what the roots reach along edges (parent, child), roots at depth 0; breadth first, each node once.
+    """(node, depth): what the roots reach along edges (parent, child), roots at depth 0, others at their least depth.
 
-    Each round joins only the nodes that the last one found; lineage is cut, so a long chain needs no long plan.
+    Where every child has one parent, each node looks up its chain to the first root, twice as far in each round. Else the
+    search goes breadth first and joins only the nodes that the last round found. Lineage is cut after each round.
     """
-    reached = cut(roots.select("node").distinct().withColumn("depth", F.lit(0)))
+    e = cut(edges.select("parent", "child").where("parent IS NOT NULL AND child IS NOT NULL").distinct())
+    start = roots.select("node").where("node IS NOT NULL").distinct()
+    if e.groupBy("child").count().where("count > 1").isEmpty():
+        return _up_chains(e, start)
+    reached = cut(start.withColumn("depth", F.lit(0)))
     front, parts = reached, reached
     for depth in range(1, most):
-        step = edges.join(front.select(F.col("node").alias("parent")), "parent").select(F.col("child").alias("node")).distinct()
+        step = e.join(front.select(F.col("node").alias("parent")), "parent").select(F.col("child").alias("node")).distinct()
         front = cut(step.join(parts.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))
         if front.isEmpty():
             return parts
@@ -119,6 +124,20 @@ def closure(edges: DataFrame, roots: DataFrame, most: int = 10_000) -> DataFrame
     raise RuntimeError("closure: too deep")
 
 
+def _up_chains(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """closure of edges that give each child one parent: (node, top, depth) with no root between node and top, doubled until top is a root or has no parent."""
+    marked = roots.withColumn("root", F.lit(True))
+    at = edges.select(F.col("child").alias("node"), F.col("parent").alias("top"), F.lit(1).cast("long").alias("depth")).join(roots, "node", "left_anti")
+    at = cut(at.join(marked.withColumnRenamed("node", "top"), "top", "left").select("node", "top", "depth", F.coalesce("root", F.lit(False)).alias("done")))
+    for _ in range(at.count().bit_length() + 1):  # the nodes of a cycle without a root stay undone
+        live = at.where("NOT done")
+        if live.isEmpty():
+            break
+        up = at.select(F.col("node").alias("top"), F.col("top").alias("next"), F.col("depth").alias("more"), F.col("done").alias("ends"))
+        at = cut(at.where("done").union(live.join(up, "top").select("node", F.col("next").alias("top"), (F.col("depth") + F.col("more")).alias("depth"), F.col("ends").alias("done"))))
+    return roots.withColumn("depth", F.lit(0)).union(at.where("done").select("node", F.col("depth").cast("int").alias("depth")))
+
+
 def effective_rights(requests: DataFrame, decisions: DataFrame, request_id: str) -> DataFrame:
     """Each request (request_id, profile, valid_at, known_at) with the newest known and started decision; an expired one allows nothing.
 

@@ -27,7 +27,7 @@ def f1(spark, sf):
 @query("f2_alias_scores", f"SELECT brand, name, identity, round(score, 6) AS score FROM ({SCORES}) WHERE score >= 0.94")
 def f2(spark, sf):
     names, candidates = _names(spark, sf)
-    return I.scored_pairs(names, candidates, ["brand"]).where("score >= 0.94").withColumn("score", F.round("score", 6))
+    return I.scored_pairs(names, candidates, ["brand"], 0.94).withColumn("score", F.round("score", 6))
 
 
 MATCH = f"SELECT brand, name, identity, score FROM (SELECT *, row_number() OVER (PARTITION BY brand, name ORDER BY score DESC, identity) AS n, lead(score) OVER (PARTITION BY brand, name ORDER BY score DESC, identity) AS next FROM ({SCORES})) WHERE n = 1 AND score >= 0.94 AND score - coalesce(next, 0) >= 0.04 - 1e-12"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,12 +29,22 @@ def new_quote_sets(incoming: DataFrame, stored: DataFrame, scope: list[str], ord
 
 
 def publish_dataset(rows: DataFrame, base: str, fields: list[str]) -> DataFrame:
-    """Writes rows under base/<digest> unless they stand there, and returns the manifest row (digest, rows, path)."""
-    manifest = content_digest(rows, [F.col(c) for c in fields])
-    got = manifest.first()
+    """Writes rows under base/<digest> unless they stand there, and returns the manifest row (digest, rows, path).
+
+    The rows are written aside, their digest is that of the files, and only then the folder gets its name: a folder with
+    a digest's name is whole.
+    """
+    spark = rows.sparkSession
+    aside = f"{base}/_aside-{uuid.uuid4().hex}"
+    rows.write.parquet(aside)
+    got = content_digest(spark.read.schema(rows.schema).parquet(aside), [F.col(c) for c in fields]).first()
     path = f"{base}/{got['digest']}"
-    rows.write.mode("ignore").parquet(path)
-    return rows.sparkSession.createDataFrame([(got["digest"], got["rows"], path)], "digest string, rows long, path string")
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    here, there = hadoop.Path(aside), hadoop.Path(path)
+    system = there.getFileSystem(spark._jsc.hadoopConfiguration())
+    if system.exists(there) or not system.rename(here, there):
+        system.delete(here, True)
+    return spark.createDataFrame([(got["digest"], got["rows"], path)], "digest string, rows long, path string")
 
 
 def read_dataset(spark: SparkSession, manifest: DataFrame, fields: list[str]) -> DataFrame:

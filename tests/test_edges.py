@@ -147,6 +147,44 @@ def test_closure_ends_on_a_cycle(spark):
     assert got == {1: 0, 2: 1, 3: 2}
 
 
+@pytest.mark.parametrize("extra", [[], [(500, 60)]])
+def test_closure_by_either_way(spark, extra):
+    """A long chain, a tree, a cycle that no root reaches and roots under roots; with a second parent the search goes breadth first."""
+    edges = [(k, k + 1) for k in range(100)] + [(200, 201), (200, 202), (202, 203), (300, 301), (301, 300), (-1, 200)] + extra
+    roots = [0, 50, 200, 202, 999, 500]
+    depth, front = {r: 0 for r in roots}, roots
+    while front:
+        front = [c for p, c in edges if p in front and c not in depth and not depth.update({c: depth[p] + 1})]
+    got = T.closure(spark.createDataFrame(edges + edges[:3], "parent int, child int"), spark.createDataFrame([(r,) for r in roots + roots[:1]], "node int")).collect()
+    assert {r.node: r.depth for r in got} == depth and len(got) == len(depth)
+
+
+def test_bound_on_similarity(spark):
+    import random
+
+    import pandas as pd
+
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcde") for _ in range(rng.randint(0, 9)))
+    a, b = [word() for _ in range(400)], [word() for _ in range(400)]
+    bound = N.most_similar(pd.Series(a), pd.Series(b))
+    assert all(x >= N.similarity(p, q) - 1e-9 or p == q for x, p, q in zip(bound, a, b))
+    names = [("J Smith",), ("Odell Beckham Jr.",), ("Nobody Else",), (None,), ("",)]
+    known = [("Jonathan Alexander Smith", 1), ("Odel Beckham", 2), ("Zzz", 3), (None, 4)]
+    n = spark.createDataFrame([("b", *r) for r in names], "block string, name string")
+    k = spark.createDataFrame([("b", *r) for r in known], "block string, alias string, identity int")
+    got = {r.name: (r.identity, r.accepted) for r in I.match_identities(n, k, ["block"]).collect()}
+    assert got == {"J Smith": (1, True), "Odell Beckham Jr.": (2, True)}
+    every = {(r.name, r.identity): r.score for r in I.scored_pairs(n, k, ["block"]).collect()}
+    assert len(every) == 12 and abs(every["Odell Beckham Jr.", 2] - N.alias_score("Odell Beckham Jr.", "Odel Beckham")) < 1e-12
+
+
+def test_calendar_weeks_at_their_edges(spark):
+    weeks = spark.createDataFrame([(1, 1, 10, 17), (1, 2, 17, 24), (2, 1, 100, 130)], "season int, week int, start int, end int")
+    got = {r.at: (r.season, r.week) for r in I.calendar_weeks(spark.createDataFrame([(x,) for x in (9, 10, 16, 17, 23, 24, 100, 129, 130, -5)] + [(None,)], "at int"), weeks, "at").collect()}
+    assert got == {9: (None, None), 10: (1, 1), 16: (1, 1), 17: (1, 2), 23: (1, 2), 24: (None, None), 100: (2, 1), 129: (2, 1), 130: (None, None), -5: (None, None), None: (None, None)}
+
+
 def test_priority_plan_ends_before_kickoff(spark):
     t = spark.createDataFrame([(1, 0, 30000), (2, 5, 5)], "target int, activated long, kickoff long")
     got = L.priority_plan(t).orderBy("step").collect()
