@@ -76,7 +76,7 @@ The above copyright notice and this permission notice shall be included in all c
     ("Zlib", 9, "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"),
 ]
 #: One of these stands in each text of BODIES, near its opening; only files that hold one are read for them.
-OPENERS = ("accompanying", "apache", "artistic", "compile", "compliance", "creative", "documentation", "eclipse", "european", "gnu", "granted", "jurisdictions", "mozilla", "mpl", "open font", "python", "redistribution", "warranty")
+OPENERS = ("accompanying", "apache", "artistic", "compile", "compliance", "creative", "documentation", "eclipse", "european", "gnu", "granted", "jurisdictions", "mozilla", "open font", "python", "redistribution", "warranty")
 #: A file's own word for its licence.
 SPDX = r"(?i)spdx-license-identifier:\s*\(?\s*([a-z0-9.+\-]+)"
 #: What a file without any other licence says.
@@ -186,6 +186,7 @@ def scan_licenses(files: DataFrame, id_col: str = "page_id", path_col: str = "ur
     found = F.filter(F.transform("units", lambda u: _best(u, idf, math.log(n + 1) + 1, words)), lambda x: x["score"] >= least)
     named = F.array_max(F.filter("found", lambda x: x["license"] != RIGHTS))
     scored = small.withColumn("found", found).withColumn("own", F.coalesce("spdx", "body", named, F.array_max("found"))).drop("units", "found", "body", "spdx")
+    scored = checkpointed(scored)  # a few words for each file, so texts are scored once
     placed = scored.where("own is not null and directory is not null").groupBy("directory").agg(F.max("own").alias("held")).withColumnRenamed("directory", "above")
     wanted = scored.where("own is null and directory is not null").select("directory").distinct()
     parts = F.split("directory", "/")
