@@ -42,16 +42,18 @@ def expected_value(lines: DataFrame, history: DataFrame, key: str = "player", n:
     after_environment, model_p, implied_p, edge and n_games.
     """
     recent = last_n(history, [key], [F.desc("kickoff"), F.desc("game")], n).groupBy(key).agg(F.collect_list("value").alias("values"))
-    both = lines.join(recent, key).withColumn("direction", F.explode(F.array(F.lit("over"), F.lit("under"))))
+    hits = lambda f: F.size(F.filter("values", f))
+    counted = lines.join(recent, key).withColumn("n_games", F.size("values"))
+    sides = F.array(F.struct(F.lit("over").alias("direction"), hits(lambda v: v > F.col("point")).alias("hits")), F.struct(F.lit("under").alias("direction"), hits(lambda v: v < F.col("point")).alias("hits")))
+    both = counted.withColumn("_s", sides).drop("values").withColumn("_s", F.explode("_s")).select("*", "_s.*").drop("_s")
     over = F.col("direction") == "over"
-    hits = F.size(F.filter("values", lambda v: F.when(F.col("direction") == "over", v > F.col("point")).otherwise(v < F.col("point"))))
     sign = F.when(over, -1.0).otherwise(1.0)
     drag = F.greatest(F.lit(0), F.col("wind") - WIND_FREE) * WIND_RATE + F.when(F.col("rain") > 0, WET).otherwise(0.0)
-    out = both.withColumn("n_games", F.size("values")).withColumn("base_rate", hits / F.size("values"))
+    out = both.withColumn("base_rate", F.col("hits") / F.col("n_games")).drop("hits")
     out = out.withColumn("after_environment", clamp01(F.col("base_rate") + sign * drag))
     out = out.withColumn("model_p", clamp01(F.col("after_environment") + sign * F.col("coverage") * COVERAGE_RATE))
     out = out.withColumn("implied_p", F.when(over, F.col("p_over")).otherwise(1 - F.col("p_over")))
-    return out.withColumn("edge", F.col("model_p") - F.col("implied_p")).drop("values")
+    return out.withColumn("edge", F.col("model_p") - F.col("implied_p"))
 
 
 def recent_average(history: DataFrame, key: str, n: int) -> DataFrame:
