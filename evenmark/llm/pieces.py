@@ -209,6 +209,41 @@ class Lattice:
             return (np.empty(0, np.int64),) * 3
         return np.concatenate(edges), np.concatenate(items), np.concatenate(steps)
 
+    def divert(self, words: np.ndarray, taken: np.ndarray, at: np.ndarray, uniform) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As walk: a segmentation of each word, drawn among all but the one whose edges (from the end) begin at taken[at]."""
+        mass = np.exp(np.add.reduceat(np.append(self.log[taken], 0.0), at)) if len(at) else np.empty(0)
+        node, live, scale, on = self.tail[words], np.arange(len(words)), np.ones(len(words)), np.ones(len(words), bool)
+        edges, items, steps, k = [], [], [], 0
+        while len(live):
+            u, e = uniform(live, k), np.empty(len(live), np.int64)
+            off = ~on[live]
+            e[off] = self.pick(node[live[off]], u[off])
+            held = live[~off]
+            own = taken[at[held] + k]
+            p, v = np.exp(self.log[own]), u[~off]
+            last = self.source[own] == self.head[words[held]]
+            stay = np.where(last, 0.0, np.clip((scale[held] * p - mass[held]) / np.maximum(scale[held] - mass[held], 1e-300), 0, 1))
+            stay[self.count_in[node[held]] == 1] = 1.0
+            keep = v < stay
+            # among the other edges: their shares closed up over the gap of the one taken
+            c = np.where(keep, 0.5, (v - stay) / np.maximum(1 - stay, 1e-300)) * (1 - p)
+            c = np.where(c >= self.share[own] - p, np.minimum(c + p, 1.0), c)
+            new = self.pick(node[held], c)
+            begin, n = self.first_in[node[held]], self.count_in[node[held]]
+            new = np.where(new == own, np.where(own + 1 < begin + n, own + 1, own - 1), new)
+            e[~off] = np.where(keep, own, new)
+            scale[held] *= p
+            on[held] = keep
+            edges.append(e)
+            items.append(live)
+            steps.append(np.full(len(live), k))
+            node[live] = self.source[e]
+            live = live[node[live] != self.head[words[live]]]
+            k += 1
+        if not edges:
+            return (np.empty(0, np.int64),) * 3
+        return np.concatenate(edges), np.concatenate(items), np.concatenate(steps)
+
     def without(self, word: int, taken: list[tuple[int, ...]], uniform) -> tuple[int, ...] | None:
         """One segmentation of a word (edges from the end), drawn among those that are not taken; None if there is no other."""
         mass = [float(np.exp(sum(self.log[e] for e in t))) for t in taken]
@@ -396,12 +431,33 @@ def _search(lattice, word, row, first, owner, index, key, n, k, seed) -> list:
         alive = np.isfinite(value)[row]
         state[alive] = np.sign(np.arange(len(word)) - spot[row])[alive] + 1
         parent[alive] = which[row][alive]
+        parts = []
+        again = [r for r in live if (int(which[r]), int(spot[r])) in taken] if taken else []
+        once = np.setdiff1d(live, again)
+        for p in range(len(paths)):  # the first departure from a word's segmentation
+            mine = once[which[once] == p]
+            if not len(mine):
+                continue
+            t, path = spot[mine], paths[p]
+            size = path.count[t]
+            begin = np.cumsum(size) - size
+            old = path.edges[np.repeat(path.offset[t] - begin, size) + np.arange(size.sum())]
+            edges, items, steps = lattice.divert(word[t], old, begin, lambda some, k, t=t: _uniform(seeds[t[some]], (turn << 32) + (1 << 30) + k))
+            parts.append((edges, t[items], steps))
+            mass = 1 - np.exp(path.log[t]) - np.exp(np.bincount(items, weights=lattice.log[edges], minlength=len(t)))
+            run = np.concatenate([[0], np.cumsum(path.log)])
+            with np.errstate(divide="ignore", invalid="ignore"):
+                phi = np.where(mass > 1e-13, run[t] - run[first[mine]] + np.log(mass), -np.inf)
+            front[p][t] = _below(phi, value[mine], _uniform(seeds[t], (turn << 32) + (1 << 31)))
+            if turn + 1 < k:
+                order = np.lexsort((steps, items))
+                cut = np.searchsorted(items[order], np.arange(len(t) + 1))
+                for j in range(len(t)):
+                    taken[p, int(t[j])] = [tuple(old[begin[j] : begin[j] + size[j]]), tuple(edges[order[cut[j] : cut[j + 1]]])]
         other: dict[int, tuple[int, ...]] = {}
-        for r in live:
+        for r in again:
             t, p = int(spot[r]), int(which[r])
-            done = taken.setdefault((p, t), [])
-            if not done:
-                done.append(tuple(paths[p].edges[paths[p].offset[t] : paths[p].offset[t + 1]]))
+            done = taken[p, t]
             got = lattice.without(int(word[t]), done, lambda step, t=t: _uniform_of(int(seeds[t]), (turn << 32) + (1 << 30) + step))
             if got is None:  # rounding: nothing is left there
                 state[first[r] : first[r + 1]] = -1
@@ -415,7 +471,7 @@ def _search(lattice, word, row, first, owner, index, key, n, k, seed) -> list:
             front[p][t] = float(_below(np.array([prefix + np.log(mass) if mass > 1e-13 else -np.inf]), value[r : r + 1], _uniform(seeds[t : t + 1], (turn << 32) + (1 << 31)))[0])
         fresh = np.flatnonzero(state == 2)
         edges, items, steps = draw(fresh, turn)
-        parts = [(edges, fresh[items], steps)]
+        parts.append((edges, fresh[items], steps))
         for p in range(len(paths)):
             keep = np.flatnonzero((state == 0) & (parent == p))
             c = paths[p].count[keep]
