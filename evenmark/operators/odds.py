@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.pricing import clamp01, devig_over, valid_price
+from .temporal import newest_in_time
 
 #: Weights of the adjustments to a hit rate.
 WIND_FREE, WIND_RATE, WET, COVERAGE_RATE = 10, 0.004, 0.03, 0.1
@@ -129,27 +130,25 @@ def market_status(outcomes: DataFrame, markets: DataFrame) -> DataFrame:
     return out.select("event", "market", status.alias("status"), F.coalesce("quotes", F.lit(0)).alias("quotes"))
 
 
-def as_of_observations(requests: DataFrame, observations: DataFrame, keys: list[str], cutoff: str = "cutoff", clock: str = "captured_at", tie: str = "batch") -> DataFrame:
+def as_of_observations(requests: DataFrame, observations: DataFrame, keys: list[str], cutoff: str = "cutoff", clock: str = "captured_at", tie: str = "batch", slabs: int = 1) -> DataFrame:
     """Each request with the newest observation of its keys at or before its cutoff; requests without one keep nulls.
 
     Both stand in one order of their keys' clocks, where each request takes the last observation before it: no request
-    is paired with all observations. Equal requests are one.
+    is paired with all observations. Equal requests are one. `slabs`: see newest_in_time.
     """
-    right = observations.dropna(subset=[*keys, clock]).select(*keys, F.col(clock).alias("_at"), F.struct(F.col(clock).alias("at"), F.col(tie).alias("tie")).alias("_o"))
-    both = right.unionByName(requests.distinct().withColumn("_at", F.col(cutoff)).withColumn("_asked", F.lit(True)), allowMissingColumns=True)
-    order = Window.partitionBy(*keys).orderBy("_at", F.asc_nulls_first("_asked"), "_o.tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    best = both.withColumn("o", F.last("_o", ignorenulls=True).over(order)).where("_asked")
-    return best.select(*requests.columns, F.col("o.at").alias("at"), F.col("o.tie").alias("tie"))
+    right = observations.dropna(subset=[clock]).select(*keys, F.col(clock).alias("_at"), F.struct(F.col(clock).alias("at"), F.col(tie).alias("tie")).alias("_v"))
+    best = newest_in_time(right, requests.distinct().withColumn("_at", F.col(cutoff)).withColumn("_asked", F.lit(True)), keys, slabs)
+    return best.select(*requests.columns, F.col("v.at").alias("at"), F.col("v.tie").alias("tie"))
 
 
-def historical_consensus(requests: DataFrame, quotes: DataFrame) -> DataFrame:
+def historical_consensus(requests: DataFrame, quotes: DataFrame, slabs: int = 1) -> DataFrame:
     """Consensus of each request (event, market, player, point, cutoff) from the newest snapshot at its cutoff, or the first reason why not.
 
     A snapshot is what was captured of an event and market at one clock. The label is closing-candidate when it was
     captured `lead` or less before the cutoff.
     """
     snapshots = quotes.select("event", "market", "captured_at").distinct().withColumn("batch", F.lit(0).cast("long"))
-    held = as_of_observations(requests, snapshots, ["event", "market"]).drop("tie").withColumnRenamed("at", "captured_at")
+    held = as_of_observations(requests, snapshots, ["event", "market"], slabs=slabs).drop("tie").withColumnRenamed("at", "captured_at")
     q = quotes.select("event", "market", "captured_at", F.col("player").alias("qp"), F.col("point").alias("qpt"), "over_price", "under_price")
     seen = held.join(q, ["event", "market", "captured_at"], "left")
     mine = F.col("qp") == F.col("player")

@@ -52,10 +52,30 @@ def in_time(right: DataFrame, requests: DataFrame, keys: list[str], axes: list[s
     return both, order
 
 
-def as_of_join(requests: DataFrame, versions: DataFrame, keys: list[str], mode: str, request_id: str) -> DataFrame:
+def newest_in_time(right: DataFrame, requests: DataFrame, keys: list[str], slabs: int = 1) -> DataFrame:
+    """requests with `v`, the greatest `_v` of their keys' right rows up to their `_at`.
+
+    A key's rows go through one task in order. With `slabs` over 1 the times, which are numbers then, are cut at about
+    equal shares of the right rows, and each key's part between two cuts is a task's work of its own; what a part begins
+    with is the greatest of the parts before it, one row each. For keys that hold a large share of all rows.
+    """
+    both, (up_to,) = in_time(right, requests, keys, ["_at"])
+    if slabs == 1:
+        return both.withColumn("v", F.max("_v").over(up_to)).where("_asked").drop("_v")
+    cuts = sorted(set(right.approxQuantile("_at", [k / slabs for k in range(1, slabs)], 0.25 / slabs)))
+    both = both.withColumn("_slab", F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("_at"))) if cuts else F.lit(0))
+    part, before = [*keys, "_slab"], Window.partitionBy(*keys).orderBy("_slab").rowsBetween(Window.unboundedPreceding, -1)
+    begin = both.groupBy(*part).agg(F.max("_v").alias("_top")).select(*part, F.max("_top").over(before).alias("_begin"))
+    inside = Window.partitionBy(*part).orderBy(F.col("_at").asc_nulls_first(), F.asc_nulls_first("_asked")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    asked = both.withColumn("v", F.max("_v").over(inside)).where("_asked").join(begin, part, "left")
+    return asked.withColumn("v", F.when(F.col("_at").isNotNull(), F.greatest("v", "_begin"))).drop("_v", "_slab", "_begin")
+
+
+def as_of_join(requests: DataFrame, versions: DataFrame, keys: list[str], mode: str, request_id: str, slabs: int = 1) -> DataFrame:
     """Each request (keys, request_id, cutoff, checkpoint) with its newest visible version and the rivals at its clocks; none gives nulls.
 
     A version is visible from the later of its clocks on (in strict mode), so the newest visible one is a running maximum.
+    `slabs`: see newest_in_time.
     """
     strict = mode == STRICT
     clocks = ["available_at", "ingested_at"]
@@ -63,8 +83,7 @@ def as_of_join(requests: DataFrame, versions: DataFrame, keys: list[str], mode:
     right = one.select(*keys, (F.greatest(*clocks) if strict else F.col("ingested_at")).alias("_at"), F.struct(*clocks, "rivals", "v").alias("_v"))
     limit = F.least("cutoff", "checkpoint") if strict else F.col("checkpoint")
     asked = requests.select(request_id, *keys, (F.when(F.col("cutoff").isNotNull() & F.col("checkpoint").isNotNull(), limit) if strict else limit).alias("_at"), F.lit(True).alias("_asked"))
-    both, (up_to,) = in_time(right, asked, keys, ["_at"])
-    best = both.withColumn("v", F.max("_v").over(up_to)).where("_asked")
+    best = newest_in_time(right, asked, keys, slabs)
     return best.select(request_id, *keys, F.coalesce("v.rivals", F.lit(0)).alias("rivals"), "v.v.row_id", "v.available_at", "v.ingested_at", F.when(F.col("v.rivals") == 1, F.col("v.v.data")).alias("data"))
 
 
