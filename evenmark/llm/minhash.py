@@ -145,17 +145,24 @@ def _prefixes(members: DataFrame, often: np.ndarray, percent: int) -> DataFrame:
     Two sets alike to `percent` share one of their first size - ceil(size * percent / 100) + 1 shingles in any order.
     """
 
+    def first_of(batch: pa.RecordBatch) -> pa.RecordBatch:
+        lists = batch.column(2)
+        size = lists.value_lengths().to_numpy().astype(np.int64)
+        h = lists.flatten().to_numpy().view(np.uint64)
+        row = np.repeat(np.arange(len(size)), size)
+        order = np.lexsort((h, often[h >> np.uint64(64 - SLOT_BITS)], row))
+        place = np.arange(len(h)) - np.repeat(np.cumsum(size) - size, size)
+        first = np.flatnonzero(place < (size - -(-size * percent // 100) + 1)[row])
+        row = row[first]
+        return pa.RecordBatch.from_arrays([pa.array(h[order[first]].view(np.int64)), batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(size[row])], ["shingle", "head", "part", "size"])
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(2)
-            size = lists.value_lengths().to_numpy().astype(np.int64)
-            h = lists.flatten().to_numpy().view(np.uint64)
-            row = np.repeat(np.arange(len(size)), size)
-            order = np.lexsort((h, often[h >> np.uint64(64 - SLOT_BITS)], row))
-            place = np.arange(len(h)) - np.repeat(np.cumsum(size) - size, size)
-            first = np.flatnonzero(place < (size - -(-size * percent // 100) + 1)[row])
-            row = row[first]
-            yield pa.RecordBatch.from_arrays([pa.array(h[order[first]].view(np.int64)), batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(size[row])], ["shingle", "head", "part", "size"])
+        for whole in batches:
+            ends, begin = np.cumsum(whole.column(2).value_lengths().to_numpy()), 0
+            while begin < len(ends):  # half a million shingles at a time
+                end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + 500_000, "right")))
+                yield first_of(whole.slice(begin, end - begin))
+                begin = end
 
     return members.select("head", "part", "shingles").mapInArrow(cut, "shingle long, head long, part long, size long")
 

@@ -264,8 +264,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     each other's strings. Texts shorter than `least` stay whole. The columns named in `carry` come back beside their row;
     other extra columns are left out.
     `part_bytes` of text make a part, within which equal strings are told apart by document only, so a group of copies
-    sends one suffix from each part; `group_bytes` of text stand for one group of suffixes, four times as much for one
-    group of grams. A part sends one row to each group that it has a gram of: at most one for each gram.
+    sends one suffix from each part; `group_bytes` of text stand for one group of grams. A part sends one row to each
+    group that it has a gram of: at most one for each gram.
     The suffixes of a gram that stands `hot` times or more would all meet in one group. They go twice: the strings with
     the longer half right of the anchor are dealt out by the bytes of that half, those with the longer half left by that
     one; both are matched in suffix arrays like all others.
@@ -273,14 +273,14 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     row = F.struct(*[F.col(c) for c in carry]) if carry else F.lit(True)
     small = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("id"), F.col(id_col).cast("long").alias("own"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"), row.alias("row"))
     total = text_bytes(docs, text_col)
-    parts, groups, shares = (parts_for(docs.sparkSession, total, each) for each in (part_bytes, group_bytes, 4 * group_bytes))
+    parts, groups = parts_for(docs.sparkSession, total, part_bytes), parts_for(docs.sparkSession, total, group_bytes)
     half = (least - GRAM) // 2  # strings that begin up to so many bytes before the anchor have their longer half right of it
     dealt = small.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
 
     def grams(key, table):
         buf, at, _ = _part(table)
         _, h, _, _ = anchors(buf, at, least)
-        u, n, cut = _grams_by_group(_short(h), shares)
+        u, n, cut = _grams_by_group(_short(h), groups)
         some = np.flatnonzero(np.diff(cut))
         return pa.table({"grp": pa.array(some.astype(np.int32)), "part": pa.array([key[0].as_py()] * len(some), pa.int32()), "data": pa.array([_pack_grams(u[cut[g] : cut[g + 1]], n[cut[g] : cut[g + 1]]) for g in some], pa.binary())})
 
@@ -298,7 +298,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         buf, at, ids = _part(texts)
         a, h, first, last = anchors(buf, at, least)
         short = _short(h)
-        u, _, cut = _grams_by_group(short, shares)
+        u, _, cut = _grams_by_group(short, groups)
         mark, often = np.zeros(len(u), bool), np.zeros(len(u), bool)
         for g, data in zip(flags.column("grp").to_pylist(), flags.column("data").to_pylist(), strict=True):
             n, raw = cut[g + 1] - cut[g], np.frombuffer(data, np.uint8)
