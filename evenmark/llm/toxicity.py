@@ -113,7 +113,7 @@ def _each(lists: pa.ListArray) -> list[np.ndarray]:
     return [flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = 8_000, most_bytes: int = 32_000_000) -> Words:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = 8_000, most_bytes: int = 64_000_000) -> Words:
     """The model of labelled documents: all, or those whose ids hash lowest, `most` of them and `most_bytes` of text at most (the first always). Both bound what the driver holds.
 
     The sample is chosen on ids and sizes before any text moves, so only its texts are shuffled to it. Null labels and ids,
