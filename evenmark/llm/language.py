@@ -89,7 +89,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs = np.array(batch.column(1).to_pylist(), object)
         for lang in set(langs):
             rows = batch.filter(pa.array(langs == lang))
-            for part in slices(rows, "text", 1_000_000):
+            for part in slices(rows, "text", 400_000):
                 buf, at = packed(part.column(0))
                 _, gram, count = row_grams(buf, at, False)
                 old, n = sums.get(lang, (gram[:0], count[:0]))
@@ -131,7 +131,7 @@ def identify(docs: DataFrame, profiles: DataFrame, id_col: str = "doc_id", text_
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 1_000_000):
+            for part in slices(batch, "text", 400_000):
                 n = part.num_rows
                 row, gram, count = row_grams(*packed(part.column(1)))
                 order = np.lexsort((-count, row))  # stable: ties stay by code
