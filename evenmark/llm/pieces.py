@@ -337,7 +337,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 150_000):
+            for part in slices(batch, "text", 200_000):
                 buf, at = packed(part.column(1))
                 n = len(at) - 1
                 begins, ends, row = cut_words(buf, at)
