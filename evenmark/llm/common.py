@@ -10,7 +10,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -170,3 +171,30 @@ def lowest_hashes(rows: DataFrame, column: str, most: int) -> DataFrame:
 def parts_for(spark: SparkSession, total: int, each: int) -> int:
     """Partitions of about `each` bytes, and at least as many as the session's shuffles have when there is that much data."""
     return max(1, math.ceil(total / each))
+
+
+def range_parts(rows: DataFrame, each: int = 2_000_000) -> int:
+    """Ranges of about `each` rows, and at least as many as the session's shuffles have. Counts the rows."""
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // each))
+
+
+def ranked(rows: DataFrame, *order: Column, rank: str = "rank") -> DataFrame:
+    """The rows with their numbers 1, 2, 3 ... in an order over all of them.
+
+    Rows are dealt in ranges of the order and sorted there; each is numbered within its range, and what comes before a range
+    is the sum of the counts of earlier ones (one row a range). No task sees more than its range.
+    """
+    rows = checkpointed(rows)
+    kinds = ", ".join(f"`{c}` {k}" for c, k in rows.dtypes)
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, done = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            n = batch.num_rows
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(n, part, np.int32)), pa.array(np.arange(done + 1, done + n + 1))], [*batch.schema.names, "_part", "_nth"])
+            done += n
+
+    placed = checkpointed(rows.repartitionByRange(range_parts(rows), *order).sortWithinPartitions(*order).mapInArrow(number, f"{kinds}, _part int, _nth long"))
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("n"))
+    before = sizes.select("_part", (F.sum("n").over(Window.orderBy("_part")) - F.col("n")).alias("_before"))
+    return placed.join(F.broadcast(before), "_part").withColumn(rank, F.col("_before") + F.col("_nth")).drop("_part", "_nth", "_before")

@@ -83,3 +83,10 @@ r(conv_id, turn, thread) AS (SELECT DISTINCT conv_id, turn, turn FROM c WHERE (c
 m AS (SELECT t.conv_id, t.turn, t.role, clean, reply_to, coalesce(n_links, 0) AS n_links, thread, (t.turn - thread) // 64 AS part FROM t LEFT JOIN b USING (conv_id, turn) JOIN r USING (conv_id, turn))
 SELECT conv_id, thread, part, 0 AS slice, CAST(count(*) AS INT) AS n_messages, CAST(sum(n_links) AS INT) AS n_links, coalesce(string_agg(turn || '<' || reply_to, ' ' ORDER BY turn, role, clean) FILTER (WHERE reply_to IS NOT NULL), '') AS replies,
   string_agg('<|' || coalesce(role, 'unknown') || '|>' || chr(10) || clean || chr(10) || '<|end|>' || chr(10), '' ORDER BY turn, role, clean) AS formatted FROM m GROUP BY conv_id, thread, part"""
+
+#: Lines by their keys; a key's lines stay in the largest of its documents.
+OP12 = f"""WITH l AS (SELECT doc_id, a[p] AS x, p FROM (SELECT doc_id, a, unnest(range(1, len(a) + 1)) AS p FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM documents))),
+k AS (SELECT doc_id, p, x, translate(trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{UPPER}', '{LOWER}') AS key FROM l),
+f AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+g AS (SELECT k.doc_id, p, x, coalesce(k.doc_id <> last, false) AS gone FROM k LEFT JOIN f ON f.key = k.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped, sha256(coalesce(string_agg(x, chr(10) ORDER BY p) FILTER (WHERE NOT gone), '')) AS kept_sha256 FROM g GROUP BY doc_id"""
