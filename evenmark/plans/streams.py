@@ -28,14 +28,36 @@ def x1(spark, sf):
     return X.score_ticks(_ticks(spark, sf), view(spark, sf, "history")).withColumn("edge", F.round("edge", 6))
 
 
-REUSE = """WITH RECURSIVE s AS (SELECT prop, ts, row_number() OVER (PARTITION BY prop ORDER BY ts, event_id) AS n FROM ticks), g(prop, n, refresh, last) AS (SELECT prop, n, true, ts FROM s WHERE n = 1
+QUOTE = ["*", "event_id % 7 AS book", "100D + 50 * (event_id % 3) AS line", "price AS over_price", "1 + (event_id % 11) / 5D AS under_price"]
+QUOTE_TTL = 72 * 3_600_000_000
+#: For each quote, every book's latest quote within the time to live; then the median at the quote's line.
+CONSENSUS = f"""WITH t AS (SELECT prop, event_id, ts, is_error, event_id % 7 AS book, CAST(100 + 50 * (event_id % 3) AS DOUBLE) AS line, price AS o, 1 + (event_id % 11) / 5 AS u FROM ticks),
+    p AS (SELECT *, CASE WHEN o > 1 AND u > 1 THEN (1 / o) / (1 / o + 1 / u) END AS p FROM t),
+    l AS (SELECT a.event_id, b.line, b.p, row_number() OVER (PARTITION BY a.event_id, b.book ORDER BY b.ts DESC, b.event_id DESC) AS n FROM p a JOIN p b ON a.prop = b.prop AND NOT b.is_error AND b.ts > a.ts - {QUOTE_TTL} AND (b.ts < a.ts OR (b.ts = a.ts AND b.event_id <= a.event_id))),
+    c AS (SELECT l.event_id, median(l.p) AS p_over, count(*) AS books FROM l JOIN p ON p.event_id = l.event_id WHERE n = 1 AND l.line = p.line AND l.p IS NOT NULL GROUP BY l.event_id),
+    r AS (SELECT player, list(value) AS vals FROM (SELECT *, row_number() OVER (PARTITION BY player ORDER BY kickoff DESC, game DESC) AS n FROM history) WHERE n <= 5 GROUP BY player),
+    e AS (SELECT p.*, p_over, books, vals, CASE WHEN is_error THEN 'feed-error' WHEN books IS NULL THEN 'no-consensus' WHEN p IS NULL THEN 'invalid-anchor' WHEN vals IS NULL THEN 'no-history' END AS error FROM p LEFT JOIN c USING (event_id) LEFT JOIN r ON player = prop)
+    SELECT prop, event_id, ts, error, CASE WHEN NOT is_error AND p IS NOT NULL THEN round(p_over, 9) END AS p_over, CASE WHEN NOT is_error THEN books END AS books, CASE WHEN error IS NULL THEN round(len(list_filter(vals, lambda v: v > line)) / len(vals) - p_over, 9) END AS edge FROM e"""
+
+
+@query("x1_consensus_scoring", CONSENSUS)
+def x1_consensus(spark, sf):
+    found = X.books_consensus(view(spark, sf, "ticks").selectExpr(*QUOTE), QUOTE_TTL)
+    return _rounded(X.score_consensus(found, view(spark, sf, "history")))
+
+
+def _rounded(scores):
+    return scores.withColumn("p_over", F.round("p_over", 9)).withColumn("edge", F.round("edge", 9))
+
+
+REUSE = """WITH RECURSIVE s AS (SELECT prop, ts, event_id, row_number() OVER (PARTITION BY prop ORDER BY ts, event_id) AS n FROM ticks), g(prop, n, refresh, last) AS (SELECT prop, n, true, ts FROM s WHERE n = 1
     UNION ALL SELECT s.prop, s.n, s.ts - g.last >= 21600000000, CASE WHEN s.ts - g.last >= 21600000000 THEN s.ts ELSE g.last END FROM g JOIN s ON s.prop = g.prop AND s.n = g.n + 1)
-    SELECT prop, count(*) AS ticks, count(*) FILTER (WHERE refresh) AS refreshes FROM g GROUP BY prop"""
+    SELECT g.prop, s.ts, event_id, refresh FROM g JOIN s ON s.prop = g.prop AND s.n = g.n"""
 
 
 @query("x2_shared_reuse", REUSE)
 def x2(spark, sf):
-    return X.reuse_within(view(spark, sf, "ticks"), 6 * 3_600_000_000).groupBy("prop").agg(F.count("*").alias("ticks"), F.count_if("refresh").alias("refreshes"))
+    return X.reuse_within(view(spark, sf, "ticks"), 6 * 3_600_000_000)
 
 
 @query("x3_staleness", """WITH r AS (SELECT *, lead(ts) OVER (PARTITION BY prop ORDER BY ts, event_id) AS nx FROM ticks) SELECT prop, event_id, ts, CASE WHEN is_error THEN 'stale' ELSE 'live' END AS state FROM r UNION ALL SELECT prop, event_id, ts + 21600000000, 'timed-out' FROM r WHERE NOT is_error AND coalesce(nx - ts > 21600000000, true)""")
@@ -60,6 +82,20 @@ def x5(spark, sf):
     return X.ev_history(_ticks(spark, sf)).select("prop", "event_id", "run", "place")
 
 
+#: Sessions, sample windows and stale ticks of a watched key; a day without a tick ends a spell.
+WATCHED = ["*", "event_id div 400 AS session", "5 + event_id div 900 % 2 AS sample_window", "event_id % 6 = 0 AS is_stale"]
+DAY = 24 * 3_600_000_000
+SPELLS = f"""WITH g AS (SELECT prop, ts, event_id, event_id // 400 AS s, event_id // 900 % 2 AS w, event_id % 6 = 0 AS stale, coalesce(CAST(ts - lag(ts) OVER (PARTITION BY prop ORDER BY ts, event_id) >= {DAY} AS INT), 1) AS n FROM ticks WHERE NOT is_error),
+    p AS (SELECT *, sum(n) OVER (PARTITION BY prop ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS spell FROM g), c AS (SELECT *, coalesce(CAST(lag(s) OVER o <> s OR lag(w) OVER o <> w AS INT), 1) AS n2 FROM p WINDOW o AS (PARTITION BY prop, spell ORDER BY ts, event_id)),
+    r AS (SELECT *, sum(n2) OVER (PARTITION BY prop, spell ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM c)
+    SELECT prop, ts, event_id, CAST(run AS BIGINT) AS run, CASE WHEN NOT stale THEN CAST(count(*) FILTER (WHERE NOT stale) OVER (PARTITION BY prop, spell, run ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) END AS place FROM r"""
+
+
+@query("x5_watched_history", SPELLS)
+def x5_watched(spark, sf):
+    return X.watched_history(view(spark, sf, "ticks").selectExpr(*WATCHED), DAY)
+
+
 BUCKETS = "SELECT subject, ts // 60000000 * 60 AS minute, count(*) AS total, count(*) FILTER (WHERE kind = 'view') AS view, count(*) FILTER (WHERE kind = 'click') AS click, count(*) FILTER (WHERE kind = 'purchase') AS purchase, count(*) FILTER (WHERE kind = 'error') AS error, count(*) FILTER (WHERE kind = 'signup') AS signup FROM requests GROUP BY ALL"
 
 
@@ -171,43 +207,72 @@ def _run(spark, stream, mode: str = "append"):
     return spark.read.schema(stream.schema).parquet(out)
 
 
+#: Micro-batches of each stream.
+BATCHES = 5
+
+
 def _source(spark, sf, name: str):
-    """A view's rows as a stream over files."""
+    """A view's rows as a stream of BATCHES micro-batches, about in the order of time: rows come up to half an hour late, so state and late rows cross from one to the next."""
+    X.O.use_rocksdb(spark)
     rows = view(spark, sf, name).withColumn("time", F.timestamp_micros("ts"))
+    comes = F.col("ts") + F.pmod(F.xxhash64("event_id"), F.lit(1_800_000_000))
+    cuts = [None, *rows.select(comes.cast("double").alias("c")).approxQuantile("c", [k / BATCHES for k in range(1, BATCHES)], 0.01), None]
     path = _folder(spark, "source")
-    rows.write.parquet(path)
-    return spark.readStream.schema(rows.schema).parquet(path)
+    files = 1 + rows.count() // (BATCHES * 2_000_000)
+    for low, high in zip(cuts, cuts[1:], strict=False):
+        part = rows.where((F.lit(True) if low is None else comes >= low) & (F.lit(True) if high is None else comes < high))
+        part.repartition(files).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(path)
+
+
+def _delayed(spark, sf, name: str):
+    return _source(spark, sf, name).withWatermark("time", "1 hour")
 
 
 WITH_LINES = ["*", "price AS over_price", "1 + (event_id % 7) / 5D AS under_price", "100 + event_id % 300 AS line", "event_id div 50 AS session"]
-#: Where the watermark of an hour stands when all events are read, in milliseconds.
+#: Where the watermark of an hour stands when all events are read, in milliseconds; and the rows that it has passed.
 MARK = "(SELECT max(ts) // 1000 - 3600000 FROM {})"
 
 
+def _passed(sql: str, table: str, columns: str = "*") -> str:
+    return f"SELECT {columns} FROM ({sql}) WHERE ts <= 1000 * {MARK.format(table)}"
+
+
 @query("x1_stream_scoring", SCORING)
 def x1_stream(spark, sf):
     return _run(spark, X.score_ticks(_source(spark, sf, "ticks").selectExpr(*WITH_LINES), view(spark, sf, "history"))).withColumn("edge", F.round("edge", 6))
 
 
-@query("x2_stream_reuse", REUSE)
+@query("x1_stream_consensus", _passed(CONSENSUS, "ticks"))
+def x1_stream_consensus(spark, sf):
+    found = X.stream_consensus(_delayed(spark, sf, "ticks").selectExpr(*QUOTE), QUOTE_TTL)
+    return _rounded(_run(spark, X.score_consensus(found, view(spark, sf, "history"))))
+
+
+@query("x2_stream_reuse", _passed(REUSE, "ticks"))
 def x2_stream(spark, sf):
-    return _run(spark, X.stream_reuse(_source(spark, sf, "ticks"), 6 * 3_600_000_000)).groupBy("prop").agg(F.count("*").alias("ticks"), F.count_if("refresh").alias("refreshes"))
+    return _run(spark, X.stream_reuse(_delayed(spark, sf, "ticks"), 6 * 3_600_000_000))
 
 
 @query("x3_stream_staleness", f"""WITH r AS (SELECT *, lead(ts) OVER (PARTITION BY prop ORDER BY ts, event_id) AS nx FROM ticks) SELECT prop, event_id, ts, CASE WHEN is_error THEN 'stale' ELSE 'live' END AS state FROM r
     UNION ALL SELECT prop, event_id, ts + 270000000, 'timed-out' FROM r WHERE NOT is_error AND coalesce(nx - ts > 270000000, true) AND (ts + 270000000) // 1000 < {MARK.format('ticks')}""")
 def x3_stream(spark, sf):
-    return _run(spark, X.stream_staleness(_source(spark, sf, "ticks").withWatermark("time", "1 hour"), 270_000_000))
+    return _run(spark, X.stream_staleness(_delayed(spark, sf, "ticks"), 270_000_000))
+
+
+#: A day of silence closes a connection; the first three attempts of each.
+CONNECTIONS = f"""WITH g AS (SELECT *, coalesce(CAST(ts - lag(ts) OVER (PARTITION BY prop ORDER BY ts, event_id) >= {DAY} AS INT), 1) AS n FROM ticks), c AS (SELECT *, sum(n) OVER (PARTITION BY prop ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS c FROM g)
+    SELECT * FROM (SELECT prop, ts, event_id, row_number() OVER (PARTITION BY prop, c ORDER BY ts, event_id) AS attempt FROM c) WHERE attempt <= 3"""
 
 
-@query("x4_stream_cap", CAP)
+@query("x4_stream_cap", _passed(CONNECTIONS, "ticks"))
 def x4_stream(spark, sf):
-    return _run(spark, X.stream_capped(_source(spark, sf, "ticks"), 20)).select("prop", "event_id", "attempt")
+    return _run(spark, X.stream_capped(_delayed(spark, sf, "ticks"), 3, DAY))
 
 
-@query("x5_stream_history", HISTORY)
+@query("x5_stream_history", _passed(SPELLS, "ticks"))
 def x5_stream(spark, sf):
-    return _run(spark, X.stream_history(_source(spark, sf, "ticks").selectExpr(*WITH_LINES))).select("prop", "event_id", "run", "place")
+    return _run(spark, X.stream_history(_delayed(spark, sf, "ticks").selectExpr(*WATCHED), DAY))
 
 
 @query("x6_stream_buckets", f"SELECT * FROM ({BUCKETS}) WHERE minute * 1000 + 60000 <= {MARK.format('requests')}")
@@ -215,9 +280,9 @@ def x6_stream(spark, sf):
     return _run(spark, X.minute_buckets(_source(spark, sf, "requests"), "time", "1 hour"))
 
 
-@query("x7_stream_limits", GCRA)
+@query("x7_stream_limits", _passed(GCRA.replace("SELECT subject, event_id, allowed, retry FROM g", "SELECT g.subject, g.event_id, allowed, retry, ts FROM g JOIN s ON s.subject = g.subject AND s.n = g.n"), "requests", "subject, event_id, allowed, retry"))
 def x7_stream(spark, sf):
-    return _run(spark, X.stream_limits(_source(spark, sf, "requests").withWatermark("time", "1 hour"), 8 * 3_600_000_000, 3))
+    return _run(spark, X.stream_limits(_delayed(spark, sf, "requests"), 8 * 3_600_000_000, 3))
 
 
 @query("x8_stream_late", "SELECT prop, event_id, coalesce(ts >= 1704067200000000 + (prop % 30) * 86400000000, false) AS late FROM ticks")

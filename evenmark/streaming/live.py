@@ -1,6 +1,6 @@
 """Streaming forms of live scoring, staleness, reuse, caps, histories, minute buckets and rate limits, with their batch equivalents.
 
-A stateful rule is one function over a group's rows in event order; batches and streams both use it.
+Rules over a key's rows in event order are in `ordered`; batches and streams both use them.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.pricing import devig_over
 from ..operators.odds import last_n
+from . import ordered as O
 
 
 def score_ticks(ticks: DataFrame, history: DataFrame, n: int = 5) -> DataFrame:
@@ -30,105 +31,46 @@ def score_ticks(ticks: DataFrame, history: DataFrame, n: int = 5) -> DataFrame:
     return out.select("event_id", "prop", "ts", why.alias("error"), F.when(why.isNull(), hit - F.col("implied_p")).alias("edge"))
 
 
-def _gcra(rows: pd.DataFrame, tat: float, interval: int, burst: int) -> tuple[list, float]:
-    out = []
-    for at, event in zip(rows["ts"], rows["event_id"], strict=True):
-        ready = tat - (burst - 1) * interval
-        ok = not at < ready
-        out.append((event, ok, 0 if ok else int(ready - at)))
-        if ok:
-            tat = max(at, tat) + interval
-    return out, tat
+def score_consensus(consensus: DataFrame, history: DataFrame, n: int = 5) -> DataFrame:
+    """Consensus rows (prop, event_id, ts, line, error, p_over, books) with the edge of Over against the key's history, or the first reason against it.
 
-
-def replay_limits(requests: DataFrame, interval: int, burst: int) -> DataFrame:
-    """(subject, event_id, allowed, retry): the generic cell rate rule over each subject's requests in order. Times in microseconds.
-
-    A subject's rows come in order of time through a sorted shuffle, a batch at a time, and only the theoretical arrival
-    time is kept between batches, so a subject of any size needs no more memory than one batch.
+    history is static, so this also runs on a stream.
     """
+    recent = last_n(history, ["player"], [F.desc("kickoff"), F.desc("game")], n).groupBy(F.col("player").alias("prop")).agg(F.collect_list("value").alias("values"))
+    hit = F.size(F.filter("values", lambda v: v > F.col("line"))) / F.size("values")
+    out = consensus.join(recent, "prop", "left")
+    why = F.coalesce("error", F.when(F.col("values").isNull(), "no-history"))
+    return out.select("prop", "event_id", "ts", why.alias("error"), "p_over", "books", F.when(why.isNull(), hit - F.col("p_over")).alias("edge"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, tat = None, float("-inf")
-        for pdf in batches:
-            for subject, rows in pdf.groupby("subject", sort=False):
-                if subject != held:
-                    held, tat = subject, float("-inf")
-                out, tat = _gcra(rows, tat, interval, burst)
-                yield pd.DataFrame([(subject, *x) for x in out], columns=["subject", "event_id", "allowed", "retry"])
 
-    ordered = requests.select("subject", "ts", "event_id").repartition("subject").sortWithinPartitions("subject", "ts", "event_id")
-    return ordered.mapInPandas(run, "subject long, event_id long, allowed boolean, retry long")
+def books_consensus(quotes: DataFrame, ttl_us: int, key: str = "prop") -> DataFrame:
+    """Batch: (key, ts, event_id, line, error, p_over, books): at each quote the median of all books' latest quotes at its line, `ttl` old at most. See ordered.Books."""
+    return O.replay(quotes, O.Books(ttl_us), key)
 
 
-def stream_limits(requests: DataFrame, interval: int, burst: int, idle: str = "24 hours") -> DataFrame:
-    """The same on a stream with a watermark on `time`: a subject's theoretical arrival time is its state, dropped when idle."""
+def stream_consensus(quotes: DataFrame, ttl_us: int, key: str = "prop") -> DataFrame:
+    """Stream: the same, once the watermark has passed a quote."""
+    return O.stream(quotes, O.Books(ttl_us), key)
 
-    def run(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        tat = state.get[0] if state.exists else float("-inf")
-        out, tat = _gcra(rows, tat, interval, burst)
-        state.update((float(tat),))
-        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), int(rows["ts"].max() // 1000)) + int(pd.Timedelta(idle).total_seconds() * 1000))
-        yield pd.DataFrame([(key[0], *x) for x in out], columns=["subject", "event_id", "allowed", "retry"])
 
-    return requests.groupBy("subject").applyInPandasWithState(run, "subject long, event_id long, allowed boolean, retry long", "tat double", "append", GroupStateTimeout.EventTimeTimeout)
+def replay_limits(requests: DataFrame, interval: int, burst: int, key: str = "subject") -> DataFrame:
+    """(subject, event_id, allowed, retry): the generic cell rate rule over each subject's requests in order. Times in microseconds."""
+    return O.replay(requests, O.Limit(interval, burst), key).drop("ts")
 
 
-def _reuse(rows: Iterator[int], last: int | None, ttl_us: int) -> tuple[list[bool], int | None]:
-    """Whether each time begins a refresh, and the last refresh."""
-    fresh = []
-    for at in rows:
-        begin = last is None or at - last >= ttl_us
-        last = at if begin else last
-        fresh.append(begin)
-    return fresh, last
+def stream_limits(requests: DataFrame, interval: int, burst: int, key: str = "subject") -> DataFrame:
+    """Stream: the same; a subject's state is dropped when its theoretical arrival time has come, as it allows what no state does."""
+    return O.stream(requests, O.Limit(interval, burst), key).drop("ts")
 
 
 def reuse_within(ticks: DataFrame, ttl_us: int, key: str = "prop") -> DataFrame:
     """Batch: each row, and whether it begins a refresh: the first of its key, or a TTL or more after the last refresh."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, last = None, None
-        for pdf in batches:
-            fresh: list[bool] = []
-            for k, rows in pdf.groupby(key, sort=False):
-                found, last = _reuse(rows["ts"], last if k == held else None, ttl_us)
-                held = k
-                fresh += found
-            yield pdf.assign(refresh=fresh)
-
-    ordered = ticks.select(key, "ts", "event_id").repartition(key).sortWithinPartitions(key, "ts", "event_id")
-    return ordered.mapInPandas(run, f"{key} long, ts long, event_id long, refresh boolean")
-
-
-def _keyed(rows: DataFrame, key: str, step, out: str, state: str) -> DataFrame:
-    """A stream's rows by key through step(key, rows in event order, old state or None) -> (output rows, new state).
-
-    A micro-batch's rows of a key are put into event order; a row that comes behind later ones of an earlier micro-batch
-    is taken when it comes. State stays as long as the stream: one value for each key.
-    """
-    names = [x.split()[0] for x in out.split(", ")]
-
-    def run(k, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        found, new = step(k[0], pd.concat(list(frames)).sort_values(["ts", "event_id"]), held.get if held.exists else None)
-        held.update(new)
-        yield pd.DataFrame(found, columns=names)
-
-    return rows.groupBy(key).applyInPandasWithState(run, out, state, "append", GroupStateTimeout.NoTimeout)
+    return O.replay(ticks, O.Reuse(ttl_us), key)
 
 
 def stream_reuse(ticks: DataFrame, ttl_us: int, key: str = "prop") -> DataFrame:
-    """Stream: each row, and whether it begins a refresh; the last refresh of a key is its state."""
-
-    def step(k, rows, held):
-        fresh, last = _reuse(rows["ts"], held[0] if held else None, ttl_us)
-        return list(zip([k] * len(rows), rows["ts"], rows["event_id"], fresh, strict=True)), (int(last),)
-
-    return _keyed(ticks, key, step, f"{key} long, ts long, event_id long, refresh boolean", "last long")
+    """Stream: the same; a key's last refresh is dropped after the TTL."""
+    return O.stream(ticks, O.Reuse(ttl_us), key)
 
 
 def staleness(ticks: DataFrame, limit_us: int, key: str = "prop") -> DataFrame:
@@ -180,15 +122,9 @@ def capped(ticks: DataFrame, most: int, key: str = "prop") -> DataFrame:
     return ticks.withColumn("attempt", F.row_number().over(w)).where(F.col("attempt") <= most)
 
 
-def stream_capped(ticks: DataFrame, most: int, key: str = "prop") -> DataFrame:
-    """Stream: the first `most` ticks of each connection; how many there were is its state."""
-
-    def step(k, rows, held):
-        before = held[0] if held else 0
-        keep = rows.head(max(0, most - before))
-        return [(k, t, e, before + n) for n, (t, e) in enumerate(zip(keep["ts"], keep["event_id"], strict=True), 1)], (min(most, before + len(rows)),)
-
-    return _keyed(ticks, key, step, f"{key} long, ts long, event_id long, attempt long", "n long")
+def stream_capped(ticks: DataFrame, most: int, idle_us: int, key: str = "prop") -> DataFrame:
+    """Stream: the first `most` ticks of each connection. One that was silent for `idle` is closed, its state is dropped, and a later tick opens another."""
+    return O.stream(ticks, O.Cap(most, idle_us), key)
 
 
 def ev_history(ticks: DataFrame, key: str = "prop", session: str = "session") -> DataFrame:
@@ -199,18 +135,21 @@ def ev_history(ticks: DataFrame, key: str = "prop", session: str = "session") ->
     return runs.withColumn("place", F.row_number().over(Window.partitionBy(key, "run").orderBy("ts", "event_id")))
 
 
-def stream_history(ticks: DataFrame, key: str = "prop", session: str = "session") -> DataFrame:
-    """Stream: the same numbers; a key's state is its session, run and place."""
-
-    def step(k, rows, held):
-        now, run, place = held or (None, 0, 0)
-        found = []
-        for t, e, s in zip(rows["ts"], rows["event_id"], rows[session], strict=True):
-            now, run, place = (now, run, place + 1) if run and s == now else (int(s), run + 1, 1)
-            found.append((k, t, e, run, place))
-        return found, (now, run, place)
-
-    return _keyed(ticks.where(~F.col("is_error")), key, step, f"{key} long, ts long, event_id long, run long, place long", "session long, run long, place long")
+def watched_history(ticks: DataFrame, idle_us: int, key: str = "prop") -> DataFrame:
+    """Batch: each valid tick's run and place. A change of session or of sample window begins a run; a stale tick has no place; after `idle` runs count from 1 again."""
+    w = Window.partitionBy(key).orderBy("ts", "event_id")
+    good = ticks.where(~F.col("is_error")).withColumn("_spell", F.coalesce((F.col("ts") - F.lag("ts").over(w) >= idle_us).cast("int"), F.lit(1)))
+    good = good.withColumn("_spell", F.sum("_spell").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    v = Window.partitionBy(key, "_spell").orderBy("ts", "event_id")
+    changed = F.coalesce(((F.lag("session").over(v) != F.col("session")) | (F.lag("sample_window").over(v) != F.col("sample_window"))).cast("int"), F.lit(1))
+    runs = good.withColumn("_new", changed).withColumn("run", F.sum("_new").over(v.rowsBetween(Window.unboundedPreceding, 0)))
+    before = F.sum((~F.col("is_stale")).cast("long")).over(Window.partitionBy(key, "_spell", "run").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0))
+    return runs.select(key, "ts", "event_id", "run", F.when(~F.col("is_stale"), before).alias("place"))
+
+
+def stream_history(ticks: DataFrame, idle_us: int, key: str = "prop") -> DataFrame:
+    """Stream: the runs and places of watched_history; a key idle for so long keeps no state."""
+    return O.stream(ticks, O.History(idle_us), key)
 
 
 def minute_buckets(requests: DataFrame, time: str, watermark: str | None = None) -> DataFrame:
