@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import IS_ALNUM, IS_SPACE, LOWER, checkpointed, mix, packed, runs_of, slices, span_hashes
+from .common import IS_ALNUM, IS_SPACE, LOWER, checkpointed, mix, packed, runs_of, slices, span_hashes, trimmed
 
 #: Words that count as a unit after a number.
 UNITS = (
@@ -116,7 +116,7 @@ def template_windows(docs: DataFrame, id_col: str, text_col: str, n: int = 8, li
                     yield windows(size, True, (have < n) | ~found[row])
 
     few = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return few.mapInArrow(run, f"id {kind_of}, pos int, window long, slots array<long>, size int, exact boolean")
+    return few.mapInArrow(trimmed(run), f"id {kind_of}, pos int, window long, slots array<long>, size int, exact boolean")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = 8, literals: int = 4, share: float = 0.3, bound: int = 2_000_000) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import held_out, packed, slices
+from .common import held_out, packed, slices, trimmed
 
 #: A gram is one number: its order, then three letters of 18 bits each, 0 for what is no letter; no letter lies beyond.
 LETTER_BITS = 18
@@ -106,9 +106,9 @@ def learn_profiles(docs: DataFrame, text_col: str = "text", lang_col: str = "lan
     Rows without text or language teach nothing; repeated rows count as often as they stand. An empty table has no profile.
     """
     few = docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
-    n = few.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    n = few.mapInArrow(trimmed(_count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    return n.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < size).select("lang", "gram", "rank")
+    return n.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= size).select("lang", "gram", (F.col("rank") - 1).alias("rank"))
 
 
 def identify(docs: DataFrame, profiles: DataFrame, id_col: str = "doc_id", text_col: str = "text", top: int = 300, carry_text: bool = False) -> DataFrame:
@@ -150,7 +150,7 @@ def identify(docs: DataFrame, profiles: DataFrame, id_col: str = "doc_id", text_
                 yield pa.RecordBatch.from_arrays(out + [part.column(1)] * carry_text, ["id", "lang_pred", "score"] + ["text"] * carry_text)
 
     few = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("ok"))
-    return few.mapInArrow(predict, f"id {kind}, lang_pred string, score double{', text string' if carry_text else ''}").withColumnRenamed("id", id_col)
+    return few.mapInArrow(trimmed(predict), f"id {kind}, lang_pred string, score double{', text string' if carry_text else ''}").withColumnRenamed("id", id_col)
 
 
 def op7(spark, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IS_SPACE, LOWER, checkpointed, each_salt, mix, packed, runs_of, salt, salts_seen, slices, span_hashes, spread_join
+from .common import IS_SPACE, LOWER, checkpointed, each_salt, mix, packed, runs_of, salt, salts_seen, slices, span_hashes, spread_join, trimmed, trimmed_group
 from .components import connected
 
 #: Slots of the table that tells frequent shingles from rare ones.
@@ -84,7 +84,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, k: int = 5, bands: i
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * bands), pa.array(np.ascontiguousarray(band.T).view(np.int64).ravel()))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size.astype(np.int64)), pa.array(keys[0].view(np.int64)), pa.array(keys[1].view(np.int64)), flat], ["id", "n_shingles", "k1", "k2", "bands"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(sign, f"id {kind}, n_shingles long, k1 long, k2 long, bands array<long>")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(trimmed(sign), f"id {kind}, n_shingles long, k1 long, k2 long, bands array<long>")
 
 
 def _rng_pair(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -99,7 +99,7 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
                 row, h = shingle_sets(*packed(part.column(1)), k)
                 yield pa.RecordBatch.from_arrays([part.column(0), _lists(h, row, part.num_rows)], ["id", "shingles"])
 
-    return docs.mapInArrow(build, f"id {dict(docs.dtypes)['id']}, shingles array<long>")
+    return docs.mapInArrow(trimmed(build), f"id {dict(docs.dtypes)['id']}, shingles array<long>")
 
 
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -132,7 +132,7 @@ def _frequent(sets: DataFrame) -> np.ndarray:
         some = np.flatnonzero(n > 8 * n.sum() / SLOTS + 8)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(n[some])], ["slot", "n"])
 
-    rows = sets.select("shingles").mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    rows = sets.select("shingles").mapInArrow(trimmed(count), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     table = np.zeros(SLOTS, np.uint8)
     if rows.num_rows:
         table[rows.column("slot").to_numpy()] = np.minimum(255, 8 * np.log2(rows.column("n").to_numpy()))
@@ -164,7 +164,7 @@ def _prefixes(members: DataFrame, often: np.ndarray, percent: int) -> DataFrame:
                 yield first_of(whole.slice(begin, end - begin))
                 begin = end
 
-    return members.select("head", "part", "shingles").mapInArrow(cut, "shingle long, head long, part long, size long")
+    return members.select("head", "part", "shingles").mapInArrow(trimmed(cut), "shingle long, head long, part long, size long")
 
 
 def _open_rows(many: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -209,14 +209,14 @@ def _block_links(keys: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         at = np.empty(len(ids), np.int64)
         both = np.zeros((len(x), len(y)), np.float32)
         columns = int(code[-1]) + 1 if len(code) else 0
-        for lo in range(0, columns, 16_384):
-            begin, end = np.searchsorted(code, [lo, lo + 16_384])
+        for lo in range(0, columns, 4_096):
+            begin, end = np.searchsorted(code, [lo, lo + 4_096])
             c, r = code[begin:end] - lo, row[begin:end]
             sides = []
             for side, of in ((x, first), (y, second)):
                 at[side] = np.arange(len(side))
                 hit = of[r]
-                m = np.zeros((len(side), min(16_384, columns - lo)), np.float32)
+                m = np.zeros((len(side), min(4_096, columns - lo)), np.float32)
                 m[at[r[hit]], c[hit]] = 1
                 sides.append(m)
             both += sides[0] @ sides[1].T
@@ -236,7 +236,7 @@ def _block_links(keys: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     full = keys.withColumn("first", F.col("blk") == F.col("i")).withColumn("second", F.col("blk") == F.col("j")).drop("blk")
     full = full.join(sets.select(F.col("id").alias("head"), "shingles"), "head")
-    return full.groupBy("band", "i", "j").applyInArrow(compare, "a long, b long")
+    return full.groupBy("band", "i", "j").applyInArrow(trimmed_group(compare), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75, bands: int = 24, rows: int = 3, few_rows: int = 24, block: int = 384) -> DataFrame:

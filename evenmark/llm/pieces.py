@@ -19,7 +19,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, BYTE_CODE, mix, packed, slices, span_hashes
+from .common import BASE, BYTE_CODE, mix, packed, slices, span_hashes, trimmed
 
 #: How much less likely a byte is than the least likely piece, in logarithms.
 BYTE_STEP = 2.0
@@ -361,7 +361,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text
 
     text = F.when(F.octet_length(text_col) > 0, F.concat(F.lit(" "), text_col)).otherwise(F.col(text_col)) if prefix else F.col(text_col)
     few = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(F.col(id_col).cast("string") if not kind.startswith("struct") else F.to_json(id_col)).alias("key"))
-    return few.mapInArrow(run, f"id {kind}, ids array<int>, samples array<struct<ids: array<int>, logp: double, perturbed: double, inclusion: double>>").withColumnRenamed("id", id_col)
+    return few.mapInArrow(trimmed(run), f"id {kind}, ids array<int>, samples array<struct<ids: array<int>, logp: double, perturbed: double, inclusion: double>>").withColumnRenamed("id", id_col)
 
 
 def _list(values: np.ndarray, cut: np.ndarray, null: np.ndarray) -> pa.Array:
@@ -519,7 +519,7 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", i
         rows = pa.compute.if_else(lists.is_null(), pa.scalar(None, pa.large_binary()), rows).cast(pa.binary())
         return pa.RecordBatch.from_arrays([batch.column(0), rows], ["id", "bytes"])
 
-    back = encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids")).mapInArrow(run, f"id {kind}, bytes binary")
+    back = encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids")).mapInArrow(trimmed(run), f"id {kind}, bytes binary")
     text = F.col("bytes").cast("string")
     return back.select(F.col("id").alias(id_col), (F.when(text.startswith(" "), F.substr(text, F.lit(2))).otherwise(text) if prefix else text).alias("text"))
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, BYTE_CODE, mix, packed, parts_for, span_hashes, text_bytes
+from .common import BASE, BYTE_CODE, mix, packed, parts_for, span_hashes, text_bytes, trimmed_group
 
 GRAM = 16
 _BLOCK = 1 << 19
@@ -398,10 +398,10 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return pa.table({"own": texts.column("own"), "row": texts.column("row"), "n_bytes": pa.array(np.diff(at)), "n_spans": pa.array(spans, pa.int64()), "kept": pa.array(kept, pa.binary())})
 
     by_part = dealt.groupBy("part")
-    flags = by_part.applyInArrow(grams, "grp int, part int, data binary").groupBy("grp").applyInArrow(shared, "part int, grp int, data binary")
-    sent = by_part.cogroup(flags.groupBy("part")).applyInArrow(suffixes, "grp int, part int, n long, data binary")
-    marks = sent.groupBy("grp").applyInArrow(matched, "part int, data binary")
-    out = by_part.cogroup(marks.groupBy("part")).applyInArrow(removed, f"own long, row {dict(dealt.dtypes)['row']}, n_bytes long, n_spans long, kept binary")
+    flags = by_part.applyInArrow(trimmed_group(grams), "grp int, part int, data binary").groupBy("grp").applyInArrow(trimmed_group(shared), "part int, grp int, data binary")
+    sent = by_part.cogroup(flags.groupBy("part")).applyInArrow(trimmed_group(suffixes), "grp int, part int, n long, data binary")
+    marks = sent.groupBy("grp").applyInArrow(trimmed_group(matched), "part int, data binary")
+    out = by_part.cogroup(marks.groupBy("part")).applyInArrow(trimmed_group(removed), f"own long, row {dict(dealt.dtypes)['row']}, n_bytes long, n_spans long, kept binary")
     return out.select(F.col("own").alias(id_col), *[F.col(f"row.{c}").alias(c) for c in carry], "n_bytes", "n_spans", "kept")
 
 
