@@ -12,7 +12,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -166,6 +165,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def merged(df: DataFrame) -> DataFrame:
+    """checkpointed rows of a shuffle in fewer files: one for sixteen of its partitions, and two for each core at least.
+
+    A task writes its partitions one after another, so it needs no more memory. Every file costs the executor a few
+    processes where Hadoop sets rights by a command, and each counts the executor's memory again while it starts.
+    """
+    spark = df.sparkSession
+    return checkpointed(df.coalesce(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 16)))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir. A session on one machine that names none gets a temporary one; a cluster does not."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -232,13 +241,14 @@ def ranked(rows: DataFrame, *order: Column, rank: str = "rank") -> DataFrame:
     kinds = ", ".join(f"`{c}` {k}" for c, k in rows.dtypes)
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, done = TaskContext.get().partitionId(), 0
+        done = 0
         for batch in batches:
             n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(n, part, np.int32)), pa.array(np.arange(done + 1, done + n + 1))], [*batch.schema.names, "_part", "_nth"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.arange(done + 1, done + n + 1))], [*batch.schema.names, "_nth"])
             done += n
 
-    placed = checkpointed(rows.repartitionByRange(range_parts(rows), *order).sortWithinPartitions(*order).mapInArrow(number, f"{kinds}, _part int, _nth long"))
+    ranges = rows.repartitionByRange(range_parts(rows), *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    placed = merged(ranges.mapInArrow(number, f"{kinds}, _part int, _nth long"))
     sizes = placed.groupBy("_part").agg(F.count("*").alias("n"))
     before = sizes.select("_part", (F.sum("n").over(Window.orderBy("_part")) - F.col("n")).alias("_before"))
     return placed.join(F.broadcast(before), "_part").withColumn(rank, F.col("_before") + F.col("_nth")).drop("_part", "_nth", "_before")

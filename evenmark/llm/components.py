@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import merged
 
 
 def _sum(edges: DataFrame) -> tuple:
@@ -21,17 +21,17 @@ def connected(edges: DataFrame, most: int = 60) -> DataFrame:
     Nodes without edges are not returned; self-loops and repeated edges do no harm; nulls are left out.
     """
     e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-    e = checkpointed(e)
+    e = merged(e)
     before = _sum(e)
     for _ in range(most if before[0] else 0):
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
         # minima as tables of their own, so that the joins may split the edges of a node with very many
-        low = checkpointed(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        low = merged(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        large = checkpointed(large)
-        down = checkpointed(large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")))
+        large = merged(large)
+        down = merged(large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")))
         small = large.join(down, large["a"] == down["u"]).select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.a", "x.b").where("a <> b").distinct()
-        e = checkpointed(small)
+        e = merged(small)
         after = _sum(e)
         if after == before:
             break

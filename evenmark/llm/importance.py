@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, checkpointed, packed, ranked, runs_of, slices, span_hashes
+from .common import LOWER, checkpointed, merged, packed, ranked, runs_of, slices, span_hashes
 
 #: Bytes of words once A-Z are small: digits, a-z and all beyond ASCII.
 IS_WORD = np.zeros(256, bool)
@@ -151,7 +151,7 @@ def head_vocabulary(docs: DataFrame, text_col: str, buckets: int, most: int = 1
                 yield pa.RecordBatch.from_arrays(cols, ["second", "key", "word", "next", "n"])
 
     seen = docs.select(F.col(text_col).alias("text")).mapInArrow(count, kinds).groupBy("second", "key").agg(F.min("word").alias("word"), F.min("next").alias("next"), F.sum("n").alias("n"))
-    seen = checkpointed(seen)
+    seen = merged(seen)
     top = {second: seen.where(F.col("second") == second).orderBy(F.desc("n"), "key").limit(most).select("word", "next").collect() for second in (False, True)}
     words = [r.word.encode() for r in top[False]]
     ends = np.cumsum([len(w) for w in words], dtype=np.int64)

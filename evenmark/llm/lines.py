@@ -9,11 +9,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, range_parts, slices
+from .common import checkpointed, merged, range_parts, slices
 
 BLANK = b"\x20\x09\x0a\x0b\x0c\x0d"
 #: What a row of the streaming pass is: a line that goes, one whose key crosses a range's end, or what a range knows of such a key.
@@ -154,13 +153,15 @@ def repeated_lines(docs: DataFrame, id_col: str, text_col: str, least_chars: int
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = None
         for batch in batches:
-            state = state or Stream(TaskContext.get().partitionId(), least_docs, batch.schema.field("doc").type)
+            if not batch.num_rows:
+                continue
+            state = state or Stream(batch.column(6)[0].as_py(), least_docs, batch.schema.field("doc").type)
             yield from state.take(batch)
         if state and state.key is not None:
             yield from state.ended(last=True)
 
-    ranges = lines.repartitionByRange(range_parts(lines), *order).sortWithinPartitions(*order)
-    found = checkpointed(ranges.mapInArrow(stream, f"kind int, h1 long, h2 long, doc {kind}, last {kind}, version long, n_lines int, pos int, part int, docs long"))
+    ranges = lines.repartitionByRange(range_parts(lines), *order).sortWithinPartitions(*order).withColumn("range", F.spark_partition_id())
+    found = merged(ranges.mapInArrow(stream, f"kind int, h1 long, h2 long, doc {kind}, last {kind}, version long, n_lines int, pos int, part int, docs long"))
     edges = found.where(F.col("kind") == EDGE)
     along = Window.partitionBy("h1", "h2").orderBy("part")
     again = (F.row_number().over(along) > 1) & F.lag("last").over(along).eqNullSafe(F.col("doc"))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IS_SPACE, LOWER, checkpointed, each_salt, mix, packed, runs_of, salt, salts_seen, slices, span_hashes, spread_join, trimmed, trimmed_group
+from .common import IS_SPACE, LOWER, checkpointed, each_salt, merged, mix, packed, runs_of, salt, salts_seen, slices, span_hashes, spread_join, trimmed, trimmed_group
 from .components import connected
 
 #: Slots of the table that tells frequent shingles from rare ones.
@@ -170,7 +170,7 @@ def _prefixes(members: DataFrame, often: np.ndarray, percent: int) -> DataFrame:
 def _open_rows(many: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The heads of (head, part) that share one of their first shingles, rare ones first, with a row of another part; the others are alike to none."""
     members = many.join(sets.select(F.col("id").alias("head"), "shingles"), "head")
-    first = checkpointed(_prefixes(members, _frequent(sets), percent).withColumn("salt", salt("head")))
+    first = merged(_prefixes(members, _frequent(sets), percent).withColumn("salt", salt("head")))
     shared = first.groupBy("shingle").agg(F.min("part").alias("x"), F.max("part").alias("y"), salts_seen()).where("x <> y").select("shingle", each_salt())
     return first.join(shared, ["shingle", "salt"]).select("head").distinct()
 
@@ -257,30 +257,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed = checkpointed(signatures(small, "id", "text", k, bands, rows))
     live = signed.where("n_shingles > 0 and id is not null")
     key = ["n_shingles", "k1", "k2"]
-    heads = checkpointed(live.groupBy(*key).agg(F.min("id").alias("head"), F.min_by("bands", "id").alias("bands"), F.count("*").alias("members")))
+    heads = merged(live.groupBy(*key).agg(F.min("id").alias("head"), F.min_by("bands", "id").alias("bands"), F.count("*").alias("members")))
     placed = heads.select("head", F.explode("bands").alias("band"), salt("head").alias("salt"))
     shared = placed.groupBy("band").agg(F.min("head").alias("low"), F.count("*").alias("n"), salts_seen()).where("n > 1").select("band", "low", "n", each_salt())
-    members = checkpointed(placed.join(shared, ["band", "salt"]))
+    members = merged(placed.join(shared, ["band", "salt"]))
     star = members.where("head <> low").select(F.col("low").alias("a"), F.col("head").alias("b")).distinct()
     wanted = members.select(F.col("head").alias("id")).distinct()
-    sets = checkpointed(_sets(small.join(wanted, "id", "left_semi"), k))
-    links = checkpointed(_links(star, sets, percent))
+    sets = merged(_sets(small.join(wanted, "id", "left_semi"), k))
+    links = merged(_links(star, sets, percent))
     # a row's part: the smallest that it is linked to, or what that one is linked to; rows of one part are in one component
     near = links.groupBy(F.col("b").alias("head")).agg(F.min("a").alias("to"))
     part = near.join(near.select(F.col("head").alias("to"), F.col("to").alias("far")), "to", "left").select("head", F.coalesce("far", "to").alias("part"))
     known = members.join(part, "head", "left").select("band", "salt", "n", "head", F.coalesce("part", "head").alias("part"))
     open_bands = known.groupBy("band").agg(F.min("part").alias("x"), F.max("part").alias("y"), salts_seen()).where("x <> y").select("band", each_salt())
-    rest = checkpointed(known.join(open_bands, ["band", "salt"]))
+    rest = merged(known.join(open_bands, ["band", "salt"]))
     few = rest.where(F.col("n") <= few_rows)
     left = few.select("band", F.col("head").alias("a"), F.col("part").alias("pa"))
     right = few.select("band", F.col("head").alias("b"), F.col("part").alias("pb"))
     more = left.join(right, "band").where("pa < pb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    links = links.union(checkpointed(_links(more, sets, percent)))
+    links = links.union(merged(_links(more, sets, percent)))
     many = rest.where(F.col("n") > few_rows)
     if not many.isEmpty():
         heads_ = _open_rows(many.select("head", "part").distinct(), sets, percent)
         keys = _block_pairs(many.join(heads_, "head", "left_semi"), block)
-        links = links.union(checkpointed(_block_links(keys, sets, percent)))
+        links = links.union(merged(_block_links(keys, sets, percent)))
     # copies get their component through their class; ids that stand in several classes join those
     classes = heads.where("members > 1").select(*key, "head")
     rows_ = spread_join(signed.select("id", *key), classes, key, "id", "left").select("id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("head", "id")).alias("head"))
