@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.pricing import log_loss
+from .scans import MOST, Run, running
 
 THRESHOLDS = (199.5, 224.5, 249.5, 274.5, 299.5)
 STRATA = ("2-4", "5-8", "9-16", "unassigned")
@@ -15,32 +16,27 @@ def stratum(n: Column) -> Column:
     return F.when(n >= 9, "9-16").when(n >= 5, "5-8").when(n >= 2, "2-4").otherwise("unassigned")
 
 
-def lagged_features(history: DataFrame, lead: int = 0, most: int = 16, least: int = 2) -> DataFrame:
+def lagged_features(history: DataFrame, lead: int = 0, most: int = 16, least: int = 2, cut: int = MOST) -> DataFrame:
     """(player, game, season, cutoff, sample_size, history, reasons): for each game the newest prior games before its cutoff.
 
     history: player, game, kickoff, season, value. The cutoff is the kickoff less `lead`; a prior game starts strictly
     before it. `history` is newest first, at most `most` long. Fewer than `least` prior games and equal kickoffs among
-    those used are reasons. The games of a player and kickoff are a group that keeps the first `most` + 1 of them, so that
-    one left out shows; the last `most` groups before a cutoff hold all that it uses, however many games share a kickoff
-    or lie between the cutoff and the kickoff. No self-join grows with the square of a player's games.
+    those used, or of the last used and the first left out, are reasons. Each game carries itself and the `most` before it;
+    games and cutoffs then stand in one order, where a cutoff takes the last game before it. No self-join, and players with
+    more than `cut` games are cut by time.
     """
     one = F.struct(F.col("kickoff").alias("kickoff"), (-F.col("game")).alias("low"), F.col("value").alias("value"))
-    place = F.row_number().over(Window.partitionBy("player", "kickoff").orderBy("game", "value"))
-    kept = history.where("kickoff IS NOT NULL").select("player", "kickoff", one.alias("_one"), place.alias("_place")).where(F.col("_place") <= most + 1)
-    groups = kept.groupBy("player", F.col("kickoff").alias("_at")).agg(F.collect_list("_one").alias("_group"))
-    newest = F.collect_list("_group").over(Window.partitionBy("player").orderBy("_at").rowsBetween(-most + 1, 0))
-    groups = groups.select("player", "_at", newest.alias("_newest"))
-    cutoffs = history.select("player", (F.col("kickoff") - lead).alias("_at")).distinct().withColumn("_asked", F.lit(True))
-    order = Window.partitionBy("player").orderBy("_at", F.desc_nulls_last("_asked")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = groups.unionByName(cutoffs, allowMissingColumns=True).withColumn("_newest", F.last("_newest", ignorenulls=True).over(order)).where("_asked")
-    found = before.select(F.col("player").alias("_player"), "_at", F.array_sort(F.flatten("_newest")).alias("_all"))
-    ranked = history.join(found, F.col("player").eqNullSafe(F.col("_player")) & (F.col("kickoff") - lead).eqNullSafe(F.col("_at")), "left").withColumn("_all", F.coalesce("_all", F.array().cast(found.schema["_all"].dataType)))
-    used = F.slice(F.reverse("_all"), 1, most)
-    out = ranked.withColumn("_used", used).withColumn("sample_size", F.size("_used"))
+    games = history.where("kickoff IS NOT NULL").select("player", F.col("kickoff").alias("_at"), one.alias("_one"))
+    held = running(games, ["player"], "_at", {"_newest": Run("tail", "_one", most + 1)}, [F.asc("_one.low"), F.asc("_one.value")], most=cut)
+    asked = history.select("player", "game", "season", (F.col("kickoff") - lead).alias("_at"), F.lit(True).alias("_asked"))
+    both = held.unionByName(asked, allowMissingColumns=True)
+    out = running(both, ["player"], "_at", {"_all": Run("last", "_newest")}, [F.desc_nulls_last("_asked"), F.asc("_one.low"), F.asc("_one.value")], most=cut).where("_asked")
+    out = out.withColumn("_all", F.coalesce("_all", F.array().cast(both.schema["_newest"].dataType)))
+    out = out.withColumn("_used", F.slice(F.reverse("_all"), 1, most)).withColumn("sample_size", F.size("_used"))
     tied = F.size(F.array_distinct(F.transform("_used", lambda x: x["kickoff"]))) < F.size("_used")
-    edge = F.exists("_all", lambda x: (x["kickoff"] == F.try_element_at("_used", F.lit(-1))["kickoff"]) & (F.size("_used") == most) & ~F.array_contains(F.transform("_used", lambda y: y["low"]), x["low"]))
+    edge = (F.size("_all") > most) & (F.get("_all", F.lit(0))["kickoff"] == F.get("_all", F.lit(1))["kickoff"])
     why = F.array_compact(F.array(F.when(F.col("sample_size") < least, "insufficient-history"), F.when(tied | F.coalesce(edge, F.lit(False)), "history-order-ambiguous")))
-    return out.select("player", "game", "season", (F.col("kickoff") - lead).alias("cutoff"), "sample_size", F.transform("_used", lambda x: F.struct((-x["low"]).alias("game"), x["kickoff"].alias("kickoff"), x["value"].alias("value"))).alias("history"), why.alias("reasons"))
+    return out.select("player", "game", "season", F.col("_at").alias("cutoff"), "sample_size", F.transform("_used", lambda x: F.struct((-x["low"]).alias("game"), x["kickoff"].alias("kickoff"), x["value"].alias("value"))).alias("history"), why.alias("reasons"))
 
 
 def labels(outcomes: DataFrame, cutoff) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import temporal as T
+from .scans import MOST, Run, running
 
 
 def first_of(*rules: tuple[str, Column]) -> Column:
@@ -36,16 +37,17 @@ def replay_parity(left: DataFrame, right: DataFrame, keys: list[str], values: li
     return j.groupBy(status.alias("status")).agg(F.count("*").alias("rows"))
 
 
-def validated_absences(rows: DataFrame, captures: DataFrame, present: DataFrame) -> DataFrame:
+def validated_absences(rows: DataFrame, captures: DataFrame, present: DataFrame, most: int = MOST) -> DataFrame:
     """Rows that the first later full capture of their scope lacks.
 
     rows: id, scope, captured_at; captures: capture, scope, captured_at, full; present: capture, id. Both stand in one
     order of their scope from the newest on, where each row takes the last capture before it: none is paired with all.
+    Scopes of more than `most` rows are cut by time.
     """
     full = captures.where("full AND scope IS NOT NULL AND captured_at IS NOT NULL").select("scope", "captured_at", F.struct("capture").alias("c"))
     both = rows.dropna(subset=["scope", "captured_at"]).select("id", "scope", "captured_at").distinct().withColumn("row", F.lit(True)).unionByName(full, allowMissingColumns=True)
-    order = Window.partitionBy("scope").orderBy(F.desc("captured_at"), F.desc_nulls_last("row"), F.desc("c.capture")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    first = both.withColumn("c", F.last("c", ignorenulls=True).over(order)).where("row AND c IS NOT NULL").select("id", "scope", F.col("c.capture").alias("capture"))
+    seen = running(both, ["scope"], "captured_at", {"later": Run("last", "c")}, [F.desc_nulls_last("row"), F.desc("c.capture")], descending=True, most=most)
+    first = seen.where("row AND later IS NOT NULL").select("id", "scope", F.col("later.capture").alias("capture"))
     return first.join(present, ["capture", "id"], "left_anti")
 
 
@@ -100,25 +102,34 @@ def violations(rows: DataFrame, rules: list[tuple[str, Column]]) -> DataFrame:
     return rows.select(F.explode(F.when(F.size(names) == 0, F.array(F.lit("clean"))).otherwise(names)).alias("rule")).groupBy("rule").agg(F.count("*").alias("rows"))
 
 
-def model_context(requests: DataFrame, versions: DataFrame, key: str, request_id: str) -> DataFrame:
-    """Each request (cutoff, checkpoint): the newest usable version at the cutoff, the heads there and now, and its display state.
+def input_sets(versions: DataFrame, key: str, most: int = MOST) -> DataFrame:
+    """(key, nth, job, known_at): the jobs of a key in the order in which they became known. A set of inputs is the first n of them, so it is named by n and holds those before it."""
+    known = F.when(F.col("available_at").isNotNull() & F.col("ingested_at").isNotNull(), F.greatest("available_at", "ingested_at"))
+    first = versions.select(key, "job", known.alias("known_at")).dropna(subset=[key, "job", "known_at"]).groupBy(key, "job").agg(F.min("known_at").alias("known_at"), F.lit(1).cast("long").alias("_one"))
+    return running(first, [key], "known_at", {"nth": Run("sum", "_one")}, [F.asc("job")], most=most).select(key, "nth", "job", "known_at")
+
+
+def model_context(requests: DataFrame, versions: DataFrame, key: str, request_id: str, most: int = MOST) -> DataFrame:
+    """Each request (cutoff, checkpoint): the newest usable version at the cutoff, the heads there and now, its display state and its inputs.
 
     Versions and requests stand in two orders of one key, by what is known at the cutoff and by what is known now; a
-    request takes the running maxima at its rows.
+    request takes the running maxima at its rows. `inputs` names a set of `input_sets`: how many distinct jobs were known.
+    Keys of more than `most` rows are cut by time.
     """
     clock = F.struct("available_at", "ingested_at", "row_id")
     usable = F.col("state") == "usable"
-    right = versions.select(key, F.when(F.col("available_at").isNotNull() & F.col("ingested_at").isNotNull(), F.greatest("available_at", "ingested_at")).alias("_then"), F.col("ingested_at").alias("_now"), clock.alias("c"), "state", "data", "job", usable.alias("u"))
+    then = F.when(F.col("available_at").isNotNull() & F.col("ingested_at").isNotNull(), F.greatest("available_at", "ingested_at"))
+    right = versions.select(key, then.alias("_then"), F.col("ingested_at").alias("_now"), clock.alias("c"), "state", "data", "job", usable.alias("u"))
+    right = right.withColumn("_first", F.when(F.col("job").isNotNull() & F.col("_then").isNotNull() & (F.row_number().over(Window.partitionBy(key, "job").orderBy(F.asc_nulls_last("_then"))) == 1), F.lit(1).cast("long")))
     asked = requests.select(request_id, key, F.col("cutoff").alias("_then"), F.col("checkpoint").alias("_now"), F.lit(True).alias("_asked"))
-    both, (then, now) = T.in_time(right, asked, [key], ["_then", "_now"])
+    both = T.in_time(right, asked, [key])
     known, stored = F.col("_then").isNotNull(), F.col("_now").isNotNull()
-    out = both.select(
-        request_id, key, "_asked",
-        F.max(F.when(known & F.col("u"), F.struct("c", "data"))).over(then).alias("s"), F.max(F.when(known, F.col("c"))).over(then).alias("vis"), F.sort_array(F.collect_set(F.when(known, F.col("job"))).over(then)).alias("inputs"),
-        F.max(F.when(stored, F.struct("c", "state"))).over(now).alias("r"),
-    ).where("_asked").withColumn("sel", F.col("s.c")).withColumn("cur", F.col("r.c"))
+    right_first = [F.asc_nulls_first("_asked")]
+    out = running(both, [key], "_then", {"s": Run("max", F.when(known & F.col("u"), F.struct("c", "data"))), "vis": Run("max", F.when(known, F.col("c"))), "inputs": Run("sum", "_first")}, right_first, most=most)
+    out = running(out, [key], "_now", {"r": Run("max", F.when(stored, F.struct("c", "state")))}, right_first, most=most)
+    out = out.where("_asked").withColumn("sel", F.col("s.c")).withColumn("cur", F.col("r.c"))
     state = first_of(("unavailable", F.col("sel").isNull()), ("stale", (F.col("cur") > F.col("sel")) & (F.col("r.state") != "usable")), ("superseded", F.col("cur") > F.col("sel")))
-    return out.select(request_id, key, F.col("sel.row_id").alias("selected"), F.col("vis.row_id").alias("visible_head"), F.col("cur.row_id").alias("current_head"), F.coalesce(state, F.lit("current")).alias("display"), F.col("s.data").alias("data"), "inputs")
+    return out.select(request_id, key, F.col("sel.row_id").alias("selected"), F.col("vis.row_id").alias("visible_head"), F.col("cur.row_id").alias("current_head"), F.coalesce(state, F.lit("current")).alias("display"), F.col("s.data").alias("data"), F.coalesce("inputs", F.lit(0)).alias("inputs"))
 
 
 def batch_forecast(requests: DataFrame, context: DataFrame, folds: DataFrame, rights: DataFrame, request_id: str) -> DataFrame:

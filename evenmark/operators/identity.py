@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import normal_name, score_names
+from .scans import MOST, Run, running
 
 
 def scored_pairs(names: DataFrame, candidates: DataFrame, block: list[str], least: float = 0.0) -> DataFrame:
@@ -49,18 +50,18 @@ def latest_snapshot(rows: DataFrame, order: list[str], wanted) -> DataFrame:
     return top.join(rows.where(wanted), order, "left")
 
 
-def nearest_in_time(left: DataFrame, right: DataFrame, keys: list[str], at: str, clock: str, value: list[str]) -> DataFrame:
+def nearest_in_time(left: DataFrame, right: DataFrame, keys: list[str], at: str, clock: str, value: list[str], most: int = MOST) -> DataFrame:
     """Each left row with the right row of its keys nearest in time, the earlier on ties; none gives nulls. Equal left rows are one.
 
     Both sides stand in one order of their clocks; a left row takes the last right row before it and, in the reverse
-    order, the last one behind it.
+    order, the last one behind it. Keys of more than `most` rows are cut by time.
     """
     names = left.columns
     held = right.dropna(subset=[*keys, clock]).groupBy(*keys, F.col(clock).alias("_at")).agg(F.min(F.struct(clock, *value)).alias("_r"))
     both = held.unionByName(left.distinct().withColumn("_at", F.col(at)).withColumn("_asked", F.lit(True)), allowMissingColumns=True)
-    w = Window.partitionBy(*keys)
-    reach = lambda *order: F.last("_r", ignorenulls=True).over(w.orderBy(*order, F.asc_nulls_first("_asked")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    found = both.withColumn("_b", reach(F.col("_at").asc_nulls_first())).withColumn("_a", reach(F.col("_at").desc_nulls_first())).where("_asked")
+    right_first = [F.asc_nulls_first("_asked")]
+    found = running(both, keys, "_at", {"_b": Run("last", "_r")}, right_first, most=most)
+    found = running(found, keys, "_at", {"_a": Run("last", "_r")}, right_first, descending=True, most=most).where("_asked")
     far = lambda r: F.when(F.col(r).isNotNull(), F.struct(F.abs(F.col(f"{r}.{clock}") - F.col(at)).alias("far"), F.col(r).alias("r")))
     out = found.withColumn("n", F.when(F.col(at).isNotNull(), F.least(far("_b"), far("_a"))))
     return out.select(*names, "n.far", F.col("n.r").alias("nearest"))

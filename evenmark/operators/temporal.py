@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.folders import shared_folder
+from .scans import MOST, Run, running
 
 STRICT, RETROSPECTIVE = "strict-point-in-time-v1", "retrospective-reconstruction-v1"
 UNVERIFIED = "historical-availability-unverified"
@@ -41,41 +42,26 @@ def normalized_as_of(versions: DataFrame, cutoff, checkpoint, mode: str, keys: t
     return out.select(*keys, "rivals", "row_ids", F.when(many, "ambiguous").otherwise(F.col("s")).alias("state"), F.when(~many, F.col("d")).alias("data"), flags.alias("flags"))
 
 
-def in_time(right: DataFrame, requests: DataFrame, keys: list[str], axes: list[str]) -> tuple[DataFrame, list]:
-    """Both sides as rows of one table, and for each axis the window up to a row in its keys' order: right rows first at equal times.
+def in_time(right: DataFrame, requests: DataFrame, keys: list[str]) -> DataFrame:
+    """Both sides as rows of one table, whose running aggregates in the order of time are what requests may see.
 
-    right and requests: keys and axes, times of one type; requests also have `_asked`. What a request may see is then the
-    running aggregate at its row: each key is sorted once for an axis, and no request is paired with the rows of its key.
+    right and requests: keys and times of one type; requests also have `_asked`. At equal times right rows come first. No
+    request is paired with the rows of its key.
     """
-    both = right.dropna(subset=keys).unionByName(requests, allowMissingColumns=True)
-    order = [Window.partitionBy(*keys).orderBy(F.col(a).asc_nulls_first(), F.asc_nulls_first("_asked")).rowsBetween(Window.unboundedPreceding, Window.currentRow) for a in axes]
-    return both, order
+    return right.dropna(subset=keys).unionByName(requests, allowMissingColumns=True)
 
 
-def newest_in_time(right: DataFrame, requests: DataFrame, keys: list[str], slabs: int = 1) -> DataFrame:
-    """requests with `v`, the greatest `_v` of their keys' right rows up to their `_at`.
+def newest_in_time(right: DataFrame, requests: DataFrame, keys: list[str], most: int = MOST) -> DataFrame:
+    """requests with `v`, the greatest `_v` of their keys' right rows up to their `_at`. Keys of more than `most` rows are cut by time."""
+    both = in_time(right, requests, keys)
+    return running(both, keys, "_at", {"v": Run("max", "_v")}, [F.asc_nulls_first("_asked")], most=most).where("_asked").drop("_v")
 
-    A key's rows go through one task in order. With `slabs` over 1 the times, which are numbers then, are cut at about
-    equal shares of the right rows, and each key's part between two cuts is a task's work of its own; what a part begins
-    with is the greatest of the parts before it, one row each. For keys that hold a large share of all rows.
-    """
-    both, (up_to,) = in_time(right, requests, keys, ["_at"])
-    if slabs == 1:
-        return both.withColumn("v", F.max("_v").over(up_to)).where("_asked").drop("_v")
-    cuts = sorted(set(right.approxQuantile("_at", [k / slabs for k in range(1, slabs)], 0.25 / slabs)))
-    both = both.withColumn("_slab", F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("_at"))) if cuts else F.lit(0))
-    part, before = [*keys, "_slab"], Window.partitionBy(*keys).orderBy("_slab").rowsBetween(Window.unboundedPreceding, -1)
-    begin = both.groupBy(*part).agg(F.max("_v").alias("_top")).select(*part, F.max("_top").over(before).alias("_begin"))
-    inside = Window.partitionBy(*part).orderBy(F.col("_at").asc_nulls_first(), F.asc_nulls_first("_asked")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    asked = both.withColumn("v", F.max("_v").over(inside)).where("_asked").join(begin, part, "left")
-    return asked.withColumn("v", F.when(F.col("_at").isNotNull(), F.greatest("v", "_begin"))).drop("_v", "_slab", "_begin")
-
-
-def as_of_join(requests: DataFrame, versions: DataFrame, keys: list[str], mode: str, request_id: str, slabs: int = 1) -> DataFrame:
+
+def as_of_join(requests: DataFrame, versions: DataFrame, keys: list[str], mode: str, request_id: str, most: int = MOST) -> DataFrame:
     """Each request (keys, request_id, cutoff, checkpoint) with its newest visible version and the rivals at its clocks; none gives nulls.
 
     A version is visible from the later of its clocks on (in strict mode), so the newest visible one is a running maximum.
-    `slabs`: see newest_in_time.
+    Keys of more than `most` rows are cut by time.
     """
     strict = mode == STRICT
     clocks = ["available_at", "ingested_at"]
@@ -83,7 +69,7 @@ def as_of_join(requests: DataFrame, versions: DataFrame, keys: list[str], mode:
     right = one.select(*keys, (F.greatest(*clocks) if strict else F.col("ingested_at")).alias("_at"), F.struct(*clocks, "rivals", "v").alias("_v"))
     limit = F.least("cutoff", "checkpoint") if strict else F.col("checkpoint")
     asked = requests.select(request_id, *keys, (F.when(F.col("cutoff").isNotNull() & F.col("checkpoint").isNotNull(), limit) if strict else limit).alias("_at"), F.lit(True).alias("_asked"))
-    best = newest_in_time(right, asked, keys, slabs)
+    best = newest_in_time(right, asked, keys, most)
     return best.select(request_id, *keys, F.coalesce("v.rivals", F.lit(0)).alias("rivals"), "v.v.row_id", "v.available_at", "v.ingested_at", F.when(F.col("v.rivals") == 1, F.col("v.v.data")).alias("data"))
 
 
@@ -157,18 +143,41 @@ def _up_chains(edges: DataFrame, roots: DataFrame) -> DataFrame:
     return roots.withColumn("depth", F.lit(0)).union(at.where("done").select("node", F.col("depth").cast("int").alias("depth")))
 
 
-def effective_rights(requests: DataFrame, decisions: DataFrame, request_id: str) -> DataFrame:
+def newest_of_two_clocks(requests: DataFrame, records: DataFrame, key: str, most: int = MOST) -> DataFrame:
+    """requests (key, _x, _y, ...) with `v`, the greatest `_v` of their key's records with _x and _y at or before theirs.
+
+    `_v` begins with the record's _y. Records are numbered in the order of _x, so what a request may see by _x is the first p
+    of them, and p is a sum of powers of two: a block of records for each. A record stands in the blocks of its number
+    that begin at an even place, at most one for each power up to its key's size. In a block, the order of _y gives the
+    newest by a running maximum; a request takes the best of its blocks. n records and requests make n log n rows, and no
+    row holds a key's records. Blocks of more than `most` rows are cut by time.
+    """
+    rows = records.dropna(subset=[key, "_x", "_y"]).select(key, "_x", "_y", "_v", F.lit(1).cast("long").alias("_one"))
+    both = rows.unionByName(requests.withColumn("_asked", F.lit(True)), allowMissingColumns=True)
+    placed = running(both, [key], "_x", {"_p": Run("sum", "_one")}, [F.asc_nulls_first("_asked")], most=most)
+    sizes = rows.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("_all"))
+    placed = placed.join(sizes, F.col(key) == F.col("_key"), "left").drop("_key")
+    top = F.floor(F.log2(F.greatest(F.col("_all"), F.lit(1)))).cast("int")
+    level = F.sequence(F.lit(0), top)
+    at = F.when(F.col("_asked").isNull(), F.expr("filter(transform(_levels, k -> struct(k AS level, shiftright(_p - 1, k) AS block)), b -> b.block % 2 = 0 AND shiftleft(b.block + 1, b.level) <= _all)"))
+    at = at.otherwise(F.expr("transform(filter(_levels, k -> shiftright(coalesce(_p, 0L), k) % 2 = 1), k -> struct(k AS level, shiftright(_p, k) - 1 AS block))"))
+    spread = placed.withColumn("_levels", level).withColumn("_b", F.explode_outer(at)).select("*", "_b.*").drop("_levels", "_b", "_p", "_all", "_one")
+    best = running(spread, [key, "level", "block"], "_y", {"v": Run("max", "_v")}, [F.asc_nulls_first("_asked")], most=most).where("_asked")
+    names = [c for c in requests.columns if c not in ("_x", "_y")]
+    return best.groupBy(*names, "_x", "_y").agg(F.max("v").alias("v"))
+
+
+def effective_rights(requests: DataFrame, decisions: DataFrame, request_id: str, most: int = MOST) -> DataFrame:
     """Each request (request_id, profile, valid_at, known_at) with the newest known and started decision; an expired one allows nothing.
 
-    A profile's decisions travel as one array, newest first, so a request stays one row; the array is as long as the
-    profile's legal history.
+    Equal requests are one. Decisions without a clock are never known or started. See newest_of_two_clocks.
     """
-    newest = F.sort_array(F.collect_list(F.struct("recorded_at", "decision", "valid_from", "valid_until", "uses")), asc=False)
-    held = decisions.where("profile is not null").groupBy("profile").agg(newest.alias("_all"))
-    known = F.filter("_all", lambda d: (d["recorded_at"] <= F.col("known_at")) & (d["valid_from"] <= F.col("valid_at")))
-    out = requests.select(request_id, "profile", "valid_at", "known_at").distinct().join(held, "profile", "left").withColumn("d", F.get(known, F.lit(0))).drop("_all")
-    live = F.col("d.valid_until").isNull() | (F.col("d.valid_until") > F.col("valid_at"))
-    return out.select(request_id, "profile", F.col("d.decision").alias("decision"), F.when(F.col("d").isNotNull(), F.when(live, F.col("d.uses")).otherwise(F.lit(""))).alias("uses"))
+    records = decisions.select("profile", F.col("valid_from").alias("_x"), F.col("recorded_at").alias("_y"), F.struct("recorded_at", "decision", "valid_until", "uses").alias("_v"))
+    asked = requests.select(request_id, "profile", F.col("valid_at").alias("_x"), F.col("known_at").alias("_y")).distinct()
+    # a request may name its own columns like the profile
+    out = newest_of_two_clocks(asked.select(F.col(request_id).alias("_request"), "profile", "_x", "_y"), records, "profile", most)
+    live = F.col("v.valid_until").isNull() | (F.col("v.valid_until") > F.col("_x"))
+    return out.select(F.col("_request").alias(request_id), "profile", F.col("v.decision").alias("decision"), F.when(F.col("v").isNotNull(), F.when(live, F.col("v.uses")).otherwise(F.lit(""))).alias("uses"))
 
 
 def rights_gate(inputs: DataFrame, rights: DataFrame, key: str, use: str) -> DataFrame:
@@ -177,12 +186,12 @@ def rights_gate(inputs: DataFrame, rights: DataFrame, key: str, use: str) -> Dat
     return inputs.join(rights.select("profile", "uses"), "profile", "left").groupBy(key).agg(F.bool_and(ok).alias("allowed"), F.count_if(~ok).alias("refused"))
 
 
-def interval_value(requests: DataFrame, intervals: DataFrame, keys: list[str], request_id: str) -> DataFrame:
+def interval_value(requests: DataFrame, intervals: DataFrame, keys: list[str], request_id: str, most: int = MOST) -> DataFrame:
     """(request_id, status, value): values whose interval [valid_from, valid_until) holds the request's `at`: missing, one or conflict.
 
     Intervals of one value that meet or overlap are one first. Then begins and ends stand with the requests in the order
     of time, and a request counts the values begun and not ended: a running sum, not a pair of request and interval.
-    `request_id` names a row; requests of one id are taken together.
+    `request_id` names a row; requests of one id are taken together. Keys of more than `most` rows are cut by time.
     """
     whole = intervals.dropna(subset=[*keys, "value", "valid_from"]).where("valid_until IS NULL OR valid_until > valid_from")
     end = F.struct(F.col("valid_until").isNull().alias("open"), F.col("valid_until").alias("at"))
@@ -194,8 +203,9 @@ def interval_value(requests: DataFrame, intervals: DataFrame, keys: list[str], r
     event = lambda at, step: F.struct(at.alias("at"), F.lit(step).alias("step"))
     marks = coded.withColumn("x", F.explode(F.array(event(F.col("b"), 1), event(F.when(~F.col("e.open"), F.col("e.at")), -1)))).where("x.at is not null").select(*keys, F.col("x.at").alias("_at"), F.col("x.step").alias("n"), (F.col("x.step") * F.col("code")).alias("code"))
     marks = marks.groupBy(*keys, "_at").agg(F.sum("n").alias("n"), F.sum("code").alias("code"))
-    both, (up_to,) = in_time(marks, requests.select(request_id, *keys, F.col("at").alias("_at"), F.lit(True).alias("_asked")), keys, ["_at"])
-    seen = both.select(request_id, *keys, "_asked", F.sum("n").over(up_to).alias("n"), F.sum("code").over(up_to).alias("code")).where("_asked").withColumn("code", F.when(F.col("n") == 1, F.col("code")))
+    both = in_time(marks.withColumnsRenamed({"n": "_n", "code": "_code"}), requests.select(request_id, *keys, F.col("at").alias("_at"), F.lit(True).alias("_asked")), keys)
+    summed = running(both, keys, "_at", {"n": Run("sum", "_n"), "code": Run("sum", "_code")}, [F.asc_nulls_first("_asked")], most=most)
+    seen = summed.where("_asked").select(request_id, *keys, "n", F.when(F.col("n") == 1, F.col("code")).alias("code"))
     held = seen.join(coded.select(*keys, "code", "value").distinct(), [*keys, "code"], "left")
     out = held.groupBy(request_id).agg(F.max(F.coalesce("n", F.lit(0))).alias("most"), F.min("value").alias("lo"), F.max("value").alias("hi"))
     many = (F.col("most") > 1) | (F.col("lo") != F.col("hi"))

@@ -132,7 +132,7 @@ def _context(spark, sf):
 
 @query("g1_model_context", f"WITH {CONTEXT} SELECT request, selected, visible_head, current_head, display, data, inputs FROM c")
 def g1(spark, sf):
-    return _context(spark, sf).select("request", "selected", "visible_head", "current_head", "display", "data", F.size("inputs").cast("long").alias("inputs"))
+    return _context(spark, sf).select("request", "selected", "visible_head", "current_head", "display", "data", "inputs")
 
 
 @query("g2_batch_forecast", f"""WITH {CONTEXT}, f AS ({folds_sql()}), r AS (SELECT profile, arg_max(CASE WHEN valid_until IS NULL OR valid_until > 10400 THEN uses ELSE '' END, (recorded_at, decision)) AS uses FROM rights WHERE recorded_at <= 10400 AND valid_from <= 10400 GROUP BY profile),

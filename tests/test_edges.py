@@ -252,13 +252,13 @@ def _clocks(n, seed):
     return [(rng.choice(["hot", "hot", "hot", "b", None]), rng.choice([None, *range(30)]), rng.choice([None, *range(30)]), f"r{k}", rng.choice(["usable", "refused"]), k) for k in range(n)]
 
 
-@pytest.mark.parametrize("slabs", [1, 6])
+@pytest.mark.parametrize("most", [2_000_000, 6])
 @pytest.mark.parametrize("mode", [T.STRICT, T.RETROSPECTIVE])
-def test_as_of_join_equals_all_pairs(spark, mode, slabs):
+def test_as_of_join_equals_all_pairs(spark, mode, most):
     versions, asked = _clocks(150, 1), [(k, *r[:3]) for k, r in enumerate(_clocks(150, 2))]
     got = T.as_of_join(
         spark.createDataFrame(asked, "request int, k string, cutoff int, checkpoint int"),
-        spark.createDataFrame(versions, "k string, available_at int, ingested_at int, row_id string, state string, data int"), ["k"], mode, "request", slabs,
+        spark.createDataFrame(versions, "k string, available_at int, ingested_at int, row_id string, state string, data int"), ["k"], mode, "request", most,
     ).collect()
     assert len(got) == len(asked)
     for r in got:
@@ -275,7 +275,7 @@ def test_observations_by_slabs(spark):
     """A key with nearly all rows, cut into parts of its time, gives the same."""
     seen = spark.createDataFrame([(r[0], r[1], r[5]) for r in _clocks(300, 8)], "k string, captured_at int, batch int")
     asked = spark.createDataFrame([(k, r[0], r[1]) for k, r in enumerate(_clocks(300, 9))], "id int, k string, cutoff int")
-    got = [sorted(map(str, O.as_of_observations(asked, seen, ["k"], slabs=n).collect())) for n in (1, 7, 40)]
+    got = [sorted(map(str, O.as_of_observations(asked, seen, ["k"], most=n).collect())) for n in (2_000_000, 40, 7)]
     assert got[0] == got[1] == got[2] and len(got[0]) == 300 and any("at=29" in x for x in got[0])
 
 
