@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -128,7 +129,7 @@ def features_of(column, head: Head, buckets: int) -> tuple[np.ndarray, np.ndarra
 
 
 def head_vocabulary(docs: DataFrame, text_col: str, buckets: int, most: int = 1 << 16, share: float = 2e-5) -> Head:
-    """The `most` commonest words and pairs among those that make up `share` of a piece of text.
+    """The commonest words and pairs, `most` of each at most, among those that make up `share` of a piece of text.
 
     All texts are counted. A word of that share of the corpus has it in some piece, so none is overlooked, and a piece of
     2 MB sends at most 1 / share words and pairs. What is not in the head only costs time: the results are the same.
@@ -151,8 +152,14 @@ def head_vocabulary(docs: DataFrame, text_col: str, buckets: int, most: int = 1
                 yield pa.RecordBatch.from_arrays(cols, ["second", "key", "word", "next", "n"])
 
     seen = docs.select(F.col(text_col).alias("text")).mapInArrow(count, kinds).groupBy("second", "key").agg(F.min("word").alias("word"), F.min("next").alias("next"), F.sum("n").alias("n"))
-    seen = merged(seen)
-    top = {second: seen.where(F.col("second") == second).orderBy(F.desc("n"), "key").limit(most).select("word", "next").collect() for second in (False, True)}
+    # classes of about equal counts, the commonest first, as long as they fit: no task sends more than one row a class
+    seen = merged(seen.withColumn("size", F.floor(8 * F.log2("n")).cast("int")))
+    classes = seen.groupBy("second", "size").agg(F.count("*").alias("n")).orderBy(F.desc("size")).collect()
+    top = {}
+    for second in (False, True):
+        sizes = [(r.size, r.n) for r in classes if r.second == second]
+        fits = [size for (size, _), total in zip(sizes, itertools.accumulate(n for _, n in sizes), strict=True) if total <= most]
+        top[second] = seen.where((F.col("second") == second) & (F.col("size") >= fits[-1])).select("word", "next").collect() if fits else []
     words = [r.word.encode() for r in top[False]]
     ends = np.cumsum([len(w) for w in words], dtype=np.int64)
     buf = np.frombuffer(b"".join(words), np.uint8)
