@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.pricing import log_loss
-from .scans import MOST, Run, running
+from .scans import MOST, Run, rows_in, running
 
 THRESHOLDS = (199.5, 224.5, 249.5, 274.5, 299.5)
 STRATA = ("2-4", "5-8", "9-16", "unassigned")
@@ -26,11 +26,12 @@ def lagged_features(history: DataFrame, lead: int = 0, most: int = 16, least: in
     more than `cut` games are cut by time.
     """
     one = F.struct(F.col("kickoff").alias("kickoff"), (-F.col("game")).alias("low"), F.col("value").alias("value"))
+    n = rows_in(history)
     games = history.where("kickoff IS NOT NULL").select("player", F.col("kickoff").alias("_at"), one.alias("_one"))
-    held = running(games, ["player"], "_at", {"_newest": Run("tail", "_one", most + 1)}, [F.asc("_one.low"), F.asc("_one.value")], most=cut)
+    held = running(games, ["player"], "_at", {"_newest": Run("tail", "_one", most + 1)}, [F.asc("_one.low"), F.asc("_one.value")], most=cut, bound=n)
     asked = history.select("player", "game", "season", (F.col("kickoff") - lead).alias("_at"), F.lit(True).alias("_asked"))
     both = held.unionByName(asked, allowMissingColumns=True)
-    out = running(both, ["player"], "_at", {"_all": Run("last", "_newest")}, [F.desc_nulls_last("_asked"), F.asc("_one.low"), F.asc("_one.value")], most=cut).where("_asked")
+    out = running(both, ["player"], "_at", {"_all": Run("last", "_newest")}, [F.desc_nulls_last("_asked"), F.asc("_one.low"), F.asc("_one.value")], most=cut, bound=2 * n).where("_asked")
     out = out.withColumn("_all", F.coalesce("_all", F.array().cast(both.schema["_newest"].dataType)))
     out = out.withColumn("_used", F.slice(F.reverse("_all"), 1, most)).withColumn("sample_size", F.size("_used"))
     tied = F.size(F.array_distinct(F.transform("_used", lambda x: x["kickoff"]))) < F.size("_used")

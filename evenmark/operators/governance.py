@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import temporal as T
-from .scans import MOST, Run, running
+from .scans import MOST, Run, rows_in, running
 
 
 def first_of(*rules: tuple[str, Column]) -> Column:
@@ -46,7 +46,7 @@ def validated_absences(rows: DataFrame, captures: DataFrame, present: DataFrame,
     """
     full = captures.where("full AND scope IS NOT NULL AND captured_at IS NOT NULL").select("scope", "captured_at", F.struct("capture").alias("c"))
     both = rows.dropna(subset=["scope", "captured_at"]).select("id", "scope", "captured_at").distinct().withColumn("row", F.lit(True)).unionByName(full, allowMissingColumns=True)
-    seen = running(both, ["scope"], "captured_at", {"later": Run("last", "c")}, [F.desc_nulls_last("row"), F.desc("c.capture")], descending=True, most=most)
+    seen = running(both, ["scope"], "captured_at", {"later": Run("last", "c")}, [F.desc_nulls_last("row"), F.desc("c.capture")], descending=True, most=most, bound=rows_in(rows, captures))
     first = seen.where("row AND later IS NOT NULL").select("id", "scope", F.col("later.capture").alias("capture"))
     return first.join(present, ["capture", "id"], "left_anti")
 
@@ -106,7 +106,7 @@ def input_sets(versions: DataFrame, key: str, most: int = MOST) -> DataFrame:
     """(key, nth, job, known_at): the jobs of a key in the order in which they became known. A set of inputs is the first n of them, so it is named by n and holds those before it."""
     known = F.when(F.col("available_at").isNotNull() & F.col("ingested_at").isNotNull(), F.greatest("available_at", "ingested_at"))
     first = versions.select(key, "job", known.alias("known_at")).dropna(subset=[key, "job", "known_at"]).groupBy(key, "job").agg(F.min("known_at").alias("known_at"), F.lit(1).cast("long").alias("_one"))
-    return running(first, [key], "known_at", {"nth": Run("sum", "_one")}, [F.asc("job")], most=most).select(key, "nth", "job", "known_at")
+    return running(first, [key], "known_at", {"nth": Run("sum", "_one")}, [F.asc("job")], most=most, bound=rows_in(versions)).select(key, "nth", "job", "known_at")
 
 
 def model_context(requests: DataFrame, versions: DataFrame, key: str, request_id: str, most: int = MOST) -> DataFrame:
@@ -120,13 +120,16 @@ def model_context(requests: DataFrame, versions: DataFrame, key: str, request_id
     usable = F.col("state") == "usable"
     then = F.when(F.col("available_at").isNotNull() & F.col("ingested_at").isNotNull(), F.greatest("available_at", "ingested_at"))
     right = versions.select(key, then.alias("_then"), F.col("ingested_at").alias("_now"), clock.alias("c"), "state", "data", "job", usable.alias("u"))
-    right = right.withColumn("_first", F.when(F.col("job").isNotNull() & F.col("_then").isNotNull() & (F.row_number().over(Window.partitionBy(key, "job").orderBy(F.asc_nulls_last("_then"))) == 1), F.lit(1).cast("long")))
     asked = requests.select(request_id, key, F.col("cutoff").alias("_then"), F.col("checkpoint").alias("_now"), F.lit(True).alias("_asked"))
+    bound = rows_in(versions, requests)
     both = T.in_time(right, asked, [key])
+    both = both.repartition(key) if bound <= most else both  # all windows in one shuffle
+    new = F.row_number().over(Window.partitionBy(key, "job").orderBy(F.asc_nulls_last("_then"))) == 1
+    both = both.withColumn("_first", F.when(F.col("job").isNotNull() & F.col("_then").isNotNull() & new, F.lit(1).cast("long")))
     known, stored = F.col("_then").isNotNull(), F.col("_now").isNotNull()
     right_first = [F.asc_nulls_first("_asked")]
-    out = running(both, [key], "_then", {"s": Run("max", F.when(known & F.col("u"), F.struct("c", "data"))), "vis": Run("max", F.when(known, F.col("c"))), "inputs": Run("sum", "_first")}, right_first, most=most)
-    out = running(out, [key], "_now", {"r": Run("max", F.when(stored, F.struct("c", "state")))}, right_first, most=most)
+    out = running(both, [key], "_then", {"s": Run("max", F.when(known & F.col("u"), F.struct("c", "data"))), "vis": Run("max", F.when(known, F.col("c"))), "inputs": Run("sum", "_first")}, right_first, most=most, bound=bound)
+    out = running(out, [key], "_now", {"r": Run("max", F.when(stored, F.struct("c", "state")))}, right_first, most=most, bound=bound)
     out = out.where("_asked").withColumn("sel", F.col("s.c")).withColumn("cur", F.col("r.c"))
     state = first_of(("unavailable", F.col("sel").isNull()), ("stale", (F.col("cur") > F.col("sel")) & (F.col("r.state") != "usable")), ("superseded", F.col("cur") > F.col("sel")))
     return out.select(request_id, key, F.col("sel.row_id").alias("selected"), F.col("vis.row_id").alias("visible_head"), F.col("cur.row_id").alias("current_head"), F.coalesce(state, F.lit("current")).alias("display"), F.col("s.data").alias("data"), F.coalesce("inputs", F.lit(0)).alias("inputs"))

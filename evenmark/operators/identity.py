@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import normal_name, score_names
-from .scans import MOST, Run, running
+from .scans import MOST, Run, rows_in, running
 
 
 def scored_pairs(names: DataFrame, candidates: DataFrame, block: list[str], least: float = 0.0) -> DataFrame:
@@ -59,9 +59,9 @@ def nearest_in_time(left: DataFrame, right: DataFrame, keys: list[str], at: str,
     names = left.columns
     held = right.dropna(subset=[*keys, clock]).groupBy(*keys, F.col(clock).alias("_at")).agg(F.min(F.struct(clock, *value)).alias("_r"))
     both = held.unionByName(left.distinct().withColumn("_at", F.col(at)).withColumn("_asked", F.lit(True)), allowMissingColumns=True)
-    right_first = [F.asc_nulls_first("_asked")]
-    found = running(both, keys, "_at", {"_b": Run("last", "_r")}, right_first, most=most)
-    found = running(found, keys, "_at", {"_a": Run("last", "_r")}, right_first, descending=True, most=most).where("_asked")
+    right_first, bound = [F.asc_nulls_first("_asked")], rows_in(left, right)
+    found = running(both, keys, "_at", {"_b": Run("last", "_r")}, right_first, most=most, bound=bound)
+    found = running(found, keys, "_at", {"_a": Run("last", "_r")}, right_first, descending=True, most=most, bound=bound).where("_asked")
     far = lambda r: F.when(F.col(r).isNotNull(), F.struct(F.abs(F.col(f"{r}.{clock}") - F.col(at)).alias("far"), F.col(r).alias("r")))
     out = found.withColumn("n", F.when(F.col(at).isNotNull(), F.least(far("_b"), far("_a"))))
     return out.select(*names, "n.far", F.col("n.r").alias("nearest"))

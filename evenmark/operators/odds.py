@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.pricing import clamp01, devig_over, valid_price
-from .scans import MOST
+from .scans import MOST, rows_in
 from .temporal import newest_in_time
 
 #: Weights of the adjustments to a hit rate.
@@ -131,14 +131,14 @@ def market_status(outcomes: DataFrame, markets: DataFrame) -> DataFrame:
     return out.select("event", "market", status.alias("status"), F.coalesce("quotes", F.lit(0)).alias("quotes"))
 
 
-def as_of_observations(requests: DataFrame, observations: DataFrame, keys: list[str], cutoff: str = "cutoff", clock: str = "captured_at", tie: str = "batch", most: int = MOST) -> DataFrame:
+def as_of_observations(requests: DataFrame, observations: DataFrame, keys: list[str], cutoff: str = "cutoff", clock: str = "captured_at", tie: str = "batch", most: int = MOST, bound: int | None = None) -> DataFrame:
     """Each request with the newest observation of its keys at or before its cutoff; requests without one keep nulls.
 
     Both stand in one order of their keys' clocks, where each request takes the last observation before it: no request
     is paired with all observations. Equal requests are one. Keys of more than `most` rows are cut by time.
     """
     right = observations.dropna(subset=[clock]).select(*keys, F.col(clock).alias("_at"), F.struct(F.col(clock).alias("at"), F.col(tie).alias("tie")).alias("_v"))
-    best = newest_in_time(right, requests.distinct().withColumn("_at", F.col(cutoff)).withColumn("_asked", F.lit(True)), keys, most)
+    best = newest_in_time(right, requests.distinct().withColumn("_at", F.col(cutoff)).withColumn("_asked", F.lit(True)), keys, most, rows_in(requests, observations) if bound is None else bound)
     return best.select(*requests.columns, F.col("v.at").alias("at"), F.col("v.tie").alias("tie"))
 
 
@@ -149,7 +149,7 @@ def historical_consensus(requests: DataFrame, quotes: DataFrame, most: int = MOS
     captured `lead` or less before the cutoff.
     """
     snapshots = quotes.select("event", "market", "captured_at").distinct().withColumn("batch", F.lit(0).cast("long"))
-    held = as_of_observations(requests, snapshots, ["event", "market"], most=most).drop("tie").withColumnRenamed("at", "captured_at")
+    held = as_of_observations(requests, snapshots, ["event", "market"], most=most, bound=rows_in(requests, quotes)).drop("tie").withColumnRenamed("at", "captured_at")
     q = quotes.select("event", "market", "captured_at", F.col("player").alias("qp"), F.col("point").alias("qpt"), "over_price", "under_price")
     seen = held.join(q, ["event", "market", "captured_at"], "left")
     mine = F.col("qp") == F.col("player")

@@ -53,13 +53,17 @@ def _last_of(values: Column, n: int) -> Column:
     return F.when(F.size(values) > n, F.slice(values, -n, n)).otherwise(values)
 
 
-def hot_cuts(rows: DataFrame, keys: list[str], at: str, most: int) -> DataFrame | None:
+def rows_in(*tables: DataFrame) -> int:
+    """Rows of tables together: what bounds the rows made of them. Tables that were only selected from are counted by their files' footers."""
+    return sum(t.count() for t in tables)
+
+
+def hot_cuts(rows: DataFrame, keys: list[str], at: str, most: int, bound: int | None = None) -> DataFrame | None:
     """(keys, _cuts): times that cut each key of more than `most` rows into about equal slabs of at most that many; None if there is no such key.
 
-    Counts keys only where all rows together are more than `most`. There are at most rows / most such keys.
+    Counts keys only where there may be more than `most` rows; `bound` is what the caller knows of that. There are at most rows / most such keys.
     """
-    total = rows.count()
-    if total <= most:
+    if (rows.count() if bound is None else bound) <= most:
         return None
     hot = rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > most)
     largest = hot.agg(F.max("_n")).first()[0]
@@ -72,11 +76,12 @@ def hot_cuts(rows: DataFrame, keys: list[str], at: str, most: int) -> DataFrame
     return cuts.select(*keys, F.array_sort(F.array_distinct(F.coalesce("_cuts", F.array().cast(cuts.schema["_cuts"].dataType)))).alias("_cuts"))
 
 
-def running(rows: DataFrame, keys: list[str], at: str, runs: dict[str, Run], tie: list[Column] = (), descending: bool = False, most: int = MOST) -> DataFrame:
+def running(rows: DataFrame, keys: list[str], at: str, runs: dict[str, Run], tie: list[Column] = (), descending: bool = False, most: int = MOST, bound: int | None = None) -> DataFrame:
     """rows with each running aggregate of `runs` up to and including a row, in the order of `at` (null times first), then `tie`.
 
     Rows of one time and equal `tie` may stand in any order. A key of more than `most` rows is cut by time, so that no task
     has much more than `most` of its rows (rows of one time stay together); the others are one task's work in bounded memory.
+    `bound`: a number that the rows do not exceed, where the caller knows; else they are counted.
     """
     order = [F.desc_nulls_first(at) if descending else F.asc_nulls_first(at), *tie]
 
@@ -85,7 +90,7 @@ def running(rows: DataFrame, keys: list[str], at: str, runs: dict[str, Run], tie
         frames = {n: up_to.rowsBetween(1 - r.size if r.how == "tail" else Window.unboundedPreceding, Window.currentRow) for n, r in runs.items()}
         return df.withColumns({n: r.over(frames[n]) for n, r in runs.items()} | ({"_nth": F.row_number().over(up_to)} if "_slab" in part else {}))
 
-    cuts = hot_cuts(rows, keys, at, most)
+    cuts = hot_cuts(rows, keys, at, most, bound)
     if cuts is None:
         return inside(rows, keys)
     named = cuts.select(*[F.col(k).alias(f"_{k}") for k in keys], "_cuts")

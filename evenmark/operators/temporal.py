@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.folders import shared_folder
-from .scans import MOST, Run, running
+from .scans import MOST, Run, rows_in, running
 
 STRICT, RETROSPECTIVE = "strict-point-in-time-v1", "retrospective-reconstruction-v1"
 UNVERIFIED = "historical-availability-unverified"
@@ -51,10 +51,10 @@ def in_time(right: DataFrame, requests: DataFrame, keys: list[str]) -> DataFrame
     return right.dropna(subset=keys).unionByName(requests, allowMissingColumns=True)
 
 
-def newest_in_time(right: DataFrame, requests: DataFrame, keys: list[str], most: int = MOST) -> DataFrame:
+def newest_in_time(right: DataFrame, requests: DataFrame, keys: list[str], most: int = MOST, bound: int | None = None) -> DataFrame:
     """requests with `v`, the greatest `_v` of their keys' right rows up to their `_at`. Keys of more than `most` rows are cut by time."""
     both = in_time(right, requests, keys)
-    return running(both, keys, "_at", {"v": Run("max", "_v")}, [F.asc_nulls_first("_asked")], most=most).where("_asked").drop("_v")
+    return running(both, keys, "_at", {"v": Run("max", "_v")}, [F.asc_nulls_first("_asked")], most=most, bound=bound).where("_asked").drop("_v")
 
 
 def as_of_join(requests: DataFrame, versions: DataFrame, keys: list[str], mode: str, request_id: str, most: int = MOST) -> DataFrame:
@@ -69,7 +69,7 @@ def as_of_join(requests: DataFrame, versions: DataFrame, keys: list[str], mode:
     right = one.select(*keys, (F.greatest(*clocks) if strict else F.col("ingested_at")).alias("_at"), F.struct(*clocks, "rivals", "v").alias("_v"))
     limit = F.least("cutoff", "checkpoint") if strict else F.col("checkpoint")
     asked = requests.select(request_id, *keys, (F.when(F.col("cutoff").isNotNull() & F.col("checkpoint").isNotNull(), limit) if strict else limit).alias("_at"), F.lit(True).alias("_asked"))
-    best = newest_in_time(right, asked, keys, most)
+    best = newest_in_time(right, asked, keys, most, rows_in(versions, requests))
     return best.select(request_id, *keys, F.coalesce("v.rivals", F.lit(0)).alias("rivals"), "v.v.row_id", "v.available_at", "v.ingested_at", F.when(F.col("v.rivals") == 1, F.col("v.v.data")).alias("data"))
 
 
@@ -152,17 +152,21 @@ def newest_of_two_clocks(requests: DataFrame, records: DataFrame, key: str, most
     newest by a running maximum; a request takes the best of its blocks. n records and requests make n log n rows, and no
     row holds a key's records. Blocks of more than `most` rows are cut by time.
     """
+    n = rows_in(records, requests)
     rows = records.dropna(subset=[key, "_x", "_y"]).select(key, "_x", "_y", "_v", F.lit(1).cast("long").alias("_one"))
     both = rows.unionByName(requests.withColumn("_asked", F.lit(True)), allowMissingColumns=True)
-    placed = running(both, [key], "_x", {"_p": Run("sum", "_one")}, [F.asc_nulls_first("_asked")], most=most)
-    sizes = rows.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("_all"))
-    placed = placed.join(sizes, F.col(key) == F.col("_key"), "left").drop("_key")
+    placed = running(both, [key], "_x", {"_p": Run("sum", "_one")}, [F.asc_nulls_first("_asked")], most=most, bound=n)
+    if n <= most:  # in the same shuffle
+        placed = placed.withColumn("_all", F.sum("_one").over(Window.partitionBy(key)))
+    else:
+        sizes = rows.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("_all"))
+        placed = placed.join(sizes, F.col(key) == F.col("_key"), "left").drop("_key")
     top = F.floor(F.log2(F.greatest(F.col("_all"), F.lit(1)))).cast("int")
     level = F.sequence(F.lit(0), top)
     at = F.when(F.col("_asked").isNull(), F.expr("filter(transform(_levels, k -> struct(k AS level, shiftright(_p - 1, k) AS block)), b -> b.block % 2 = 0 AND shiftleft(b.block + 1, b.level) <= _all)"))
     at = at.otherwise(F.expr("transform(filter(_levels, k -> shiftright(coalesce(_p, 0L), k) % 2 = 1), k -> struct(k AS level, shiftright(_p, k) - 1 AS block))"))
     spread = placed.withColumn("_levels", level).withColumn("_b", F.explode_outer(at)).select("*", "_b.*").drop("_levels", "_b", "_p", "_all", "_one")
-    best = running(spread, [key, "level", "block"], "_y", {"v": Run("max", "_v")}, [F.asc_nulls_first("_asked")], most=most).where("_asked")
+    best = running(spread, [key, "level", "block"], "_y", {"v": Run("max", "_v")}, [F.asc_nulls_first("_asked")], most=most, bound=n * n.bit_length()).where("_asked")
     names = [c for c in requests.columns if c not in ("_x", "_y")]
     return best.groupBy(*names, "_x", "_y").agg(F.max("v").alias("v"))
 
@@ -204,7 +208,7 @@ def interval_value(requests: DataFrame, intervals: DataFrame, keys: list[str], r
     marks = coded.withColumn("x", F.explode(F.array(event(F.col("b"), 1), event(F.when(~F.col("e.open"), F.col("e.at")), -1)))).where("x.at is not null").select(*keys, F.col("x.at").alias("_at"), F.col("x.step").alias("n"), (F.col("x.step") * F.col("code")).alias("code"))
     marks = marks.groupBy(*keys, "_at").agg(F.sum("n").alias("n"), F.sum("code").alias("code"))
     both = in_time(marks.withColumnsRenamed({"n": "_n", "code": "_code"}), requests.select(request_id, *keys, F.col("at").alias("_at"), F.lit(True).alias("_asked")), keys)
-    summed = running(both, keys, "_at", {"n": Run("sum", "_n"), "code": Run("sum", "_code")}, [F.asc_nulls_first("_asked")], most=most)
+    summed = running(both, keys, "_at", {"n": Run("sum", "_n"), "code": Run("sum", "_code")}, [F.asc_nulls_first("_asked")], most=most, bound=rows_in(requests, intervals, intervals))
     seen = summed.where("_asked").select(request_id, *keys, "n", F.when(F.col("n") == 1, F.col("code")).alias("code"))
     held = seen.join(coded.select(*keys, "code", "value").distinct(), [*keys, "code"], "left")
     out = held.groupBy(request_id).agg(F.max(F.coalesce("n", F.lit(0))).alias("most"), F.min("value").alias("lo"), F.max("value").alias("hi"))
