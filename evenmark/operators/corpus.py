@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .forecast import field_text
+
 CONTROLS = "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]"
 
 
@@ -107,18 +113,50 @@ def check_log(events: DataFrame, key: str, order: list[str], allowed: list[tuple
 
 
 def number_log(events: DataFrame, key: str, order: list[str], fields: list[str]) -> DataFrame:
-    """Positions from 1 and a fingerprint of each event."""
+    """Positions from 1 and a fingerprint of each event, which no other fields have."""
     w = Window.partitionBy(key).orderBy(*order)
-    print_ = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in fields]), 256)
-    return events.withColumn("log_position", F.row_number().over(w)).withColumn("fingerprint", print_)
+    return events.withColumn("log_position", F.row_number().over(w)).withColumn("fingerprint", F.sha2(field_text([F.col(c) for c in fields]), 256))
+
+
+def chain_log(log: DataFrame, key: str) -> DataFrame:
+    """(key, log_position, fingerprint, nth, chain): each event's place in its key's log, and a digest of all fingerprints up to it.
+
+    A digest takes the one before it, so a log is the same up to an event if the chains there are equal. Logs come sorted
+    and a batch at a time; only the last digest is kept between.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whose, last, n, first = None, "", 0, True
+        for batch in batches:
+            chain, nth = [], []
+            for k, x in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if first or k != whose:
+                    whose, last, n, first = k, "", 0, False
+                last, n = hashlib.sha256(f"{last}|{x}".encode()).hexdigest(), n + 1
+                chain.append(last)
+                nth.append(n)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nth, pa.int64()), pa.array(chain, pa.string())], [*batch.schema.names, "nth", "chain"])
+
+    kinds = dict(log.dtypes)
+    few = log.select(key, "log_position", "fingerprint").repartition(key).sortWithinPartitions(key, "log_position")
+    return few.mapInArrow(run, f"{key} {kinds[key]}, log_position {kinds['log_position']}, fingerprint string, nth long, chain string")
 
 
 def history_tail(incoming: DataFrame, stored: DataFrame, key: str) -> DataFrame:
-    """(key, status, position, appended): whether an incoming log extends the stored one: truncated, changed or extends."""
-    a = incoming.select(key, F.col("log_position").alias("p"), F.col("fingerprint").alias("new"))
-    b = stored.select(key, F.col("log_position").alias("p"), F.col("fingerprint").alias("old"))
-    j = a.join(b, [key, "p"], "full")
-    out = j.groupBy(key).agg(F.count("new").alias("n"), F.count("old").alias("m"), F.min(F.when(F.col("new").isNotNull() & F.col("old").isNotNull() & (F.col("new") != F.col("old")), F.col("p"))).alias("changed"))
+    """(key, status, position, appended): whether an incoming log extends the stored one: truncated, changed or extends.
+
+    Both sides: key, log_position, fingerprint, nth, chain (see chain_log). A stored log is known by its end, and the
+    incoming one is looked at where it is as long; only logs whose chains differ there are compared event by event.
+    """
+    size = incoming.groupBy(key).agg(F.max("nth").alias("n"))
+    ends = stored.groupBy(key).agg(F.max("nth").alias("m"), F.max_by("chain", "nth").alias("end"))
+    here = incoming.select(key, F.col("nth").alias("m"), "chain")
+    logs = size.join(ends, key, "full").join(here, [key, "m"], "left").select(key, F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("m", F.lit(0)).alias("m"), (F.col("m").isNull() | F.coalesce(F.col("chain") == F.col("end"), F.lit(False))).alias("same"))
+    differ = logs.where("NOT same AND n >= m").select(key)
+    a = incoming.join(differ, key, "left_semi").select(key, F.col("log_position").alias("p"), F.col("fingerprint").alias("new"))
+    b = stored.join(differ, key, "left_semi").select(key, F.col("log_position").alias("p"), F.col("fingerprint").alias("old"))
+    changed = a.join(b, [key, "p"]).where("new <> old").groupBy(key).agg(F.min("p").alias("changed"))
+    out = logs.join(changed, key, "left")
     status = F.when(F.col("n") < F.col("m"), "history-truncated").when(F.col("changed").isNotNull(), "history-changed").otherwise("extends")
     position = F.when(status == "history-truncated", F.col("n") + 1).when(status == "history-changed", F.col("changed"))
     return out.select(key, status.alias("status"), position.cast("long").alias("position"), F.when(status == "extends", F.col("n") - F.col("m")).otherwise(0).cast("long").alias("appended"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.pricing import log_loss
 from .scans import MOST, Run, rows_in, running
+from .temporal import cut
 
 THRESHOLDS = (199.5, 224.5, 249.5, 274.5, 299.5)
 STRATA = ("2-4", "5-8", "9-16", "unassigned")
@@ -16,22 +17,22 @@ def stratum(n: Column) -> Column:
     return F.when(n >= 9, "9-16").when(n >= 5, "5-8").when(n >= 2, "2-4").otherwise("unassigned")
 
 
-def lagged_features(history: DataFrame, lead: int = 0, most: int = 16, least: int = 2, cut: int = MOST) -> DataFrame:
+def lagged_features(history: DataFrame, lead: int = 0, most: int = 16, least: int = 2, most_rows: int = MOST) -> DataFrame:
     """(player, game, season, cutoff, sample_size, history, reasons): for each game the newest prior games before its cutoff.
 
     history: player, game, kickoff, season, value. The cutoff is the kickoff less `lead`; a prior game starts strictly
     before it. `history` is newest first, at most `most` long. Fewer than `least` prior games and equal kickoffs among
     those used, or of the last used and the first left out, are reasons. Each game carries itself and the `most` before it;
     games and cutoffs then stand in one order, where a cutoff takes the last game before it. No self-join, and players with
-    more than `cut` games are cut by time.
+    more than `most_rows` games are cut by time.
     """
     one = F.struct(F.col("kickoff").alias("kickoff"), (-F.col("game")).alias("low"), F.col("value").alias("value"))
     n = rows_in(history)
     games = history.where("kickoff IS NOT NULL").select("player", F.col("kickoff").alias("_at"), one.alias("_one"))
-    held = running(games, ["player"], "_at", {"_newest": Run("tail", "_one", most + 1)}, [F.asc("_one.low"), F.asc("_one.value")], most=cut, bound=n)
+    held = running(games, ["player"], "_at", {"_newest": Run("tail", "_one", most + 1)}, [F.asc("_one.low"), F.asc("_one.value")], most=most_rows, bound=n)
     asked = history.select("player", "game", "season", (F.col("kickoff") - lead).alias("_at"), F.lit(True).alias("_asked"))
     both = held.unionByName(asked, allowMissingColumns=True)
-    out = running(both, ["player"], "_at", {"_all": Run("last", "_newest")}, [F.desc_nulls_last("_asked"), F.asc("_one.low"), F.asc("_one.value")], most=cut, bound=2 * n).where("_asked")
+    out = running(both, ["player"], "_at", {"_all": Run("last", "_newest")}, [F.desc_nulls_last("_asked"), F.asc("_one.low"), F.asc("_one.value")], most=most_rows, bound=2 * n).where("_asked")
     out = out.withColumn("_all", F.coalesce("_all", F.array().cast(both.schema["_newest"].dataType)))
     out = out.withColumn("_used", F.slice(F.reverse("_all"), 1, most)).withColumn("sample_size", F.size("_used"))
     tied = F.size(F.array_distinct(F.transform("_used", lambda x: x["kickoff"]))) < F.size("_used")
@@ -178,11 +179,47 @@ def field_text(fields: list[Column]) -> Column:
     return F.concat(*[F.coalesce(F.concat(F.char_length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in texts])
 
 
-def content_digest(rows: DataFrame, fields: list[Column]) -> DataFrame:
-    """(rows, digest): a digest of a set of rows that does not depend on their order or partitions.
+#: Rows of a leaf of a content tree, about.
+LEAF = 4096
 
-    Each row's text is hashed with SHA-256; the rows' digests are added as integers in four parts, so nothing is gathered.
+
+def content_tree(rows: DataFrame, key: list[Column], fields: list[Column], leaf: int = LEAF) -> DataFrame:
+    """(depth, prefix, rows, digest): a Merkle tree over rows in the order of the SHA-256 of their keys.
+
+    A leaf holds the rows whose key digests begin with its prefix: the digest of their rows' digests, in order. A node is
+    the digest of its children's digits and digests; the root has an empty prefix. Leaves are as deep as makes them hold
+    `leaf` rows on average, so the tree of the same rows is the same however they are partitioned, and changed rows change
+    the nodes above their keys only. Equal rows are told once with their number. Rows with one key share a leaf.
     """
-    line = F.sha2(field_text(fields), 256)
-    parts = [F.sum(F.conv(F.substring(line, 1 + 8 * k, 8), 16, 10).cast("decimal(38,0)")) for k in range(4)]
-    return rows.agg(F.count("*").alias("rows"), F.concat_ws("-", *[F.coalesce(p, F.lit(0)).cast("string") for p in parts]).alias("digest"))
+    n = rows.count()
+    depth = 0
+    while leaf * 16**depth < n:
+        depth += 1
+    one = rows.select(F.sha2(field_text(key), 256).alias("k"), F.sha2(field_text(fields), 256).alias("h")).groupBy("k", "h").agg(F.count("*").alias("n"))
+    line = F.struct("k", F.concat("h", F.when(F.col("n") > 1, F.concat(F.lit("x"), F.col("n").cast("string"))).otherwise("")).alias("t"))
+    level = one.groupBy(F.substring("k", 1, depth).alias("prefix")).agg(F.sum("n").alias("rows"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["t"]), ""), 256).alias("digest"))
+    level = cut(level.withColumn("depth", F.lit(depth)))
+    tree = level
+    for d in range(depth - 1, -1, -1):
+        child = F.struct(F.substring("prefix", d + 1, 1).alias("digit"), "digest")
+        level = level.groupBy(F.substring("prefix", 1, d).alias("prefix")).agg(F.sum("rows").alias("rows"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(child)), lambda x: F.concat(x["digit"], x["digest"])), ""), 256).alias("digest")).withColumn("depth", F.lit(d))
+        tree = tree.unionByName(level)
+    return tree.select("depth", "prefix", "rows", "digest")
+
+
+def content_digest(rows: DataFrame, key: list[Column], fields: list[Column]) -> DataFrame:
+    """(rows, digest) of a content tree's root; a set without rows has the digest of an empty text."""
+    top = content_tree(rows, key, fields).where("depth = 0").select("rows", "digest")
+    return rows.sparkSession.range(1).select().join(top, how="left").select(F.coalesce("rows", F.lit(0)).alias("rows"), F.coalesce("digest", F.sha2(F.lit(""), 256)).alias("digest"))
+
+
+def changed_prefixes(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(prefix) of the leaves in which two trees differ; all of either if their depths differ, so that both find each difference."""
+    leaves = [t.where(F.col("depth") == t.agg(F.max("depth")).first()[0]).select("depth", "prefix", F.col("digest").alias(f"d{k}")) for k, t in enumerate((a, b))]
+    return leaves[0].join(leaves[1], ["depth", "prefix"], "full").where("NOT (d0 <=> d1)").select("prefix").distinct()
+
+
+def rows_under(rows: DataFrame, key: list[Column], prefixes: DataFrame) -> DataFrame:
+    """The rows whose key digests begin with one of the prefixes, which are all of one length."""
+    size = prefixes.agg(F.max(F.length("prefix"))).first()[0] or 0
+    return rows.withColumn("_p", F.substring(F.sha2(field_text(key), 256), 1, size)).join(prefixes.withColumnRenamed("prefix", "_p"), "_p", "left_semi").drop("_p")

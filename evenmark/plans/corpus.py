@@ -77,7 +77,7 @@ def w9(spark, sf):
     return out.groupBy("kind", F.coalesce("before", F.lit("start")).alias("before"), "illegal").agg(F.count("*").alias("n"))
 
 
-LOG = "SELECT key, row_number() OVER (PARTITION BY key ORDER BY position) AS p, sha256(kind || '|' || text) AS f FROM decisions"
+LOG = "SELECT key, row_number() OVER (PARTITION BY key ORDER BY position) AS p, sha256(coalesce(length(kind) || ':' || kind, '-') || coalesce(length(text) || ':' || text, '-')) AS f FROM decisions"
 
 
 @query("w12_log_positions", f"SELECT key, p AS log_position, f AS fingerprint FROM ({LOG})")
@@ -99,7 +99,7 @@ def _tail(spark, sf):
     log = K.number_log(view(spark, sf, "decisions"), "key", ["position"], ["kind", "text"]).select("key", "log_position", "fingerprint")
     changed = F.when((F.col("key") % 7 == 0) & (F.col("log_position") == 2), "x").otherwise(F.col("fingerprint"))
     stored = log.where("key % 5 > 0 OR log_position < 3").withColumn("fingerprint", changed).unionByName(log.where("key % 11 = 0").withColumn("log_position", F.col("log_position") + 100))
-    return K.history_tail(log.where("key % 3 > 0 OR log_position < 4"), stored, "key")
+    return K.history_tail(K.chain_log(log.where("key % 3 > 0 OR log_position < 4"), "key"), K.chain_log(stored, "key"), "key")
 
 
 @query("g4_import_plan", f"WITH {TAIL}, p AS (SELECT conv_id AS key, count(*) % 4 > 0 AS same FROM conversations GROUP BY 1), k AS (SELECT coalesce(t.key, p.key) AS key, CASE WHEN status <> 'extends' THEN 'refuse' WHEN appended = 0 AND same THEN 'no-op' ELSE 'append' END AS outcome, same FROM t FULL JOIN p USING (key)) SELECT key, outcome, CASE WHEN outcome = 'refuse' THEN 'none' WHEN same THEN 'keep' ELSE 'replace' END AS rows FROM k")

@@ -11,6 +11,7 @@ from ..sources import files as R
 from ..sources import sinks as S
 from ..sources.folders import shared_folder
 from ..streaming import live as X
+from .forecast import digest_sql
 from .registry import query
 
 
@@ -136,29 +137,33 @@ def s6(spark, sf):
     return S.new_quote_sets(sets.where("captured_at >= 9500"), sets.where("captured_at < 9500"), ["event", "market"], "captured_at").select("event", "market", "captured_at", "content_hash", "quotes")
 
 
-@query("s4_append_evidence", "SELECT 'versions' AS feed, CAST(job % 4 AS INT) AS snapshot_id, count(*) AS rows FROM versions GROUP BY ALL")
+@query("s4_append_evidence", "SELECT 'versions' AS feed, CAST(job % 4 AS INT) AS snapshot_id, normalizer_version, count(*) AS rows FROM versions CROSS JOIN (SELECT unnest(['v1', 'v2']) AS normalizer_version) GROUP BY ALL")
 def s4(spark, sf):
     v = view(spark, sf, "versions").select(F.lit("versions").alias("feed"), (F.col("job") % 4).alias("snapshot_id"), "natural_key", "data", "state")
     path = _folder(spark, "evidence")
-    S.append_evidence(v, path)
-    return spark.read.parquet(path).groupBy("feed", "snapshot_id").agg(F.count("*").alias("rows"))
+    for version in ("v1", "v2", "v1"):  # the last is a retry
+        S.append_evidence(v, path, version)
+    return spark.read.parquet(path).groupBy("feed", "snapshot_id", "normalizer_version").agg(F.count("*").alias("rows"))
 
 
-DIGEST = " || '-' || ".join(f"CAST(sum(CAST('0x' || substr(h, {1 + 8 * k}, 8) AS HUGEINT)) AS VARCHAR)" for k in range(4))
+PINNED = "(SELECT * FROM history WHERE season <> 1996)"
 
 
-@query("s7_publish_dataset", f"SELECT count(*) AS rows, {DIGEST} AS digest FROM (SELECT sha256(length(CAST(player AS VARCHAR)) || ':' || CAST(player AS VARCHAR) || length(CAST(game AS VARCHAR)) || ':' || CAST(game AS VARCHAR) || length(CAST(value AS VARCHAR)) || ':' || CAST(value AS VARCHAR)) AS h FROM history)")
-def s7(spark, sf):
+def _pinned(spark, sf) -> str:
     h = view(spark, sf, "history")
-    m = S.publish_dataset(h, _folder(spark, "datasets"), ["player", "game", "value"])
-    return m.select("digest", "rows")
+    rows, inputs = h.where("season <> 1996"), h.where("season <> 1996").select(F.concat(F.lit("snapshot-"), F.col("season").cast("string")).alias("input"))
+    left_out = h.where("season = 1996").groupBy(F.lit("warm-up-only").alias("reason")).agg(F.count("*").alias("rows"))
+    return S.publish_dataset(rows, _folder(spark, "datasets"), ["player", "game"], ["player", "game", "value"], inputs, left_out, "history-v1")
+
 
+@query("s7_publish_dataset", f"SELECT rows, digest, (SELECT count(DISTINCT season) FROM history WHERE season <> 1996) AS inputs, (SELECT count(*) FROM history WHERE season = 1996) AS warm_up_only FROM ({digest_sql(PINNED)})")
+def s7(spark, sf):
+    return S.read_manifest(spark, _pinned(spark, sf)).select("rows", "digest", "inputs", F.coalesce(F.col("exclusions")["warm-up-only"], F.lit(0)).alias("warm_up_only"))
 
-@query("s8_read_dataset", "SELECT season, count(*) AS rows, CAST(sum(value) AS BIGINT) AS total FROM history GROUP BY season")
+
+@query("s8_read_dataset", "SELECT player, game, season, value FROM history WHERE season <> 1996")
 def s8(spark, sf):
-    h = view(spark, sf, "history")
-    m = S.publish_dataset(h, _folder(spark, "datasets"), ["player", "game", "value"])
-    return S.read_dataset(spark, m, ["player", "game", "value"]).groupBy("season").agg(F.count("*").alias("rows"), F.sum("value").alias("total"))
+    return S.read_dataset(spark, _pinned(spark, sf)).select("player", "game", "season", "value")
 
 
 def _folder(spark, name: str) -> str:

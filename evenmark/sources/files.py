@@ -10,8 +10,19 @@ ODDS = "id STRING, sport_key STRING, commence_time STRING, home_team STRING, awa
 
 
 def read_csv_feed(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """A CSV feed, plain or gzip. A changed, missing, repeated or reordered header or a row of another width fails the read."""
-    return spark.read.schema(schema).option("header", True).option("enforceSchema", False).option("mode", "FAILFAST").csv(path)
+    """A CSV feed, plain or gzip. A changed, missing, repeated or reordered header, a row of another width or bytes that are not UTF-8 fail the read.
+
+    Spark's reader puts a mark for malformed bytes; so bytes are read as Latin-1, one character each, and texts are made of
+    them again and checked. Separators are ASCII, so rows and columns are the same.
+    """
+    raw = T.StructType([T.StructField(f.name.encode().decode("latin-1"), f.dataType, f.nullable) for f in schema.fields])
+    rows = spark.read.schema(raw).option("header", True).option("enforceSchema", False).option("mode", "FAILFAST").option("encoding", "ISO-8859-1").csv(path)
+    bytes_of = lambda f: F.encode(F.col(f"`{f.name}`"), "ISO-8859-1").cast("string")
+    texts = [f for f in raw.fields if isinstance(f.dataType, T.StringType)]
+    for f in texts:
+        bad = ~F.coalesce(F.is_valid_utf8(bytes_of(f)), F.lit(True))
+        rows = rows.where(F.when(bad, F.raise_error(F.lit("feed-not-utf8"))).otherwise(F.lit(True)))
+    return rows.select(*[(bytes_of(f) if f in texts else F.col(f"`{f.name}`")).alias(g.name) for f, g in zip(raw.fields, schema.fields, strict=True)])
 
 
 def read_odds(spark: SparkSession, path: str) -> DataFrame:

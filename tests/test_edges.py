@@ -73,7 +73,7 @@ def test_wall_clock_of_any_zone(spark, zone, wall, instant):
 
 def test_digests_tell_fields_apart(spark):
     rows = [("a|b", "c"), ("a", "b|c"), ("1:a", "b"), ("a", None), ("a", "-"), (None, "a")]
-    found = {M.content_digest(spark.createDataFrame([r], "x string, y string"), [F.col("x"), F.col("y")]).first().digest for r in rows}
+    found = {M.content_digest(spark.createDataFrame([r], "x string, y string"), [F.col("x")], [F.col("x"), F.col("y")]).first().digest for r in rows}
     assert len(found) == len(rows)
     q = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k int, x string, y string")
     assert sinks.quote_sets(q, ["k"], ["x", "y"]).select("content_hash").distinct().count() == len(rows)
@@ -224,11 +224,86 @@ def test_log_refuses_damage(spark, tmp_path):
 
 def test_dataset_pin(spark, tmp_path):
     rows = spark.createDataFrame([(1, "a"), (2, None)], "k int, v string")
-    m = sinks.publish_dataset(rows, str(tmp_path), ["k", "v"])
-    assert sinks.read_dataset(spark, m, ["k", "v"]).count() == 2
-    rows.limit(1).write.mode("append").parquet(m.first()["path"])
-    with pytest.raises(ValueError, match="changed"):
-        sinks.read_dataset(spark, m, ["k", "v"])
+    inputs = spark.createDataFrame([("s1",), ("s2",), ("s1",)], "input string")
+    left_out = spark.createDataFrame([("stale", 3)], "reason string, rows long")
+    make = lambda base, df=rows: sinks.publish_dataset(df, f"{tmp_path}/{base}", ["k"], ["k", "v"], inputs, left_out, "spec")
+    folder = make("a")
+    assert make("a", rows.repartition(7)) == folder and make("a", rows.limit(1)) != folder
+    m = sinks.read_manifest(spark, folder).first()
+    assert (m["rows"], m["inputs"], m["exclusions"], m["key"], m["spec"]) == (2, 2, {"stale": 3}, ["k"], "spec") and m["bytes"] > 0
+    assert sinks.read_dataset(spark, folder).count() == 2
+    rows.limit(1).write.mode("append").parquet(f"{folder}/rows")
+    with pytest.raises(ValueError, match="size-changed"):
+        sinks.read_dataset(spark, folder)
+    other = make("b")
+    spark.createDataFrame([("s3",)], "input string").write.mode("append").parquet(f"{other}/inputs")
+    with pytest.raises(ValueError, match="inputs-changed"):
+        sinks.read_dataset(spark, other)
+
+
+def test_content_tree_names_what_differs(spark):
+    """The same tree for any order and partitions; a changed, an added and a repeated row are found under their keys."""
+    base = spark.range(3000).select(F.col("id").alias("k"), (F.col("id") % 7).alias("v"))
+    other = base.where("k <> 77").withColumn("v", F.when(F.col("k") == 1234, 99).otherwise(F.col("v"))).unionByName(base.where("k = 5"))
+    tree = lambda df: M.content_tree(df, [F.col("k")], [F.col("k"), F.col("v")], 16)
+    a, b = tree(base), tree(other)
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, tree(base.orderBy(F.desc("v")).repartition(9)).collect()))
+    assert a.groupBy("depth").agg(F.sum("rows").alias("n")).where("n <> 3000").isEmpty() and a.agg(F.max("depth")).first()[0] == 2
+    found = {r.k for r in M.rows_under(base, [F.col("k")], M.changed_prefixes(a, b)).collect()}
+    assert {5, 77, 1234} <= found and len(found) < 150
+    assert M.changed_prefixes(a, tree(base)).isEmpty()
+    empty = M.content_digest(base.limit(0), [F.col("k")], [F.col("v")]).first()
+    assert (empty["rows"], len(empty["digest"])) == (0, 64)
+
+
+def test_append_twice_is_once(spark, tmp_path):
+    rows = spark.createDataFrame([("f", 1, "a"), ("f", 2, "b"), ("g", 1, "c")], "feed string, snapshot_id int, x string")
+    for version, df in (("v1", rows), ("v1", rows), ("v2", rows.where("feed = 'f'"))):
+        sinks.append_evidence(df, f"{tmp_path}/e", version)
+    got = sorted((r.feed, r.snapshot_id, r.normalizer_version, r.x) for r in spark.read.parquet(f"{tmp_path}/e").collect())
+    assert got == sorted([("f", 1, "v1", "a"), ("f", 2, "v1", "b"), ("g", 1, "v1", "c"), ("f", 1, "v2", "a"), ("f", 2, "v2", "b")])
+
+
+def test_merge_touches_only_its_buckets(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    rows = spark.range(200).select(F.col("id").alias("k"), F.lit("old").alias("v"), F.lit(0).alias("o"))
+    sinks.merge_rows(spark, path, rows, ["k"], ["o"], 16)
+    names = lambda: {x for x in spark.read.parquet(path).inputFiles()}
+    before = names()
+    new = spark.createDataFrame([(7, "first", 1), (7, "last", 2), (900, "new", 1)], "k long, v string, o int")
+    for _ in range(2):  # again after a lost driver
+        sinks.merge_rows(spark, path, new, ["k"], ["o"], 16)
+    got = {r.k: r.v for r in spark.read.parquet(path).collect()}
+    assert got == {k: "old" for k in range(200)} | {7: "last", 900: "new"}
+    hit = {f"bucket={r.b}" for r in new.select(F.pmod(F.xxhash64("k"), F.lit(16)).alias("b")).collect()}
+    kept = lambda files_: {x for x in files_ if not any(f"/{h}/" in x for h in hit)}
+    assert kept(before) == kept(names()) and len(names() & before) < len(before)
+
+
+def test_feeds_are_utf8(spark, tmp_path):
+    schema = spark.createDataFrame([], "`näme` string, n int").schema
+    good = "näme,n\nÄrger,1\n語,2\n".encode()
+    for name, data in (("good", good), ("bad", good.replace("語".encode(), b"\xff"))):
+        (tmp_path / f"{name}.csv").write_bytes(data)
+    assert sorted(tuple(r) for r in files.read_csv_feed(spark, str(tmp_path / "good.csv"), schema).collect()) == [("Ärger", 1), ("語", 2)]
+    with pytest.raises(Exception, match="feed-not-utf8"):
+        files.read_csv_feed(spark, str(tmp_path / "bad.csv"), schema).select("n").collect()
+
+
+def test_logs_that_only_look_alike(spark):
+    rows = spark.createDataFrame([(1, 1, "a|b", "c"), (2, 1, "a", "b|c"), (3, 1, None, "~"), (4, 1, "~", None)], "key int, position int, x string, y string")
+    assert K.number_log(rows, "key", ["position"], ["x", "y"]).select("fingerprint").distinct().count() == 4
+
+
+def test_history_tails(spark):
+    old = [(k, p, f"f{k}.{p}") for k in range(6) for p in range(1, 6)]
+    new = [r for r in old if r[0] != 1 or r[1] < 4] + [(0, 6, "more"), (5, 6, "x"), (9, 1, "fresh")]
+    new = [(k, p, "other" if (k, p) in ((2, 3), (2, 5), (5, 1)) else f) for k, p, f in new if k != 4]
+    schema = "key int, log_position int, fingerprint string"
+    got = K.history_tail(K.chain_log(spark.createDataFrame(new, schema), "key"), K.chain_log(spark.createDataFrame(old, schema), "key"), "key")
+    assert {r.key: tuple(r)[1:] for r in got.collect()} == {
+        0: ("extends", None, 1), 1: ("history-truncated", 4, 0), 2: ("history-changed", 3, 0), 3: ("extends", None, 0), 4: ("history-truncated", 1, 0), 5: ("history-changed", 1, 0), 9: ("extends", None, 1),
+    }
 
 
 def test_report_encoding(spark):
