@@ -214,3 +214,17 @@ def import_plan(tail: DataFrame, parity: DataFrame, key: str) -> DataFrame:
     what = F.when(F.coalesce("status", F.lit("extends")) != "extends", "refuse").when((F.coalesce("appended", F.lit(0)) == 0) & F.coalesce("same", F.lit(True)), "no-op").otherwise("append")
     rows = F.when(what == "refuse", "none").when(F.coalesce("same", F.lit(True)), "keep").otherwise("replace")
     return j.select(key, what.alias("outcome"), rows.alias("rows"))
+
+
+def capture_items(videos: DataFrame, captures: DataFrame) -> DataFrame:
+    """(creator, place, video, published, season, week, state): each creator's list in the order of publication; what has no capture needs one."""
+    state = F.coalesce("state", F.lit("needs-capture"))
+    w = Window.partitionBy("creator").orderBy("published", "video")
+    return videos.join(captures.select("video", "state"), "video", "left").withColumn("place", F.row_number().over(w)).select("creator", "place", "video", "published", "season", "week", state.alias("state"))
+
+
+def weekly_progress(slots: DataFrame, items: DataFrame) -> DataFrame:
+    """(creator, season, week, needs_capture, captured, unavailable) of each slot of a creator; slots without an item have zeros, items without a slot count nowhere."""
+    n = lambda s: F.count_if(F.col("state") == s).alias(s.replace("-", "_"))
+    counts = items.groupBy("creator", "season", "week").agg(*[n(s) for s in ("needs-capture", "captured", "unavailable")])
+    return slots.select("creator", "season", "week").distinct().join(counts, ["creator", "season", "week"], "left").fillna(0, ["needs_capture", "captured", "unavailable"])

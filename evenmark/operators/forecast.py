@@ -223,3 +223,24 @@ def rows_under(rows: DataFrame, key: list[Column], prefixes: DataFrame) -> DataF
     """The rows whose key digests begin with one of the prefixes, which are all of one length."""
     size = prefixes.agg(F.max(F.length("prefix"))).first()[0] or 0
     return rows.withColumn("_p", F.substring(F.sha2(field_text(key), 256), 1, size)).join(prefixes.withColumnRenamed("prefix", "_p"), "_p", "left_semi").drop("_p")
+
+
+def coverage_reasons(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, kind, reason, n): how many candidates have each exclusion, policy reason, feature or label reason, flag and history gap reason.
+
+    rows: feature_ok, label_ok, arrays policy, feature_reasons, label_reasons, flags, gaps (arrays of reasons, one for each
+    gap) and zero_attempts. A reason counts once for a candidate, those of gaps once for a gap. Candidates with a gap, gaps,
+    games without an attempt and those of unknown attempts are kinds of their own.
+    """
+    none = F.array().cast("array<string>")
+    once = lambda c: F.array_distinct(F.coalesce(c, none))
+    kind = lambda k, reasons: F.transform(reasons, lambda r: F.struct(F.lit(k).alias("kind"), r.alias("reason")))
+    policy, gaps = once(F.col("policy")), F.coalesce("gaps", F.array().cast("array<array<string>>"))
+    excluded = F.when(~F.col("feature_ok"), "feature-unavailable").when(~F.col("label_ok"), "label-unavailable").when(F.size(policy) > 0, "policy-excluded")
+    named = lambda test, name: F.when(test, F.array(F.lit(name))).otherwise(none)
+    every = F.concat(
+        kind("exclusion", F.array_compact(F.array(excluded))), kind("policy", policy), kind("flag", once(F.col("flags"))), kind("gap", F.flatten(F.transform(gaps, F.array_distinct))),
+        kind("reason", F.concat(F.transform(once(F.col("feature_reasons")), lambda r: F.concat(F.lit("feature:"), r)), F.transform(once(F.col("label_reasons")), lambda r: F.concat(F.lit("label:"), r)))),
+        kind("history", F.concat(named(F.size(gaps) > 0, "candidates"), F.transform(gaps, lambda _: F.lit("records")))), kind("zero-opportunity", F.concat(named(F.coalesce("zero_attempts", F.lit(False)), "zero-attempts"), named(F.col("zero_attempts").isNull(), "unknown"))),
+    )
+    return rows.select(*keys, F.explode(every).alias("x")).groupBy(*keys, "x.kind", "x.reason").agg(F.count("*").alias("n"))

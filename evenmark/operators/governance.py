@@ -197,3 +197,9 @@ def label_consistency(labels: DataFrame, completion: DataFrame, participation: D
     return j.select("id", first_of(("completion", ~ok(F.col("c") == "completed")), ("participation", ~ok(F.col("p") == "played")), ("selection", ~ok(F.col("result").isin("single", "agree") & (F.col("v") == F.col("value")))), ("identity", ~ok(F.col("b") == "one"))).alias("broken"))
 
 
+def dependency_sets(recorded: DataFrame, expected: DataFrame, record: str, parts: list[str]) -> DataFrame:
+    """(record, missing, extra, equal): whether the dependencies that a record names are those that are expected of it."""
+    a = recorded.select(record, *parts).dropna(subset=[record]).distinct().withColumn("_a", F.lit(True))
+    b = expected.select(record, *parts).dropna(subset=[record]).distinct().withColumn("_b", F.lit(True))
+    out = a.join(b, [record, *parts], "full").groupBy(record).agg(F.count_if(F.col("_a").isNull()).alias("missing"), F.count_if(F.col("_b").isNull()).alias("extra"))
+    return out.withColumn("equal", (F.col("missing") == 0) & (F.col("extra") == 0))

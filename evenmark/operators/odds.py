@@ -168,3 +168,16 @@ def movement(points: DataFrame, key: str, clock: str, value: str, context: str,
     change = F.col("last") - F.col("first")
     state = F.when(F.col("n") < 2, "single").when(F.col("contexts") > 1, "not-comparable").when(F.abs(change) < still, "unchanged").when(change > 0, "up").otherwise("down")
     return out.select(key, "n", "first", "last", state.alias("movement"))
+
+
+def provider_clocks(markets: DataFrame) -> DataFrame:
+    """(event, market, book, updated_at): the latest clock that a book gives for a market in its responses; null if none of them is an instant.
+
+    markets: event, market, book, last_update as text.
+    """
+    return markets.groupBy("event", "market", "book").agg(F.max(F.col("last_update").try_cast("timestamp")).alias("updated_at"))
+
+
+def market_clocks(markets: DataFrame) -> DataFrame:
+    """(event, market, books, silent, updated_at): books of a snapshot, those without a clock, and the latest clock of all."""
+    return provider_clocks(markets).groupBy("event", "market").agg(F.count("*").alias("books"), F.count_if(F.col("updated_at").isNull()).alias("silent"), F.max("updated_at").alias("updated_at"))

@@ -219,3 +219,32 @@ def interval_value(requests: DataFrame, intervals: DataFrame, keys: list[str], r
 def completed_by(rows: DataFrame, jobs: DataFrame, at, job: str = "job") -> DataFrame:
     """Rows whose job succeeded by the boundary."""
     return rows.join(jobs.where((F.col("status") == "succeeded") & (F.col("finished_at") <= F.lit(at))).select(job), job, "left_semi")
+
+
+def linked_display(versions: DataFrame, keys: list[str], order: list[str], id_col: str, supersedes: str) -> DataFrame:
+    """(keys, head, displayed, value, stale, superseded, status): the newest usable value of each key, whether a newer result is not usable, and whether a record names it as replaced.
+
+    status: unavailable without a usable value, stale under a newer result, corrected if the record that it replaces had another value, else current.
+    """
+    top = F.struct(*order)
+    ends = versions.groupBy(*keys).agg(F.max_by(id_col, top).alias("head"), F.max_by(F.struct(id_col, "value", supersedes), F.when(F.col("state") == "usable", top)).alias("v"))
+    ends = ends.withColumn("displayed", F.col(f"v.{id_col}")).withColumn("_was", F.col(f"v.{supersedes}"))
+    named = versions.dropna(subset=[supersedes]).select(F.col(supersedes).alias("displayed"), F.lit(True).alias("superseded")).distinct()
+    before = versions.select(F.col(id_col).alias("_was"), F.col("value").alias("_old"), F.lit(True).alias("_known"))
+    out = ends.join(named, "displayed", "left").join(before, "_was", "left")
+    stale = F.col("displayed").isNotNull() & (F.col("displayed") != F.col("head"))
+    changed = F.col("_known") & ~F.col("_old").eqNullSafe(F.col("v.value"))
+    status = F.when(F.col("displayed").isNull(), "unavailable").when(stale, "stale").when(changed, "corrected").otherwise("current")
+    return out.select(*keys, "head", "displayed", F.col("v.value").alias("value"), stale.alias("stale"), F.coalesce("superseded", F.lit(False)).alias("superseded"), status.alias("status"))
+
+
+def typed_closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(kind, id, depth): what roots (kind, id) reach along edges (parent_kind, parent, child_kind, child) between records of several kinds."""
+    node = lambda kind, key: F.struct(F.col(kind).alias("kind"), F.col(key).cast("string").alias("id"))
+    whole = edges.dropna(subset=["parent_kind", "parent", "child_kind", "child"]).select(node("parent_kind", "parent").alias("parent"), node("child_kind", "child").alias("child"))
+    return closure(whole, roots.dropna(subset=["kind", "id"]).select(node("kind", "id").alias("node"))).select("node.kind", "node.id", "depth")
+
+
+def impact(reached: DataFrame) -> DataFrame:
+    """(kind, records, nearest, farthest) of what a deletion reaches."""
+    return reached.groupBy("kind").agg(F.count("*").alias("records"), F.min("depth").alias("nearest"), F.max("depth").alias("farthest"))

@@ -182,3 +182,23 @@ def p15(spark, sf):
     keys = F.when(F.col("t").startswith("{"), F.json_object_keys("t"))
     kind = F.when(F.array_contains(keys, "k"), "payload").when(F.col("t").startswith("{"), "json").otherwise("text")
     return rows.groupBy("source", kind.alias("kind")).agg(F.count("*").alias("rows"), F.sum(F.regexp_count("t", F.lit(r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}"))).cast("long").alias("addresses"))
+
+
+QUEUED = f"q AS (SELECT v.creator, v.video, published, 2024 AS season, (published - 19967) // 7 AS week, coalesce(c.state, 'needs-capture') AS state FROM videos v LEFT JOIN ({CAPTURES}) c ON c.video = v.video)"
+
+
+def _items(spark, sf):
+    videos = view(spark, sf, "videos").select("creator", "video", "published", F.lit(2024).alias("season"), F.floor((F.col("published") - 19967) / 7).alias("week"))
+    return K.capture_items(videos, _captures(spark, sf))
+
+
+@query("t5_pending_list", f"WITH {QUEUED}, n AS (SELECT *, row_number() OVER (PARTITION BY creator ORDER BY published, video) AS place FROM q) SELECT creator, place, video, published FROM n WHERE state = 'needs-capture'")
+def t5_pending(spark, sf):
+    return _items(spark, sf).where("state = 'needs-capture'").select("creator", "place", "video", "published")
+
+
+@query("t5_weekly_progress", f"""WITH {QUEUED}, s AS (SELECT creator, 2024 AS season, week FROM (SELECT DISTINCT creator FROM videos) CROSS JOIN (SELECT unnest(range(0, 100)) AS week))
+    SELECT s.creator, s.season, s.week, count(*) FILTER (WHERE state = 'needs-capture') AS needs_capture, count(*) FILTER (WHERE state = 'captured') AS captured, count(*) FILTER (WHERE state = 'unavailable') AS unavailable FROM s LEFT JOIN q ON q.creator = s.creator AND q.week = s.week GROUP BY ALL""")
+def t5_weekly(spark, sf):
+    slots = view(spark, sf, "videos").select("creator").distinct().select("creator", F.lit(2024).alias("season"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(99).cast("long"))).alias("week"))
+    return K.weekly_progress(slots, _items(spark, sf))

@@ -187,3 +187,16 @@ def digest_sql(source: str) -> str:
 @query("f19_content_digest", digest_sql("history"))
 def f19(spark, sf):
     return M.content_digest(view(spark, sf, "history"), [F.col("player"), F.col("game")], [F.col("player"), F.col("game"), F.col("value")])
+
+
+@query("a14_coverage_reasons", """WITH l AS (SELECT lang, doc_id, feature_ok, label_ok, CASE WHEN sample_size % 4 = 0 THEN ['rights', 'rights'] ELSE [] END AS policy, CASE WHEN NOT feature_ok THEN ['insufficient-history'] ELSE [] END AS fr, CASE WHEN NOT label_ok THEN ['stats-missing', 'late'] ELSE [] END AS lr, CASE WHEN toxic = 1 THEN ['stale-label'] ELSE [] END AS flags, sample_size % 3 AS gaps, CASE WHEN sample_size > 2 THEN sample_size % 5 = 0 END AS zero FROM ledger),
+    e AS (SELECT lang, 'exclusion' AS kind, CASE WHEN NOT feature_ok THEN 'feature-unavailable' WHEN NOT label_ok THEN 'label-unavailable' WHEN len(policy) > 0 THEN 'policy-excluded' END AS reason FROM l UNION ALL SELECT lang, 'policy', unnest(list_distinct(policy)) FROM l UNION ALL SELECT lang, 'flag', unnest(flags) FROM l UNION ALL SELECT lang, 'gap', unnest(list_transform(range(gaps), lambda x: 'bye')) FROM l
+      UNION ALL SELECT lang, 'reason', 'feature:' || unnest(fr) FROM l UNION ALL SELECT lang, 'reason', 'label:' || unnest(lr) FROM l UNION ALL SELECT lang, 'history', 'candidates' FROM l WHERE gaps > 0 UNION ALL SELECT lang, 'history', unnest(list_transform(range(gaps), lambda x: 'records')) FROM l
+      UNION ALL SELECT lang, 'zero-opportunity', CASE WHEN zero THEN 'zero-attempts' WHEN zero IS NULL THEN 'unknown' END FROM l)
+    SELECT lang, kind, reason, count(*) AS n FROM e WHERE reason IS NOT NULL GROUP BY ALL""")
+def a14_reasons(spark, sf):
+    some = lambda test, *names: F.when(test, F.array(*map(F.lit, names))).otherwise(F.array().cast("array<string>"))
+    n = F.col("sample_size")
+    rows = view(spark, sf, "ledger").withColumn("policy", some(n % 4 == 0, "rights", "rights")).withColumn("feature_reasons", some(~F.col("feature_ok"), "insufficient-history")).withColumn("label_reasons", some(~F.col("label_ok"), "stats-missing", "late"))
+    rows = rows.withColumn("flags", some(F.col("toxic") == 1, "stale-label")).withColumn("gaps", F.array_repeat(F.array(F.lit("bye")), (n % 3).cast("int"))).withColumn("zero_attempts", F.when(n > 2, n % 5 == 0))
+    return M.coverage_reasons(rows, ["lang"])

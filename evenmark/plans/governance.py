@@ -205,3 +205,11 @@ def g9(spark, sf):
     lab = o.select(F.col("o_orderkey").alias("id"), F.col("o_orderkey").alias("game"), (F.col("o_orderkey") % 2).alias("value"))
     bridge = o.select(F.col("o_orderkey").alias("id"), F.when(F.col("o_custkey") % 3 == 0, "one").otherwise("conflict").alias("status"))
     return G.label_consistency(lab, _states(spark, sf), _participation(spark, sf), _reconciled(spark, sf), bridge)
+
+
+@query("g8_dependency_sets", """WITH a AS (SELECT DISTINCT l_orderkey AS record, 'part' AS kind, l_partkey AS input FROM lineitem WHERE l_linenumber % 7 > 0), b AS (SELECT DISTINCT l_orderkey AS record, 'part' AS kind, l_partkey + CASE WHEN l_suppkey % 9 = 0 THEN 1 ELSE 0 END AS input FROM lineitem)
+    SELECT record, count(*) FILTER (WHERE x IS NULL) AS missing, count(*) FILTER (WHERE y IS NULL) AS extra, count(*) FILTER (WHERE x IS NULL OR y IS NULL) = 0 AS equal FROM (SELECT record, x, y FROM (SELECT *, 1 AS x FROM a) FULL JOIN (SELECT *, 1 AS y FROM b) USING (record, kind, input)) GROUP BY record""")
+def g8_sets(spark, sf):
+    li = spark.read.parquet(f"{sf}/lineitem.parquet").withColumn("record", F.col("l_orderkey")).withColumn("kind", F.lit("part"))
+    expected = li.withColumn("input", F.col("l_partkey") + F.when(F.col("l_suppkey") % 9 == 0, 1).otherwise(0))
+    return G.dependency_sets(li.where("l_linenumber % 7 > 0").withColumn("input", F.col("l_partkey")), expected, "record", ["kind", "input"])

@@ -124,3 +124,13 @@ DURATIONS = "'PT' || CASE WHEN n_chars % 5 > 0 THEN CAST(n_chars % 5 AS VARCHAR)
 def f6(spark, sf):
     d = spark.read.parquet(f"{sf}/documents.parquet")
     return d.select("doc_id", C.iso_duration(F.expr(DURATIONS.replace("VARCHAR", "STRING"))).alias("seconds"))
+
+
+_NIGHT = "CAST(epoch(timezone('America/New_York', TIMESTAMP '1970-01-01' + INTERVAL (19725 + (week - {}) * 7) DAY)) AS BIGINT)"
+
+
+@query("f9_week_window", f"""WITH w AS (SELECT event_id, CAST(floor((floor(epoch(to_timestamp(ts // 1000000) AT TIME ZONE 'America/New_York') / 86400) - 19725) / 7) + 1 AS BIGINT) AS week FROM ticks)
+    SELECT event_id, week, CASE WHEN week < 1 THEN 'preseason' WHEN week > 2 THEN 'playoffs' ELSE 'Week ' || week END AS label, CASE WHEN week < 1 THEN 'preseason' WHEN week > 2 THEN 'playoffs' ELSE 'regular-season' END AS phase, {_NIGHT.format(1)} AS start, {_NIGHT.format(0)} AS "end" FROM w""")
+def f9_window(spark, sf):
+    weeks = view(spark, sf, "ticks").select("event_id", C.week_number(F.expr("ts div 1000000"), 19725).alias("week"))
+    return weeks.select("event_id", "week", C.week_label(F.col("week"), 2).alias("label"), C.week_phase(F.col("week"), 2).alias("phase"), C.week_window(F.col("week"), 19725).alias("w")).select("event_id", "week", "label", "phase", "w.start", "w.end")

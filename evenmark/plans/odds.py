@@ -190,3 +190,11 @@ def j9(spark, sf):
 def w10(spark, sf):
     t = view(spark, sf, "ticks").withColumn("context", F.when(F.col("prop") % 3 == 0, F.col("event_type")).otherwise("one"))
     return O.movement(t, "prop", "ts", "price", "context", "event_id").withColumn("first", F.round("first", 6)).withColumn("last", F.round("last", 6))
+
+
+@query("a20_provider_clock", """WITH c AS (SELECT event, market, book, max(CASE WHEN book % 5 > 0 AND seq % 3 > 0 THEN captured_at * 86400 END) AS clock FROM outcomes GROUP BY ALL) SELECT event, market, count(*) AS books, count(*) FILTER (WHERE clock IS NULL) AS silent, CAST(max(clock) AS BIGINT) AS updated_at FROM c GROUP BY ALL""")
+def a20_clock(spark, sf):
+    day = F.date_format(F.timestamp_seconds(F.col("captured_at") * 86_400), "yyyy-MM-dd'T'HH:mm:ssXXX")
+    text = F.when(F.col("book") % 5 == 0, F.lit(None)).when(F.col("seq") % 3 == 0, "soon").otherwise(day)
+    clocks = O.market_clocks(view(spark, sf, "outcomes").withColumn("last_update", text))
+    return clocks.withColumn("updated_at", F.unix_seconds("updated_at"))

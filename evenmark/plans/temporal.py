@@ -124,3 +124,29 @@ def j7(spark, sf):
 def j19(spark, sf):
     spans = view(spark, sf, "rights").withColumn("value", F.col("decision") % 3)
     return T.interval_value(_rights(spark, sf).withColumn("at", F.col("valid_at")), spans, ["profile"], "request")
+
+
+@query(
+    "w5_linked_display",
+    """WITH h AS (SELECT entity, arg_max(id, (known_at, id)) AS head, arg_max(id, (known_at, id)) FILTER (WHERE state = 'usable') AS displayed FROM chain GROUP BY entity)
+    SELECT h.entity, head, displayed, v.value, displayed IS NOT NULL AND displayed <> head AS stale, displayed IS NOT NULL AND EXISTS (SELECT 1 FROM chain n WHERE n.predecessor = displayed) AS superseded,
+      CASE WHEN displayed IS NULL THEN 'unavailable' WHEN displayed <> head THEN 'stale' WHEN p.id IS NOT NULL AND p.value IS DISTINCT FROM v.value THEN 'corrected' ELSE 'current' END AS status
+    FROM h LEFT JOIN chain v ON v.id = displayed LEFT JOIN chain p ON p.id = v.predecessor""",
+)
+def w5_linked(spark, sf):
+    return T.linked_display(view(spark, sf, "chain"), ["entity"], ["known_at", "id"], "id", "predecessor")
+
+
+#: Captures (suppliers) give observations (line items), these features (orders), these datasets (customers), these releases (nations).
+LINEAGE = """SELECT 'capture' AS parent_kind, CAST(l_suppkey AS STRING) AS parent, 'observation' AS child_kind, CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) AS child FROM lineitem
+    UNION ALL SELECT 'observation', CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING), 'feature', CAST(l_orderkey AS STRING) FROM lineitem
+    UNION ALL SELECT 'feature', CAST(o_orderkey AS STRING), 'dataset', CAST(o_custkey AS STRING) FROM orders UNION ALL SELECT 'dataset', CAST(c_custkey AS STRING), 'release', CAST(c_nationkey AS STRING) FROM customer"""
+
+
+@query("j18_typed_lineage", f"""WITH RECURSIVE e AS ({LINEAGE}), r(kind, id, depth) AS (SELECT 'capture', CAST(s_suppkey AS STRING), 0 FROM supplier WHERE s_suppkey % 4 = 0 UNION SELECT child_kind, child, depth + 1 FROM r JOIN e ON e.parent_kind = r.kind AND e.parent = r.id)
+    SELECT kind, count(*) AS records, min(depth) AS nearest, max(depth) AS farthest FROM (SELECT kind, id, min(depth) AS depth FROM r GROUP BY ALL) GROUP BY kind""")
+def j18_typed(spark, sf):
+    t = {n: spark.read.parquet(f"{sf}/{n}.parquet") for n in ("lineitem", "orders", "customer")}
+    edges = spark.sql(LINEAGE.replace("FROM lineitem", "FROM {lineitem}").replace("FROM orders", "FROM {orders}").replace("FROM customer", "FROM {customer}"), **t)
+    roots = spark.read.parquet(f"{sf}/supplier.parquet").where("s_suppkey % 4 = 0").select(F.lit("capture").alias("kind"), F.col("s_suppkey").cast("string").alias("id"))
+    return T.impact(T.typed_closure(edges, roots))
