@@ -77,8 +77,14 @@ The above copyright notice and this permission notice shall be included in all c
 ]
 #: One of these stands in each text of BODIES, near its opening; only files that hold one are read for them.
 OPENERS = ("accompanying", "apache", "artistic", "compile", "compliance", "creative", "documentation", "eclipse", "european", "gnu", "granted", "jurisdictions", "mozilla", "open font", "python", "redistribution", "warranty")
-#: A file's own word for its licence.
-SPDX = r"(?i)spdx-license-identifier:\s*\(?\s*([a-z0-9.+\-]+)"
+#: A file's own word for its licence: identifiers, joined by AND, OR and WITH, with brackets.
+SPDX = r"(?i:spdx-license-identifier):[ \t]*(\(*[A-Za-z0-9.+\-]+\)*(?:[ \t]+(?:AND|OR|WITH)[ \t]+\(*[A-Za-z0-9.+\-]+\)*)*)"
+#: Identifiers of the SPDX list that are in common use; `identifiers` of scan_licenses takes another list.
+IDENTIFIERS = """0BSD AFL-3.0 AGPL-3.0 AGPL-3.0-only AGPL-3.0-or-later Apache-1.1 Apache-2.0 Artistic-1.0 Artistic-2.0 Autoconf-exception-3.0 BlueOak-1.0.0 BSD-1-Clause BSD-2-Clause BSD-2-Clause-Patent
+BSD-3-Clause BSD-3-Clause-Clear BSD-4-Clause BSL-1.0 BUSL-1.1 CC-BY-3.0 CC-BY-4.0 CC-BY-NC-4.0 CC-BY-NC-ND-4.0 CC-BY-NC-SA-4.0 CC-BY-ND-4.0 CC-BY-SA-3.0 CC-BY-SA-4.0 CC0-1.0 CDDL-1.0 CDDL-1.1 CECILL-2.1
+Classpath-exception-2.0 ECL-2.0 Elastic-2.0 EPL-1.0 EPL-2.0 EUPL-1.1 EUPL-1.2 GCC-exception-3.1 GFDL-1.3 GPL-1.0-only GPL-1.0-or-later GPL-2.0 GPL-2.0+ GPL-2.0-only GPL-2.0-or-later GPL-3.0 GPL-3.0+ GPL-3.0-only
+GPL-3.0-or-later HPND ISC LGPL-2.0-only LGPL-2.0-or-later LGPL-2.1 LGPL-2.1+ LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0 LGPL-3.0-only LGPL-3.0-or-later Linux-syscall-note LLVM-exception MIT MIT-0 MPL-1.1 MPL-2.0
+MS-PL MS-RL MulanPSL-2.0 NCSA NONE OFL-1.1 OpenSSL OSL-3.0 PostgreSQL PSF-2.0 Python-2.0 Ruby SSPL-1.0 Unicode-3.0 Unlicense UPL-1.0 Vim W3C WTFPL X11 Zlib ZPL-2.1""".split()
 #: What a file without any other licence says.
 RIGHTS = "Proprietary"
 #: A statement holds one of these words, as each template does.
@@ -120,10 +126,16 @@ def _best(unit: Column, idf: dict[str, float], unknown: float, templates: dict[s
         count = {w: words.count(w) for w in words}
         size = math.sqrt(sum((c * idf[w]) ** 2 for w, c in count.items()))
         part = F.create_map(*[F.lit(x) for w, c in count.items() for x in (w, c * idf[w] ** 2 / size)])
-        scores.append(F.struct((_dot(terms, part) / norm).alias("score"), F.lit(name).alias("license")))
+        scores.append(F.struct(F.least(F.lit(1.0), _dot(terms, part) / norm).alias("score"), F.lit(name).alias("license")))
     return F.array_max(F.array(*scores))
 
 
+def _anchors(terms: list[str], idf: dict[str, float], most: int = 8) -> list[dict]:
+    """The terms that stand once in a text and in fewest others, each with how many terms stand before it."""
+    once = sorted((w for w in set(terms) if terms.count(w) == 1), key=lambda w: (-idf[w], w))
+    return [{"term": w, "at": terms.index(w)} for w in once[:most]]
+
+
 def _bodies() -> tuple[str, str, float]:
     """BODIES as JSON, with the inverse document frequencies of their words among them, and the weight of other words."""
     terms = [list(dict.fromkeys(_python_terms(text))) for _, _, text in BODIES]
@@ -131,25 +143,34 @@ def _bodies() -> tuple[str, str, float]:
     df = {w: sum(w in t for t in terms) for t in terms for w in t}
     idf = {w: math.log((n + 1) / (k + 1)) + 1 for w, k in df.items()}
     found = [
-        {"license": name, "opening": f" {' '.join(_python_terms(text)[:opening])} ", "size": len(" ".join(_python_terms(text))), "norm": math.sqrt(sum(idf[w] ** 2 for w in t)), "words": {w: idf[w] ** 2 for w in t}}
+        {"license": name, "opening": f" {' '.join(_python_terms(text)[:opening])} ", "size": len(" ".join(_python_terms(text))), "norm": math.sqrt(sum(idf[w] ** 2 for w in t)), "words": {w: idf[w] ** 2 for w in t}, "length": len(_python_terms(text)), "anchors": _anchors(_python_terms(text), idf)}
         for (name, opening, text), t in zip(BODIES, terms, strict=True)
     ]
     return json.dumps(found), json.dumps({w: x**2 for w, x in idf.items()}), (math.log(n + 1) + 1) ** 2
 
 
 def _body(text: Column, least: float) -> Column:
-    """The best (score, license) of the licence texts that a text holds: the TF-IDF cosine of the words in as many letters from their opening on."""
+    """The best (score, license) of the licence texts that a text holds: the TF-IDF cosine of as many words as the licence text has, from where it may begin.
+
+    That is where its opening words stand, and where each of its rare words puts the beginning, if half of those are there: so
+    texts whose wording was changed, at the beginning too, are compared.
+    """
     bodies, idf, unknown = _bodies()
-    known = F.from_json(F.lit(bodies), "array<struct<license: string, opening: string, size: int, norm: double, words: map<string, double>>>")
+    known = F.from_json(F.lit(bodies), "array<struct<license: string, opening: string, size: int, norm: double, words: map<string, double>, length: int, anchors: array<struct<term: string, at: int>>>>")
     weight = F.from_json(F.lit(idf), "map<string, double>")
 
-    def score(body: Column) -> Column:
-        block = F.array_distinct(F.split(F.trim(F.substr(text, F.position(body["opening"], text) + 1, body["size"])), " "))
-        sums = F.aggregate(block, F.struct(F.lit(0.0).alias("dot"), F.lit(0.0).alias("all")), lambda a, x: F.struct((a["dot"] + F.coalesce(body["words"][x], F.lit(0.0))).alias("dot"), (a["all"] + F.coalesce(weight[x], F.lit(unknown))).alias("all")))
-        return F.transform(F.array(sums), lambda x: F.struct((x["dot"] / F.sqrt(x["all"]) / body["norm"]).alias("score"), body["license"].alias("license")))[0]
+    def cosine(body: Column, block: Column) -> Column:
+        return F.aggregate(block, F.struct(F.lit(0.0).alias("dot"), F.lit(0.0).alias("all")), lambda a, x: F.struct((a["dot"] + F.coalesce(body["words"][x], F.lit(0.0))).alias("dot"), (a["all"] + F.coalesce(weight[x], F.lit(unknown))).alias("all")), lambda a: F.least(F.lit(1.0), a["dot"] / F.sqrt(a["all"]) / body["norm"]))
+
+    def scores(body: Column) -> Column:
+        opening = F.when(F.position(body["opening"], text) > 0, F.array_distinct(F.split(F.trim(F.substr(text, F.position(body["opening"], text) + 1, body["size"])), " ")))
+        terms = F.split(F.trim(text), " ")
+        seen = F.filter(body["anchors"], lambda a: F.contains(text, F.concat(F.lit(" "), a["term"], F.lit(" "))))
+        begins = F.when(2 * F.size(seen) >= F.size(body["anchors"]), F.array_distinct(F.transform(seen, lambda a: F.greatest(F.lit(1), (F.array_position(terms, a["term"]) - a["at"]).cast("int")))))
+        blocks = F.concat(F.array_compact(F.array(opening)), F.transform(F.coalesce(begins, F.array().cast("array<int>")), lambda k: F.array_distinct(F.slice(terms, k, body["length"]))))
+        return F.transform(blocks, lambda block: F.struct(cosine(body, block).alias("score"), body["license"].alias("license")))
 
-    held = F.filter(known, lambda body: F.position(body["opening"], text) > 0)
-    return F.array_max(F.filter(F.transform(held, score), lambda x: x["score"] >= least))
+    return F.array_max(F.filter(F.flatten(F.transform(known, scores)), lambda x: x["score"] >= least))
 
 
 def _flat(text: Column) -> Column:
@@ -160,10 +181,11 @@ def _flat(text: Column) -> Column:
     return F.when(some, F.concat(F.lit(" "), F.array_join(_terms(F.regexp_replace(text, r"<[^>]*>", "\n")), " "), F.lit(" ")))
 
 
-def scan_licenses(files: DataFrame, id_col: str = "page_id", path_col: str = "url", text_col: str = "html", least: float = 0.6, body_least: float = 0.85, templates: dict[str, str] | None = None) -> DataFrame:
+def scan_licenses(files: DataFrame, id_col: str = "page_id", path_col: str = "url", text_col: str = "html", least: float = 0.6, body_least: float = 0.75, templates: dict[str, str] | None = None, identifiers: list[str] | None = None) -> DataFrame:
     """(id, directory, license, score, inherited_from) for each file.
 
-    A file's own licence is its SPDX identifier (score 1); else the text or standard header of a licence that it holds
+    A file's own licence is its SPDX expression, whole, if all its identifiers are known (score 1; `identifiers`, and any
+    LicenseRef); else the text or standard header of a licence that it holds
     (BODIES) with a cosine of `body_least` or more; else the best statement of the whole text with a cosine of `least` or
     more (ties by name, the last wins), a bare rights line only if no statement names a licence. A file without one has
     that of the nearest directory upwards in which some file has its own, the best by score, then name. Term weights come from the document frequency of the templates' terms among all statements; a term of no
@@ -173,9 +195,12 @@ def scan_licenses(files: DataFrame, id_col: str = "page_id", path_col: str = "ur
     """
     words = {k: _python_terms(v) for k, v in (templates or TEMPLATES).items()}
     vocabulary = sorted({w for x in words.values() for w in x})
+    allowed = F.array(*[F.lit(x.lower()) for x in (identifiers or IDENTIFIERS)])
     path = F.regexp_replace(F.regexp_replace(F.col(path_col), r"^[a-zA-Z][a-zA-Z0-9+.\-]*://", ""), r"[?#].*$", "")
     identifier = F.regexp_extract(text_col, SPDX, 1)
-    spdx = F.when(F.lower(text_col).contains("spdx-license-identifier:") & (identifier != ""), F.struct(F.lit(1.0).alias("score"), identifier.alias("license")))
+    whole = F.regexp_replace(F.regexp_replace(identifier, r"[ \t]+", " "), r"^\(([^()]*)\)$", "$1")
+    listed = F.forall(F.split(F.lower(F.regexp_replace(whole, r"[()]", "")), " (?:and|or|with) "), lambda x: F.array_contains(allowed, x) | x.startswith("licenseref-"))
+    spdx = F.when(F.lower(text_col).contains("spdx-license-identifier:") & (identifier != "") & listed, F.struct(F.lit(1.0).alias("score"), whole.alias("license")))
     small = files.select(F.col(id_col).alias("id"), F.regexp_extract(path, r"^(.*)/[^/]*$", 1).alias("directory"), F.coalesce(statements(F.col(text_col)), F.array().cast("array<string>")).alias("units"), F.transform(F.array(_flat(F.col(text_col))), lambda t: _body(t, body_least))[0].alias("body"), spdx.alias("spdx"))
     units = small.where(F.size("units") > 0).select(F.explode("units").alias("unit"))
     known = F.array(*map(F.lit, vocabulary))

@@ -10,7 +10,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
-from evenmark.llm import importance, lines, registry, whitening
+from evenmark.llm import importance, licenses, lines, registry, whitening
 from evenmark.llm.common import ranked
 from pyspark.sql import functions as F
 
@@ -257,3 +257,38 @@ def test_ranked(spark):
     out = ranked(spark.createDataFrame(rows, "a long, b long, k long"), F.desc("a"), F.asc("b"), F.asc("k")).orderBy("rank").collect()
     want = sorted(rows, key=lambda r: (math.inf if r[0] is None else -r[0], r[1], r[2]))
     assert [(r.a, r.b, r.k, r.rank) for r in out] == [(*w, n + 1) for n, w in enumerate(want)]
+
+
+# --- licences
+
+
+def test_spdx_expressions(spark):
+    """Whole expressions of known identifiers; a word that is none is no licence."""
+    lines = {
+        "MIT": "MIT", "mit */": "mit", "(MIT OR Apache-2.0) -->": "MIT OR Apache-2.0", "GPL-2.0-only WITH Linux-syscall-note": "GPL-2.0-only WITH Linux-syscall-note", "is what we put here": None,
+        "(MIT AND (BSD-2-Clause OR ISC))": "(MIT AND (BSD-2-Clause OR ISC))", "LicenseRef-Ours": "LicenseRef-Ours", "MIT or so": "MIT", "Foo-1.0 OR MIT": None, "": None,
+    }
+    df = spark.createDataFrame([(k, f"https://a.org/{k}/x", f"// SPDX-License-Identifier: {x}\nint x;") for k, x in enumerate(lines)], "page_id long, url string, html string")
+    assert {r.page_id: r.license for r in licenses.scan_licenses(df).collect()} == dict(enumerate(lines.values()))
+    ours = licenses.scan_licenses(df, identifiers=["foo-1.0", "MIT"]).where("page_id = 8").first()
+    assert (ours.license, ours.score) == ("Foo-1.0 OR MIT", 1.0)
+
+
+def test_licence_texts_with_other_words(spark):
+    """Texts of which words were changed, at the beginning too, inside other text; a text about something else is none. The words that choose what is read stay."""
+    rng = random.Random(3)
+    texts = [(name, licenses._python_terms(text)) for name, _, text in licenses.BODIES if len(licenses._python_terms(text)) >= 40]
+    noise = [f"word{k}" for k in range(200)]
+    rows = []
+    for k, (_, terms) in enumerate(texts):
+        kept = {w for opener in licenses.OPENERS for w in opener.split()}
+        changed = [rng.choice(noise) if w not in kept and (rng.random() < 0.04 or i == 2) else w for i, w in enumerate(terms)]
+        before = rng.choices(noise, k=rng.randint(0, 60))
+        rows.append((k, f"https://a.org/{k}/x", " ".join([*before, *changed, *rng.choices(noise, k=30)])))
+    rows.append((900, "https://a.org/900/x", " ".join(["granted", "warranty", "documentation", *rng.choices(noise, k=300)])))
+    mit = next(text for name, opening, text in licenses.BODIES if name == "MIT")
+    rows.append((901, "https://a.org/901/x", mit.replace("free of charge", "without charge")))
+    found = {r.page_id: (r.license, r.score) for r in licenses.scan_licenses(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    right = sum(found[k][0] == name for k, (name, _) in enumerate(texts))
+    assert right >= 0.9 * len(texts) and len(texts) >= 10
+    assert found[900][0] is None and found[901][0] == "MIT" and all(s is None or 0 < s <= 1 for _, s in found.values())
