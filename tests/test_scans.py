@@ -61,7 +61,7 @@ def test_operators_give_the_same_in_slabs(spark):
     history = spark.createDataFrame([(k, i, at, 1, v) for k, at, i, v in rows], "player string, game int, kickoff int, season int, value int")
     forms = [
         lambda n: T.interval_value(asked, spans, ["k"], "id", most=n), lambda n: I.nearest_in_time(asked, right, ["k"], "at", "clock", ["v"], most=n), lambda n: G.validated_absences(wanted, captures, present, most=n),
-        lambda n: G.model_context(requests, versions, "k", "id", most=n), lambda n: M.lagged_features(history, 1, 4, cut=n), lambda n: G.input_sets(versions, "k", most=n),
+        lambda n: G.model_context(requests, versions, "k", "id", most=n), lambda n: M.lagged_features(history, 1, 4, most_rows=n), lambda n: G.input_sets(versions, "k", most=n),
     ]
     for form in forms:
         whole, parts = (sorted(map(str, form(n).collect())) for n in (2_000_000, 12))
