@@ -1,7 +1,8 @@
 """SentencePiece encoding, sampling and decoding over a lattice of a public vocabulary.
 
 A text gets the model's leading blank and is cut before each run of spaces and around each line end; a word's lattice has
-an edge for each vocabulary piece that stands there, and byte pieces where a character is in no piece. The best
+an edge for each vocabulary piece that stands there, and byte pieces where a character is in no piece. Long words (texts
+without blanks) are cut further, where no piece crosses. The best
 segmentation maximises the sum of the pieces' log-probabilities. A unigram model has these as scores. The scores of a
 BPE model are ranks of frequency; their pieces get the probabilities of Zipf's law with an offset, 1 / (10 + rank), scaled
 to a sum of 1: an estimate that belongs to the lattice, since such a model has none, and not its merges. Samples are a Gumbel top-k without replacement: the best perturbed segmentation is drawn from the lattice, the
@@ -100,6 +101,32 @@ def cut_words(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return begins, np.append(begins[1:], n) if len(begins) else begins, np.searchsorted(at, begins, "right") - 1
 
 
+def cut_long(vocabulary: Vocabulary, buf: np.ndarray, at: np.ndarray, begins: np.ndarray, ends: np.ndarray, least: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of more than `least` bytes are cut between characters that no piece crosses; others stay.
+
+    Every segmentation of such a word has a border there, so the parts' lattices, one after another, are the word's own.
+    """
+    long = np.flatnonzero(ends - begins > least)
+    if len(long):
+        size = (ends - begins)[long]
+        local = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        place, stop = np.repeat(begins[long], size) + local, np.repeat(ends[long], size)
+        reach, active, h, length = place + 1, np.arange(len(place)), np.zeros(len(place), np.uint64), 0
+        while len(active):
+            length += 1
+            h = h * BASE + BYTE_CODE[buf[place[active] + length - 1]]
+            k = vocabulary.find(h)
+            hit = active[k >= 0]
+            reach[hit] = place[hit] + length
+            go = (k > -2) & (place[active] + length < stop[active])
+            active, h = active[go], h[go]
+        free = np.zeros(len(place), bool)
+        free[1:] = np.maximum.accumulate(reach)[:-1] <= place[1:]
+        begins = np.sort(np.concatenate([begins, place[free & (local > 0) & ((buf[place] & 0xC0) != 0x80)]]))
+        ends = np.append(begins[1:], ends[-1])
+    return begins, ends, np.searchsorted(at, begins, "right") - 1
+
+
 def _narrow(x: np.ndarray) -> np.ndarray:
     """Small numbers as 16 bits, which sort by radix."""
     return x.astype(np.uint16) if len(x) and x.max() < 65_536 else x
@@ -341,6 +368,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text
                 buf, at = packed(part.column(1))
                 n = len(at) - 1
                 begins, ends, row = cut_words(buf, at)
+                begins, ends, row = cut_long(vocabulary, buf, at, begins, ends)
                 first = np.searchsorted(row, np.arange(n + 1))
                 h = span_hashes(buf, begins, ends)
                 _, lead, word = np.unique(h, return_index=True, return_inverse=True)
