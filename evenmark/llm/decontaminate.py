@@ -1,4 +1,4 @@
-"""Benchmark decontamination by templates: numbers, units and names become typed slots; windows join; slots must agree."""
+"""Benchmark decontamination by templates: numbers, units and names of any length become typed slots; windows join; slots must agree."""
 
 from __future__ import annotations
 
@@ -17,9 +17,16 @@ UNITS = (
     "second seconds minute minutes meter meters metre metres kilometer kilometers kilometre kilometres mile miles inch inches foot feet yard yards "
     "gram grams kilogram kilograms pound pounds ounce ounces liter liters litre litres gallon gallons percent dollar dollars cent cents euro euros degree degrees"
 ).split()
+#: Words for numbers: those below twenty, tens with and without ones, and powers of ten.
+ONES = "one two three four five six seven eight nine".split()
+TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
+NUMBERS = ["zero", *ONES, *"ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split(), *TENS, *(f"{a}-{b}" for a in TENS for b in ONES), *"hundred thousand million billion trillion".split()]
+#: Capitalised words that begin a sentence and are no part of the name after them.
+STARTERS = "a after all an and are as at before but by can did do does each every find for from given had has have how if in is it let now of on once one so some suppose that the then there these this those to was were what when where which while who whose why will with".split()
 NUMBER, UNIT, NAME = 1, 2, 3
-IS_UPPER = np.zeros(256, bool)
-IS_UPPER[65:91] = True
+#: More capitalised words than this in a row are a heading or a text in capitals, so literal words.
+LONGEST_NAME = 5
+IS_CAPITAL = np.array([chr(c).isupper() or chr(c).istitle() for c in range(0x20000)])
 IS_DIGIT = np.zeros(256, bool)
 IS_DIGIT[48:58] = True
 IS_STOP = np.zeros(256, bool)
@@ -32,11 +39,21 @@ def _hashes_of(words: list[str]) -> np.ndarray:
     return span_hashes(np.frombuffer(b"".join(raw), np.uint8), at[:-1], at[1:])
 
 
-def template_words(buf: np.ndarray, at: np.ndarray, units: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, slot type (0: a literal word) and hash of the lower-case form of each word, without marks around it.
+def _capital(buf: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """Whether the character of UTF-8 at each place is a capital of any script."""
+    b = [buf[np.minimum(s + k, len(buf) - 1)].astype(np.int64) for k in range(4)]
+    low = [x & 63 for x in b]
+    two, three, four = (b[0] & 31) << 6 | low[1], (b[0] & 15) << 12 | low[1] << 6 | low[2], (b[0] & 7) << 18 | low[1] << 12 | low[2] << 6 | low[3]
+    return IS_CAPITAL[np.minimum(np.select([b[0] < 0x80, b[0] < 0xE0, b[0] < 0xF0], [b[0], two, three], four), len(IS_CAPITAL) - 1)]
 
-    A word that begins with a digit is a number; a unit word after it a unit; a capitalised word that begins no sentence
-    is a name.
+
+def template_words(buf: np.ndarray, at: np.ndarray, units: np.ndarray, numbers: np.ndarray, starters: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, slot type (0: a literal word), hash of the lower-case form and slot of each word, without marks around it.
+
+    A word that begins with a digit and a number word are numbers; a unit word after a number is a unit; a capitalised word
+    that begins no sentence is a name, and so is the word before it at the begin of the sentence unless it is a starter.
+    Words with only blanks between them make one slot: up to `LONGEST_NAME` names (more are literal words), and a number
+    with the number words after it. A word's slot is its place among slots and literal words.
     """
     starts, ends, row = runs_of(~IS_SPACE[buf], at)
     alnum = IS_ALNUM[buf]
@@ -46,53 +63,70 @@ def template_words(buf: np.ndarray, at: np.ndarray, units: np.ndarray) -> tuple[
     previous = np.maximum.accumulate(np.where(alnum, place, -1)) if n else place
     s, e = following[starts], previous[ends - 1] + 1
     ok = s < e
-    s, e, row = s[ok], e[ok], row[ok]
+    s, e, row, bare = s[ok], e[ok], row[ok], (s == starts)[ok]
     if not len(s):
-        return row, row, np.empty(0, np.uint64)
+        return row, row, np.empty(0, np.uint64), row
+    tail = (e == ends[ok]) & np.append(np.diff(np.flatnonzero(ok)) == 1, False)  # no mark after it, nor a lone one
     word = span_hashes(LOWER[buf], s, e)
     stops = np.concatenate([[0], np.cumsum(IS_STOP[buf])])
     begins = np.ones(len(s), bool)
     begins[1:] = (row[1:] != row[:-1]) | (stops[s[1:]] > stops[e[:-1]])
-    high = (buf[s] == 0xC3) & (e - s > 1) & (buf[np.minimum(s + 1, n - 1)] >= 0x80) & (buf[np.minimum(s + 1, n - 1)] <= 0x9E)
-    kind = np.where((IS_UPPER[buf[s]] | high) & ~begins, NAME, 0)
-    kind[IS_DIGIT[buf[s]]] = NUMBER
+    near = np.zeros(len(s), bool)  # only blanks since the word before
+    near[1:] = (row[1:] == row[:-1]) & bare[1:] & tail[:-1]
+    high = _capital(buf, s)
+    kind = np.where(high & ~begins, NAME, 0)
+    named = np.isin(word, numbers)
+    kind[IS_DIGIT[buf[s]] | named] = NUMBER
     after = np.zeros(len(s), bool)
     after[1:] = (kind[:-1] == NUMBER) & (row[1:] == row[:-1])
     kind[after & np.isin(word, units)] = UNIT
-    return row, kind, word
+    first = np.flatnonzero((kind[:-1] == 0) & high[:-1] & begins[:-1] & near[1:] & (kind[1:] == NAME))
+    kind[first[~np.isin(word[first], starters)]] = NAME
+    joins = np.zeros(len(s), bool)
+    joins[1:] = near[1:] & (kind[1:] == kind[:-1]) & ((kind[1:] == NAME) | ((kind[1:] == NUMBER) & named[1:]))
+    run = np.cumsum(~joins) - 1
+    long = (kind == NAME) & (np.bincount(run)[run] > LONGEST_NAME)
+    kind[long] = 0
+    return row, kind, word, np.cumsum(~joins | long) - 1
 
 
 def template_windows(docs: DataFrame, id_col: str, text_col: str, n: int = 8, literals: int = 4, only: np.ndarray | None = None, forms: list[tuple[int, bool]] | None = None) -> DataFrame:
     """(id, pos, window, slots array<long>, size, exact) for each window of n words with at least `literals` literal words.
 
-    `window` hashes the words with slots replaced by their types; `slots` has what stood there, 0 for literal words.
+    A slot of several words counts as one word, and `pos` counts so, but exact windows are of single words. `window` hashes the words with slots replaced by their types; `slots` has what stood there, 0 for literal words.
     Texts of fewer than n words give one window of what they have, if half of it is literal. Those texts, and texts
     without a window so far, also give exact windows: of the words as they stand, without slots. With `forms`, texts
     give the windows of these (size, exact) instead, wherever they stand. `only` keeps the windows whose hashes it holds.
     """
     kind_of = dict(docs.dtypes)[id_col]
-    units = _hashes_of(UNITS)
+    units, numbers, starters = map(_hashes_of, (UNITS, NUMBERS, STARTERS))
     exactly = mix(np.array([0x0E8AC7], np.uint64))[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         factors = mix(np.arange(11, n + 11, dtype=np.uint64)) | np.uint64(1)
         for batch in batches:
             for part in slices(batch, "text", 1_000_000):
-                row, kind, word = template_words(*packed(part.column(1)), units)
-                m = len(word)
-                symbol = np.where(kind == 0, word, mix(kind.astype(np.uint64) + np.uint64(77)))
-                first = np.searchsorted(row, np.arange(part.num_rows + 1))
-                have = first[row + 1] - first[row]
-                plain = np.concatenate([[0], np.cumsum(kind == 0)])
-                place = np.arange(m)
+                word_row, kind, word, slot = template_words(*packed(part.column(1)), units, numbers, starters)
+                lead = np.flatnonzero(np.diff(slot, prepend=-1))
+                # of slots: their rows, types and values, which hash all their words in order
+                many = mix(word + (np.arange(len(word)) - lead[slot]).astype(np.uint64) * factors[0])
+                size = np.diff(np.append(lead, len(word)))
+                value_of = np.where(size > 1, np.add.reduceat(many, lead), word[lead]) if len(lead) else word
+                views = {}  # row, type, value, first of each row, slot of each word
+                for exact, r, t, v, p in ((False, word_row[lead], kind[lead], value_of, np.arange(len(lead))), (True, word_row, kind, word, slot)):
+                    views[exact] = r, t, v, np.searchsorted(r, np.arange(part.num_rows + 1)), p
                 found = np.zeros(part.num_rows, bool)
 
                 def windows(size: np.ndarray, exact: bool, some: np.ndarray) -> pa.RecordBatch:
-                    begin = np.flatnonzero(some & (place + size <= first[row + 1]))
+                    row, kind, word, first, spot = views[exact]
+                    m = len(word)
+                    symbol = word if exact else np.where(kind == 0, word, mix(kind.astype(np.uint64) + np.uint64(77)))
+                    plain = np.concatenate([[0], np.cumsum(kind == 0)])
+                    begin = np.flatnonzero(some & (np.arange(m) + size <= first[row + 1]))
                     value = size[begin].astype(np.uint64)
                     for j in range(int(size[begin].max(initial=0))):
                         more = j < size[begin]
-                        value += np.where(more, (word if exact else symbol)[np.minimum(begin + j, m - 1)] * factors[j], np.uint64(0))
+                        value += np.where(more, symbol[np.minimum(begin + j, m - 1)] * factors[j], np.uint64(0))
                     value = mix(value ^ exactly if exact else value).view(np.int64)
                     ok = np.ones(len(begin), bool) if exact else plain[begin + size[begin]] - plain[begin] >= np.minimum(literals, (size[begin] + 1) // 2)
                     if only is not None:
@@ -105,15 +139,22 @@ def template_windows(docs: DataFrame, id_col: str, text_col: str, n: int = 8, li
                     slots = np.where(inside & (kind[at] > 0) & (not exact), word[at], np.uint64(0)) if len(begin) else np.empty((0, n), np.uint64)
                     lists = pa.ListArray.from_arrays(pa.array(np.arange(len(begin) + 1, dtype=np.int32) * n), pa.array(slots.view(np.int64).ravel()))
                     shape = [pa.array(size[begin].astype(np.int32)), pa.array(np.full(len(begin), exact))]
-                    return pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row[begin])), pa.array((begin - first[row[begin]]).astype(np.int32)), pa.array(value), lists, *shape], ["id", "pos", "window", "slots", "size", "exact"])
+                    pos = spot[begin] - views[False][3][row[begin]]  # in slots, for exact windows too
+                    return pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row[begin])), pa.array(pos.astype(np.int32)), pa.array(value), lists, *shape], ["id", "pos", "window", "slots", "size", "exact"])
+
+                def of(exact: bool) -> tuple[np.ndarray, np.ndarray]:
+                    row, _, _, first, _ = views[exact]
+                    return row, (first[1:] - first[:-1])[row]
 
                 if forms is not None:
                     for k, exact in forms:
-                        yield windows(np.full(m, k), exact, np.ones(m, bool))
+                        count = len(views[exact][0])
+                        yield windows(np.full(count, k), exact, np.ones(count, bool))
                 else:
-                    size = np.minimum(n, have)
-                    yield windows(size, False, np.ones(m, bool))
-                    yield windows(size, True, (have < n) | ~found[row])
+                    row, have = of(False)
+                    yield windows(np.minimum(n, have), False, np.ones(len(row), bool))
+                    row, have = of(True)
+                    yield windows(np.minimum(n, have), True, (have < n) | ~found[row])
 
     few = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return few.mapInArrow(trimmed(run), f"id {kind_of}, pos int, window long, slots array<long>, size int, exact boolean")
