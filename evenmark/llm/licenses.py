@@ -85,6 +85,33 @@ BSD-3-Clause BSD-3-Clause-Clear BSD-4-Clause BSL-1.0 BUSL-1.1 CC-BY-3.0 CC-BY-4.
 Classpath-exception-2.0 ECL-2.0 Elastic-2.0 EPL-1.0 EPL-2.0 EUPL-1.1 EUPL-1.2 GCC-exception-3.1 GFDL-1.3 GPL-1.0-only GPL-1.0-or-later GPL-2.0 GPL-2.0+ GPL-2.0-only GPL-2.0-or-later GPL-3.0 GPL-3.0+ GPL-3.0-only
 GPL-3.0-or-later HPND ISC LGPL-2.0-only LGPL-2.0-or-later LGPL-2.1 LGPL-2.1+ LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0 LGPL-3.0-only LGPL-3.0-or-later Linux-syscall-note LLVM-exception MIT MIT-0 MPL-1.1 MPL-2.0
 MS-PL MS-RL MulanPSL-2.0 NCSA NONE OFL-1.1 OpenSSL OSL-3.0 PostgreSQL PSF-2.0 Python-2.0 Ruby SSPL-1.0 Unicode-3.0 Unlicense UPL-1.0 Vim W3C WTFPL X11 Zlib ZPL-2.1""".split()
+#: Short names that headers give a licence, in terms as `_short` leaves them. BSD and GPL stand for headers without a number.
+NAMES = {
+    "AGPL-3.0": ["agpl 3", "gnu affero general public 3"],
+    "Apache-2.0": ["apache 2", "apache"],
+    "Artistic-2.0": ["artistic 2"],
+    "BSD": ["bsd"],
+    "BSD-2-Clause": ["bsd 2", "simplified bsd"],
+    "BSD-3-Clause": ["bsd 3", "new bsd", "modified bsd"],
+    "BSL-1.0": ["boost 1", "boost"],
+    "CC0-1.0": ["cc0 1", "cc0"],
+    "EPL-1.0": ["epl 1", "eclipse public 1"],
+    "EPL-2.0": ["epl 2", "eclipse public 2"],
+    "GPL": ["gpl", "gnu general public"],
+    "GPL-2.0": ["gpl 2", "gnu general public 2"],
+    "GPL-3.0": ["gpl 3", "gnu general public 3"],
+    "ISC": ["isc"],
+    "LGPL-2.1": ["lgpl 2.1", "gnu lesser general public 2.1"],
+    "LGPL-3.0": ["lgpl 3", "gnu lesser general public 3"],
+    "MIT": ["mit", "mit x11", "expat"],
+    "MPL-2.0": ["mpl 2", "mozilla public 2"],
+    "Unlicense": ["unlicense"],
+    "WTFPL": ["wtfpl"],
+    "Zlib": ["zlib"],
+}
+#: Words of headers that say nothing about which licence it is.
+FILLERS = """a an and at available be can clause code copying details distributed file files for found full in is it its library licence licence.md licence.txt licenced license license.md license.txt licensed
+licenses more of on package please program project provided published refer released repository see software source terms text the these this to under use used version which with work""".split()
 #: What a file without any other licence says.
 RIGHTS = "Proprietary"
 #: A statement holds one of these words, as each template does.
@@ -130,6 +157,31 @@ def _best(unit: Column, idf: dict[str, float], unknown: float, templates: dict[s
     return F.array_max(F.array(*scores))
 
 
+def _short(unit: Column) -> Column:
+    """The distinct terms of a header that tell its licence: names and numbers apart, numbers without v and .0, no fillers."""
+    apart = F.regexp_replace(F.lower(unit), r"\b(agpl|apache|artistic|bsd|cc0|epl|gpl|lgpl|mpl)[ \-]?(?:v\.?)?(?=[0-9])|\b([0-9])-(?=clause)", "$1$2 ")
+    terms = F.transform(_terms(apart), lambda x: F.regexp_replace(x, r"^v?([0-9]+(?:\.[1-9][0-9]*)?)(?:\.0)?$", "$1"))
+    return F.array_distinct(F.filter(terms, lambda x: ~x.isin(FILLERS)))
+
+
+def _header(units: Column, least: float) -> Column:
+    """The best (score, license) of the headers among statements: the TF-IDF cosine of what they say to a short name."""
+    names = [(k, x.split()) for k, xs in sorted(NAMES.items()) for x in xs]
+    n, held = len(names), [set(words) for _, words in names]
+    idf = {w: math.log((n + 1) / (sum(w in x for x in held) + 1)) + 1 for x in held for w in sorted(x)}
+    table = [{"license": k, "norm": math.sqrt(sum(idf[w] ** 2 for w in words)), "words": {w: idf[w] ** 2 for w in words}} for k, words in names]
+    known = F.from_json(F.lit(json.dumps(table)), "array<struct<license: string, norm: double, words: map<string, double>>>")
+    weight = F.create_map(*[F.lit(x) for w in sorted(idf) for x in (w, idf[w] ** 2)])
+    unknown = F.lit((math.log(n + 1) + 1) ** 2)
+
+    def best(terms: Column) -> Column:
+        norm = F.sqrt(F.aggregate(terms, F.lit(0.0), lambda a, x: a + F.coalesce(weight[x], unknown)))
+        found = F.transform(known, lambda k: F.struct(F.least(F.lit(1.0), _dot(terms, k["words"]) / norm / k["norm"]).alias("score"), k["license"].alias("license")))
+        return F.when(F.arrays_overlap(terms, F.array(*map(F.lit, sorted(idf)))), F.array_max(found))
+
+    return F.array_max(F.filter(F.transform(F.transform(units, _short), best), lambda x: x["score"] >= least))
+
+
 def _anchors(terms: list[str], idf: dict[str, float], most: int = 8) -> list[dict]:
     """The terms that stand once in a text and in fewest others, each with how many terms stand before it."""
     once = sorted((w for w in set(terms) if terms.count(w) == 1), key=lambda w: (-idf[w], w))
@@ -181,13 +233,14 @@ def _flat(text: Column) -> Column:
     return F.when(some, F.concat(F.lit(" "), F.array_join(_terms(F.regexp_replace(text, r"<[^>]*>", "\n")), " "), F.lit(" ")))
 
 
-def scan_licenses(files: DataFrame, id_col: str = "page_id", path_col: str = "url", text_col: str = "html", least: float = 0.6, body_least: float = 0.75, templates: dict[str, str] | None = None, identifiers: list[str] | None = None) -> DataFrame:
+def scan_licenses(files: DataFrame, id_col: str = "page_id", path_col: str = "url", text_col: str = "html", least: float = 0.6, body_least: float = 0.75, header_least: float = 0.75, templates: dict[str, str] | None = None, identifiers: list[str] | None = None) -> DataFrame:
     """(id, directory, license, score, inherited_from) for each file.
 
     A file's own licence is its SPDX expression, whole, if all its identifiers are known (score 1; `identifiers`, and any
     LicenseRef); else the text or standard header of a licence that it holds
     (BODIES) with a cosine of `body_least` or more; else the best statement of the whole text with a cosine of `least` or
-    more (ties by name, the last wins), a bare rights line only if no statement names a licence. A file without one has
+    more (ties by name, the last wins); else the best header that gives a licence's short name (NAMES) with a cosine of
+    `header_least` or more; a bare rights line only if nothing names a licence. A file without one has
     that of the nearest directory upwards in which some file has its own, the best by score, then name. Term weights come from the document frequency of the templates' terms among all statements; a term of no
     template weighs as one that no statement has. A path is a URL or a file path; queries and fragments do not count.
     Null texts have no own licence; a null path is in no directory and inherits nothing. Files with equal paths or ids
@@ -210,7 +263,7 @@ def scan_licenses(files: DataFrame, id_col: str = "page_id", path_col: str = "ur
     idf = {w: math.log((n + 1) / (df.get(w, 0) + 1)) + 1 for w in vocabulary}
     found = F.filter(F.transform("units", lambda u: _best(u, idf, math.log(n + 1) + 1, words)), lambda x: x["score"] >= least)
     named = F.array_max(F.filter("found", lambda x: x["license"] != RIGHTS))
-    scored = small.withColumn("found", found).withColumn("own", F.coalesce("spdx", "body", named, F.array_max("found"))).drop("units", "found", "body", "spdx")
+    scored = small.withColumn("found", found).withColumn("own", F.coalesce("spdx", "body", named, _header(F.col("units"), header_least), F.array_max("found"))).drop("units", "found", "body", "spdx")
     scored = checkpointed(scored)  # a few words for each file, so texts are scored once
     placed = scored.where("own is not null and directory is not null").groupBy("directory").agg(F.max("own").alias("held")).withColumnRenamed("directory", "above")
     wanted = scored.where("own is null and directory is not null").select("directory").distinct()

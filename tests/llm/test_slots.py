@@ -5,7 +5,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
-from evenmark.llm import decontaminate
+from evenmark.llm import decontaminate, licenses
 
 
 # --- text without blanks, and names of several words
@@ -139,3 +139,57 @@ def test_changed_items_are_recalled(spark):
     docs += [(1000 + k, " ".join(rng.choice([*plain, *names, *counts], 80))) for k in range(60)]
     rows = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
     assert sum(r.doc_id == r.item_id for r in rows) >= 54 and all(r.doc_id == r.item_id for r in rows)
+
+
+# --- short licence headers
+
+
+def header_brute(line):
+    """(score, licence) of the short name that a header gives, by plain Python."""
+    low = re.sub(r"\b(agpl|apache|artistic|bsd|cc0|epl|gpl|lgpl|mpl)[ -]?(v\.?)?(?=[0-9])", r"\1 ", line.lower())
+    low = re.sub(r"\b([0-9])-clause", r"\1 clause", low)
+    terms = set()
+    for x in re.split(r"[^a-z0-9.\-]+", low):
+        x = x.rstrip(".-")
+        number = re.fullmatch(r"v?(\d+)(\.\d+)*", x)
+        if number:
+            x = x.lstrip("v")
+            x = x[:-2] if x.endswith(".0") else x
+        if x and x not in licenses.FILLERS:
+            terms.add(x)
+    names = [(k, set(x.split())) for k, xs in licenses.NAMES.items() for x in xs]
+    idf = lambda w: np.log((len(names) + 1) / (sum(w in x for _, x in names) + 1)) + 1
+    size = lambda x: np.sqrt(sum(idf(w) ** 2 for w in x))
+    scores = [(sum(idf(w) ** 2 for w in terms & x) / size(terms) / size(x), k) for k, x in names] if terms else []
+    return max((x for x in scores if x[0] >= 0.75), default=None)
+
+
+def test_short_headers_name_their_licence(spark):
+    lines = {
+        "The MIT License": "MIT",
+        "MIT License": "MIT",
+        "The MIT License (MIT)": "MIT",
+        "Licensed under MIT": "MIT",
+        "This project is licensed under the MIT License - see the LICENSE file for details": "MIT",
+        "Distributed under the BSD license": "BSD",
+        "License: GPLv3": "GPL-3.0",
+        "License: GPL-2.0": "GPL-2.0",
+        "Licensed under the GNU GPL, version 3.0": "GPL-3.0",
+        "license = Apache 2.0": "Apache-2.0",
+        "Licensed under LGPL v2.1": "LGPL-2.1",
+        "BSD 3-Clause License": "BSD-3-Clause",
+        "BSD-2-Clause licence": "BSD-2-Clause",
+        "Mozilla Public License 2.0": "MPL-2.0",
+        "Not licensed under MIT": None,
+        "Students of MIT need no license plates": None,
+        "The license of the house": None,
+        "": None,
+    }
+    rows = [(k, f"https://a.org/{k}/x", x) for k, x in enumerate(lines)]
+    rows.append((100, "https://a.org/100/x", "All rights reserved\nMIT License"))
+    found = {r.page_id: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {x: found[k].license for k, x in enumerate(lines)} == lines and found[100].license == "MIT"
+    for k, x in enumerate(lines):
+        want = header_brute(x) if re.search(licenses.ANCHORS, x) else None
+        named = found[k].license is not None and want is not None and want[1] == found[k].license
+        assert named or want is None, x
