@@ -4,6 +4,7 @@ import random
 import time
 
 import pytest
+from evenmark.operators import feeds as D
 from evenmark.operators import forecast as M
 from evenmark.operators import governance as G
 from evenmark.operators import identity as I
@@ -138,3 +139,25 @@ def test_a_hot_key_is_many_tasks(spark):
     assert len(parts) >= 20 and max(r["count"] for r in parts) < 2_000
     want = running(df, ["k"], "at", {"total": Run("sum", "v")}, [F.asc("v")])
     assert out.exceptAll(want).isEmpty() and want.exceptAll(out).isEmpty()
+
+
+@pytest.mark.parametrize("most", [2_000_000, 50, 7])
+def test_history_counts_equal_all_pairs(spark, most):
+    rng = random.Random(5)
+    rows = [(rng.choice(["hot", "hot", "hot", "b", "c", None]), rng.choice([None, *range(30)]), rng.choice([None, *range(12)])) for _ in range(300)] + [("alone", 1, 3), ("alone", 1, 4)]
+    want = {}
+    for p, g, at in rows:
+        for q, h, other in rows:
+            if p is not None and p == q and g is not None and h is not None and g != h:
+                n, e = want.get((p, g), (0, 0))
+                want[p, g] = (n + 1, e + (at is not None and other is not None and other < at))
+    df = spark.createDataFrame(rows, "player string, game int, kickoff int")
+    got = D.history_counts(df, "player", "game", "kickoff", most).collect()
+    assert {(r.player, r.game): (r.requests, r.earlier) for r in got} == want and len(got) == len(want)
+    assert D.history_counts(df.limit(0), "player", "game", "kickoff", most).count() == 0
+
+
+def test_retain_tells_differing_rows(spark):
+    rows = [("a", 1, None, []), ("a", 1, None, []), ("b", 1, None, []), ("b", 1, 2, []), ("c", 1, 1, ["x"]), ("d", None, None, ["x"]), ("d", None, None, [])]
+    got = {r.k: (r.state, r.reasons, r.repeats) for r in D.retain(spark.createDataFrame(rows, "k string, v int, w int, reasons array<string>"), ["k"], ["v", "w"]).collect()}
+    assert got == {"a": ("usable", [], 1), "b": ("ambiguous", ["conflicting-source-rows"], 1), "c": ("refused", ["x"], 0), "d": ("ambiguous", ["conflicting-source-rows"], 1)}
