@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from ..operators.scans import by_key
+
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -189,7 +191,7 @@ def replay(rows: DataFrame, rule: Rule, key: str) -> DataFrame:
                 out += [(k, *x) for x in found]
             yield pd.DataFrame(out, columns=names, dtype=object)
 
-    return rows.select(key, *columns).dropna(subset=columns[:2]).repartition(key).sortWithinPartitions(key, "ts", "event_id").mapInPandas(run, _schema(key, rule))
+    return by_key(rows.select(key, *columns).dropna(subset=columns[:2]), [key], ["ts", "event_id"]).mapInPandas(run, _schema(key, rule))
 
 
 class Ordered(StatefulProcessor):
