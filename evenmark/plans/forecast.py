@@ -176,7 +176,7 @@ def s9(spark, sf):
 
 
 def digest_sql(source: str) -> str:
-    """The content tree of player, game and value by player and game, for up to 65,536 rows: leaves of one digit, or one leaf."""
+    """The content digest of player, game and value by player and game: leaves of one digit, or one leaf."""
     text = lambda *names: " || ".join(f"length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR)" for c in names)
     return f"""WITH l AS (SELECT sha256({text('player', 'game')}) AS k, sha256({text('player', 'game', 'value')}) AS h FROM {source}), n AS (SELECT count(*) AS n FROM l),
     u AS (SELECT CASE WHEN n <= 4096 THEN '' ELSE substr(k, 1, 1) END AS p, k, h || CASE WHEN count(*) > 1 THEN 'x' || count(*) ELSE '' END AS t, count(*) AS c FROM l CROSS JOIN n GROUP BY n, k, h),
