@@ -146,17 +146,17 @@ def historical_consensus(requests: DataFrame, quotes: DataFrame, most: int = MOS
     """Consensus of each request (event, market, player, point, cutoff) from the newest snapshot at its cutoff, or the first reason why not.
 
     A snapshot is what was captured of an event and market at one clock. The label is closing-candidate when it was
-    captured `lead` or less before the cutoff.
+    captured `lead` or less before the cutoff. Quotes are told up to one row for each line of a snapshot before requests
+    meet them, so a request meets its line and its player, not all quotes of its snapshot.
     """
     snapshots = quotes.select("event", "market", "captured_at").distinct().withColumn("batch", F.lit(0).cast("long"))
     held = as_of_observations(requests, snapshots, ["event", "market"], most=most, bound=rows_in(requests, quotes)).drop("tie").withColumnRenamed("at", "captured_at")
-    q = quotes.select("event", "market", "captured_at", F.col("player").alias("qp"), F.col("point").alias("qpt"), "over_price", "under_price")
-    seen = held.join(q, ["event", "market", "captured_at"], "left")
-    mine = F.col("qp") == F.col("player")
-    exact = mine & (F.col("qpt") == F.col("point"))
-    p = F.when(exact, devig_over(F.col("over_price"), F.col("under_price")))
-    out = seen.groupBy("event", "market", "player", "point", "cutoff", "captured_at").agg(F.count_if(mine).alias("a"), F.count_if(exact).alias("b"), F.count(p).alias("books"), F.median(p).alias("p_over"))
-    reason = F.when(F.col("captured_at").isNull(), "no-observation").when(F.col("a") == 0, "player-not-found-in-observation").when(F.col("b") == 0, "exact-line-not-found").when(F.col("books") == 0, "no-valid-two-way-quotes")
+    player = ["event", "market", "captured_at", "player"]
+    p = devig_over(F.col("over_price"), F.col("under_price"))
+    lines = quotes.groupBy(*player, "point").agg(F.count(p).alias("b"), F.median(p).alias("p_over"))
+    players = quotes.select(*player).distinct().withColumn("a", F.lit(True))
+    out = held.join(lines, [*player, "point"], "left").join(players, player, "left").withColumn("books", F.coalesce("b", F.lit(0)))
+    reason = F.when(F.col("captured_at").isNull(), "no-observation").when(F.col("a").isNull(), "player-not-found-in-observation").when(F.col("b").isNull(), "exact-line-not-found").when(F.col("books") == 0, "no-valid-two-way-quotes")
     label = F.when(F.col("captured_at").isNotNull(), F.when(F.col("cutoff") - F.col("captured_at") <= 30, "closing-candidate").otherwise("latest-pregame"))
     return out.select("event", "market", "player", "point", "cutoff", "captured_at", reason.alias("reason"), label.alias("label"), "books", "p_over")
 
