@@ -182,16 +182,17 @@ def s1(spark, sf):
 @query("s2_nested_odds", "SELECT event, book, market, side, count(*) AS n, round(sum(price), 4) AS prices FROM outcomes GROUP BY ALL")
 def s2(spark, sf):
     path = _folder(spark, "odds")
-    _responses(view(spark, sf, "outcomes")).write.json(path)
+    _responses(view(spark, sf, "outcomes")).write.option("compression", "gzip").json(path)
     out = R.read_odds(spark, path).groupBy(F.col("id").cast("long").alias("event"), F.col("book").cast("long").alias("book"), "market", "side")
     return out.agg(F.count("*").alias("n"), F.round(F.sum("price"), 4).alias("prices"))
 
 
 def _responses(outcomes):
-    """One nested response for each capture of an event, as the feed delivers it."""
+    """One nested response for each capture of an event, as the feed delivers it; outcomes are dealt by capture once, and nested there."""
     capture = ["event", "captured_at", "batch"]
     one = F.struct(F.col("side").alias("name"), F.col("player").cast("string").alias("description"), "price", "point")
-    m = outcomes.groupBy(*capture, "book", "market").agg(F.collect_list(one).alias("outcomes"))
+    dealt = outcomes.select(*capture, "book", "market", "side", "player", "price", "point").repartition(*capture)
+    m = dealt.groupBy(*capture, "book", "market").agg(F.collect_list(one).alias("outcomes"))
     b = m.groupBy(*capture, "book").agg(F.collect_list(F.struct(F.col("market").alias("key"), F.lit(None).cast("string").alias("last_update"), "outcomes")).alias("markets"))
     e = b.groupBy(*capture).agg(F.collect_list(F.struct(F.col("book").cast("string").alias("key"), "markets")).alias("bookmakers"))
     return e.select(F.col("event").cast("string").alias("id"), F.lit("sport").alias("sport_key"), F.lit("2024-01-01T00:00:00Z").alias("commence_time"), "bookmakers")
