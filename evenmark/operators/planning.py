@@ -34,13 +34,16 @@ def baseline_plan(events: DataFrame, hour: int = 20, zone: str = ZONE) -> DataFr
 def priority_plan(targets: DataFrame, far: int = 3600, near: int = 300, active: int = 6 * 3600) -> DataFrame:
     """(target, step, due, due_end): from activation every `far` seconds, and every `near` seconds in the last `active` before kickoff.
 
-    targets: target, activated, kickoff, activated first.
+    targets: target, activated, kickoff, activated first; each target once. A step ends where the next begins, which stands in
+    the same array: no step is shuffled.
     """
     border = F.col("kickoff") - active
     early = F.when(F.col("activated") < border, F.sequence("activated", border - 1, F.lit(far))).otherwise(F.array().cast("array<bigint>"))
     late = F.sequence(F.greatest("activated", border), F.col("kickoff") - 1, F.lit(near))
-    out = targets.where("activated < kickoff").select("target", "kickoff", F.posexplode(F.concat(early, late)).alias("step", "due"))
-    return due_windows(out, "target", "due", "kickoff", "step").select("target", "step", "due", "due_end")
+    all_due = targets.where("activated < kickoff").select("target", "kickoff", F.concat(early, late).alias("_due"))
+    windows = F.arrays_zip(F.col("_due").alias("due"), F.concat(F.slice("_due", 2, F.size("_due")), F.array("kickoff")).alias("due_end"))
+    out = all_due.select("target", F.posexplode(windows).alias("step", "_w"))
+    return out.select("target", "step", F.col("_w.due").alias("due"), F.col("_w.due_end").alias("due_end"))
 
 
 def quota_rank(remaining: Column, reserve: int, cost: int) -> Column:
