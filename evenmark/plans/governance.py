@@ -193,9 +193,9 @@ def g7(spark, sf):
 
 @query("g8_consumer_replay", "WITH d AS (SELECT o_orderkey AS input, sha256(CAST(o_orderkey AS VARCHAR)) AS digest, o_orderkey % 17 = 0 AS withheld FROM orders WHERE o_orderkey % 19 > 0), u AS (SELECT l_suppkey * 100 + l_orderkey % 100 AS record, l_orderkey AS input, sha256(CAST(l_orderkey + CASE WHEN l_orderkey % 23 = 0 THEN 1 ELSE 0 END AS VARCHAR)) AS digest FROM lineitem) SELECT record, ['ok', 'decision-stale', 'decision-withheld', 'decision-missing'][max(CASE WHEN d.input IS NULL THEN 3 WHEN withheld THEN 2 WHEN u.digest <> d.digest THEN 1 ELSE 0 END) + 1] AS status FROM u LEFT JOIN d USING (input) GROUP BY record")
 def g8(spark, sf):
-    text = lambda c: F.sha2(c.cast("string"), 256)
-    d = spark.read.parquet(f"{sf}/orders.parquet").where("o_orderkey % 19 > 0").select(F.col("o_orderkey").alias("input"), text(F.col("o_orderkey")).alias("digest"), (F.col("o_orderkey") % 17 == 0).alias("withheld"))
-    u = spark.read.parquet(f"{sf}/lineitem.parquet").select((F.col("l_suppkey") * 100 + F.col("l_orderkey") % 100).alias("record"), F.col("l_orderkey").alias("input"), text(F.col("l_orderkey") + F.when(F.col("l_orderkey") % 23 == 0, 1).otherwise(0)).alias("digest"))
+    digest = lambda c: F.unhex(F.sha2(c.cast("string"), 256))  # noqa: E731 -- 32 bytes, not 64 digits
+    d = spark.read.parquet(f"{sf}/orders.parquet").where("o_orderkey % 19 > 0").select(F.col("o_orderkey").alias("input"), digest(F.col("o_orderkey")).alias("digest"), (F.col("o_orderkey") % 17 == 0).alias("withheld"))
+    u = spark.read.parquet(f"{sf}/lineitem.parquet").select((F.col("l_suppkey") * 100 + F.col("l_orderkey") % 100).alias("record"), F.col("l_orderkey").alias("input"), digest(F.col("l_orderkey") + F.when(F.col("l_orderkey") % 23 == 0, 1).otherwise(0)).alias("digest"))
     return G.consumer_replay(u, d, "record")
 
 
