@@ -9,11 +9,13 @@ from __future__ import annotations
 
 import itertools
 import operator
+import pickle
 import statistics
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.scans import by_key
@@ -46,6 +48,13 @@ class Rule:
         """The first time at which `prune` takes something away."""
         raise NotImplementedError
 
+    def pack(self, held) -> tuple:
+        """The state as a value of the columns `state`."""
+        return held
+
+    def unpack(self, stored: tuple):
+        return stored
+
 
 class Reuse(Rule):
     """Whether a row begins a refresh: the first of its key, or `ttl` or more after the last refresh."""
@@ -121,13 +130,13 @@ class Limit(Rule):
 class Books(Rule):
     """The consensus at each quote's line: the median chance of Over, without the margin, of all books' latest quotes there.
 
-    State is a map: book -> its latest quote. A quote counts for `ttl` after its time; an entry leaves at its own time. An
+    State is a map: book -> its latest quote, stored as columns. A quote counts for `ttl` after its time; an entry leaves at its own time. An
     error quotes nothing; a quote without two prices over 1 takes its book out until it quotes again.
     """
 
     needs, needs_types = ("book", "line", "over_price", "under_price", "is_error"), ("long", "double", "double", "double", "boolean")
     out = "line double, error string, p_over double, books long"
-    state = "at long, line double, p double"  # of each book
+    state = "book array<long>, at array<long>, line array<double>, p array<double>"
 
     def __init__(self, ttl: int):
         self.ttl = ttl
@@ -150,6 +159,12 @@ class Books(Rule):
     def wake(self, held):
         return min(v[0] for v in held.values()) + self.ttl
 
+    def pack(self, held):
+        return ([*held], *map(list, zip(*held.values(), strict=True)))
+
+    def unpack(self, stored):
+        return dict(zip(stored[0], zip(*stored[1:], strict=True), strict=True))
+
 
 def _walk(rule: Rule, held, rows) -> tuple[list[tuple], object]:
     """The rows of one key, in order, through a rule."""
@@ -176,6 +191,15 @@ def _tuples(frame: pd.DataFrame, columns: list[str]) -> list[tuple]:
     return list(zip(*cols, strict=True))
 
 
+def _plain(rows: Iterator[Row], columns: list[str]) -> list[tuple]:
+    """Rows of a stream as plain values; missing ones are None."""
+    out, pick = [], None
+    for row in rows:
+        pick = pick or operator.itemgetter(*map(row.__fields__.index, columns))
+        out.append(tuple(None if x != x else x for x in pick(tuple(row))))
+    return out
+
+
 def replay(rows: DataFrame, rule: Rule, key: str) -> DataFrame:
     """(key, ts, event_id, what the rule gives) over a batch: each key's rows in order through a sorted shuffle, a batch at a time, only the key's state between. Rows without a time or id are left out."""
     columns = ["ts", "event_id", *rule.needs]
@@ -195,63 +219,53 @@ def replay(rows: DataFrame, rule: Rule, key: str) -> DataFrame:
 
 
 class Ordered(StatefulProcessor):
-    """A rule on a stream: rows wait in a list until the watermark has passed them, then go through the rule in order."""
+    """A rule on a stream: rows wait until the watermark has passed them, then go through the rule in order.
+
+    A call to the state store costs more than a row, so a key makes few of them in a micro-batch: its waiting rows are one
+    value, and they go through the rule where its new rows come. Timers are for keys without new rows. What a key gives is
+    one row of arrays, which `stream` makes rows of again.
+    """
 
     def __init__(self, rule: Rule, key: str):
         self.rule, self.key = rule, key
         self.columns = ["ts", "event_id", *rule.needs]
         self.names = _names(_schema(key, rule))
-        self.mapped = isinstance(rule, Books)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        kinds = ", ".join(f"{c} {t}" for c, t in zip(self.columns, ("long", "long", *self.rule.needs_types), strict=True))
-        self.waiting = handle.getListState("waiting", kinds)
-        self.state = handle.getMapState("held", "book long", self.rule.state) if self.mapped else handle.getValueState("held", self.rule.state)
-
-    def held(self):
-        if self.mapped:
-            return {k[0]: tuple(v) for k, v in self.state.iterator()} or None
-        return tuple(self.state.get()) if self.state.exists() else None
-
-    def keep(self, was, new) -> None:
-        if new == was:
-            return
-        if not self.mapped:
-            self.state.update(new) if new is not None else self.state.clear()
-            return
-        for k in set(was or ()) - set(new or ()):
-            self.state.removeKey((k,))
-        for k, v in (new or {}).items():
-            if (was or {}).get(k) != v:
-                self.state.updateValue((k,), v)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        first = None
-        for frame in rows:
-            new = _tuples(frame, self.columns)
-            self.waiting.appendList(new)
-            first = min(x[0] for x in new) if first is None else min(first, *(x[0] for x in new))
-        if first is not None:
-            self.handle.registerTimer(-(-first // 1000))
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        mark = timerValues.getCurrentWatermarkInMs() * 1000
-        waiting = [tuple(x) for x in self.waiting.get()] if self.waiting.exists() else []
-        ready = sorted((x for x in waiting if x[0] <= mark), key=lambda x: x[:2])
-        rest = [x for x in waiting if x[0] > mark]
-        was = self.held()
-        found, held = _walk(self.rule, was, ready)
-        held = held and self.rule.prune(held, mark)
-        self.keep(was, held)
-        if ready:
-            self.waiting.put(rest) if rest else self.waiting.clear()
-        times = ([min(x[0] for x in rest)] if rest else []) + ([self.rule.wake(held)] if held else [])
+        self.handle, self.through = handle, set()  # keys that are done in this micro-batch
+        self.waiting = handle.getValueState("waiting", "rows binary")
+        self.state = handle.getValueState("held", self.rule.state)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        yield from self.advance(key, _plain(rows, self.columns), timerValues.getCurrentWatermarkInMs() * 1000, False)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        if key not in self.through:
+            yield from self.advance(key, [], timerValues.getCurrentWatermarkInMs() * 1000, True)
+
+    def advance(self, key, new: list[tuple], mark: int, due: bool) -> Iterator[Row]:
+        """Takes the key's rows up to the watermark through the rule, and keeps the others; `due`: its state may have to leave."""
+        stored = self.waiting.get()
+        rows = pickle.loads(stored[0]) + new if stored else new
+        ready = sorted((x for x in rows if x[0] <= mark), key=lambda x: x[:2])
+        rest = [x for x in rows if x[0] > mark] if ready else rows
+        if new or ready:
+            self.waiting.update((pickle.dumps(rest),)) if rest else self.waiting.clear()
+        times = [min(x[0] for x in rest)] if rest else []
+        found: list[tuple] = []
+        if ready or due:
+            self.through.add(key)
+            stored = self.state.get()
+            was = self.rule.unpack(stored) if stored else None
+            found, held = _walk(self.rule, was, ready)
+            held = held and self.rule.prune(held, mark)
+            if held != was:
+                self.state.update(self.rule.pack(held)) if held else self.state.clear()
+            times += [self.rule.wake(held)] if held else []
         if times:
             self.handle.registerTimer(max(-(-min(times) // 1000), mark // 1000 + 1))
         if found:
-            yield pd.DataFrame([(key[0], *x) for x in found], columns=self.names, dtype=object)
+            yield Row(**{self.key: key[0]} | dict(zip(self.names[1:], map(list, zip(*found, strict=True)), strict=True)))
 
     def close(self) -> None:
         pass
@@ -262,4 +276,8 @@ def stream(rows: DataFrame, rule: Rule, key: str) -> DataFrame:
 
     A row's result comes once the watermark has passed the row; rows behind the watermark, or without a time or id, are left out. Needs use_rocksdb.
     """
-    return rows.dropna(subset=["ts", "event_id"]).groupBy(key).transformWithStateInPandas(Ordered(rule, key), _schema(key, rule), "append", "eventTime")
+    needed = rows.dropna(subset=["ts", "event_id"]).select(key, "ts", "event_id", *rule.needs, "time")
+    schema = _schema(key, rule)
+    arrays = ", ".join([f"{key} long", *(f"{n} array<{t}>" for n, t in (x.split() for x in schema.split(", ")[1:]))])
+    found = needed.groupBy(key).transformWithState(Ordered(rule, key), arrays, "append", "eventTime")
+    return found.select(key, F.inline(F.arrays_zip(*_names(schema)[1:])))
