@@ -5,8 +5,11 @@ Versions carry two clocks: available_at (when the source had it) and ingested_at
 
 from __future__ import annotations
 
+import graphlib
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..sources.folders import shared_folder
 from .scans import MOST, Run, rows_in, running
@@ -111,17 +114,24 @@ def chain_heads(records: DataFrame, at) -> DataFrame:
 def closure(edges: DataFrame, roots: DataFrame, most: int = 10_000) -> DataFrame:
     """(node, depth): what the roots reach along edges (parent, child), roots at depth 0, others at their least depth.
 
-    Where every child has one parent, each node looks up its chain to the first root, twice as far in each round. Else the
-    search goes breadth first and joins only the nodes that the last round found. Lineage is cut after each round.
+    Where every child has one parent, each node looks up its chain to the first root, twice as far in each round. Else, and
+    where nodes are structs with a `kind` and no kind leads back to itself, so that there are few rounds, the search goes
+    breadth first and joins only the nodes that the last round found; of edges between kinds, a round moves only those that
+    leave the kinds found. Lineage is cut after each round.
     """
-    e = cut(edges.select("parent", "child").where("parent IS NOT NULL AND child IS NOT NULL").distinct())
+    e = cut(edges.select("parent", "child").where("parent IS NOT NULL AND child IS NOT NULL"))
     start = roots.select("node").where("node IS NOT NULL").distinct()
-    if e.groupBy("child").count().where("count > 1").isEmpty():
-        return _up_chains(e, start)
+    kinds = isinstance(e.schema["parent"].dataType, StructType) and "kind" in e.schema["parent"].dataType.names
+    hashed = e.select(F.xxhash64("child").alias("c"), F.xxhash64("parent").alias("p"))
+    if not (kinds and _ordered_kinds(e)) and hashed.groupBy("c").agg(F.min("p").alias("least"), F.max("p").alias("most")).where("least <> most").isEmpty():
+        one = e.distinct()
+        if one.groupBy("child").count().where("count > 1").isEmpty():
+            return _up_chains(one, start)
     reached = cut(start.withColumn("depth", F.lit(0)))
     front, parts = reached, reached
     for depth in range(1, most):
-        step = e.join(front.select(F.col("node").alias("parent")), "parent").select(F.col("child").alias("node")).distinct()
+        live = e.join(F.broadcast(front.select("node.kind").distinct()), F.col("parent.kind") == F.col("kind"), "left_semi") if kinds else e
+        step = live.join(front.select(F.col("node").alias("parent")), "parent").select(F.col("child").alias("node")).distinct()
         front = cut(step.join(parts.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))
         if front.isEmpty():
             return parts
@@ -129,6 +139,19 @@ def closure(edges: DataFrame, roots: DataFrame, most: int = 10_000) -> DataFrame
     raise RuntimeError("closure: too deep")
 
 
+def _ordered_kinds(edges: DataFrame, most: int = 1000) -> bool:
+    """Whether edges between kinds, at most `most` pairs of them, lead from no kind back to itself."""
+    pairs = edges.select(F.col("parent.kind").alias("p"), F.col("child.kind").alias("c")).distinct().limit(most + 1).collect()
+    order = graphlib.TopologicalSorter()
+    for r in pairs:
+        order.add(r.c, r.p)
+    try:
+        order.prepare()
+    except graphlib.CycleError:
+        return False
+    return len(pairs) <= most
+
+
 def _up_chains(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """closure of edges that give each child one parent: (node, top, depth) with no root between node and top, doubled until top is a root or has no parent."""
     marked = roots.withColumn("root", F.lit(True))

@@ -1,7 +1,9 @@
 """What a step costs as its input grows: calls to a state store, rows on hand, jobs."""
 
+from evenmark.operators import temporal as T
 from evenmark.streaming import ordered
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 
 
 class Store:
@@ -63,3 +65,20 @@ def test_a_key_makes_few_calls_to_the_store():
     plain = ordered._plain(iter(rows), processor.columns)
     assert found == ordered._walk(processor.rule, None, plain)[0] and plain[8][5] is None
     assert not store.values
+
+
+def test_rounds_move_edges_of_their_kinds_only(spark, monkeypatch):
+    """Edges are neither made distinct nor counted by child where kinds have an order, and a round joins those of its kinds; equal edges, a kind in two places and chains inside a kind give the same nodes as before."""
+    jobs = []
+    cut = T.cut
+    monkeypatch.setattr(T, "cut", lambda df: jobs.append(df._jdf.queryExecution().optimizedPlan().toString()) or cut(df))
+    node = lambda k, i: (k, str(i))
+    edges = [(node("a", i % 5), node("b", i)) for i in range(40)] * 2 + [(node("b", i), node("c", i % 7)) for i in range(40)] + [(node("a", 1), node("c", 99))]
+    roots = spark.createDataFrame([("a", "1"), ("a", "2"), ("z", "0")], "kind string, id string")
+    table = lambda rows: spark.createDataFrame([(*p, *c) for p, c in rows], "parent_kind string, parent string, child_kind string, child string")
+    found = {(r.kind, r.id): r.depth for r in T.typed_closure(table(edges), roots).collect()}
+    want = {("a", "1"): 0, ("a", "2"): 0, ("z", "0"): 0, ("c", "99"): 1} | {("b", str(i)): 1 for i in range(40) if i % 5 in (1, 2)} | {("c", str(i % 7)): 2 for i in range(40) if i % 5 in (1, 2)}
+    assert found == want
+    assert "Aggregate" not in jobs[0] and all("LeftSemi" in j for j in jobs[2:]) and len(jobs) == 5
+    chain = [(node("d", i), node("d", i + 1)) for i in range(300)] * 2 + [(node("a", 1), node("d", 0))]
+    assert {(r.kind, r.id): r.depth for r in T.typed_closure(table(chain), roots).where(F.col("kind") == "d").collect()} == {("d", str(i)): i + 1 for i in range(301)}
