@@ -6,12 +6,12 @@ Rules over a key's rows in event order are in `ordered`; batches and streams bot
 from __future__ import annotations
 
 import bisect
+import pickle
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.pricing import devig_over
 from ..operators.odds import last_n
@@ -82,38 +82,59 @@ def staleness(ticks: DataFrame, limit_us: int, key: str = "prop") -> DataFrame:
     return now.unionByName(gap)
 
 
-def stream_staleness(ticks: DataFrame, limit_us: int, key: str = "prop") -> DataFrame:
-    """Stream with a watermark on `time`: the same events. A tick's state comes with it; its time-out once no tick can follow in time any more.
+class Watch(StatefulProcessor):
+    """The states of one key's ticks, see stream_staleness. `held`: the places (ts, event_id) of what may still time out, and of ticks that later ones may precede."""
 
-    That is when the watermark has passed its limit, so ticks may come in any order within the watermark's delay. A key's
-    state is what may still time out, and the ticks that later ones may precede; it goes when both are empty.
-    """
-    out = f"{key} long, event_id long, ts long, state string"
-
-    def run(k, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        open_, seen = ([tuple(x) for x in state.get[i]] for i in (0, 1)) if state.exists else ([], [])
-        found, mark = [], state.getCurrentWatermarkMs() * 1000
-        if not state.hasTimedOut:
-            rows = pd.concat(list(frames))
-            fresh = [(int(t), int(e), bool(b)) for t, e, b in zip(rows["ts"], rows["event_id"], rows["is_error"], strict=True)]
-            found = [(k[0], e, t, "stale" if b else "live") for t, e, b in sorted(fresh)]
+    def __init__(self, limit: int, key: str):
+        self.limit, self.key = limit, key
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.through = handle, set()  # keys that are done in this micro-batch
+        self.state = handle.getValueState("held", "places binary")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        yield from self.advance(key, O.plain(rows, ["ts", "event_id", "is_error"]), timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        if key not in self.through:
+            yield from self.advance(key, [], timerValues.getCurrentWatermarkInMs())
+
+    def advance(self, key, fresh: list[tuple], mark: int) -> Iterator[Row]:
+        self.through.add(key)
+        stored = self.state.get()
+        open_, seen = pickle.loads(stored[0]) if stored else ([], [])
+        found = [(e, t, "stale" if b else "live") for t, e, b in sorted(fresh)]
+        if fresh:
             seen = sorted(seen + [(t, e) for t, e, _ in fresh])
             open_ = sorted(open_ + [(t, e) for t, e, b in fresh if not b])
             ahead = [bisect.bisect_right(seen, x) for x in open_]
-            open_ = [x for x, i in zip(open_, ahead, strict=True) if i == len(seen) or seen[i][0] - x[0] > limit_us]
-        found += [(k[0], e, t + limit_us, "timed-out") for t, e in open_ if (t + limit_us) // 1000 * 1000 < mark]
-        open_ = [x for x in open_ if (x[0] + limit_us) // 1000 * 1000 >= mark]
-        seen = [x for x in seen if x[0] // 1000 * 1000 >= mark]
+            open_ = [x for x, i in zip(open_, ahead, strict=True) if i == len(seen) or seen[i][0] - x[0] > self.limit]
+        found += [(e, t + self.limit, "timed-out") for t, e in open_ if (t + self.limit) // 1000 < mark]
+        open_ = [x for x in open_ if (x[0] + self.limit) // 1000 >= mark]
+        seen = [x for x in seen if x[0] // 1000 >= mark]
         if open_ or seen:
-            state.update((open_, seen))
-            wake = min((open_[0][0] + limit_us) // 1000 if open_ else seen[-1][0] // 1000, seen[-1][0] // 1000 + limit_us // 1000 if seen else 1 << 60)
-            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, wake))
-        else:
-            state.remove()
-        yield pd.DataFrame(found, columns=[key, "event_id", "ts", "state"])
-
-    place = "array<struct<ts: bigint, event_id: bigint>>"
-    return ticks.groupBy(key).applyInPandasWithState(run, out, f"open {place}, seen {place}", "append", GroupStateTimeout.EventTimeTimeout)
+            self.state.update((pickle.dumps((open_, seen)),))
+            self.handle.registerTimer((open_[0][0] + self.limit if open_ else seen[-1][0]) // 1000 + 1)
+        elif stored:
+            self.state.clear()
+        if found:
+            yield Row(**{self.key: key[0]} | dict(zip(("event_id", "ts", "state"), map(list, zip(*found, strict=True)), strict=True)))
+
+    def close(self) -> None:
+        pass
+
+
+def stream_staleness(ticks: DataFrame, limit_us: int, key: str = "prop") -> DataFrame:
+    """Stream with a watermark on `time`: the same events. A tick's state comes with it; its time-out once no tick can follow in time any more.
+
+    That is when the watermark has passed its limit, so ticks may come in any order within the watermark's delay. A key's
+    state is what may still time out, and the ticks that later ones may precede; it goes when both are empty. Sets the state
+    store to RocksDB.
+    """
+    O.use_rocksdb(ticks.sparkSession)
+    needed = ticks.select(key, "ts", "event_id", "is_error", "time")
+    found = needed.groupBy(key).transformWithState(Watch(limit_us, key), f"{key} long, event_id array<long>, ts array<long>, state array<string>", "append", "eventTime")
+    return found.select(key, F.inline(F.arrays_zip("event_id", "ts", "state")))
 
 
 def capped(ticks: DataFrame, most: int, key: str = "prop") -> DataFrame:

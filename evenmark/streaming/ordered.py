@@ -191,7 +191,7 @@ def _tuples(frame: pd.DataFrame, columns: list[str]) -> list[tuple]:
     return list(zip(*cols, strict=True))
 
 
-def _plain(rows: Iterator[Row], columns: list[str]) -> list[tuple]:
+def plain(rows: Iterator[Row], columns: list[str]) -> list[tuple]:
     """Rows of a stream as plain values; missing ones are None."""
     out, pick = [], None
     for row in rows:
@@ -237,7 +237,7 @@ class Ordered(StatefulProcessor):
         self.state = handle.getValueState("held", self.rule.state)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        yield from self.advance(key, _plain(rows, self.columns), timerValues.getCurrentWatermarkInMs() * 1000, False)
+        yield from self.advance(key, plain(rows, self.columns), timerValues.getCurrentWatermarkInMs() * 1000, False)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         if key not in self.through:

@@ -1,7 +1,7 @@
 """What a step costs as its input grows: calls to a state store, rows on hand, jobs."""
 
 from evenmark.operators import temporal as T
-from evenmark.streaming import ordered
+from evenmark.streaming import live, ordered
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
@@ -62,11 +62,28 @@ def test_a_key_makes_few_calls_to_the_store():
     given += list(processor.handleExpiredTimer((1,), Clock(1000), None))
     found = [x for r in given for x in zip(*[r[n] for n in processor.names[1:]], strict=True)]
     rows = [quote(k) for k in range(1, 400) if k % 100]
-    plain = ordered._plain(iter(rows), processor.columns)
+    plain = ordered.plain(iter(rows), processor.columns)
     assert found == ordered._walk(processor.rule, None, plain)[0] and plain[8][5] is None
     assert not store.values
 
 
+def test_a_watched_key_makes_few_calls_to_the_store():
+    """Three for a key with ticks, none for its timer in the same micro-batch; its time-outs come once, and nothing of it is left."""
+    store, processor, given = Store(), live.Watch(2_000, "prop"), []
+    for batch, mark in enumerate([0, 100, 900]):
+        processor.init(store)
+        store.calls = 0
+        rows = [Row(prop=1, ts=1000 * k, event_id=k, is_error=k % 4 == 0) for k in range(100 * batch + 99, 100 * batch, -5)]
+        given += [*processor.handleInputRows((1,), iter(rows), Clock(mark)), *processor.handleExpiredTimer((1,), Clock(mark), None)]
+        assert store.calls <= 3
+    processor.init(store)
+    given += list(processor.handleExpiredTimer((1,), Clock(1000), None))
+    found = sorted(x for r in given for x in zip(r.ts, r.event_id, r.state, strict=True))
+    ticks = [k for b in range(3) for k in range(100 * b + 99, 100 * b, -5)]
+    assert found == sorted([(1000 * k, k, "live" if k % 4 else "stale") for k in ticks] + [(1000 * k + 2000, k, "timed-out") for k in ticks if k % 4])
+    assert not store.values
+
+
 def test_rounds_move_edges_of_their_kinds_only(spark, monkeypatch):
     """Edges are neither made distinct nor counted by child where kinds have an order, and a round joins those of its kinds; equal edges, a kind in two places and chains inside a kind give the same nodes as before."""
     jobs = []
