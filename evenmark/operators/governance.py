@@ -70,11 +70,12 @@ def participation_consensus(claims: DataFrame, stats: DataFrame, key: str, posit
 
 def source_compatibility(rows: DataFrame, pair: tuple[str, str]) -> DataFrame:
     """(overlap, result) of two sources on the games that both cover: each key must have one equal, known value from each."""
-    two = rows.where(F.col("source").isin(*pair))
-    games = two.groupBy("game").agg(F.countDistinct("source").alias("n")).where("n = 2").select("game")
     a, b = pair
-    k = two.join(games, "game", "left_semi").groupBy("game", "key").agg(F.count_if(F.col("source") == a).alias("na"), F.count_if(F.col("source") == b).alias("nb"), F.bool_or(F.col("value").isNull()).alias("bad"), F.countDistinct("value").alias("d"))
-    out = k.agg(F.countDistinct("game").alias("overlap"), F.bool_or((F.col("na") != 1) | (F.col("nb") != 1) | F.col("bad") | (F.col("d") != 1)).alias("wrong"))
+    two = rows.where(F.col("source").isin(*pair)).dropna(subset=["game"]).repartition("game")  # both levels in one shuffle
+    k = two.groupBy("game", "key").agg(F.count_if(F.col("source") == a).alias("na"), F.count_if(F.col("source") == b).alias("nb"), F.bool_or(F.col("value").isNull()).alias("bad"), F.min("value").alias("lo"), F.max("value").alias("hi"))
+    wrong = (F.col("na") != 1) | (F.col("nb") != 1) | F.col("bad") | (F.col("lo") != F.col("hi"))
+    games = k.groupBy("game").agg(F.sum("na").alias("na"), F.sum("nb").alias("nb"), F.bool_or(wrong).alias("wrong")).where("na > 0 AND nb > 0")
+    out = games.agg(F.count("*").alias("overlap"), F.bool_or("wrong").alias("wrong"))
     return out.select("overlap", F.when(F.col("overlap") == 0, "insufficient-overlap").when(F.col("wrong"), "incompatible").otherwise("compatible").alias("result"))
 
 

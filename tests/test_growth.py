@@ -1,5 +1,6 @@
 """What a step costs as its input grows: calls to a state store, rows on hand, jobs."""
 
+from evenmark.operators import governance as G
 from evenmark.operators import temporal as T
 from evenmark.streaming import live, ordered
 from pyspark.sql import Row
@@ -99,3 +100,16 @@ def test_rounds_move_edges_of_their_kinds_only(spark, monkeypatch):
     assert "Aggregate" not in jobs[0] and all("LeftSemi" in j for j in jobs[2:]) and len(jobs) == 5
     chain = [(node("d", i), node("d", i + 1)) for i in range(300)] * 2 + [(node("a", 1), node("d", 0))]
     assert {(r.kind, r.id): r.depth for r in T.typed_closure(table(chain), roots).where(F.col("kind") == "d").collect()} == {("d", str(i)): i + 1 for i in range(301)}
+
+
+def test_sources_are_compared_in_one_shuffle(spark):
+    """Games are counted where they are grouped, no row is expanded; nulls, NaN, one source only and two values at a key."""
+    rows = [(1, 1, "a", 2.0), (1, 1, "b", 2.0), (2, 1, "a", 1.0), (3, 1, "c", 1.0), (None, 1, "a", 1.0), (None, 1, "b", 3.0), (4, 1, "a", float("nan")), (4, 1, "b", float("nan"))]
+    table = lambda more=(): spark.createDataFrame([*rows, *more], "game long, key long, source string, value double")
+    out = G.source_compatibility(table(), ("a", "b"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan and "Join" not in plan and plan.count("hashpartitioning") == 1
+    given = lambda *more: tuple(G.source_compatibility(table(more), ("a", "b")).first())
+    assert given() == (2, "compatible") and given((2, 2, "b", 1.0)) == (3, "incompatible")
+    assert given((1, 2, "a", None), (1, 2, "b", None)) == (2, "incompatible") and given((1, 1, "a", 2.0)) == (2, "incompatible")
+    assert tuple(G.source_compatibility(table().where("game = 2"), ("a", "b")).first()) == (0, "insufficient-overlap")
