@@ -49,8 +49,8 @@ def j25(spark, sf):
     q = view(spark, sf, "quotes")
     capture = (F.col("captured_at") * 100 + F.col("event")).alias("capture")
     caps = q.select(capture, F.col("event").alias("scope"), "captured_at", (F.col("captured_at") % 3 > 0).alias("full")).distinct()
-    rows = q.select(F.col("player").alias("id"), F.col("event").alias("scope"), "captured_at").distinct()
-    return G.validated_absences(rows, caps, q.select(capture, F.col("player").alias("id")).distinct()).select("id", "scope", "capture")
+    rows = q.select(F.col("player").alias("id"), F.col("event").alias("scope"), "captured_at")
+    return G.validated_absences(rows, caps, q.select(capture, F.col("player").alias("id"))).select("id", "scope", "capture")
 
 
 CLAIMS = "SELECT l_orderkey AS id, l_suppkey % 4 AS source, CASE WHEN l_discount > 0.02 THEN CAST(l_quantity AS BIGINT) // 25 END AS value FROM lineitem"

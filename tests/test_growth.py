@@ -1,7 +1,9 @@
 """What a step costs as its input grows: calls to a state store, rows on hand, jobs."""
 
+import duckdb
 from evenmark.operators import governance as G
 from evenmark.operators import temporal as T
+from evenmark.plans import all as plans
 from evenmark.streaming import live, ordered
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -113,3 +115,10 @@ def test_sources_are_compared_in_one_shuffle(spark):
     assert given() == (2, "compatible") and given((2, 2, "b", 1.0)) == (3, "incompatible")
     assert given((1, 2, "a", None), (1, 2, "b", None)) == (2, "incompatible") and given((1, 1, "a", 2.0)) == (2, "incompatible")
     assert tuple(G.source_compatibility(table().where("game = 2"), ("a", "b")).first()) == (0, "insufficient-overlap")
+
+
+def test_absences_group_nothing_twice(spark, tmp_path):
+    """Rows are made distinct once, and the presence that rows are held against not at all."""
+    duckdb.sql(f"COPY (SELECT CAST(k % 50 AS BIGINT) AS l_partkey, 'A' AS l_returnflag, CAST(1 AS BIGINT) AS l_suppkey, 1.0 AS l_quantity, 0.1 AS l_discount, 0.1 AS l_tax, DATE '1995-01-01' + CAST(k % 9 AS INT) AS l_shipdate, CAST(k AS BIGINT) AS l_orderkey, 1 AS l_linenumber, 'O' AS l_linestatus FROM range(300) t(k)) TO '{tmp_path}/lineitem.parquet' (FORMAT parquet)")
+    plan = plans.QUERIES["j25_validated_absences"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 2
