@@ -1,6 +1,7 @@
 """What a step costs as its input grows: calls to a state store, rows on hand, jobs."""
 
 import duckdb
+from evenmark.operators import forecast as M
 from evenmark.operators import governance as G
 from evenmark.operators import temporal as T
 from evenmark.plans import all as plans
@@ -122,3 +123,12 @@ def test_absences_group_nothing_twice(spark, tmp_path):
     duckdb.sql(f"COPY (SELECT CAST(k % 50 AS BIGINT) AS l_partkey, 'A' AS l_returnflag, CAST(1 AS BIGINT) AS l_suppkey, 1.0 AS l_quantity, 0.1 AS l_discount, 0.1 AS l_tax, DATE '1995-01-01' + CAST(k % 9 AS INT) AS l_shipdate, CAST(k AS BIGINT) AS l_orderkey, 1 AS l_linenumber, 'O' AS l_linestatus FROM range(300) t(k)) TO '{tmp_path}/lineitem.parquet' (FORMAT parquet)")
     plan = plans.QUERIES["j25_validated_absences"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Aggregate") == 2
+
+
+def test_tasks_of_wide_rows_grow_with_them(spark):
+    """Rows of 17 games are dealt to as many tasks as they need, with the same result."""
+    h = spark.range(400).selectExpr("id % 40 AS player", "id AS game", "CAST(id % 97 AS INT) AS kickoff", "1 AS season", "id AS value")
+    out, plain = M.lagged_features(h, wide=50), M.lagged_features(h)
+    assert "player#" in (plan := out._jdf.queryExecution().optimizedPlan().toString()) and ", 16" in plan[plan.index("RepartitionByExpression") :].split("\n")[0]
+    key = lambda df: sorted(map(str, df.collect()))
+    assert key(out) == key(plain)
